@@ -6,12 +6,14 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .language_id import identify_language, train_language_id
 from .mixing import mix_sources
 from .packing import pack
+from .toxicity import score_toxicity, train_toxicity
 from .url_filter import url_filter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -25,6 +27,25 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def fold(n: int) -> Column:
+    """Remainder of crc32 of the id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, _table(spark, sf_dir, "labels"), fold(5) != 0)
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_language_id(docs.select("doc_id", "text", "lang"), fold(4) != 2)
+    judged = identify_language(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
@@ -51,6 +72,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op6_packing": op6_packing,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
