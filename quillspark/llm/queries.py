@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_groups
 from .language_id import identify_language, train_language_id
 from .mixing import mix_sources
+from .near_dedup import near_groups
 from .packing import pack
 from .toxicity import score_toxicity, train_toxicity
 from .url_filter import url_filter
@@ -46,6 +47,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
