@@ -6,6 +6,7 @@ in none, its beginning tops up the fullest window, which is then emitted. Window
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from array import array
@@ -26,9 +27,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Tokens of a sequence; windows a partition keeps open; id that ends each document.
 WINDOW, OPEN, END_ID = 2048, 32, 1
 #: Partitions whose open windows are merged together. Each leaves OPEN at most, so a merge is bounded.
-MERGED = 256
+MERGED = 32
 #: Word pieces kept for reuse in a task.
-CACHE = 400_000
+CACHE = 300_000
 
 PIECES = "doc_row long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 _SCHEMA = pa.schema([("doc_row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -37,6 +38,7 @@ _SCHEMA = pa.schema([("doc_row", pa.int64()), ("start", pa.int64()), ("length",
 @cache
 def _encoder(path: str, by_words: bool) -> WordEncoder:
     """One for each Python worker, so that later tasks find the words of earlier ones."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin on it
     return WordEncoder(path, by_words)
 
 
@@ -74,6 +76,9 @@ class WordEncoder:
                 if w.isalpha():
                     split.append((w, (w.lower(),)))
                     continue
+                if w[-1] in ",." and w[:-1].isalpha():  # most words that stand before a mark
+                    split.append((w, (w[:-1].lower(), w[-1])))
+                    continue
                 if self.ODD_WORD.search(w):
                     odd.append(w)
                     continue
