@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_groups
 from .language_id import identify_language, train_language_id
 from .mixing import mix_sources
@@ -47,6 +48,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
     "op9_mixing": op9_mixing,
