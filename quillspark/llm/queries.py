@@ -15,6 +15,7 @@ from .language_id import identify_language, train_language_id
 from .mixing import mix_sources
 from .near_dedup import near_groups
 from .packing import pack
+from .substring_dedup import repeated_spans
 from .toxicity import score_toxicity, train_toxicity
 from .url_filter import url_filter
 
@@ -71,6 +72,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.mapInArrow(_id_digests, schema).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
