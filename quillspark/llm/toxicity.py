@@ -279,7 +279,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, id_col: s
         return None
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("_id")), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("_label") == 1, min(1.0, per_label / counts[1])).otherwise(min(1.0, per_label / counts[0]))
-    chosen = known.filter(draw < share)
+    chosen = F.broadcast(known.filter(draw < share))  # about 2 x per_label pairs of id and label
     sample = rows.join(chosen, rows[id_col] == chosen["_id"]).select("_id", F.col(text_col).alias("text"), F.col("_label").cast("int").alias("label")).toPandas()
     sample = sample.sort_values(["_id", "label", "text"], kind="stable")
     if sample["label"].nunique() < 2:
