@@ -48,35 +48,39 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letters, powers, np.concatenate([pi, pi[: BANDS * ROWS]])
 
 
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, A-Z lower-cased, one after another, and the text number of each."""
+    letters, powers, _ = _tables()
+    flat = np.frombuffer(b"\n".join(t.lower() if t else b"" for t in texts) + b"\n", np.uint8)
+    blank = (flat == 32) | ((flat >= 9) & (flat <= 13))
+    before = np.concatenate([[True], blank[:-1]])
+    starts = np.flatnonzero(~blank & before)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sizes = np.flatnonzero(blank & ~before) - starts
+    where = np.flatnonzero(~blank)
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(len(where)) - np.repeat(begins, sizes)
+    hashes = _mix(np.add.reduceat(letters[flat[where]] * powers[place & 4095] + place.astype(np.uint64), begins))
+    ends = np.cumsum([(len(t) if t else 0) + 1 for t in texts])
+    return hashes, np.searchsorted(ends, starts, "right")
+
+
 def shingle_sets(texts: list[bytes | None], width: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles of ``width`` words, over words with A-Z lower-cased.
 
     A text of fewer words has its whole sequence as its one shingle; a text without words has none.
     """
-    letters, powers, _ = _tables()
-    flat = np.frombuffer(b"\n".join(t.lower() if t else b"" for t in texts) + b"\n", np.uint8)
-    blank = (flat == 32) | ((flat >= 9) & (flat <= 13))
-    word = ~blank
-    starts = np.flatnonzero(word & np.concatenate([[True], blank[:-1]]))
-    sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
-    ends = np.cumsum(sizes + 1)
-    first = np.searchsorted(starts, ends - sizes - 1)  # first word of each text
-    last = np.searchsorted(starts, ends - 1)
-    if not len(starts):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    where = np.flatnonzero(word)
-    owner = np.cumsum(np.isin(where, starts, assume_unique=True)) - 1
-    place = where - starts[owner]
-    value = letters[flat[where]] * powers[place & 4095] + place.astype(np.uint64)
-    begins = np.searchsorted(where, starts)
-    hashes = _mix(np.add.reduceat(value, begins))
+    _, powers, _ = _tables()
+    hashes, owner = word_hashes(texts)
     n = len(hashes)
     joint = np.zeros(n, np.uint64)
-    for j in range(width):
+    for j in range(min(width, n)):
         joint[: n - j] += hashes[j:] * powers[j + 1]
     joint = _mix(joint)
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
     out = []
-    for a, b in zip(first.tolist(), last.tolist()):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= width:
             out.append(np.unique(joint[a : b - width + 1]))
         elif b > a:

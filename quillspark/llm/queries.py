@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_groups
 from .language_id import identify_language, train_language_id
+from .lm_score import score_texts
 from .mixing import mix_sources
 from .near_dedup import near_groups
 from .packing import pack
@@ -72,6 +73,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.mapInArrow(_id_digests, schema).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), fold(5) != 1)
+    return scored.select("doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
+    "op7_lm_score": op7_lm_score,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
