@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.mixing import mix_sources
+from quillspark.llm.near_dedup import near_dedup
 from quillspark.llm.packing import pack
 from quillspark.llm.shared import stored
+from quillspark.llm.toxicity import score_toxicity, train_toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents with a score of one half or more go; the network learns from all labelled documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train_toxicity(docs.select("doc_id", "text"), labels, F.lit(True))
+    return score_toxicity(docs, model).filter("score < 0.5").drop("score")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +25,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each group linked by similar texts the smallest doc_id stays."""
+    return near_dedup(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: each row as often as the mix takes it, up to three times."""
     mixed = mix_sources(docs)
@@ -28,7 +42,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
     ("mixing", mix),
     ("packing", pack_sequences),
 ]
