@@ -25,8 +25,8 @@ PERCENT = 75
 BANDS, ROWS = 25, 4
 UNIVERSE_BITS = 20
 #: Buckets up to this size are compared pair by pair where their members are still in different components; larger
-#: ones by the rare shingles that two similar texts must share.
-SMALL_BUCKET = 48
+#: ones by the rare shingles that two similar texts must share, and share early enough in the order of rarity.
+SMALL_BUCKET = 4
 #: Slots of the count sketch that orders shingles by rarity. Its size changes the speed only.
 SKETCH_BITS = 20
 
@@ -181,30 +181,33 @@ def _prefixes(slots: np.ndarray, counts: np.ndarray, percent: int) -> Callable:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 sets = shingle_sets(part.column("text").to_pylist())
-                chosen = []
+                chosen, places = [], []
                 for s in sets:
                     order = np.lexsort((s, table[(s & _U((1 << SKETCH_BITS) - 1)).astype(np.int64)]))
                     chosen.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]])
+                    places.append(np.arange(len(chosen[-1])))
                 lengths = [len(c) for c in chosen]
                 at = np.repeat(np.arange(len(sets)), lengths)
                 flat = np.concatenate(chosen).view(np.int64)
-                yield pa.record_batch([*(part.column(n).take(pa.array(at)) for n in ("digest", "comp", "n")), pa.array(flat)], names=["digest", "comp", "n", "key"])
+                yield pa.record_batch([*(part.column(n).take(pa.array(at)) for n in ("digest", "comp", "n")), pa.array(flat), pa.array(np.concatenate(places))], names=["digest", "comp", "n", "key", "pos"])
 
     return run
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (key, digest, comp, n) with one key but different components, of sizes that allow a link.
+    """Pairs of members (key, digest, comp, n, pos) with one key but different components that may be linked.
 
+    pos: how many of the member's shingles stand before the key in the order of rarity. If the key is the first that two
+    share, they share no more than what follows it in either; that and the sizes rule most pairs out.
     Only members outside the key's largest component look for partners, so a key that one big group holds costs its
     group one comparison for each other member, not the square.
     """
     sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     live = members.join(sizes.select("key", F.col("top.comp").alias("main")), "key")
-    left = live.filter(F.col("comp") != F.col("main")).select("key", F.col("digest").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
-    right = live.select("key", F.col("digest").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), (F.col("comp") == F.col("main")).alias("in_main"))
-    fits = (F.col("comp_a") != F.col("comp_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    left = live.filter(F.col("comp") != F.col("main")).select("key", F.col("digest").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
+    right = live.select("key", F.col("digest").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), (F.col("comp") == F.col("main")).alias("in_main"))
+    fits = (F.col("comp_a") != F.col("comp_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & ((100 + percent) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= percent * (F.col("n_a") + F.col("n_b")))
     pairs = left.join(right, "key").filter(fits)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -243,14 +246,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = members.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("root", "digest")).drop("root")
     open_ = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
     labelled = stored(labelled.join(open_, "key").filter(F.col("digest") != F.col("lead")).select("key", "digest", "comp", "n", "m"), "near-open")
-    small = _across(labelled.filter(F.col("m") <= SMALL_BUCKET).drop("m"), percent)
+    small = _across(labelled.filter(F.col("m") <= SMALL_BUCKET).drop("m").withColumn("pos", F.lit(0).cast("long")), percent)
     large = labelled.filter(F.col("m") > SMALL_BUCKET).select("digest", "comp", "n").distinct()
     if large.isEmpty():
         pairs = small
     else:
         large = large.join(texts, "digest")
         counts = large.select("text").mapInArrow(_sketch, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-        prefixes = large.mapInArrow(_prefixes(counts["slot"].to_numpy(), counts["n"].to_numpy(), percent), "digest binary, comp binary, n long, key long")
+        prefixes = large.mapInArrow(_prefixes(counts["slot"].to_numpy(), counts["n"].to_numpy(), percent), "digest binary, comp binary, n long, key long, pos long")
         pairs = small.union(_across(stored(prefixes, "near-prefixes"), percent)).distinct()
     more = stored(_links(pairs, texts, percent), "near-links")
     if not more.isEmpty():
