@@ -29,7 +29,7 @@ WINDOW, OPEN, END_ID = 2048, 32, 1
 #: Partitions whose open windows are merged together. Each leaves OPEN at most, so a merge is bounded.
 MERGED = 32
 #: Word pieces kept for reuse in a task.
-CACHE = 300_000
+CACHE = 200_000
 
 PIECES = "doc_row long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 _SCHEMA = pa.schema([("doc_row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -61,6 +61,7 @@ class WordEncoder:
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _encoded(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
@@ -92,14 +93,18 @@ class WordEncoder:
         self.words.update([(w, known[found[0]] if len(found) == 1 else b"".join([known[x] for x in found])) for w, found in split])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        for kept in (self.words, self.parts):
-            if len(kept) > CACHE:
-                kept.clear()
+        if len(self.words) > CACHE:  # words not met again until the next time are forgotten
+            self.older, self.words = self.words, {}
+        if len(self.parts) > CACHE:
+            self.parts.clear()
         split = [t.split() if self.by_words and not self.ODD_TEXT.search(t) else None for t in texts]
         ids = [None if found is None else list(map(self.words.get, found)) for found in split]
         missing = [(i, k) for i, got in enumerate(ids) if got and None in got for k, x in enumerate(got) if x is None]
         if missing:
-            self._learn(list({split[i][k] for i, k in missing}))
+            new, older = {split[i][k] for i, k in missing}, self.older
+            again = [w for w in new if w in older]
+            self.words.update((w, older[w]) for w in again)
+            self._learn(list(new.difference(again)))
             for i, k in missing:
                 ids[i][k] = self.words[split[i][k]]
         whole = iter(self._encoded(self.whole, [t for t, found in zip(texts, split) if found is None]))
