@@ -7,6 +7,7 @@ their hash; there an externally sorted suffix array with common-prefix values fi
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -145,15 +146,30 @@ def _shard(length: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
-            raw, facts = os.path.join(folder, "raw"), []
+            raw, rows, first, whole = os.path.join(folder, "raw"), [], {}, []
             with open(raw, "wb") as file:
                 for batch in batches:
-                    for content in batch.column("content").to_pylist():
-                        file.write(content)
-                    facts.append(batch.drop_columns(["content"]))
-            table = pa.Table.from_batches(facts) if facts else None
-            if not table or not table.num_rows:
+                    for h, id_, sub, begin, end, content in zip(*(c.to_pylist() for c in batch.columns)):
+                        # Equal stretches of different partitions: the earliest stands for all, as in _cut.
+                        key, place = (h, hashlib.blake2b(content, digest_size=16).digest()), (id_ is None, id_, sub, begin, end)
+                        old = first.get(key)
+                        if old is None:
+                            file.write(content)
+                            first[key] = (len(rows), place)
+                            rows.append((h, id_, sub, begin, end))
+                        elif place[:4] < old[1][:4]:
+                            whole.append(old[1])
+                            first[key] = (old[0], place)
+                            rows[old[0]] = (h, id_, sub, begin, end)
+                        elif place[:4] > old[1][:4]:
+                            whole.append(place)
+            first.clear()
+            if whole:
+                yield pa.record_batch([pa.array([p[k] for p in whole], f.type) for k, f in zip((1, 2, 3, 4), schema)], schema=schema)
+            if not rows:
                 return
+            table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _STRETCH)], names=_STRETCH.names[:5])
+            rows.clear()
             hashes, begin, end = (table.column(n).to_numpy() for n in ("hash", "begin", "end"))
             _, which, counts = np.unique(hashes, return_inverse=True, return_counts=True)
             live = counts[which] > 1
