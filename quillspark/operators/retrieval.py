@@ -205,17 +205,21 @@ def add_unseen(hits: DataFrame, more: DataFrame) -> DataFrame:
 
 def hybrid(vector: DataFrame, keyword: DataFrame | None = None, forced: DataFrame | None = None, chunks: DataFrame | None = None, edges: DataFrame | None = None, k: int = 10) -> DataFrame:
     """Fusion: vector hits cut to k, unseen keyword hits, forced hits raised, then parents and graph neighbours of all of
-    these, best k at the end. Leave a part out to skip its step."""
+    these, best k at the end. Leave a part out to skip its step.
+
+    Hits, which later steps read more than once, are a few rows a query; they are persisted and made anew if lost.
+    """
     names = ["query_id", "uid", "similarity", "origin"]
     hits = top(vector.groupBy("query_id", "uid").agg(F.max("similarity").alias("similarity")).withColumn("origin", F.lit("vector")), k).select(*names)
     if keyword is not None:
-        hits = add_unseen(hits, keyword)
+        hits = add_unseen(hits.persist(), keyword).persist()
     if forced is not None:
         up = forced.select("query_id", "uid", F.col("similarity").alias("_s")).distinct()
         raised = hits.join(up, ["query_id", "uid"], "left").withColumn("similarity", F.greatest("similarity", "_s")).select(*names)
         hits = add_unseen(raised, forced)
+    hits = hits.persist()
     if chunks is not None and "parent_chunk_uid" in chunks.columns:
-        hits = add_unseen(hits, parent_hits(hits, chunks))
+        hits = add_unseen(hits, parent_hits(hits, chunks)).persist()
     if edges is not None:
         hits = add_unseen(hits, expand_by_graph(hits.select("query_id", "uid"), edges))
     return top(hits, k)

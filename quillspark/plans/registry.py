@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, texts
+from . import relational, search, texts
 
-MODULES = [relational, texts]
+MODULES = [relational, texts, search]
 
 
 def queries() -> dict:

@@ -40,7 +40,7 @@ def t1(spark, d):
 
 @query("t2_clean_lines", rf"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: NOT (contains(lower(s), 'licensed') OR contains(lower(s), 'idiot') OR regexp_matches({_STRIP('s')}, '^[0-9]+[.)]')
 OR (length({_STRIP('s')}) < 40 AND (contains({_STRIP('s')}, 'Ley') OR contains({_STRIP('s')}, 'The'))))) AS l FROM documents)
-SELECT doc_id, {_STRIP("regexp_replace(regexp_replace(array_to_string(l, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g')")} AS clean FROM l""")
+SELECT doc_id, {_STRIP(r"regexp_replace(regexp_replace(array_to_string(l, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g')")} AS clean FROM l""")
 def t2(spark, d):
     return docs(spark, d).select("doc_id", T.clean_lines(F.col("text"), ["licensed", "idiot"], [r"^[0-9]+[.)]"], ["Ley", "The"]).alias("clean"))
 
@@ -285,7 +285,7 @@ def t44(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("part", "content"))
 
 
-@query("t45_strip_refs", rf"""SELECT conv_id, turn, {_STRIP("regexp_replace(regexp_replace(regexp_replace(text || ' [1, 2] . end [3]', '\[[0-9]+(, ?[0-9]+)*\]', '', 'g'), '[ ]{2,}', ' ', 'g'), ' ([.,;:])', '\1', 'g')")} AS plain FROM conversations""")
+@query("t45_strip_refs", rf"""SELECT conv_id, turn, {_STRIP(r"regexp_replace(regexp_replace(regexp_replace(text || ' [1, 2] . end [3]', '\[[0-9]+(, ?[0-9]+)*\]', '', 'g'), '[ ]{2,}', ' ', 'g'), ' ([.,;:])', '\1', 'g')")} AS plain FROM conversations""")
 def t45(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.strip_refs(F.concat("text", F.lit(" [1, 2] . end [3]"))).alias("plain"))
 

@@ -14,7 +14,7 @@ TREE = f"tree_id string, title string, law string, article string, description s
 
 def read_markdown(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Whole files below ``path`` whose names match, one record each: path, content."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
