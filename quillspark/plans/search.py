@@ -334,11 +334,12 @@ def t39(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(guardrail.banned(F.col("text"), [("(?is)the .* idiot", "a"), ("(?i)plazo mínimo", "b")]), ";").alias("messages"))
 
 
-@query("t40_annotated_answer", """SELECT l_orderkey, l_linenumber, 'Según el Artículo ' || l_suppkey || ' de la ley de la renta y el Art. ' || (l_partkey + 5000000) || ' del DL-825, vivienda habitual exenta.' || chr(10) || chr(10) || '[ALERTA] no such exemption' || chr(10) || chr(10) || '[WARN] ''Art. ' || (l_partkey + 5000000) || ' del DL-825'', ''DL-825''' AS answer FROM lineitem""")
+@query("t40_annotated_answer", """SELECT l_orderkey, l_linenumber, 'Según el Artículo ' || l_suppkey || ' de la ley de la renta y el Art. ' || (l_partkey + 5000000) || ' del DL-825, vivienda habitual exenta.' || chr(10) || chr(10) || '[ALERTA] no such exemption' || chr(10) || chr(10) || '[WARN] ''Art. ' || (l_partkey + 5000000) || ' del DL-825'', ''DL-825''' AS answer FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)""")
 def t40(spark, d):
     cited = guardrail.verified(guardrail.citations(_answers(spark, d), _PATTERNS), _NAMES).filter("not found")
-    open_ = cited.groupBy("l_orderkey", "l_linenumber").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "citation"))), lambda c: c["citation"]).alias("open"))
-    rows = _answers(spark, d).join(open_, ["l_orderkey", "l_linenumber"], "left")
+    keys = ["l_orderkey", "l_linenumber", "context", "answer"]
+    open_ = cited.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "citation"))), lambda c: c["citation"]).alias("open"))
+    rows = _answers(spark, d).distinct().join(open_, keys, "left")
     return rows.select("l_orderkey", "l_linenumber", guardrail.annotate(F.col("answer"), guardrail.banned(F.col("answer"), _BANNED), F.coalesce("open", F.array().cast("array<string>"))).alias("answer"))
 
 
