@@ -24,6 +24,8 @@ from .shared import stored
 LENGTH, ANCHOR = 100, 24
 #: Bytes of a shard aimed at, and bytes that its queues keep in memory; more of either goes through files.
 SHARD_BYTES, QUEUE_BYTES = 6 << 20, 64 << 20
+#: Windows whose anchors are picked at once; a position in a piece fits the 24 bits beside its hash.
+PIECE = 4 << 20
 #: Stretches a task remembers to drop its own copies before they are shuffled; the number changes no result.
 REMEMBERED = 150_000
 #: Stands between the stretches of a shard; UTF-8 has no such byte.
@@ -39,6 +41,27 @@ def anchors(texts: list[bytes], length: int = LENGTH, width: int = ANCHOR) -> tu
         return none, none, none
     flat = np.frombuffer(b"".join(texts), np.uint8)
     n = len(flat)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    whole = np.ones(n - length + 1, bool)  # windows inside one text
+    for e in ends[:-1]:
+        whole[max(0, e - length + 1) : e] = False
+    places, hashes = [none], [none]
+    for s in range(0, len(whole), PIECE):  # the windows of a piece reach length - 1 bytes into the next
+        at, h = _picked(flat[s : s + PIECE + length - 1], whole[s : s + PIECE], length, width)
+        places.append(at + s)
+        hashes.append(h)
+    at, h = np.concatenate(places), np.concatenate(hashes)
+    new = np.ones(len(at), bool)
+    new[1:] = np.diff(at) != 0
+    at = at[new]
+    owner = np.searchsorted(ends, at, "right")
+    return owner, at - starts[owner], h[new]
+
+
+def _picked(flat: np.ndarray, whole: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the anchor of each window of ``flat`` that ``whole`` admits; under 2^24 bytes."""
+    n = len(flat)
     letters = np.random.default_rng(3).integers(1, 1 << 63, 256, np.uint64)
     h, size, total, done = letters[flat], 1, None, 0
     rest = width
@@ -60,15 +83,9 @@ def anchors(texts: list[bytes], length: int = LENGTH, width: int = ANCHOR) -> tu
         low = np.minimum(low[: len(low) - span], low[span:])
         span *= 2
     low = np.minimum(low[: n - length + 1], low[window - span : window - span + n - length + 1])
-    ends = np.cumsum([len(t) for t in texts])
-    starts = ends - [len(t) for t in texts]
-    whole = np.ones(n - length + 1, bool)  # windows inside one text
-    for e in ends[:-1]:
-        whole[max(0, e - length + 1) : e] = False
     at = low[whole] & _U((1 << 24) - 1)
-    at = at[np.concatenate([[True], np.diff(at) != 0])].astype(np.int64) if len(at) else none
-    owner = np.searchsorted(ends, at, "right")
-    return owner, at - starts[owner], total[at].view(np.int64)
+    at = at[np.concatenate([[True], np.diff(at) != 0])].astype(np.int64) if len(at) else np.zeros(0, np.int64)
+    return at, total[at].view(np.int64)
 
 
 def _parts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

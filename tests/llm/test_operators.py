@@ -127,6 +127,16 @@ def test_substrings(spark):
     assert {r.doc_id: bytes(r.kept) for r in repeated_spans(frame(spark, data)).collect()} == want
 
 
+def test_substrings_of_long_text(spark):
+    """Repeats beyond 16 MiB of one text, and behind smaller texts of its slice, are found where they are."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    passage, body = letters(300), letters((1 << 24) + 5000)
+    data = [(1, passage, "s"), (2, body + passage, "s")]
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in repeated_spans(frame(spark, data).coalesce(1)).collect()}
+    assert got == {1: [], 2: [(len(body), len(body) + 300)]}
+
+
 def test_packing(spark):
     out = pack(frame(spark).select("doc_id", "text", "source"), window=64, open_windows=3).collect()
     whole = WordEncoder(__import__("public_tokenizers").path(TOKENIZER))
