@@ -1,9 +1,10 @@
 """Language-model scoring by logistic context mixing.
 
-Text is coded bit by bit along a Huffman tree. Hashed contexts of several orders each predict the bit from what followed
+Text is coded bit by bit along a Huffman tree. Contexts of several orders each predict the bit from what followed
 them in the training texts; a gate picks the weights that mix the predictions in the logistic domain, and a table
-indexed by tree node and mixed prediction refines the result. Counts, weights and refinement are learned online in one
-stream per partition and summed or averaged over partitions. Beside it stands a plain unigram score of the words.
+indexed by tree node and mixed prediction refines the result. What followed each context is a Spark table that grows with
+the training texts; blocks of texts are joined with the counts of their own contexts. Weights and refinement are learned
+online in one stream per block and averaged or summed over blocks. Beside it stands a plain unigram score of the words.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ import heapq
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,18 +24,16 @@ from .near_dedup import word_hashes
 from .shared import stored
 
 END, PAD, PADS = 256, 257, 5
-#: Context of each predictor, as preceding symbols (0: the word so far), and the bits of its table. The model's size is
-#: fixed by these; what is counted into it grows with the input.
+#: Context of each predictor, as preceding symbols (0: the word so far).
 ORDERS = (1, 2, 3, 5, 0)
-TABLE_BITS = (16, 18, 20, 20, 20)
 GATES, LEVELS, LIMIT = 16, 33, 8.0
 #: Weights and refinement learn from one of so many symbols, spread evenly over all training texts.
 STRIDE = 8
 RATE, BLOCK = 0.3, 1 << 12
 #: Words whose counts go to every task; rarer ones meet their counts in a join. Changes no result.
 FREQUENT = 1 << 18
-#: Bytes of text worked on at once, and partitions whose tables are summed in one task.
-PART, SUMMED = 1 << 17, 32
+#: Bytes of text worked on at once, and of a block of texts that meets the counts of its contexts.
+PART, BLOCK_BYTES = 1 << 17, 1 << 20
 
 _U = np.uint64
 
@@ -110,30 +109,82 @@ def contexts(symbols: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def context_keys(symbols: np.ndarray, scored: np.ndarray) -> list[np.ndarray]:
+    """For each order the context of each scored place as 54 bits of its hash, followed by 9 bits for a symbol."""
+    return [((h[scored] >> _U(10)) << _U(9)).astype(np.int64) for h in contexts(symbols)]
+
+
+class Counts:
+    """How often each bit followed at each tree node, in the contexts of one block; from (context and symbol, n)."""
+
+    def __init__(self, coder: Coder, keys: np.ndarray, n: np.ndarray) -> None:
+        keys, first = np.unique(keys, return_index=True)
+        n = n[first].astype(np.float64)
+        context, symbol = keys >> 9, keys & 511
+        new = np.ones(len(keys), bool)
+        new[1:] = np.diff(context) != 0
+        self.coder, self.contexts = coder, pd.Index(context[new])
+        length = coder.length[symbol]
+        row = np.repeat(np.arange(len(keys)), length)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+        slot = (np.cumsum(new) - 1)[row] * 256 + coder.nodes[symbol[row], step]
+        order = np.argsort(slot, kind="stable")
+        slot, row, bit = slot[order], row[order], coder.bits[symbol[row], step][order]
+        head = np.ones(len(slot), bool)
+        head[1:] = np.diff(slot) != 0
+        self.slots, which = slot[head], np.cumsum(head) - 1
+        # The last place is that of slots without counts.
+        self.seen = [np.bincount(which, n[row] * (bit == b), minlength=len(self.slots) + 1).astype(np.float32) for b in (0, 1)]
+
+    def paths(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Zeros, ones and own bit at the nodes of each distinct (context, symbol), and where each one's path begins."""
+        at = self.contexts.get_indexer(context >> 9)
+        codes, pairs = pd.factorize(at * 258 + symbol)
+        at, symbol = pairs // 258, pairs % 258
+        length = self.coder.length[symbol]
+        begin = np.cumsum(length) - length
+        row = np.repeat(np.arange(len(pairs)), length)
+        step = np.arange(len(row)) - begin[row]
+        slot = at[row] * 256 + self.coder.nodes[symbol[row], step]
+        place = np.searchsorted(self.slots, slot)
+        if len(self.slots):
+            place[self.slots[np.minimum(place, len(self.slots) - 1)] != slot] = len(self.slots)
+        return self.seen[0][place], self.seen[1][place], self.coder.bits[symbol[row], step], begin[codes]
+
+
 class Bits:
-    """The coded bits of some texts (of one in ``every`` symbols): owner, node, bit and the table slot of each predictor."""
+    """The coded bits of some texts (of one in ``every`` symbols): owner, node and bit."""
 
     def __init__(self, coder: Coder, texts: list[bytes], every: int = 1) -> None:
         symbols, owner = stream(texts)
         scored = np.flatnonzero(symbols != PAD)[::every]
-        length = coder.length[symbols[scored]]
-        self.place = np.repeat(scored, length)
-        symbol = symbols[self.place]
-        step = np.arange(len(self.place)) - np.repeat(np.cumsum(length) - length, length)
-        self.node, self.bit, self.owner = coder.nodes[symbol, step], coder.bits[symbol, step], owner[self.place]
-        self._contexts = contexts(symbols)
-        self._node = (self.node.astype(np.uint64) + _U(1)) * _U(0xFF51AFD7ED558CCD)
-
-    def slots(self, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
-        h = (self._contexts[k][self.place[at]] ^ self._node[at]) * _U(0x9E3779B97F4A7C15)
-        return (h >> _U(64 - TABLE_BITS[k])).astype(np.int32)
+        self.symbol = symbols[scored].astype(np.int64)
+        length = coder.length[self.symbol]
+        self.which = np.repeat(np.arange(len(scored)), length)
+        self.step = np.arange(len(self.which)) - np.repeat(np.cumsum(length) - length, length)
+        symbol = self.symbol[self.which]
+        self.node, self.bit, self.owner = coder.nodes[symbol, self.step], coder.bits[symbol, self.step], owner[scored][self.which]
+        self.contexts = context_keys(symbols, scored)
+
+    def inputs(self, counts: Counts, left_out: bool) -> tuple[list[np.ndarray], np.ndarray]:
+        """Stretched predictions of each order, and the gate; ``left_out``: as they would be without the bit itself among
+        the counts, for learning sees texts as unseen ones."""
+        x, gate = [], None
+        for k, context in enumerate(self.contexts):
+            zeros, ones, bit, begin = counts.paths(context, self.symbol)
+            if left_out:
+                zeros, ones = np.maximum(zeros - (bit == 0), 0), np.maximum(ones - (bit == 1), 0)
+            stretch, sure = Mixer.predictions(zeros, ones)
+            at = begin[self.which] + self.step
+            x.append(stretch[at])
+            if k in (2, 3):
+                gate = sure[at] if gate is None else gate * np.uint8(4) + sure[at]
+        return x, gate
 
 
 @dataclass
 class Mixer:
     coder: Coder
-    stretch: list[np.ndarray]
-    sure: list[np.ndarray]
     weights: np.ndarray  # predictors + 1 x GATES
     refined: np.ndarray  # nodes x LEVELS
 
@@ -144,10 +195,9 @@ class Mixer:
         return stretch.astype(np.float32), np.digitize(zeros + ones, (1, 4, 32)).astype(np.uint8)
 
     @staticmethod
-    def fresh(coder: Coder, counts: list[np.ndarray]) -> Mixer:
-        stretch, sure = zip(*(Mixer.predictions(c[0::2].astype(np.float32), c[1::2].astype(np.float32)) for c in counts))
+    def fresh(coder: Coder) -> Mixer:
         level = np.linspace(-LIMIT, LIMIT, LEVELS, dtype=np.float32)
-        return Mixer(coder, list(stretch), list(sure), Mixer.first_weights(), np.tile(level, (256, 1)))
+        return Mixer(coder, Mixer.first_weights(), np.tile(level, (256, 1)))
 
     @staticmethod
     def first_weights() -> np.ndarray:
@@ -155,51 +205,34 @@ class Mixer:
         weights[-1] = 0
         return weights
 
-    def inputs(self, bits: Bits, at: np.ndarray | slice = slice(None)) -> tuple[list[np.ndarray], np.ndarray]:
-        x, gate = [], None
-        for k in range(len(ORDERS)):
-            slot = bits.slots(k, at)
-            x.append(self.stretch[k][slot])
-            if k in (2, 3):
-                gate = self.sure[k][slot] if gate is None else gate * np.uint8(4) + self.sure[k][slot]
-        return x, gate
-
-    @staticmethod
-    def left_out(counts: list[np.ndarray], bits: Bits, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Inputs as they would be without the bit itself among the counts; learning sees texts as unseen ones."""
-        x, gate, y = [], None, bits.bit[at].astype(np.float32)
-        for k, c in enumerate(counts):
-            slot = bits.slots(k, at).astype(np.int64)
-            v, sure = Mixer.predictions(np.maximum(c[2 * slot] - (1 - y), 0), np.maximum(c[2 * slot + 1] - y, 0))
-            x.append(v)
-            if k in (2, 3):
-                gate = sure if gate is None else gate * np.uint8(4) + sure
-        return x, gate
-
     def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         z = self.weights[-1][gate]
         for w, v in zip(self.weights, x):
             z += w[gate] * v
         return np.clip(z, -LIMIT, LIMIT, out=z)
 
-    def cost(self, bits: Bits) -> np.ndarray:
+    def cost(self, bits: Bits, counts: Counts) -> np.ndarray:
         """Bits that each coded bit takes."""
-        z = self.mixed(*self.inputs(bits))
+        z = self.mixed(*bits.inputs(counts, False))
         level = np.rint((z + LIMIT) * ((LEVELS - 1) / (2 * LIMIT))).astype(np.int16)
         z += self.refined[bits.node, level]
         z *= np.where(bits.bit, np.float32(-0.5), np.float32(0.5))
         return np.log1p(np.exp(z)) * np.float32(1 / np.log(2))
 
 
+def _slices(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= PART or i == len(texts) - 1:
+            yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
+            begin, size = i + 1, 0
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of about PART bytes of normalised text; a longer text is a slice of its own."""
     for batch in batches:
-        texts, begin, size = [normalised(t) for t in batch.column(column).to_pylist()], 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= PART or i == len(texts) - 1:
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-                begin, size = i + 1, 0
+        yield from _slices(batch, [normalised(t) for t in batch.column(column).to_pylist()])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,51 +251,105 @@ def _packed(x: np.ndarray) -> bytes:
     return zlib.compress(x.tobytes(), 1)
 
 
-def _count_bits(coder: Coder) -> Callable:
-    """Each partition's bit counts in every table, as compressed arrays."""
+_LISTS = {"ids": pa.int64(), "subs": pa.int64(), "trains": pa.bool_(), "texts": pa.binary()}
+_BLOCKS = pa.schema([("block", pa.int64()), *((name, pa.list_(kind)) for name, kind in _LISTS.items()), ("key", pa.int64()), ("n", pa.int64())])
+BLOCKS = "block long, ids array<long>, subs array<long>, trains array<boolean>, texts array<binary>, key long, n long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        tables = [np.zeros(2 << b, np.int64) for b in TABLE_BITS]
-        for _, texts in _texts(batches):
-            bits = Bits(coder, texts)
-            for k, table in enumerate(tables):
-                np.add.at(table, bits.slots(k) * 2 + bits.bit, 1)
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId()] * len(tables), pa.int64()), pa.array(range(len(tables)), pa.int32()), pa.array([_packed(t) for t in tables], pa.binary())], names=["part", "k", "counts"])
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of normalised texts; each gives a row of the texts, (key, n) of what followed each context in its training
+    texts, and a row for each of its contexts (without n)."""
+    from pyspark import TaskContext
 
-    return run
+    number, rows, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def rest(m: int) -> list[pa.Array]:
+        return [pa.nulls(m, f.type) for f in list(_BLOCKS)[1:-2]]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        lists = [pa.array([list(c)], pa.list_(kind)) for c, kind in zip(zip(*rows), _LISTS.values())]
+        yield pa.record_batch([pa.array([number], pa.int64()), *lists, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], schema=_BLOCKS)
+        symbols, owner = stream([r[3] for r in rows])
+        scored = np.flatnonzero(symbols != PAD)
+        trains = np.array([r[2] for r in rows])[owner[scored]]
+        for keys in context_keys(symbols, scored):
+            asked = np.unique(keys) >> 9
+            keys, n = np.unique((keys | symbols[scored])[trains], return_counts=True)
+            m = len(keys)
+            yield pa.record_batch([pa.nulls(m, pa.int64()), *rest(m), pa.array(keys), pa.array(n)], schema=_BLOCKS)
+            m = len(asked)
+            yield pa.record_batch([pa.array(np.full(m, number)), *rest(m), pa.array(asked), pa.nulls(m, pa.int64())], schema=_BLOCKS)
+
+    for batch in batches:
+        for part in zip(*(batch.column(c).to_pylist() for c in ("id", "sub", "trains", "text"))):
+            rows.append((*part[:3], normalised(part[3])))
+            size += len(rows[-1][3]) + PADS + 1
+            if size >= BLOCK_BYTES:
+                yield from flush()
+                number, size = number + 1, 0
+                rows.clear()
+    if rows:
+        yield from flush()
+
+
+def _gather(key: tuple, table: pa.Table) -> pa.Table:
+    keys, n = (np.ascontiguousarray(table.column(c).to_numpy()) for c in ("key", "n"))
+    order = np.argsort(keys)
+    return pa.table({"block": table.column("block").slice(0, 1), "keys": pa.array([keys[order].tobytes()], pa.binary()), "counts": pa.array([_packed(n[order])], pa.binary())})
+
+
+HELD = "block long, ids array<long>, subs array<long>, trains array<boolean>, texts array<binary>, keys binary, counts binary"
+
+
+def blocks_with_counts(rows: DataFrame) -> DataFrame:
+    """One row per block of ``rows`` (id, sub, trains, text): its texts, and what followed their contexts in all training texts."""
+    found = stored(rows.mapInArrow(_blocks, BLOCKS), "lm-blocks")
+    model = found.filter("n is not null").groupBy("key").agg(F.sum("n").alias("n"))
+    asked = found.filter("key is not null and n is null").select("block", F.col("key").alias("context"))
+    met = asked.join(model, F.col("context") == F.shiftright("key", 9)).select("block", "key", "n")
+    met = met.groupBy("block").applyInArrow(lambda key, table: _gather(key, table), "block long, keys binary, counts binary")
+    texts = found.filter("texts is not null").select("block", "ids", "subs", "trains", "texts")
+    return stored(texts.join(met, "block", "left"), "lm-counts")
+
+
+def _counts(coder: Coder, table: pa.Table) -> Counts:
+    keys, n = table.column("keys")[0].as_py(), table.column("counts")[0].as_py()
+    return Counts(coder, np.frombuffer(keys or b"", np.int64), np.frombuffer(zlib.decompress(n) if n else b"", np.int64))
 
 
-def _sum_tables(key: tuple, table: pa.Table) -> pa.Table:
-    total = reduce(np.add, (np.frombuffer(zlib.decompress(c), np.int64) for c in table.column("counts").to_pylist()))
-    part, k = table.column("part")[0].as_py() // SUMMED, table.column("k")[0].as_py()
-    return pa.table({"part": pa.array([part], pa.int64()), "k": pa.array([k], pa.int32()), "counts": pa.array([_packed(total)], pa.binary())})
+def _held(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The texts of a block in slices of about PART bytes."""
+    rows = pa.record_batch([table.column(c).combine_chunks().flatten() for c in _LISTS], names=["id", "sub", "trains", "text"])
+    yield from _slices(rows, rows.column("text").to_pylist())
 
 
-def _learn(model) -> Callable:  # noqa: ANN001  a broadcast coder with its counts
-    """Online learning of the weights over one partition, and what the refinement saw."""
+def _learn(model) -> Callable:  # noqa: ANN001  a broadcast coder
+    """Online learning of the weights over the training texts of a block, and what the refinement saw."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, counts = model.value
-        own = Mixer(coder, [], [], Mixer.first_weights(), np.zeros(0))
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        coder = model.value
+        own, counts = Mixer(coder, Mixer.first_weights(), np.zeros(0)), _counts(coder, table)
         seen, steps, bits_seen = np.zeros((2, 256, LEVELS)), 0, 0
-        for _, texts in _texts(batches):
-            bits = Bits(own.coder, texts, STRIDE)
+        for part, texts in _held(table):
+            texts = [t for t, trains in zip(texts, part.column("trains").to_pylist()) if trains]
+            if not texts:
+                continue
+            bits = Bits(coder, texts, STRIDE)
+            inputs, gates = bits.inputs(counts, True)
             for i in range(0, len(bits.bit), BLOCK):
-                at = np.arange(i, min(i + BLOCK, len(bits.bit)))
-                x, gate = Mixer.left_out(counts, bits, at)
-                z, y = own.mixed(x, gate), bits.bit[at]
+                at = slice(i, i + BLOCK)
+                x, gate, y, node = [v[at] for v in inputs], gates[at], bits.bit[at], bits.node[at]
+                z = own.mixed(x, gate)
                 level = np.rint((z + LIMIT) * ((LEVELS - 1) / (2 * LIMIT))).astype(np.int64)
-                np.add.at(seen, (y, bits.node[at], level), 1)
+                np.add.at(seen, (y, node, level), 1)
                 error = y - 1 / (1 + np.exp(-z))
                 held = np.maximum(np.bincount(gate, minlength=GATES), 256)
                 steps += 1
                 rate = RATE / (1 + steps / 200)
                 for k, v in enumerate([*x, np.ones_like(z)]):
                     own.weights[k] += (rate * np.bincount(gate, error * v, minlength=GATES) / held).astype(np.float32)
-                bits_seen += len(at)
-        yield pa.record_batch([pa.array([bits_seen], pa.int64()), pa.array([own.weights.tobytes()], pa.binary()), pa.array([_packed(seen)], pa.binary())], names=["n", "weights", "seen"])
+                bits_seen += len(y)
+        return pa.table({"n": pa.array([bits_seen], pa.int64()), "weights": pa.array([own.weights.tobytes()], pa.binary()), "seen": pa.array([_packed(seen)], pa.binary())})
 
     return run
 
@@ -278,8 +365,9 @@ def _merge_learned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([n], pa.int64()), pa.array([(weights / n).astype(np.float32).tobytes()], pa.binary()), pa.array([_packed(seen)], pa.binary())], names=["n", "weights", "seen"])
 
 
-def train(texts: DataFrame) -> tuple[Mixer, DataFrame, int, int]:
-    """The mixer, and (key, n) of the words with their total and number, learned from every row of ``texts`` (text)."""
+def train(texts: DataFrame, held: DataFrame) -> tuple[Mixer, DataFrame, int, int]:
+    """The mixer, and (key, n) of the words with their total and number, learned from every row of ``texts`` (text), which
+    are the training texts in ``held``."""
     spark = texts.sparkSession
     counted = stored(texts.mapInArrow(_count_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-words")
     symbols = np.zeros(257, np.int64)
@@ -288,18 +376,8 @@ def train(texts: DataFrame) -> tuple[Mixer, DataFrame, int, int]:
     coder = Coder.fit(symbols)
     words = counted.filter("kind = 0").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    partial = texts.mapInArrow(_count_bits(coder), "part long, k int, counts binary")
-    parts = max(1, texts.rdd.getNumPartitions())
-    while True:  # a tree of sums, so that no task meets more than SUMMED tables
-        partial = partial.groupBy("k", F.floor(F.col("part") / SUMMED).alias("group")).applyInArrow(lambda key, table: _sum_tables(key, table), "part long, k int, counts binary")
-        parts = -(-parts // SUMMED)
-        if parts == 1:
-            break
-    counts = [np.zeros(2 << b, np.int64) for b in TABLE_BITS]
-    for r in partial.collect():  # one row a table, of fixed size
-        counts[r["k"]] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    model = Mixer.fresh(coder, counts)
-    learned = texts.mapInArrow(_learn(spark.sparkContext.broadcast((coder, [c.astype(np.float32) for c in counts]))), "n long, weights binary, seen binary")
+    model = Mixer.fresh(coder)
+    learned = held.groupBy("block").applyInArrow(_learn(spark.sparkContext.broadcast(coder)), "n long, weights binary, seen binary")
     learned = learned.repartition(8).mapInArrow(_merge_learned, "n long, weights binary, seen binary").collect()
     n = sum(r["n"] for r in learned)
     if n:
@@ -315,13 +393,14 @@ def _score(model, frequent) -> Callable:  # noqa: ANN001  broadcasts
     """For each text one row with its score and the sums over frequent words, then one for each of its rarer words."""
     schema = pa.schema([("id", pa.int64()), ("sub", pa.int64()), ("key", pa.int64()), ("times", pa.int64()), ("tokens", pa.int64()), ("score", pa.float64()), ("logs", pa.float64()), ("known", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         mixer: Mixer = model.value
         keys, logs = frequent.value
-        for part, texts in _texts(batches):
+        counts, out = _counts(mixer.coder, table), []
+        for part, texts in _held(table):
             n = len(texts)
             bits = Bits(mixer.coder, texts)
-            score = -np.bincount(bits.owner, mixer.cost(bits).astype(np.float64), minlength=n) * np.log10(2)
+            score = -np.bincount(bits.owner, mixer.cost(bits, counts).astype(np.float64), minlength=n) * np.log10(2)
             hashes, owner = word_hashes(texts)
             hashes = hashes.view(np.int64)
             at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
@@ -338,10 +417,11 @@ def _score(model, frequent) -> Callable:  # noqa: ANN001  broadcasts
             take = pa.array(np.concatenate([np.arange(n), rare[:, 0]]).astype(np.int64))
             m = len(rare)
             none = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(m, kind)])
-            yield pa.record_batch([
+            out.append(pa.record_batch([
                 part.column("id").take(take), part.column("sub").take(take), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rare[:, 1].astype(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64))]),
                 none(tokens, pa.int64()), none(score, pa.float64()), none(sums, pa.float64()), none(known, pa.int64()),
-            ], schema=schema)
+            ], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -355,19 +435,20 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
 
     Edge cases: null text counts as empty and has its end only; ids may be null or repeated, rows that share id and text
     give one row; without training rows all counts are zero and the mixer knows nothing; an empty table gives an
-    empty one. Words are told apart by 64-bit hashes.
+    empty one. Words are told apart by 64-bit hashes, contexts by 54-bit ones.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    model, words, total, distinct = train(docs.filter(trains).select(text.alias("text")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(trains, F.lit(False)).alias("trains")).withColumn("sub", F.xxhash64("text"))
+    held = blocks_with_counts(rows)
+    model, words, total, distinct = train(rows.filter("trains").select("text"), held)
     ends = docs.filter(trains).count()
     total, distinct = total + ends, distinct + (1 if ends else 0)
     weight = float(total + 0.5 * (distinct + 1))
     log = lambda n: np.log10((np.asarray(n, np.float64) + 0.5) / weight)
     often = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas().sort_values("key")
     frequent = (often["key"].to_numpy(np.int64), log(often["n"].to_numpy()))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("sub", F.xxhash64("text"))
-    parts = rows.mapInArrow(_score(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(frequent)), "id long, sub long, key long, times long, tokens long, score double, logs double, known long")
+    parts = held.groupBy("block").applyInArrow(_score(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(frequent)), "id long, sub long, key long, times long, tokens long, score double, logs double, known long")
     parts = stored(parts, "lm-parts")
     c = F.coalesce("n", F.lit(0))
     rare = parts.filter(F.col("key").isNotNull()).select("id", "sub", "key", "times").distinct().join(words, "key", "left")

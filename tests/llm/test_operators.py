@@ -177,6 +177,37 @@ def test_lm_counts(spark):
     assert all(got[d].n_tokens == len(ws) and got[d].train_tokens == len(known) and got[d].n_known == sum(w in vocabulary for w in ws) and got[d].score < 0 for d, ws in docs.items())
 
 
+def test_lm_contexts_do_not_mix(spark, monkeypatch):
+    """Counts of every context and tree node equal those of plain dictionaries, over several blocks."""
+    from quillspark.llm import lm_score as lm
+
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 40_000)
+    rng = np.random.default_rng(4)
+    data = [(k, bytes(rng.integers(97, 117, 20_000, np.uint8)), k % 4 != 0) for k in range(12)]
+    rows = spark.createDataFrame(data, "id long, text binary, trains boolean").withColumn("sub", F.col("id")).repartition(2)
+    coder = lm.Coder.fit(np.bincount(np.frombuffer(b"".join(t for _, t, _ in data), np.uint8), minlength=257))
+    want = {}
+    for _, t, trains in data:
+        s = [lm.PAD] * lm.PADS + list(t) + [lm.END]
+        for i in range(lm.PADS, len(s)) if trains else ():
+            for k, order in enumerate(lm.ORDERS[:4]):
+                for j in range(coder.length[s[i]]):
+                    at = want.setdefault((k, *s[i - order : i], coder.nodes[s[i], j]), [0, 0])
+                    at[coder.bits[s[i], j]] += 1
+    found = 0
+    for row in lm.blocks_with_counts(rows).toArrow().to_batches(max_chunksize=1):
+        counts = lm._counts(coder, row)
+        for text in row.column("texts")[0].as_py():
+            bits, s = lm.Bits(coder, [text]), [lm.PAD] * lm.PADS + list(text) + [lm.END]
+            for k, order in enumerate(lm.ORDERS[:4]):
+                zeros, ones, _, begin = counts.paths(bits.contexts[k], bits.symbol)
+                for i in range(0, len(bits.bit), 50):
+                    at, place = begin[bits.which[i]] + bits.step[i], lm.PADS + bits.which[i]
+                    assert [zeros[at], ones[at]] == want.get((k, *s[place - order : place], bits.node[i]), [0, 0])
+            found += 1
+    assert found == len(data)
+
+
 def test_digest_of_kept_text(spark):
     df = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert hashlib.sha256(bytes(repeated_spans(df).first().kept)).hexdigest() == hashlib.sha256(b"abc").hexdigest()
