@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -95,21 +96,17 @@ class PqIndex:
         return out
 
 
-def _classes(dim: int) -> Callable:
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digest of each vector that can link; null for the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests, vectors = [], []
-            for v in batch.column("v").to_pylist():
-                x = None if v is None or len(v) != dim or None in v else np.array(v, np.float64)
-                good = x is not None and np.isfinite(x).all() and x.any()
-                raw = (x + 0.0).astype("<f8").tobytes() if good else None
-                vectors.append(raw)
-                digests.append(hashlib.blake2b(raw, digest_size=16).digest() if good else None)
-            yield pa.record_batch([batch.column("id"), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], names=["id", "digest", "v"])
-
-    return run
+    for batch in batches:
+        digests, vectors = [], []
+        for v in batch.column("v").to_pylist():
+            x = None if v is None or None in v else np.array(v, np.float64)
+            good = x is not None and np.isfinite(x).all() and x.any()
+            raw = (x + 0.0).astype("<f8").tobytes() if good else None
+            vectors.append(raw)
+            digests.append(hashlib.blake2b(raw, digest_size=16).digest() if good else None)
+        yield pa.record_batch([batch.column("id"), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], names=["id", "digest", "v"])
 
 
 def _rows(raw: list[bytes]) -> np.ndarray:
@@ -192,19 +189,18 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     from below, so what the index prunes cannot be a link. Lists are searched in blocks of bounded size, which return
     numbers of links and a spanning forest, never the links.
 
-    Edge cases: vectors that are null, zero, of another length than most, or that hold a null or non-finite component
-    link with nothing; rows with a null id take part but never name a component unless all its ids are null; repeated
+    Vectors link within their own length; each length has its own index.
+
+    Edge cases: vectors that are null, zero, or that hold a null or non-finite component link with nothing; rows with a null id take part but never name a component unless all its ids are null; repeated
     rows link with each other; an empty table gives an empty one.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    usual = rows.filter(F.size("v") > 0).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if usual is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    named = stored(rows.mapInArrow(_classes(usual["d"]), "id long, digest binary, v binary"), "vectors")
+    named = stored(rows.mapInArrow(_classes, "id long, digest binary, v binary"), "vectors")
     classes = stored(named.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")), "vector-classes")
-    total = classes.count()
-    if total:
-        links = _linked(classes, total, cosine, sample)
+    length = F.length("v")
+    totals = classes.groupBy(length.alias("bytes")).count().orderBy("bytes").collect()  # one row per length
+    if totals:
+        links = reduce(DataFrame.union, [_linked(classes.filter(length == r["bytes"]), r["count"], cosine, sample) for r in totals])
         own = links.groupBy("digest").agg(F.sum("n").alias("others"))
         found = components(links.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     else:

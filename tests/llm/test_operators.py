@@ -169,6 +169,20 @@ def test_language_and_toxicity(spark):
     assert len(scored) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scored)
 
 
+def test_vectors_of_two_lengths(spark):
+    """Vectors link within their own length, also in the smaller part of a table."""
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(5, 8)), rng.normal(size=(2, 12))
+    vectors = [*a, a[0], b[0], b[0] * 2 + 0.001, b[1], b[0], [0.0] * 12, []]
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_groups(df).collect()}
+    unit = [np.array(v) / np.linalg.norm(v) if np.any(v) else None for v in vectors]
+    for k, u in enumerate(unit):
+        near = [j for j, w in enumerate(unit) if j != k and u is not None and w is not None and len(u) == len(w) and u @ w >= 0.95]
+        assert got[k] == (len(near), min([k, *near]), not near or k < min(near))
+    assert got[9] == (2, 6, False)
+
+
 def test_lm_counts(spark):
     got = {r.doc_id: r for r in Q.op7_lm_score(spark, SF).collect()}
     docs = {r.doc_id: WORD.findall(r.text.translate({c: c + 32 for c in range(65, 91)})) + [None] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
