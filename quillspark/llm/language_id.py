@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .shared import fresh
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-#: The network is fitted on a sample of labelled rows: about so many of each language, chosen by a hash of the id.
-PER_LANGUAGE, MAX_LANGUAGES = 500, 200
+#: The network is fitted on a sample of labelled rows: about so many of each language, chosen by a hash of the id; fewer of each
+#: where there are so many languages that they would pass SAMPLE together.
+PER_LANGUAGE, SAMPLE = 500, 100_000
 EPOCHS, BATCH, RATE = 6, 128, 0.004
 UNKNOWN = "und"
 
@@ -131,16 +132,18 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 7) -> ByteCnn:
 def train_language_id(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> ByteCnn | None:
     """Fit on rows where ``trains`` holds and text and language are not null; None if there are none.
 
-    About ``per_language`` rows of each of the MAX_LANGUAGES most frequent languages come to the driver, chosen by a
-    hash of the id.
+    About ``per_language`` rows of each language come to the driver, chosen by a hash of the id; all rows of a language that has
+    no more.
     """
     rows = docs.filter(trains & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
-    if not counts:
+    counts = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).select(F.col(lang_col).alias("lang"), "n")
+    languages = counts.count()
+    if not languages:
         return None
-    share = F.element_at(F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, per_language / r[1]))))), F.col(lang_col))
+    each = max(1.0, min(per_language, SAMPLE / languages))
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(draw < share).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang")).toPandas()
+    drawn = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw"))
+    sample = drawn.join(F.broadcast(counts), "lang").filter(F.col("draw") < F.lit(each) / F.col("n")).select("id", "text", "lang").toPandas()
     if sample.empty:
         return None
     sample = sample.sort_values(["id", "lang"], kind="stable")

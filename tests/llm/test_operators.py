@@ -183,6 +183,15 @@ def test_vectors_of_two_lengths(spark):
     assert got[9] == (2, 6, False)
 
 
+def test_many_languages(spark):
+    """Rare languages are learned as well, however many there are."""
+    from quillspark.llm.language_id import train_language_id
+
+    data = [(3 * k + j, f"word{k} " * 5, f"l{k:03}") for k in range(230) for j in range(3 if k < 200 else 1)]
+    model = train_language_id(spark.createDataFrame(data, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == [f"l{k:03}" for k in range(230)]
+
+
 def test_lm_counts(spark):
     got = {r.doc_id: r for r in Q.op7_lm_score(spark, SF).collect()}
     docs = {r.doc_id: WORD.findall(r.text.translate({c: c + 32 for c in range(65, 91)})) + [None] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
