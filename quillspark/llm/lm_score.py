@@ -27,8 +27,6 @@ END, PAD, PADS = 256, 257, 5
 #: Context of each predictor, as preceding symbols (0: the word so far).
 ORDERS = (1, 2, 3, 5, 0)
 GATES, LEVELS, LIMIT = 16, 33, 8.0
-#: Weights and refinement learn from one of so many symbols, spread evenly over all training texts.
-STRIDE = 8
 RATE, BLOCK = 0.3, 1 << 12
 #: Words whose counts go to every task; rarer ones meet their counts in a join. Changes no result.
 FREQUENT = 1 << 18
@@ -153,11 +151,11 @@ class Counts:
 
 
 class Bits:
-    """The coded bits of some texts (of one in ``every`` symbols): owner, node and bit."""
+    """The coded bits of some texts: owner, node and bit."""
 
-    def __init__(self, coder: Coder, texts: list[bytes], every: int = 1) -> None:
+    def __init__(self, coder: Coder, texts: list[bytes]) -> None:
         symbols, owner = stream(texts)
-        scored = np.flatnonzero(symbols != PAD)[::every]
+        scored = np.flatnonzero(symbols != PAD)
         self.symbol = symbols[scored].astype(np.int64)
         length = coder.length[self.symbol]
         self.which = np.repeat(np.arange(len(scored)), length)
@@ -334,7 +332,7 @@ def _learn(model) -> Callable:  # noqa: ANN001  a broadcast coder
             texts = [t for t, trains in zip(texts, part.column("trains").to_pylist()) if trains]
             if not texts:
                 continue
-            bits = Bits(coder, texts, STRIDE)
+            bits = Bits(coder, texts)
             inputs, gates = bits.inputs(counts, True)
             for i in range(0, len(bits.bit), BLOCK):
                 at = slice(i, i + BLOCK)

@@ -231,6 +231,18 @@ def test_lm_contexts_do_not_mix(spark, monkeypatch):
     assert found == len(data)
 
 
+def test_lm_learns_from_every_bit(spark):
+    from quillspark.llm import lm_score as lm
+
+    texts = [b"some words stand here", b"", b"and more of them there", b"held out"]
+    rows = spark.createDataFrame([(k, k, t, k < 3) for k, t in enumerate(texts)], "id long, sub long, text binary, trains boolean").coalesce(1)
+    coder = lm.Coder.fit(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=257))
+    (block,) = lm.blocks_with_counts(rows).toArrow().to_batches()
+    model = type("Model", (), {"value": coder})
+    learned = lm._learn(model)((0,), __import__("pyarrow").Table.from_batches([block]))
+    assert learned.column("n")[0].as_py() == sum(coder.length[s] for t in texts[:3] for s in [*t, lm.END])
+
+
 def test_digest_of_kept_text(spark):
     df = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert hashlib.sha256(bytes(repeated_spans(df).first().kept)).hexdigest() == hashlib.sha256(b"abc").hexdigest()
