@@ -49,7 +49,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learning, shingle signatures and tokenizers are beyond SQL; tests hold the stages against brute force.
+#: Learning, shingle signatures and tokenizers are beyond SQL; tests run the dedup and mixing stages
+#: for columns and falling row counts only; toxicity, packing and run() have no test here.
 ORACLE_SQL = None
 
 
