@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import fresh, stored
 
 SHINGLE_WORDS = 5
 #: Texts are linked when 100 x intersection >= PERCENT x union.
@@ -27,6 +27,8 @@ UNIVERSE_BITS = 20
 #: Buckets up to this size are compared pair by pair where their members are still in different components; larger
 #: ones by the rare shingles that two similar texts must share, and share early enough in the order of rarity.
 SMALL_BUCKET = 4
+#: Rounds of comparing buckets with a leader at most. More of them leave less to compare; they change no result.
+ROUNDS = 3
 #: Slots of the count sketch that orders shingles by rarity. Its size changes the speed only.
 SKETCH_BITS = 20
 
@@ -48,22 +50,28 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letters, powers, np.concatenate([pi, pi[: BANDS * ROWS]])
 
 
-def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of some texts, A-Z lower-cased, one after another, and the text number of each."""
+def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Some texts with A-Z lower-cased as one array of bytes; begin, size, 64-bit hash and text number of each word."""
     letters, powers, _ = _tables()
     flat = np.frombuffer(b"\n".join(t.lower() if t else b"" for t in texts) + b"\n", np.uint8)
     blank = (flat == 32) | ((flat >= 9) & (flat <= 13))
     before = np.concatenate([[True], blank[:-1]])
     starts = np.flatnonzero(~blank & before)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return flat, none, none, np.zeros(0, np.uint64), none
     sizes = np.flatnonzero(blank & ~before) - starts
     where = np.flatnonzero(~blank)
     begins = np.cumsum(sizes) - sizes
     place = np.arange(len(where)) - np.repeat(begins, sizes)
     hashes = _mix(np.add.reduceat(letters[flat[where]] * powers[place & 4095] + place.astype(np.uint64), begins))
     ends = np.cumsum([(len(t) if t else 0) + 1 for t in texts])
-    return hashes, np.searchsorted(ends, starts, "right")
+    return flat, starts, sizes, hashes, np.searchsorted(ends, starts, "right")
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, A-Z lower-cased, one after another, and the text number of each."""
+    return words_of(texts)[3:]
 
 
 def shingle_sets(texts: list[bytes | None], width: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -216,9 +224,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` and ``kept`` (the id is its component's least).
 
     Rows with equal shingle sets form one class. In each bucket of classes that share a band, all are first compared
-    with one leader; where members still lie in different components, they are compared with each other, in large
-    buckets only where they share one of the rare shingles that any similar pair must share. So no candidate is lost
-    and no group is compared pair by pair with itself.
+    with one leader, the most central class of the bucket, and where they are still apart with the next one, for some
+    rounds; then members of different components are compared with each other, in large buckets only where they share
+    one of the rare shingles that any similar pair must share. So no candidate is lost and no group is compared pair by
+    pair with itself: in a group of altered copies, what isn't linked with the centre mostly differs by so many rare
+    shingles that no other member can be near either.
 
     Shingles are compared by 64-bit hashes of their words.
 
@@ -229,8 +239,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     signed = stored(rows.mapInArrow(_sign, "id long, n long, digest binary, bands array<long>"), "near-signed")
     members = signed.filter("n > 0").select("digest", "n", F.explode("bands").alias("key")).distinct()
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("digest").alias("lead")).filter("m > 1")
-    members = stored(members.join(buckets, "key"), "near-members")
+    members = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "key")
+    # A class is the more central, the more others its buckets hold.
+    members = members.join(members.groupBy("digest").agg(F.sum("m").alias("central")), "digest")
+    members = stored(members, "near-members")
 
     # Texts of the classes that share a band with another: one row for each class.
     classes = members.select("digest").distinct()
@@ -238,14 +250,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = rows.withColumn("key", F.coalesce("id", F.lit(-(1 << 63)))).join(owners.select("digest", F.coalesce("id", F.lit(-(1 << 63))).alias("key")), "key")
     texts = stored(texts.select("digest", "text").mapInArrow(_meant, "digest binary, text binary"), "near-texts")
 
-    stars = members.filter(F.col("digest") != F.col("lead")).select(F.col("digest").alias("a"), F.col("lead").alias("b")).distinct()
-    links = stored(_links(stars, texts, percent), "near-links")
-    found = components(links)
-
-    # Buckets whose members lie in different components.
-    labelled = members.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("root", "digest")).drop("root")
-    open_ = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    labelled = stored(labelled.join(open_, "key").filter(F.col("digest") != F.col("lead")).select("key", "digest", "comp", "n", "m"), "near-open")
+    # Rounds: in each bucket whose members are still apart, the most central one that hasn't led yet is compared with all.
+    links, apart = None, members.withColumn("comp", F.col("digest"))
+    for _ in range(ROUNDS):
+        leads = apart.groupBy("key").agg(F.max(F.struct("central", "digest", "comp")).alias("lead"))
+        led = apart.join(leads, "key")
+        stars = led.filter(F.col("comp") != F.col("lead.comp")).select(F.col("digest").alias("a"), F.col("lead.digest").alias("b")).distinct()
+        new = stored(_links(stars, texts, percent), "near-links")
+        links = new if links is None else links.union(new)
+        found = components(links)
+        rest = led.filter(F.col("digest") != F.col("lead.digest")).drop("lead", "comp").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("root", "digest")).drop("root")
+        open_ = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+        apart = stored(rest.join(open_, "key"), "near-open")
+        if new.isEmpty() or apart.isEmpty():
+            break
+    labelled = apart.select("key", "digest", "comp", "n", "m")
     small = _across(labelled.filter(F.col("m") <= SMALL_BUCKET).drop("m").withColumn("pos", F.lit(0).cast("long")), percent)
     large = labelled.filter(F.col("m") > SMALL_BUCKET).select("digest", "comp", "n").distinct()
     if large.isEmpty():
@@ -284,5 +303,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that share an id stay or go together; rows without an id stay.
     """
-    gone = near_groups(docs, id_col, text_col, percent).groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("_kept")).filter(~F.col("_kept")).select("_id")
-    return docs.join(gone, docs[id_col] == F.col("_id"), "left_anti")
+    (gone_id,) = fresh(docs, "gone_id")
+    gone = near_groups(docs, id_col, text_col, percent).groupBy(F.col(id_col).alias(gone_id)).agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(gone_id)
+    return docs.join(gone, docs[id_col] == F.col(gone_id), "left_anti")
