@@ -20,8 +20,8 @@ def available_articles(context: Column) -> Column:
     return F.array_distinct(F.concat(marks, uids, said))
 
 
-def citations(answers: DataFrame, patterns: Sequence[str], answer: str = "answer") -> DataFrame:
-    """(answers' columns, citation, num, place): matches of the patterns in order, each matched text once.
+def cited(answer: Column, patterns: Sequence[str]) -> Column:
+    """array<struct<citation, num>>: matches of the patterns in order, each matched text once.
 
     The first group of a pattern is the article's number; a pattern without group cites a law alone (num null).
     """
@@ -31,23 +31,45 @@ def citations(answers: DataFrame, patterns: Sequence[str], answer: str = "answer
         whole = F.regexp_extract_all(answer, F.lit(p), 0)
         nums = F.regexp_extract_all(answer, F.lit(p), 1) if grouped else F.transform(whole, lambda x: F.lit(None).cast("string"))
         found = F.concat(found, F.zip_with(whole, nums, lambda a, b: F.struct(a.alias("citation"), normalise_article(b).alias("num"))))
-    rows = answers.select("*", F.posexplode(found).alias("place", "_c")).select("*", "_c.citation", "_c.num").drop("_c")
-    keys = [c for c in answers.columns]
-    return rows.groupBy(*keys, "citation").agg(F.min_by(F.struct("place", "num"), "place").alias("_f")).select(*keys, "citation", "_f.num", "_f.place")
+    none = F.array().cast("array<struct<citation:string,num:string>>")
+    return F.aggregate(found, none, lambda seen, x: F.when(F.exists(seen, lambda s: s["citation"] == x["citation"]), seen).otherwise(F.array_append(seen, x)))
+
 
+def citations(answers: DataFrame, patterns: Sequence[str], answer: str = "answer") -> DataFrame:
+    """(answers' columns, citation, num, place): a row for each text cited, once an answer; answers, equal ones too, never
+    meet, so nothing is shuffled."""
+    rows = answers.select("*", F.posexplode(cited(F.col(answer), patterns)).alias("place", "_c"))
+    return rows.select(*answers.columns, "_c.citation", "_c.num", "place")
 
-def verified(cited: DataFrame, law_names: Sequence[tuple[str, str]], context: str = "context") -> DataFrame:
-    """Add ``law_tag`` (the first name in the citation) and ``found``; a citation of a law alone is found if the context
-    has any article of it."""
+
+def law_of(citation: Column, law_names: Sequence[tuple[str, str]]) -> Column:
+    """The tag of the first name that the citation holds."""
     law = F.lit(None).cast("string")
     for name, tag in reversed(law_names):
-        law = F.when(F.contains(F.lower("citation"), F.lit(name)), tag).otherwise(law)
-    have = available_articles(F.col(context))
-    own = F.array_contains(have, F.col("num"))
-    full = F.array_contains(have, F.concat("law_tag", F.lit(":"), F.col("num")))
-    alone = F.exists(have, lambda a: F.startswith(a, F.concat("law_tag", F.lit(":"))))
-    found = F.when(F.col("num").isNull(), alone).otherwise(own | full)
-    return cited.withColumn("law_tag", law).withColumn("found", F.coalesce(found, own, F.lit(False)))
+        law = F.when(F.contains(F.lower(citation), F.lit(name)), tag).otherwise(law)
+    return law
+
+
+def in_context(citation: Column, num: Column, have: Column, law_names: Sequence[tuple[str, str]]) -> Column:
+    """Does a context cover the citation? That of a law alone is covered if the context has any article of it."""
+    law = law_of(citation, law_names)
+    own = F.array_contains(have, num)
+    full = F.array_contains(have, F.concat(law, F.lit(":"), num))
+    alone = F.exists(have, lambda a: F.startswith(a, F.concat(law, F.lit(":"))))
+    return F.coalesce(F.when(num.isNull(), alone).otherwise(own | full), own, F.lit(False))
+
+
+def verified(rows: DataFrame, law_names: Sequence[tuple[str, str]], context: str = "context", available: str | None = None) -> DataFrame:
+    """Add ``law_tag`` and ``found`` to citations. ``available``: a column with what the context covers, if it was worked
+    out before citations became rows."""
+    have = F.col(available) if available else available_articles(F.col(context))
+    return rows.withColumn("law_tag", law_of(F.col("citation"), law_names)).withColumn("found", in_context(F.col("citation"), F.col("num"), have, law_names))
+
+
+def unverified(answer: Column, available: Column, patterns: Sequence[str], law_names: Sequence[tuple[str, str]]) -> Column:
+    """The texts that an answer cites without cover, in order."""
+    open_ = F.filter(cited(answer, patterns), lambda c: ~in_context(c["citation"], c["num"], available, law_names))
+    return F.transform(open_, lambda c: c["citation"])
 
 
 def banned(answer: Column, patterns: Sequence[tuple[str, str]]) -> Column:

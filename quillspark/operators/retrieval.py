@@ -5,12 +5,15 @@ Hits are rows (query_id, uid, similarity, origin). Every ranking ends in the uid
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import vectors
 from . import graph
@@ -31,21 +34,29 @@ def clamp_k(k: int | None) -> int:
     return max(1, min(k or 10, 50))
 
 
-def match_chunks(queries: DataFrame, chunks: DataFrame, k: int | None = 10) -> DataFrame:
+def _parts(queries: DataFrame) -> list[DataFrame]:
+    """The query side in parts of QUERY_ROWS queries at most, by a hash of query_id."""
+    parts = -(-queries.select("query_id").distinct().count() // QUERY_ROWS) or 1
+    return [queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+
+
+def match_chunks(queries: DataFrame, chunks: DataFrame, k: int | None = 10, by: Sequence[str] = (), where: Column | None = None) -> DataFrame:
     """Exact vector search: for each of the stated queries (query_id, embedding) the k chunks (uid, embedding) of
     highest cosine, rounded to 6 digits.
 
-    Vectors are scaled to unit length once, so a comparison is one sum of products; the query side is broadcast in
-    parts of QUERY_ROWS at most.
+    by: columns of both sides that must be equal, as a law or a source; where: a condition on the chunks that is applied
+    before the search, as validity or visibility. Vectors are scaled to unit length once, so a comparison is one sum of
+    products; the query side is broadcast in parts of QUERY_ROWS at most.
     """
     unit = lambda df: df.withColumn("_v", vectors.doubles("embedding")).withColumn("_l", vectors.norm(F.col("_v"))).filter("_l > 0").withColumn("_v", F.transform("_v", lambda x: x / F.col("_l")))
-    q = unit(queries).select("query_id", F.col("_v").alias("_q"))
-    c = unit(chunks).select("uid", "_v")
-    parts = -(-q.count() // QUERY_ROWS) or 1
+    q = unit(queries).select("query_id", F.col("_v").alias("_q"), *(F.col(c).alias(f"_by_{c}") for c in by))
+    c = unit(chunks if where is None else chunks.filter(where)).select("uid", "_v", *by)
+    fits = F.size("_q") == F.size("_v")
+    for name in by:
+        fits &= F.col(name) == F.col(f"_by_{name}")
     found = None
-    for i in range(parts):
-        part = q if parts == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        hits = c.join(F.broadcast(part), F.size("_q") == F.size("_v")).select("query_id", "uid", F.round(vectors.dot(F.col("_q"), F.col("_v")), 6).alias("similarity"))
+    for part in _parts(q):
+        hits = c.join(F.broadcast(part), fits).select("query_id", "uid", F.round(vectors.dot(F.col("_q"), F.col("_v")), 6).alias("similarity"))
         best = top(hits, clamp_k(k))
         found = best if found is None else found.unionByName(best)
     return found.withColumn("origin", F.lit("vector"))
@@ -107,6 +118,20 @@ def query_keywords(queries: DataFrame, text: str, stopwords: DataFrame, synonyms
     return words.select("query_id", F.explode(F.array_distinct(F.concat(F.array("keyword"), F.coalesce("expansion", F.array().cast("array<string>"))))).alias("keyword")).distinct()
 
 
+def _occurrences(automaton: ahocorasick.Automaton, text: str) -> dict[int, list[int]]:
+    """For each word that occurs: how often without overlaps, where first, and the end of the last."""
+    last: dict[int, list[int]] = {}
+    for end, (k, size) in automaton.iter(text):
+        begin = end - size + 1
+        seen = last.get(k)
+        if seen is None:
+            last[k] = [1, begin, end]
+        elif begin > seen[2]:
+            seen[0] += 1
+            seen[2] = end
+    return last
+
+
 def keyword_counts(chunks: DataFrame, keywords: DataFrame, text: str = "content", header: str | None = None) -> DataFrame:
     """(uid, keyword, n, first, in_header) of every keyword that occurs in a chunk, as a substring, lower-cased.
 
@@ -127,15 +152,7 @@ def keyword_counts(chunks: DataFrame, keywords: DataFrame, text: str = "content"
         for batch in batches:
             out: list[tuple] = []
             for uid, body, head in zip(*(c.to_pylist() for c in batch.columns)):
-                last: dict[int, list[int]] = {}
-                for end, (k, size) in automaton.iter((body or "").lower()):
-                    begin = end - size + 1
-                    seen = last.get(k)
-                    if seen is None:
-                        last[k] = [1, begin, end]
-                    elif begin > seen[2]:
-                        seen[0] += 1
-                        seen[2] = end
+                last = _occurrences(automaton, (body or "").lower())
                 top_ = (head or "").lower()
                 out += [(uid, vocabulary[k], n, begin, vocabulary[k] in top_) for k, (n, begin, _) in last.items()]
             columns = list(zip(*out)) if out else [[]] * 5
@@ -144,31 +161,96 @@ def keyword_counts(chunks: DataFrame, keywords: DataFrame, text: str = "content"
     return chunks.select("uid", text, F.col(header) if header else F.lit("").alias("_h")).mapInArrow(run, schema)
 
 
+class _Best:
+    """The first k hits of each query among the chunks of a task."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.held, self.least = k, [[] for _ in range(queries)], np.full(queries, -np.inf)
+
+    def add(self, uid: str, queries: np.ndarray, scores: np.ndarray, articles: np.ndarray, laws: np.ndarray) -> None:
+        good = scores >= self.least[queries]
+        for q, s, a, l in zip(queries[good].tolist(), scores[good].tolist(), articles[good].tolist(), laws[good].tolist()):
+            held = self.held[q]
+            held.append((-s, not a, not l, uid))
+            if len(held) >= 4 * self.k + 16:
+                held.sort()
+                del held[self.k :]
+                self.least[q] = -held[-1][0]
+
+
 def keyword_search(chunks: DataFrame, keywords: DataFrame, k: int = 10, articles: DataFrame | None = None, laws: DataFrame | None = None, text: str = "content", header: str | None = None) -> DataFrame:
-    """Keyword hits per query. chunks: uid, law_tag, text; articles: (query_id, article) cited; laws: (query_id, law_tag).
+    """Keyword hits per query. chunks: uid, law_tag, text; keywords: (query_id, keyword); articles: (query_id, article)
+    cited; laws: (query_id, law_tag).
 
     similarity = min(0.58, 0.30 + 0.10 density + 0.08 header hits + place + length + article + law), density being
-    occurrences a thousand characters.
+    occurrences a thousand characters. Hits are added up and ranked where the chunk is read: a task gives out at most k
+    rows a query, whatever its texts hold. What the queries ask goes to the tasks in parts of QUERY_ROWS queries.
     """
-    counts = keyword_counts(chunks, keywords, text, header)
-    found = counts.join(F.broadcast(keywords), "keyword").groupBy("query_id", "uid").agg(F.sum("n").alias("n"), F.count_if("in_header").alias("headers"), F.min("first").alias("first"))
-    found = found.join(chunks.select("uid", "law_tag", F.length(text).alias("size"), (F.lower(F.col(header)) if header else F.lit("")).alias("_head")), "uid")
-    if articles is not None:
-        cited = articles.groupBy("query_id").agg(F.collect_set("article").alias("_cited"))
-        found = found.join(F.broadcast(cited), "query_id", "left").withColumn("article_match", F.coalesce(F.exists("_cited", lambda a: F.contains(F.col("uid"), a) | F.contains(F.col("_head"), a)), F.lit(False)))
-    else:
-        found = found.withColumn("article_match", F.lit(False))
-    if laws is not None:
-        found = found.join(F.broadcast(laws.select("query_id", "law_tag").distinct().withColumn("law_match", F.lit(True))), ["query_id", "law_tag"], "left").withColumn("law_match", F.coalesce("law_match", F.lit(False)))
-    else:
-        found = found.withColumn("law_match", F.lit(False))
-    score = F.lit(0.30) + 0.10 * (F.col("n") * 1000 / F.greatest("size", F.lit(1))) + 0.08 * F.col("headers")
-    score += F.when(F.col("first") < 200, 0.06).when(F.col("first") < 500, 0.03).otherwise(0.0)
-    score += F.when(F.col("size") < 300, -0.14).when(F.col("size") < 500, -0.07).otherwise(0.0)
-    score += F.when(F.col("article_match"), 0.20).otherwise(0.0) + F.when(F.col("law_match"), 0.04).otherwise(0.0)
-    found = found.withColumn("similarity", F.round(F.least(F.lit(0.58), score), 6))
-    ranked = top(found, k, F.desc("similarity"), F.desc("article_match"), F.desc("law_match"), F.col("uid"))
-    return ranked.select("query_id", "uid", "similarity", F.lit("keyword").alias("origin"))
+    found = None
+    for part in _parts(keywords.filter("keyword <> ''")):
+        ids = part.select("query_id").distinct()
+        asked = part.groupBy("query_id").agg(F.collect_set("keyword").alias("keywords"))
+        for name, side, column in (("articles", articles, "article"), ("laws", laws, "law_tag")):
+            sets = ids.withColumn(name, F.array().cast("array<string>")) if side is None else side.join(ids, "query_id", "left_semi").groupBy("query_id").agg(F.collect_set(column).alias(name))
+            asked = asked.join(sets, "query_id", "left")
+        rows = asked.orderBy("query_id").collect()  # QUERY_ROWS at most
+        if not rows:
+            continue
+        query_type = dict(keywords.dtypes)["query_id"]
+        plan = chunks.sparkSession.sparkContext.broadcast([(r["query_id"], sorted(r["keywords"]), sorted(r["articles"] or []), set(r["laws"] or [])) for r in rows])
+        schema = f"query_id {query_type}, uid string, similarity double, article_match boolean, law_match boolean"
+        hits = chunks.select("uid", "law_tag", text, F.col(header) if header else F.lit("").alias("_h")).mapInArrow(_rank(plan, k, to_arrow_schema(StructType.fromDDL(schema))), schema)
+        ranked = top(hits, k, F.desc("similarity"), F.desc("article_match"), F.desc("law_match"), F.col("uid"))
+        found = ranked if found is None else found.unionByName(ranked)
+    if found is None:
+        found = keywords.select("query_id").limit(0).select("query_id", F.lit("").alias("uid"), F.lit(0.0).alias("similarity"))
+    return found.select("query_id", "uid", "similarity", F.lit("keyword").alias("origin"))
+
+
+def _rank(plan, k: int, schema: pa.Schema) -> Callable:  # noqa: ANN001  a broadcast
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = plan.value
+        vocabulary = {w: i for i, w in enumerate(sorted({w for _, words, _, _ in queries for w in words}))}
+        asking: list[list[int]] = [[] for _ in vocabulary]
+        by_law: dict[str, list[int]] = {}
+        citing = [(q, a.lower()) for q, (_, _, articles, _) in enumerate(queries) for a in articles]
+        automaton = ahocorasick.Automaton()
+        for q, (_, words, _, laws) in enumerate(queries):
+            for w in words:
+                asking[vocabulary[w]].append(q)
+            for law in laws:
+                by_law.setdefault(law, []).append(q)
+        for w, i in vocabulary.items():
+            automaton.add_word(w, (i, len(w)))
+        automaton.make_automaton()
+        askers, best = [np.array(a) for a in asking], _Best(len(queries), k)
+        words = list(vocabulary)
+        for batch in batches:
+            for uid, law, body, head in zip(*(c.to_pylist() for c in batch.columns)):
+                seen = _occurrences(automaton, (body or "").lower())
+                if not seen:
+                    continue
+                low = (head or "").lower()
+                which = [askers[i] for i in seen]
+                lengths = [len(w) for w in which]
+                q = np.concatenate(which)
+                times, first, in_head = (np.repeat(np.array(x), lengths) for x in ([s[0] for s in seen.values()], [s[1] for s in seen.values()], [words[i] in low for i in seen]))
+                ids, at = np.unique(q, return_inverse=True)
+                begin = np.full(len(ids), np.iinfo(np.int64).max)
+                np.minimum.at(begin, at, first)
+                size, match = len(body), np.zeros(len(queries), bool)
+                score = 0.30 + 0.10 * (np.bincount(at, times) * 1000 / max(size, 1)) + 0.08 * np.bincount(at, in_head)
+                score += np.where(begin < 200, 0.06, np.where(begin < 500, 0.03, 0.0)) + (-0.14 if size < 300 else -0.07 if size < 500 else 0.0)
+                match[[q for q, a in citing if a in uid.lower() or a in low]] = True
+                article = match[ids]
+                match[:] = False
+                match[by_law.get(law, [])] = True
+                score += 0.20 * article + 0.04 * match[ids]
+                best.add(uid, ids, np.floor(np.minimum(0.58, score) * 1e6 + 0.5) / 1e6, article, match[ids])
+        out = [(queries[q][0], uid, -s, not a, not l) for q, held in enumerate(best.held) for s, a, l, uid in sorted(held)[:k]]
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
+
+    return run
 
 
 # --- rules, parents, graph, fusion -----------------------------------------------------------------------------------

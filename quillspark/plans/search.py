@@ -53,12 +53,7 @@ SELECT q.vec_id AS query_id, 'v_' || c.vec_id AS uid, round(list_dot_product(q.e
 def j2(spark, d):
     """Exact match inside each label, the filter of the search, k at its greatest."""
     asking = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").cast("string").alias("law_tag"))
-    found = None
-    for row in asking.select("law_tag").distinct().orderBy("law_tag").collect():  # one search for each filter combination
-        tag = row["law_tag"]
-        hits = retrieval.match_chunks(asking.filter(F.col("law_tag") == tag), _answering(spark, d).filter(F.col("law_tag") == tag), 50)
-        found = hits if found is None else found.unionByName(hits)
-    return found.select("query_id", "uid", "similarity")
+    return retrieval.match_chunks(asking, _answering(spark, d), 50, by=["law_tag"]).select("query_id", "uid", "similarity")
 
 
 @query("o1_vector_top_k", f"WITH {_VECTORS} SELECT query_id, uid, k AS place FROM r WHERE k <= 5")
@@ -313,7 +308,7 @@ def t36(spark, d):
     return _answers(spark, d).select("l_orderkey", "l_linenumber", F.array_join(F.array_sort(guardrail.available_articles(F.col("context"))), ",").alias("articles"))
 
 
-_CITED = """c AS (SELECT l_orderkey, l_linenumber, unnest([{'citation': 'Artículo ' || l_suppkey || ' de la ley de la renta', 'num': l_suppkey::VARCHAR, 'found': true}, {'citation': 'Art. ' || (l_partkey + 5000000) || ' del DL-825', 'num': (l_partkey + 5000000)::VARCHAR, 'found': false}, {'citation': 'DL-825', 'num': NULL, 'found': false}]) AS c FROM (SELECT DISTINCT * FROM lineitem))"""
+_CITED = """c AS (SELECT l_orderkey, l_linenumber, unnest([{'citation': 'Artículo ' || l_suppkey || ' de la ley de la renta', 'num': l_suppkey::VARCHAR, 'found': true}, {'citation': 'Art. ' || (l_partkey + 5000000) || ' del DL-825', 'num': (l_partkey + 5000000)::VARCHAR, 'found': false}, {'citation': 'DL-825', 'num': NULL, 'found': false}]) AS c FROM lineitem)"""
 
 
 @query("t37_citations", f"WITH {_CITED} SELECT l_orderkey, l_linenumber, c.citation, c.num FROM c")
@@ -323,7 +318,12 @@ def t37(spark, d):
 
 @query("t38_verification", f"WITH {_CITED} SELECT l_orderkey, l_linenumber, c.citation, c.found FROM c")
 def t38(spark, d):
-    return guardrail.verified(guardrail.citations(_answers(spark, d), _PATTERNS), _NAMES).select("l_orderkey", "l_linenumber", "citation", "found")
+    return _verified(spark, d).select("l_orderkey", "l_linenumber", "citation", "found")
+
+
+def _verified(spark, d):
+    answers = _answers(spark, d).withColumn("available", guardrail.available_articles(F.col("context")))
+    return guardrail.verified(guardrail.citations(answers, _PATTERNS), _NAMES, available="available")
 
 
 _BANNED = [("vivienda habitual.*exenta", "no such exemption"), ("plazo mínimo", "no such term")]
@@ -334,13 +334,11 @@ def t39(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(guardrail.banned(F.col("text"), [("(?is)the .* idiot", "a"), ("(?i)plazo mínimo", "b")]), ";").alias("messages"))
 
 
-@query("t40_annotated_answer", """SELECT l_orderkey, l_linenumber, 'Según el Artículo ' || l_suppkey || ' de la ley de la renta y el Art. ' || (l_partkey + 5000000) || ' del DL-825, vivienda habitual exenta.' || chr(10) || chr(10) || '[ALERTA] no such exemption' || chr(10) || chr(10) || '[WARN] ''Art. ' || (l_partkey + 5000000) || ' del DL-825'', ''DL-825''' AS answer FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)""")
+@query("t40_annotated_answer", """SELECT l_orderkey, l_linenumber, 'Según el Artículo ' || l_suppkey || ' de la ley de la renta y el Art. ' || (l_partkey + 5000000) || ' del DL-825, vivienda habitual exenta.' || chr(10) || chr(10) || '[ALERTA] no such exemption' || chr(10) || chr(10) || '[WARN] ''Art. ' || (l_partkey + 5000000) || ' del DL-825'', ''DL-825''' AS answer FROM lineitem""")
 def t40(spark, d):
-    cited = guardrail.verified(guardrail.citations(_answers(spark, d), _PATTERNS), _NAMES).filter("not found")
-    keys = ["l_orderkey", "l_linenumber", "context", "answer"]
-    open_ = cited.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "citation"))), lambda c: c["citation"]).alias("open"))
-    rows = _answers(spark, d).distinct().join(open_, keys, "left")
-    return rows.select("l_orderkey", "l_linenumber", guardrail.annotate(F.col("answer"), guardrail.banned(F.col("answer"), _BANNED), F.coalesce("open", F.array().cast("array<string>"))).alias("answer"))
+    rows = _answers(spark, d).withColumn("available", guardrail.available_articles(F.col("context")))
+    open_ = guardrail.unverified(F.col("answer"), F.col("available"), _PATTERNS, _NAMES)
+    return rows.select("l_orderkey", "l_linenumber", guardrail.annotate(F.col("answer"), guardrail.banned(F.col("answer"), _BANNED), open_).alias("answer"))
 
 
 # --- decision trees: one small tree per customer segment, every order a case -----------------------------------------
