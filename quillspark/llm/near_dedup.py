@@ -50,9 +50,20 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letters, powers, np.concatenate([pi, pi[: BANDS * ROWS]])
 
 
+def run_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes that don't overlap, none empty, in order."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    letters, powers, _ = _tables()
+    sizes = end - begin
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    where = place + np.repeat(begin, sizes)
+    return _mix(np.add.reduceat(letters[flat[where]] * powers[place & 4095] + place.astype(np.uint64), first))
+
+
 def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Some texts with A-Z lower-cased as one array of bytes; begin, size, 64-bit hash and text number of each word."""
-    letters, powers, _ = _tables()
     flat = np.frombuffer(b"\n".join(t.lower() if t else b"" for t in texts) + b"\n", np.uint8)
     blank = (flat == 32) | ((flat >= 9) & (flat <= 13))
     before = np.concatenate([[True], blank[:-1]])
@@ -60,13 +71,9 @@ def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     if not len(starts):
         none = np.zeros(0, np.int64)
         return flat, none, none, np.zeros(0, np.uint64), none
-    sizes = np.flatnonzero(blank & ~before) - starts
-    where = np.flatnonzero(~blank)
-    begins = np.cumsum(sizes) - sizes
-    place = np.arange(len(where)) - np.repeat(begins, sizes)
-    hashes = _mix(np.add.reduceat(letters[flat[where]] * powers[place & 4095] + place.astype(np.uint64), begins))
+    stops = np.flatnonzero(blank & ~before)
     ends = np.cumsum([(len(t) if t else 0) + 1 for t in texts])
-    return flat, starts, sizes, hashes, np.searchsorted(ends, starts, "right")
+    return flat, starts, stops - starts, run_hashes(flat, starts, stops), np.searchsorted(ends, starts, "right")
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
