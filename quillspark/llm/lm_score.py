@@ -17,6 +17,7 @@ import heapq
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .near_dedup import words_of
-from .shared import stored
+from .shared import stored, text_pieces
 
 END, PAD, PADS = 256, 257, 3
 #: Letter contexts: preceding bytes of a word, and the bits of their table's slots. A context of three bytes has a
@@ -34,11 +35,13 @@ SLOTS = sum(1 << b for b in TABLE_BITS)
 SLICES = 32
 PREDICTORS, GATES, LEVELS, LIMIT = 4, 16, 33, 8.0
 RATE, STEP = 0.3, 1 << 12
-#: Words worked on at once in the letter model; words that share their first bytes stay together.
-CHUNK_WORDS, TOGETHER = 30_000, 4
+#: Words of a chunk of the letter model, which keeps together those that share their first bytes; words worked on at once;
+#: the number of first bytes. Words a partition holds.
+CHUNK_WORDS, SLICE_WORDS, TOGETHER = 15_000, 20_000, 4
+PARTITION_WORDS = 300_000
 #: Bytes of text hashed at once and of a block; rows of words and of tokens aimed at in a hash range.
-PART_BYTES, BLOCK_BYTES = 1 << 20, 4 << 20
-RANGE_WORDS, RANGE_TOKENS = 1 << 21, 1 << 22
+PART_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
+RANGE_WORDS, RANGE_TOKENS = 1 << 20, 1 << 21
 #: How often the predicted word has followed, and other words: steps of the table of word predictions; and of the run of
 #: predictions that held.
 FOLLOWED, OTHERS, RUNS = (2, 3, 5, 9, 17, 65), (1, 2, 4, 9, 33), (1, 2, 4, 8)
@@ -127,18 +130,17 @@ class Bits:
         sofar = total[scored - 1] - total[first][owner[scored]]
         self.beginning = ((sofar * _U(0xFF51AFD7ED558CCD))[which] + node * _U(0x9E3779B97F4A7C15)) * _U(0xC4CEB9FE1A85EC53)
 
-    def inputs(self, table: np.ndarray, counts: np.ndarray, left_out: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    def inputs(self, table: np.ndarray, begun: Begun, counts: np.ndarray, left_out: bool) -> tuple[list[np.ndarray], np.ndarray]:
         """Stretched predictions of each context, and the gate. counts: how often each word occurs in training texts;
         ``left_out``: as if one of these occurrences, the one that is coded, weren't among the counts."""
         x, gate = [], None
         own = (counts > 0)[self.owner] if left_out else None
-        weight = counts[self.owner].astype(np.float32)
-        _, where = np.unique(self.beginning, return_inverse=True)
         for k in range(PREDICTORS):
-            if k < len(ORDERS):
-                zeros, ones = table[self.slots[k], 0], table[self.slots[k], 1]
-            else:
-                zeros, ones = (np.where(self.early, table[self.slots[PADS - 1], b], np.bincount(where, weight * (self.bit == b)).astype(np.float32)[where]) for b in (0, 1))
+            zeros, ones = (table[self.slots[min(k, PADS - 1)], b] for b in (0, 1))
+            if k == len(ORDERS):
+                late = np.flatnonzero(~self.early)
+                at = np.searchsorted(begun.keys, self.beginning[late])
+                zeros[late], ones[late] = begun.seen[0][at], begun.seen[1][at]
             if left_out:
                 zeros, ones = np.maximum(zeros - (own & (self.bit == 0)), 0), np.maximum(ones - (own & (self.bit == 1)), 0)
             stretch = np.clip(np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))), -LIMIT, LIMIT)
@@ -149,18 +151,53 @@ class Bits:
         return x, gate
 
 
+@dataclass
+class Begun:
+    """What followed each beginning of a chunk's words, by sorted key."""
+
+    keys: np.ndarray
+    seen: list[np.ndarray]
+
+    @staticmethod
+    def of(parts: Iterator[tuple[Bits, np.ndarray]]) -> Begun:
+        keys, seen = [np.zeros(0, np.uint64)], [np.zeros((2, 0))]
+        for bits, counts in parts:
+            late = np.flatnonzero(~bits.early)
+            key, where = np.unique(bits.beginning[late], return_inverse=True)
+            weight, bit = counts[bits.owner[late]], bits.bit[late]
+            keys.append(key)
+            seen.append(np.stack([np.bincount(where, weight * (bit == b), minlength=len(key)) for b in (0, 1)]))
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        return Begun(key, [np.bincount(where, np.concatenate([x[b] for x in seen]), minlength=len(key)).astype(np.float32) for b in (0, 1)])
+
+
+def _by_slice(coder: Coder, words: list[bytes], counts: np.ndarray) -> tuple[Begun, Iterator[tuple[slice, Bits]]]:
+    """The beginnings of a chunk, and its bits for some words at a time, made anew where there are many."""
+    places = [slice(i, i + SLICE_WORDS) for i in range(0, len(words), SLICE_WORDS)]
+    if len(places) == 1:
+        bits = Bits(coder, words)
+        return Begun.of(iter([(bits, counts)])), iter([(places[0], bits)])
+    begun = Begun.of((Bits(coder, words[at]), counts[at]) for at in places)
+    return begun, ((at, Bits(coder, words[at])) for at in places)
+
+
 @dataclass
 class Mixer:
     coder: Coder
-    table: np.ndarray  # slots x (zeros, ones)
+    slices: list[bytes]  # of the letter tables, packed, as they are sent
     weights: np.ndarray  # predictors + 1 x GATES
     refined: np.ndarray  # nodes x LEVELS
 
     @staticmethod
-    def fresh(coder: Coder, table: np.ndarray) -> Mixer:
+    def fresh(coder: Coder, slices: list[bytes]) -> Mixer:
         weights = np.full((PREDICTORS + 1, GATES), 0.35, np.float32)
         weights[-1] = 0
-        return Mixer(coder, table, weights, np.tile(np.linspace(-LIMIT, LIMIT, LEVELS, dtype=np.float32), (256, 1)))
+        return Mixer(coder, slices, weights, np.tile(np.linspace(-LIMIT, LIMIT, LEVELS, dtype=np.float32), (256, 1)))
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """slots x (zeros, ones)"""
+        return np.concatenate([np.frombuffer(zlib.decompress(d), np.float32).reshape(2, -1).T for d in self.slices])
 
     def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         z = self.weights[-1][gate]
@@ -172,17 +209,20 @@ class Mixer:
     def level(z: np.ndarray) -> np.ndarray:
         return np.rint((z + np.float32(LIMIT)) * np.float32((LEVELS - 1) / (2 * LIMIT))).astype(np.int64)
 
-    def probabilities(self, bits: Bits, counts: np.ndarray) -> np.ndarray:
+    def probabilities(self, bits: Bits, begun: Begun, counts: np.ndarray) -> np.ndarray:
         """How likely each coded bit is to be 1."""
-        z = self.mixed(*bits.inputs(self.table, counts, False))
+        z = self.mixed(*bits.inputs(self.table, begun, counts, False))
         z += self.refined[bits.node, self.level(z)]
         return 1 / (1 + np.exp(z * np.float32(-0.5)))
 
     def spelled(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Bits that spelling each word takes."""
-        bits = Bits(self.coder, words)
-        p = self.probabilities(bits, counts)
-        return np.bincount(bits.owner, -np.log2(np.where(bits.bit, p, 1 - p)), minlength=len(words))
+        out = [np.zeros(0)]
+        begun, slices = _by_slice(self.coder, words, counts)
+        for at, bits in slices:
+            p = self.probabilities(bits, begun, counts[at])
+            out.append(np.bincount(bits.owner, -np.log2(np.where(bits.bit, p, 1 - p)), minlength=len(words[at])))
+        return np.concatenate(out)
 
 
 # --- packed arrays ---------------------------------------------------------------------------------------------------
@@ -216,18 +256,6 @@ _BLOCK = pa.schema([
 BLOCK = "block long, ids array<long>, trains array<boolean>, sizes array<long>, tokens long, vocabulary binary, places binary, counts binary, spelled binary"
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """A text in pieces of about PART_BYTES that end at white space."""
-    at = 0
-    while len(text) - at > PART_BYTES:
-        end = at + PART_BYTES
-        while end < len(text) and text[end] not in b" \t\n\v\f\r":
-            end += 1
-        yield text[at:end]
-        at = end
-    yield text[at:]
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of texts: each word's hash once, the more frequent ones first, and the place of every word in that list."""
     from pyspark import TaskContext
@@ -261,7 +289,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for id_, text, trains in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "trains"))):
-            for piece in _pieces(text):
+            for piece in text_pieces(text, PART_BYTES):
                 waiting.append((len(rows), piece))
                 held += len(piece)
                 if held >= PART_BYTES or len(waiting) >= 4096:
@@ -447,8 +475,7 @@ def _count_letters(coder) -> Callable:  # noqa: ANN001  a broadcast
     """What followed each letter context in a partition's words, as packed slices of the table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, SLOTS), np.float32)
-        for _, words, n in _chunks(batches):
-            bits = Bits(coder.value, words)
+        for n, bits in ((counts[at], Bits(coder.value, words[at])) for _, words, counts in _chunks(batches) for at in [slice(i, i + SLICE_WORDS) for i in range(0, len(words), SLICE_WORDS)]):
             weight, begin = n[bits.owner], 0
             for slots, size in zip(bits.slots, TABLE_BITS):
                 for b in (0, 1):
@@ -477,24 +504,27 @@ def _learn(model) -> Callable:  # noqa: ANN001  a broadcast mixer
             if not len(order):
                 continue
             counts = counts[order]
-            bits = Bits(start.coder, [words[i] for i in order])
-            inputs, gates = bits.inputs(start.table, counts, True)
-            own = Mixer(start.coder, start.table, start.weights.copy(), start.refined)
-            weight = counts[bits.owner].astype(np.float32)
-            for steps, i in enumerate(range(0, len(bits.bit), STEP)):
-                at = slice(i, i + STEP)
-                x, gate, y, w = [v[at] for v in inputs], gates[at], bits.bit[at], weight[at]
-                z = own.mixed(x, gate)
-                place = bits.node[at] * np.int64(LEVELS) + own.level(z)
-                for b in (0, 1):
-                    seen[b] += np.bincount(place, w * (y == b), minlength=256 * LEVELS)
-                error = (y - 1 / (1 + np.exp(-z))) * w
-                held = np.maximum(np.bincount(gate, w, minlength=GATES), w.sum() / GATES)
-                rate = RATE / (1 + steps / 200)
-                for k, v in enumerate([*x, np.ones_like(z)]):
-                    own.weights[k] += (rate * np.bincount(gate, error * v, minlength=GATES) / held).astype(np.float32)
-            whole += float(weight.sum())
-            weights = weights + float(weight.sum()) * own.weights.astype(np.float64)
+            own, steps, part = Mixer(start.coder, [], start.weights.copy(), start.refined), 0, 0.0
+            begun, slices = _by_slice(start.coder, [words[i] for i in order], counts)
+            for some, bits in slices:
+                inputs, gates = bits.inputs(start.table, begun, counts[some], True)
+                weight = counts[some][bits.owner].astype(np.float32)
+                for i in range(0, len(bits.bit), STEP):
+                    at = slice(i, i + STEP)
+                    x, gate, y, w = [v[at] for v in inputs], gates[at], bits.bit[at], weight[at]
+                    z = own.mixed(x, gate)
+                    place = bits.node[at] * np.int64(LEVELS) + own.level(z)
+                    for b in (0, 1):
+                        seen[b] += np.bincount(place, w * (y == b), minlength=256 * LEVELS)
+                    error = (y - 1 / (1 + np.exp(-z))) * w
+                    held = np.maximum(np.bincount(gate, w, minlength=GATES), w.sum() / GATES)
+                    rate = RATE / (1 + steps / 200)
+                    for k, v in enumerate([*x, np.ones_like(z)]):
+                        own.weights[k] += (rate * np.bincount(gate, error * v, minlength=GATES) / held).astype(np.float32)
+                    steps += 1
+                part += float(weight.sum())
+            whole += part
+            weights = weights + part * own.weights.astype(np.float64)
         if whole:
             yield _learned(whole, weights, seen)
 
@@ -540,27 +570,25 @@ def train_letters(words: DataFrame) -> tuple[Mixer, DataFrame]:
     coder = Coder.fit(symbols)
     sent = spark.sparkContext.broadcast(coder)
     # The tables have a fixed number of slots; what partitions counted is summed in two steps.
-    parts = words.count() // 500_000 + 1
+    parts = words.count() // PARTITION_WORDS + 1
     tasks = max(spark.sparkContext.defaultParallelism, parts)
-    slices = words.select("key", "word", "n").coalesce(max(1, min(tasks, 2 * parts))).mapInArrow(_count_letters(sent), "slice int, data binary").withColumn("some", F.spark_partition_id() % (int(tasks**0.5) + 1))
+    slices = words.select("key", "word", "n").coalesce(parts).mapInArrow(_count_letters(sent), "slice int, data binary").withColumn("some", F.spark_partition_id() % (int(tasks**0.5) + 1))
     slices = slices.groupBy("slice", "some").applyInArrow(_sum_slices, "slice int, data binary").groupBy("slice").applyInArrow(_sum_slices, "slice int, data binary")
-    table = [np.zeros(0, np.float32)] * SLICES
-    for k, part in enumerate(np.array_split(np.zeros((2, SLOTS), np.float32), SLICES, axis=1)):
-        table[k] = part
-    for r in slices.collect():  # SLICES rows, together of SLOTS slots
-        table[r["slice"]] = np.frombuffer(zlib.decompress(r["data"]), np.float32).reshape(2, -1)
-    model = Mixer.fresh(coder, np.ascontiguousarray(np.concatenate(table, axis=1).T))
+    empty = [zlib.compress(x.tobytes(), 1) for x in np.array_split(np.zeros((2, SLOTS), np.float32), SLICES, axis=1)]
+    found = {r["slice"]: bytes(r["data"]) for r in slices.collect()}  # SLICES rows, together of SLOTS slots
+    model = Mixer.fresh(coder, [found.get(k, empty[k]) for k in range(SLICES)])
     sorted_ = stored(words.repartition(tasks, F.substring("word", 1, TOGETHER)).sortWithinPartitions("word"), "lm-sorted")
     first = spark.sparkContext.broadcast(model)
     learned = sorted_.mapInArrow(_learn(first), "n double, weights binary, seen binary")
     learned = learned.repartition(int(tasks**0.5) + 1).mapInArrow(_merge_learned, "n double, weights binary, seen binary").collect()
+    first.unpersist()
     n, weights, seen = _read_learned((r["n"], r["weights"], r["seen"]) for r in learned)
     if n:
         # A level that was seldom seen stays near the mixed prediction itself.
         seen = seen.reshape(2, 256, LEVELS)
         p = 1 / (1 + np.exp(-model.refined.astype(np.float64)))
         refined = np.clip(np.log((seen[1] + 20 * p) / (seen[0] + 20 * (1 - p))), -LIMIT, LIMIT)
-        model = Mixer(coder, model.table, (weights / n).astype(np.float32), refined.astype(np.float32))
+        model = Mixer(coder, model.slices, (weights / n).astype(np.float32), refined.astype(np.float32))
     last = spark.sparkContext.broadcast(model)
     return model, stored(sorted_.mapInArrow(_spell(last), "key long, n long, bits float"), "lm-spelled")
 
@@ -653,9 +681,9 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     word_bits, context_bits = _bits_for(every, RANGE_WORDS), _bits_for(tokens, RANGE_TOKENS)
     asked = blocks.select("block", "vocabulary").mapInArrow(_ask_words(word_bits), ASK)
     priced = spelled.withColumn("part", F.shiftrightunsigned("key", 64 - word_bits))
-    answers = asked.groupBy("part").cogroup(priced.groupBy("part")).applyInArrow(_answer_words, ANSWER)
+    answers = stored(asked.groupBy("part").cogroup(priced.groupBy("part")).applyInArrow(_answer_words, ANSWER), "lm-answers")
     asked = blocks.select("block", "vocabulary", "places", "sizes", "trains").mapInArrow(_ask_contexts(context_bits), ASK)
-    answers = answers.union(asked.groupBy("part").applyInArrow(_answer_contexts, ANSWER))
+    answers = answers.union(stored(asked.groupBy("part").applyInArrow(_answer_contexts, ANSWER), "lm-answers"))
     whole = blocks.select("block", "ids", "trains", "sizes", "vocabulary", "places")
     texts = stored(whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(weight), TEXT), "lm-texts")
 
