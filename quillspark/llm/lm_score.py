@@ -37,7 +37,7 @@ PREDICTORS, GATES, LEVELS, LIMIT = 4, 16, 33, 8.0
 RATE, STEP = 0.3, 1 << 12
 #: Words of a chunk of the letter model, which keeps together those that share their first bytes; words worked on at once;
 #: the number of first bytes. Words a partition holds.
-CHUNK_WORDS, SLICE_WORDS, TOGETHER = 15_000, 20_000, 4
+CHUNK_WORDS, SLICE_WORDS, TOGETHER = 15_000, 20_000, PADS
 PARTITION_WORDS = 300_000
 #: Bytes of text hashed at once and of a block; rows of words and of tokens aimed at in a hash range.
 PART_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
