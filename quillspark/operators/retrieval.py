@@ -62,6 +62,11 @@ def match_chunks(queries: DataFrame, chunks: DataFrame, k: int | None = 10, by:
     return found.withColumn("origin", F.lit("vector"))
 
 
+def list_count(vectors: int, most: int = 100) -> int:
+    """How many lists an index of so many vectors has: as their square root grows, up to ``most``."""
+    return max(1, min(most, round(vectors**0.5)))
+
+
 def fit_lists(chunks: DataFrame, lists: int, sample: int = 20_000, seed: int = 5) -> DataFrame:
     """(list, center) of an inverted-list index, fitted by k-means on about ``sample`` unit vectors."""
     from pyspark.ml.clustering import KMeans
@@ -280,31 +285,37 @@ def expand_by_graph(hits: DataFrame, edges: DataFrame, cap: int = 5, n: int = 5)
     return found.select("query_id", "uid", F.lit(GRAPH).alias("similarity"), F.lit("graph").alias("origin"))
 
 
-def add_unseen(hits: DataFrame, more: DataFrame) -> DataFrame:
-    """Earlier hits keep their similarity; only unseen uids are added."""
-    return hits.unionByName(more.select(*hits.columns).join(hits.select("query_id", "uid"), ["query_id", "uid"], "left_anti"))
-
+def keyword_k(k: int) -> int:
+    """How many keyword hits take part when ``k`` are wanted."""
+    return min(k + 8, 25)
 
-def hybrid(vector: DataFrame, keyword: DataFrame | None = None, forced: DataFrame | None = None, chunks: DataFrame | None = None, edges: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """Fusion: vector hits cut to k, unseen keyword hits, forced hits raised, then parents and graph neighbours of all of
-    these, best k at the end. Leave a part out to skip its step.
 
-    Hits, which later steps read more than once, are a few rows a query; they are persisted and made anew if lost.
-    """
+def hybrid_steps(vector: DataFrame, keyword: DataFrame | None = None, forced: DataFrame | None = None, chunks: DataFrame | None = None, edges: DataFrame | None = None, k: int = 10) -> tuple[DataFrame, DataFrame | None]:
+    """Hits up to the parents, and those that the graph adds (None without edges); see hybrid."""
     names = ["query_id", "uid", "similarity", "origin"]
-    hits = top(vector.groupBy("query_id", "uid").agg(F.max("similarity").alias("similarity")).withColumn("origin", F.lit("vector")), k).select(*names)
-    if keyword is not None:
-        hits = add_unseen(hits.persist(), keyword).persist()
-    if forced is not None:
-        up = forced.select("query_id", "uid", F.col("similarity").alias("_s")).distinct()
-        raised = hits.join(up, ["query_id", "uid"], "left").withColumn("similarity", F.greatest("similarity", "_s")).select(*names)
-        hits = add_unseen(raised, forced)
-    hits = hits.persist()
+    first = top(best_per_uid(vector).withColumn("origin", F.lit("vector")), k).select(*names, F.lit(1).alias("step"))
+    for step, (more, origin) in enumerate(((keyword, "keyword"), (forced, "rule")), 2):
+        if more is not None:
+            first = first.unionByName(more.select("query_id", "uid", "similarity", F.lit(origin).alias("origin"), F.lit(step).alias("step")))
+    # The earliest step gives a hit its similarity; what a rule forces is raised to the rule's.
+    found = first.groupBy("query_id", "uid").agg(F.min_by(F.struct("similarity", "origin"), "step").alias("_f"), F.max(F.when(F.col("step") == 3, F.col("similarity"))).alias("_s"))
+    hits = found.select("query_id", "uid", F.greatest("_f.similarity", "_s").alias("similarity"), "_f.origin")
+    hits = hits.persist()  # a few rows a query, read by each later step; made anew if lost
     if chunks is not None and "parent_chunk_uid" in chunks.columns:
-        hits = add_unseen(hits, parent_hits(hits, chunks)).persist()
-    if edges is not None:
-        hits = add_unseen(hits, expand_by_graph(hits.select("query_id", "uid"), edges))
-    return top(hits, k)
+        hits = hits.unionByName(parent_hits(hits, chunks))
+    if edges is None:
+        return hits, None
+    near = expand_by_graph(hits.select("query_id", "uid"), edges)
+    if chunks is not None:
+        near = near.join(chunks.select(F.col("chunk_uid").alias("uid")).distinct(), "uid", "left_semi").select(*names)
+    return hits, near
+
+
+def hybrid(vector: DataFrame, keyword: DataFrame | None = None, forced: DataFrame | None = None, chunks: DataFrame | None = None, edges: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """Fusion: vector hits cut to k, unseen keyword hits, forced hits raised, then parents and graph neighbours of all of
+    these that are chunks, best k at the end. Leave a part out to skip its step."""
+    hits, near = hybrid_steps(vector, keyword, forced, chunks, edges, k)
+    return top(hits if near is None else hits.unionByName(near), k)
 
 
 def route(queries: DataFrame, hits: DataFrame, trees: DataFrame) -> DataFrame:

@@ -121,12 +121,18 @@ def law_chunks(docs: DataFrame, pattern: Pattern = LAW, text: str = "text", law:
     marked _dup2 ... in order. A law without articles is one chunk ley_{law}_full of 10000 characters, hashed in full."""
     other = [c for c in docs.columns if c not in (text,)]
     leaves = articles(docs, pattern, text).select(*other, "place", "ident", F.posexplode(children(F.col("article"), pattern)).alias("leaf_no", "_l"))
-    parts = leaves.select(*other, "place", "ident", "leaf_no", F.col("_l.path").alias("path"), F.posexplode(chunk_sentences(F.col("_l.text"), limit)).alias("chunk_index", "content"), F.size(chunk_sentences(F.col("_l.text"), limit)).alias("total_chunks"))
+    leaves = leaves.withColumn("_p", chunk_sentences(F.col("_l.text"), limit))
+    parts = leaves.select(*other, "place", "ident", "leaf_no", F.col("_l.path").alias("path"), F.posexplode("_p").alias("chunk_index", "content"), F.size("_p").alias("total_chunks"))
+    # The chain of levels: the article, then the numeral and the letter of the path.
+    number, letter = F.regexp_extract("path", "^n([^_]+)", 1), F.regexp_extract("path", "^(?:n[^_]+_)?([^n_][^_]*)$", 1)
+    levels = [("articulo", F.col("ident")), ("numeral", F.when(number != "", number)), ("letra", F.when(letter != "", letter))]
+    hierarchy = F.concat_ws("/", *(F.concat(F.lit(f"{kind}_"), name) for kind, name in levels))
+    section = F.concat_ws(" ", *(F.concat(F.lit(f"{kind.upper()} "), name) for kind, name in levels), F.upper(law))
     base = F.concat_ws("_", F.lit("ley"), law, F.lit("art"), F.lower("ident"), F.when(F.col("path") != "", F.col("path")))
     uid = F.when(F.col("chunk_index") > 0, F.concat_ws("_", base, F.col("chunk_index"))).otherwise(base)
-    chunks = parts.select(*other, "place", "leaf_no", uid.alias("chunk_uid"), "chunk_index", "total_chunks", "content", F.left(F.sha2("content", 256), F.lit(32)).alias("content_hash"))
+    chunks = parts.select(*other, "place", "leaf_no", uid.alias("chunk_uid"), hierarchy.alias("hierarchy_path"), section.alias("section_level_name"), "chunk_index", "total_chunks", "content", F.left(F.sha2("content", 256), F.lit(32)).alias("content_hash"))
     none = docs.filter(F.size(pieces(F.col(text), pattern.article)) == 0)
-    full = none.select(*other, F.lit(0).alias("place"), F.lit(0).alias("leaf_no"), F.concat_ws("_", F.lit("ley"), law, F.lit("full")).alias("chunk_uid"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.left(text, F.lit(10_000)).alias("content"), F.left(F.sha2(text, 256), F.lit(32)).alias("content_hash"))
+    full = none.select(*other, F.lit(0).alias("place"), F.lit(0).alias("leaf_no"), F.concat_ws("_", F.lit("ley"), law, F.lit("full")).alias("chunk_uid"), F.lit("").alias("hierarchy_path"), F.upper(law).alias("section_level_name"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.left(text, F.lit(10_000)).alias("content"), F.left(F.sha2(text, 256), F.lit(32)).alias("content_hash"))
     n = F.row_number().over(Window.partitionBy("chunk_uid").orderBy(*other, "place", "leaf_no", "chunk_index"))
     return chunks.unionByName(full).withColumn("chunk_uid", F.when(n > 1, F.concat_ws("_dup", "chunk_uid", n)).otherwise(F.col("chunk_uid")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -67,26 +68,30 @@ def o1(spark, d):
 @query("r2_inverted_lists")
 def r2(spark, d):
     c = _answering(spark, d)
-    return retrieval.match_lists(_asking(spark, d), c, retrieval.fit_lists(c, 16), probes=12).select("query_id", "uid", "similarity")
+    return retrieval.match_lists(_asking(spark, d), c, retrieval.fit_lists(c, retrieval.list_count(c.count())), probes=10).select("query_id", "uid", "similarity")
 
 
 # --- keyword search: all benchmark texts ask, all documents answer ---------------------------------------------------
 
 _STOP = ["that", "with", "this", "from", "avec", "pour", "dans"]
 _SYN = [("the", ["thea", "thes"]), ("tion", ["tion", "ation"])]
-_KEYWORDS = """w AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '([0-9a-z_áéíóúüñàèìòùâêîôûäëïöçß]+)')) AS w FROM benchmark),
+_KEYWORDS = """w AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '([0-9a-z_áéíóúüñàèìòùâêîôûäëïöçß]+)')) AS w FROM (SELECT item_id AS query_id, text FROM benchmark)),
 syn(term, expansion) AS (VALUES ('the', ['thea', 'thes']), ('tion', ['tion', 'ation'])),
 kw AS (SELECT DISTINCT query_id, unnest(list_append(coalesce(expansion, []::VARCHAR[]), w)) AS keyword FROM w LEFT JOIN syn ON term = w WHERE w NOT IN ('that', 'with', 'this', 'from', 'avec', 'pour', 'dans') AND (length(w) > 3 OR term IS NOT NULL))"""
 
 
-def _keywords(spark, d):
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+def _items(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _keywords(spark, d, queries=None):
+    queries = _items(spark, d) if queries is None else queries
     stop = spark.createDataFrame([(w,) for w in _STOP], "word string")
     return retrieval.query_keywords(queries, "text", stop, spark.createDataFrame(_SYN, "term string, expansion array<string>"))
 
 
 def _texts(spark, d):
-    return chunks(spark, d).select(F.col("chunk_uid").alias("uid"), "content", "law_tag", "source_type", F.col("source_type").alias("section"), F.concat("chunk_uid", F.lit(".md")).alias("filename"))
+    return chunks(spark, d).select(F.col("chunk_uid").alias("uid"), "content", "law_tag", "source_type", F.col("source_type").alias("section"), F.concat("chunk_uid", F.lit(".md")).alias("filename"), F.left("content", F.lit(60)).alias("header"))
 
 
 @query("t26_keywords", f"WITH {_KEYWORDS} SELECT query_id, keyword FROM kw")
@@ -99,7 +104,7 @@ def j13(spark, d):
     return _keywords(spark, d).groupBy("keyword").agg(F.count(F.lit(1)).alias("queries"))
 
 
-_COUNTS = """k AS (SELECT DISTINCT keyword FROM kw), n AS (SELECT 'doc_' || doc_id AS uid, length(text) AS size, lang AS law_tag, keyword, (length(t) - length(replace(t, keyword, ''))) // length(keyword) AS n, instr(t, keyword) - 1 AS first
+_COUNTS = """k AS (SELECT DISTINCT keyword FROM kw), n AS (SELECT 'doc_' || doc_id AS uid, length(text) AS size, lang AS law_tag, keyword, (length(t) - length(replace(t, keyword, ''))) // length(keyword) AS n, instr(t, keyword) - 1 AS first, contains(lower(left(text, 60)), keyword) AS in_header, lower(left(text, 60)) AS head
 FROM (SELECT *, lower(text) AS t FROM documents) JOIN k ON contains(t, keyword))"""
 
 
@@ -109,146 +114,199 @@ def a5(spark, d):
     return counts.groupBy("uid").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first_at"), F.count(F.lit(1)).alias("keywords"))
 
 
-_SEARCH = f"""{_KEYWORDS}, {_COUNTS}, f AS (SELECT kw.query_id, n.uid, any_value(n.law_tag) AS law_tag, sum(n) AS n, min(first) AS first, any_value(size) AS size FROM n JOIN kw USING (keyword) GROUP BY ALL),
-g AS (SELECT query_id, uid, law_tag = 'en' AS law_match, round(least(0.58::DOUBLE, 0.30::DOUBLE + 0.10::DOUBLE * (n * 1000::DOUBLE / greatest(size, 1)) + CASE WHEN first < 200 THEN 0.06::DOUBLE WHEN first < 500 THEN 0.03::DOUBLE ELSE 0::DOUBLE END
-+ CASE WHEN size < 300 THEN -0.14::DOUBLE WHEN size < 500 THEN -0.07::DOUBLE ELSE 0::DOUBLE END + CASE WHEN law_tag = 'en' THEN 0.04::DOUBLE ELSE 0::DOUBLE END), 6) AS similarity FROM f)"""
+_SEARCH = f"""{_KEYWORDS}, {_COUNTS}, f AS (SELECT kw.query_id, n.uid, any_value(n.law_tag) AS law_tag, sum(n) AS n, min(first) AS first, any_value(size) AS size, count_if(in_header) AS headers, any_value(head) AS head FROM n JOIN kw USING (keyword) GROUP BY ALL),
+m AS (SELECT *, contains(uid, '_' || ARTICLE) OR contains(head, '_' || ARTICLE) AS article_match FROM f),
+g AS (SELECT query_id, uid, law_tag = 'en' AS law_match, article_match, round(least(0.58::DOUBLE, 0.30::DOUBLE + 0.10::DOUBLE * (n * 1000::DOUBLE / greatest(size, 1)) + 0.08::DOUBLE * headers + CASE WHEN first < 200 THEN 0.06::DOUBLE WHEN first < 500 THEN 0.03::DOUBLE ELSE 0::DOUBLE END
++ CASE WHEN size < 300 THEN -0.14::DOUBLE WHEN size < 500 THEN -0.07::DOUBLE ELSE 0::DOUBLE END + CASE WHEN article_match THEN 0.20::DOUBLE ELSE 0::DOUBLE END + CASE WHEN law_tag = 'en' THEN 0.04::DOUBLE ELSE 0::DOUBLE END), 6) AS similarity FROM m)"""
+_SEARCH_ASKED = _SEARCH.replace("SELECT item_id AS query_id, text FROM benchmark", "SELECT query_id, text FROM ask").replace("ARTICLE", "query_id // 50")
+_SEARCH = _SEARCH.replace("ARTICLE", "query_id")
 
 
-def _keyword_hits(spark, d, k):
-    laws = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("en").alias("law_tag"))
-    return retrieval.keyword_search(_texts(spark, d), _keywords(spark, d), k, laws=laws)
+def _keyword_hits(spark, d, k, queries=None, article=None):
+    """All ask about English law and cite the article of their own number."""
+    queries = _items(spark, d) if queries is None else queries
+    laws = queries.select("query_id", F.lit("en").alias("law_tag"))
+    cited = queries.select("query_id", F.concat(F.lit("_"), F.col("query_id") if article is None else article).alias("article"))
+    return retrieval.keyword_search(_texts(spark, d), _keywords(spark, d, queries), k, articles=cited, laws=laws, header="header")
 
 
-@query("r3_keyword_search", f"WITH {_SEARCH} SELECT query_id, uid, similarity FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, law_match DESC, uid) <= 10")
+@query("r3_keyword_search", f"WITH {_SEARCH} SELECT query_id, uid, similarity FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, article_match DESC, law_match DESC, uid) <= 10")
 def r3(spark, d):
     return _keyword_hits(spark, d, 10).select("query_id", "uid", "similarity")
 
 
-@query("o2_keyword_top_k", f"WITH {_SEARCH} SELECT query_id, uid FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, law_match DESC, uid) <= 25")
+@query("o2_keyword_top_k", f"WITH {_SEARCH} SELECT query_id, uid FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, article_match DESC, law_match DESC, uid) <= 25")
 def o2(spark, d):
     return _keyword_hits(spark, d, 25).select("query_id", "uid")
 
 
-# --- rules, parents, graph, fusion: customers' nations ask, suppliers and parts answer -------------------------------
+# --- rules, parents, graph, fusion: benchmark texts ask, each with the vector of 50 times its number --------------------
 
-_ASK = "ask AS (SELECT n_nationkey AS query_id, lower(n_name) AS text FROM nation)"
-_RULED = """rule(rule_id, a, b, uid) AS (VALUES (1, 'i', 'a', 's_1'), (2, 'e', 'e', 's_2'), (3, 'u', 'n', 'p_7')),
-forced AS (SELECT DISTINCT query_id, uid, 0.95::DOUBLE AS similarity FROM ask JOIN rule ON contains(text, a) AND contains(text, b) AND NOT contains(text, 'zz'))"""
+_ASK = "ask AS (SELECT vec_id AS query_id, lower(text) AS text FROM embeddings JOIN benchmark ON item_id * 50 = vec_id)"
+_ITEMS = "ask AS (SELECT item_id AS query_id, lower(text) AS text FROM benchmark)"
+_RULED = """rule(rule_id, a, b, uid) AS (VALUES (1, 'the', 'tion', 'doc_1'), (2, 'and', 'of', 'doc_2'), (3, 'que', 'de', 'doc_7')),
+forced AS (SELECT DISTINCT query_id, uid, 0.95::DOUBLE AS similarity FROM ask JOIN rule ON contains(text, a) AND contains(text, b) AND NOT contains(text, 'zz') WHERE uid IN (SELECT 'doc_' || doc_id FROM documents))"""
 
 
 def _ask(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.lower("n_name").alias("text"))
+    """Queries with their text and vector."""
+    items = _items(spark, d).select((F.col("query_id") * 50).alias("query_id"), F.lower("text").alias("text"))
+    return items.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+
+
+def _forced(spark, d, queries):
+    rules = spark.createDataFrame([(1, [["the"], ["tion"]], ["zz"], ["doc_1"]), (2, [["and"], ["of"]], ["zz"], ["doc_2"]), (3, [["que"], ["de"]], ["zz"], ["doc_7"])], "rule_id int, all_of array<array<string>>, none_of array<string>, uids array<string>")
+    return retrieval.forced_hits(queries, rules, _all_chunks(spark, d).select(F.col("chunk_uid").alias("uid")))
+
+
+def _all_chunks(spark, d):
+    """Documents as chunks, every third one a part of the document before it."""
+    parent = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("doc_"), F.col("doc_id") - 1))
+    return table(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("chunk_uid"), parent.alias("parent_chunk_uid"))
 
 
-def _forced(spark, d):
-    rules = spark.createDataFrame([(1, [["i"], ["a"]], ["zz"], ["s_1"]), (2, [["e"], ["e"]], ["zz"], ["s_2"]), (3, [["u"], ["n"]], ["zz"], ["p_7"])], "rule_id int, all_of array<array<string>>, none_of array<string>, uids array<string>")
-    uids = edges(spark, d).select(F.col("source_chunk_uid").alias("uid")).union(edges(spark, d).select("target_chunk_uid")).distinct()
-    return retrieval.forced_hits(_ask(spark, d), rules, uids)
+def _cites(spark, d):
+    """The graph of parts and suppliers, with documents in their places."""
+    node = lambda c: F.regexp_replace(c, "^[ps]_", "doc_").alias(c)
+    return edges(spark, d).select(node("source_chunk_uid"), node("target_chunk_uid"), "relation_type", "confidence")
 
 
-@query("j12_rule_forced", f"WITH {_ASK}, {_RULED} SELECT query_id, uid, similarity FROM forced")
+@query("j12_rule_forced", f"WITH {_ITEMS}, {_RULED} SELECT query_id, uid, similarity FROM forced")
 def j12(spark, d):
-    return _forced(spark, d).select("query_id", "uid", "similarity")
+    return _forced(spark, d, _items(spark, d)).select("query_id", "uid", "similarity")
 
 
-@query("r4_rule_hits", f"WITH {_ASK}, {_RULED} SELECT uid, count(*) AS queries FROM forced GROUP BY 1")
+@query("r4_rule_hits", f"WITH {_ITEMS}, {_RULED} SELECT uid, count(*) AS queries FROM forced GROUP BY 1")
 def r4(spark, d):
-    return _forced(spark, d).groupBy("uid").agg(F.count(F.lit(1)).alias("queries"))
+    return _forced(spark, d, _items(spark, d)).groupBy("uid").agg(F.count(F.lit(1)).alias("queries"))
 
 
-_BASE = """base AS (SELECT c_nationkey AS query_id, 's_' || l_suppkey AS uid, round(avg(l_discount) * 5, 6) AS similarity FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
-word AS (SELECT s_nationkey AS query_id, 's_' || s_suppkey AS uid, 0.5::DOUBLE AS similarity FROM supplier)"""
+# Documents with vectors that are in force and public; the vectors of the queries.
+_MATCHED = """vc AS (SELECT 'doc_' || d.doc_id AS uid, d.source AS source_type, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings JOIN documents d ON vec_id = d.doc_id LEFT JOIN labels l USING (doc_id) WHERE coalesce(toxic, 0) <> 1 AND d.doc_id % 4 = 0),
+vq AS (SELECT query_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM ask JOIN embeddings ON vec_id = query_id),
+vs AS (SELECT query_id, uid, source_type, round(list_dot_product(vq.e, vc.e) / (vq.n * vc.n), 6) AS similarity FROM vq, vc)"""
+_ONE = "base AS (SELECT query_id, uid, similarity FROM vs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, uid) <= 10)"
+#: Sources of a kind of document, in order.
+_KINDS, _OTHER = {"manual": ["src0", "src1", "src2"]}, ["src0", "src3"]
+_SOURCES = "base AS (SELECT query_id, uid, similarity FROM vs WHERE list_contains(CASE WHEN query_id % 100 = 0 THEN ['src0', 'src1', 'src2'] ELSE ['src0', 'src3'] END, source_type) QUALIFY row_number() OVER (PARTITION BY query_id, source_type ORDER BY similarity DESC, uid) <= 10)"
 
 
-def _base(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    base = rows.groupBy(F.col("c_nationkey").alias("query_id"), F.concat(F.lit("s_"), "l_suppkey").alias("uid")).agg(F.round(F.avg(F.col("l_discount").cast("decimal(12,2)")).cast("double") * 5, 6).alias("similarity"))
-    word = table(spark, d, "supplier").select(F.col("s_nationkey").alias("query_id"), F.concat(F.lit("s_"), "s_suppkey").alias("uid"), F.lit(0.5).alias("similarity"), F.lit("keyword").alias("origin"))
-    return base, word
+def _with_vectors(spark, d):
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return chunks(spark, d).join(vectors, "doc_id").select(F.col("chunk_uid").alias("uid"), "embedding", "source_type", "is_derogada", "organization_id")
 
 
-_BASE = _BASE.replace("avg(l_discount) * 5", "(sum(l_discount::DECIMAL(12,2)) / count(*))::DECIMAL(38,6)::DOUBLE * 5")
+#: In force, and public, since no organisation asks.
+_VISIBLE = "not is_derogada and organization_id is null"
 
-_FUSED = f"""{_ASK}, {_RULED}, {_BASE}, {EDGES}, sym AS (SELECT source_chunk_uid AS node, target_chunk_uid AS neighbour, confidence FROM edges UNION ALL SELECT target_chunk_uid, source_chunk_uid, confidence FROM edges),
+
+def _vector_hits(spark, d, k):
+    return retrieval.match_chunks(_ask(spark, d), _with_vectors(spark, d), k, where=F.expr(_VISIBLE))
+
+
+def _source_hits(spark, d, k):
+    """The k best of each source that the query's kind of document draws on."""
+    kind = F.when(F.col("query_id") % 100 == 0, "manual").otherwise("other")
+    asked = _ask(spark, d).withColumn("kind", kind).select("query_id", "embedding", F.explode(retrieval.source_priority("kind", _KINDS, _OTHER)).alias("source_type"))
+    asked = asked.withColumn("query_id", F.concat_ws("|", "query_id", "source_type"))
+    hits = retrieval.match_chunks(asked, _with_vectors(spark, d), k, by=["source_type"], where=F.expr(_VISIBLE))
+    return hits.withColumn("query_id", F.substring_index("query_id", "|", 1).cast("long"))
+
+
+def _fusion_sql(k: int, base: str = _ONE) -> str:
+    """The steps up to the graph: e are the hits before it, near5 what it adds."""
+    return f"""{_ASK}, {_MATCHED}, {base.replace('<= 10', f'<= {k}')}, {_SEARCH_ASKED}, {_RULED}, {EDGES.replace("'p_'", "'doc_'").replace("'s_'", "'doc_'")},
+sym AS (SELECT source_chunk_uid AS node, target_chunk_uid AS neighbour, confidence FROM edges UNION ALL SELECT target_chunk_uid, source_chunk_uid, confidence FROM edges),
 near AS (SELECT node, neighbour FROM (SELECT node, neighbour, max(confidence) AS confidence FROM sym GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY node ORDER BY confidence DESC, neighbour) <= 5),
-a AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, uid) <= 10),
+a AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, uid) <= {k}),
+word AS (SELECT query_id, uid, similarity FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, article_match DESC, law_match DESC, uid) <= {min(k + 8, 25)}),
 b AS (SELECT * FROM a UNION ALL SELECT * FROM word WHERE (query_id, uid) NOT IN (SELECT (query_id, uid) FROM a)),
-c AS (SELECT b.query_id, b.uid, greatest(b.similarity, coalesce(f.similarity, 0)) AS similarity FROM b LEFT JOIN forced f USING (query_id, uid) UNION ALL SELECT * FROM forced WHERE (query_id, uid) NOT IN (SELECT (query_id, uid) FROM b)),
-votes AS (SELECT c.query_id, near.neighbour AS uid, count(DISTINCT c.uid) AS votes FROM c JOIN near ON node = c.uid GROUP BY ALL),
-g AS (SELECT query_id, uid, 0.82::DOUBLE AS similarity FROM votes WHERE (query_id, uid) NOT IN (SELECT (query_id, uid) FROM c) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, uid) <= 5),
-h AS (SELECT * FROM c UNION ALL SELECT * FROM g)"""
+c AS (SELECT b.query_id, b.uid, greatest(b.similarity, coalesce(r.similarity, 0)) AS similarity FROM b LEFT JOIN forced r USING (query_id, uid) UNION ALL SELECT * FROM forced WHERE (query_id, uid) NOT IN (SELECT (query_id, uid) FROM b)),
+p AS (SELECT DISTINCT query_id, 'doc_' || (doc_id - 1) AS uid, 0.75::DOUBLE AS similarity FROM c JOIN documents ON uid = 'doc_' || doc_id WHERE doc_id % 3 = 1),
+e AS (SELECT * FROM c UNION ALL SELECT * FROM p WHERE (query_id, uid) NOT IN (SELECT (query_id, uid) FROM c) AND uid IN (SELECT 'doc_' || doc_id FROM documents)),
+votes AS (SELECT e.query_id, near.neighbour AS uid, count(DISTINCT e.uid) AS votes FROM e JOIN near ON node = e.uid GROUP BY ALL),
+five AS (SELECT query_id, uid, 0.82::DOUBLE AS similarity FROM votes WHERE (query_id, uid) NOT IN (SELECT (query_id, uid) FROM e) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, uid) <= 5),
+near5 AS (SELECT * FROM five WHERE uid IN (SELECT 'doc_' || doc_id FROM documents)),
+h AS (SELECT * FROM e UNION ALL SELECT * FROM near5)"""
+
 
+def _fused_sql(k: int, base: str = _ONE) -> str:
+    return f"WITH {_fusion_sql(k, base)} SELECT query_id, uid, similarity FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, uid) <= {k}"
 
-def _fused(spark, d, k):
-    base, word = _base(spark, d)
-    return retrieval.hybrid(base, word, _forced(spark, d), None, edges(spark, d), k)
 
+def _parts(spark, d, k, vector=_vector_hits):
+    """Everything that hybrid search fuses, for k hits."""
+    queries = _ask(spark, d)
+    words = _keyword_hits(spark, d, retrieval.keyword_k(k), queries.select("query_id", "text"), (F.col("query_id") / 50).cast("long"))
+    return vector(spark, d, k), words, _forced(spark, d, queries), _all_chunks(spark, d), _cites(spark, d), k
 
-def _fused_sql(k: int) -> str:
-    return f"WITH {_FUSED.replace('<= 10)', f'<= {k})')} SELECT query_id, uid, similarity FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, uid) <= {k}"
+
+@query("r1_filtered", f"WITH {_ASK}, {_MATCHED} SELECT query_id, uid, similarity FROM vs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, uid) <= 10")
+def r1_filtered(spark, d):
+    """Vector search among the chunks that are in force and visible."""
+    return _vector_hits(spark, d, 10).select("query_id", "uid", "similarity")
 
 
 @query("h1_hybrid_search", _fused_sql(10))
 def h1(spark, d):
-    return _fused(spark, d, 10).select("query_id", "uid", "similarity")
+    return retrieval.hybrid(*_parts(spark, d, 10)).select("query_id", "uid", "similarity")
 
 
 @query("h2_conversation_preset", _fused_sql(20))
 def h2(spark, d):
-    return _fused(spark, d, 20).select("query_id", "uid", "similarity")
+    return retrieval.hybrid(*_parts(spark, d, 20)).select("query_id", "uid", "similarity")
 
 
-@query("h3_document_preset", f"WITH {_BASE} SELECT query_id, uid, similarity FROM base WHERE uid IN (SELECT 's_' || s_suppkey FROM supplier WHERE s_acctbal > 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, uid) <= 10")
+@query("h3_document_preset", _fused_sql(10, _SOURCES))
 def h3(spark, d):
-    listed = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.concat(F.lit("s_"), "s_suppkey").alias("uid"))
-    base, _ = _base(spark, d)
-    return retrieval.hybrid(base.join(listed, "uid", "left_semi"), k=10).select("query_id", "uid", "similarity")
+    return retrieval.hybrid(*_parts(spark, d, 10, _source_hits)).select("query_id", "uid", "similarity")
 
 
-@query("j11_fusion_steps", f"WITH {_FUSED} SELECT query_id, count(*) AS hits, max(similarity) AS best FROM h GROUP BY 1")
+@query("j11_fusion_steps", f"WITH {_fusion_sql(10)}, hp AS (SELECT *, (query_id, uid) NOT IN (SELECT (query_id, uid) FROM c) AND (query_id, uid) IN (SELECT (query_id, uid) FROM e) AS parent FROM h) SELECT query_id, count(*) AS hits, max(similarity) AS best, count_if(parent) AS parents FROM hp GROUP BY 1")
 def j11(spark, d):
-    base, word = _base(spark, d)
-    top = retrieval.top(base, 10).withColumn("origin", F.lit("vector")).select("query_id", "uid", "similarity", "origin")
-    forced = _forced(spark, d)
-    seen = retrieval.add_unseen(top, word)
-    raised = seen.join(forced.select("query_id", "uid", F.col("similarity").alias("_s")), ["query_id", "uid"], "left").withColumn("similarity", F.greatest("similarity", "_s")).select("query_id", "uid", "similarity", "origin")
-    every = retrieval.add_unseen(raised, forced)
-    every = retrieval.add_unseen(every, retrieval.expand_by_graph(every.select("query_id", "uid"), edges(spark, d)))
-    return every.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("similarity").alias("best"))
+    hits, near = retrieval.hybrid_steps(*_parts(spark, d, 10))
+    return hits.unionByName(near).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("similarity").alias("best"), F.count_if(F.col("origin") == "parent").alias("parents"))
 
 
 @query("o3_final_cut", _fused_sql(3))
 def o3(spark, d):
-    return _fused(spark, d, 3).select("query_id", "uid", "similarity")
+    return retrieval.hybrid(*_parts(spark, d, 3)).select("query_id", "uid", "similarity")
 
 
-@query("g1_graph_expansion", f"WITH {_FUSED}, w AS (SELECT w.query_id, near.neighbour AS uid, count(DISTINCT w.uid) AS votes FROM word w JOIN near ON node = w.uid GROUP BY ALL) SELECT query_id, uid, 0.82::DOUBLE AS similarity FROM w WHERE (query_id, uid) NOT IN (SELECT (query_id, uid) FROM word) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, uid) <= 5")
+@query("g1_graph_expansion", f"WITH {_fusion_sql(10)}, gv AS (SELECT a.query_id, near.neighbour AS uid, count(DISTINCT a.uid) AS votes FROM a JOIN near ON node = a.uid GROUP BY ALL) SELECT query_id, uid, 0.82::DOUBLE AS similarity FROM gv WHERE (query_id, uid) NOT IN (SELECT (query_id, uid) FROM a) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, uid) <= 5")
 def g1(spark, d):
-    return retrieval.expand_by_graph(_base(spark, d)[1].select("query_id", "uid"), edges(spark, d)).select("query_id", "uid", "similarity")
+    return retrieval.expand_by_graph(_vector_hits(spark, d, 10).select("query_id", "uid"), _cites(spark, d)).select("query_id", "uid", "similarity")
+
+
+_WALK = """w AS (SELECT o_orderkey AS case_id, o_orderpriority AS p, o_orderstatus AS s, CASE WHEN o_orderpriority = '1-URGENT' THEN 'fast' WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'state' END ELSE 'urgent' END AS node_id FROM orders)"""
 
 
-@query("h4_routing", f"WITH {_FUSED}, top AS (SELECT query_id, max(similarity) AS best FROM base GROUP BY 1) SELECT n_nationkey AS query_id, CASE WHEN n_regionkey = 0 THEN 'tree' WHEN n_regionkey = 1 THEN 'tree_pending' WHEN best IS NULL OR best < 0.72 THEN 'live_lookup' ELSE 'rag' END AS route FROM nation LEFT JOIN top ON query_id = n_nationkey")
+@query("h4_routing", f"""WITH {_fusion_sql(10)}, {_WALK.replace("w AS", "walked AS", 1)}, tree AS (SELECT case_id AS query_id, node_id IN ('fast', 'done') AS done FROM walked WHERE case_id % 100 = 0), best AS (SELECT query_id, max(similarity) AS best FROM h GROUP BY 1)
+SELECT item_id * 50 AS query_id, CASE WHEN done THEN 'tree' WHEN NOT done THEN 'tree_pending' WHEN best IS NULL OR best < 0.72 THEN 'live_lookup' ELSE 'rag' END AS route FROM benchmark LEFT JOIN tree ON tree.query_id = item_id * 50 LEFT JOIN best ON best.query_id = item_id * 50""")
 def h4(spark, d):
-    nations = table(spark, d, "nation")
-    reached = nations.filter("n_regionkey < 2").select(F.col("n_nationkey").alias("query_id"), F.when(F.col("n_regionkey") == 0, "result").otherwise("decision").alias("node_type"))
-    return retrieval.route(_ask(spark, d), _base(spark, d)[0], reached)
+    """Every second query is a case of the order of its number and goes through that order's tree; queries without a
+    vector find nothing."""
+    cases = _cases(spark, d).filter("case_id % 100 = 0")
+    reached = trees.walk(cases, trees.node_table(_trees(spark, d))).select(F.col("case_id").alias("query_id"), "node_type")
+    queries = _items(spark, d).select((F.col("query_id") * 50).alias("query_id"))
+    return retrieval.route(queries, retrieval.hybrid(*_parts(spark, d, 10)), reached)
 
 
-@query("a13_graph_lift", f"WITH {_FUSED}, w AS (SELECT w.query_id, near.neighbour AS uid, count(DISTINCT w.uid) AS votes FROM word w JOIN near ON node = w.uid GROUP BY ALL), x AS (SELECT query_id, uid FROM w WHERE (query_id, uid) NOT IN (SELECT (query_id, uid) FROM word) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, uid) <= 5) SELECT query_id, count(DISTINCT word.uid) AS base_hits, (SELECT count(*) FROM x WHERE x.query_id = word.query_id) AS added FROM word GROUP BY query_id")
+@query("a13_graph_lift", f"WITH {_fusion_sql(10)} SELECT query_id, count(DISTINCT e.uid) AS base_hits, (SELECT count(*) FROM near5 WHERE near5.query_id = e.query_id) AS added FROM e GROUP BY query_id")
 def a13(spark, d):
-    word = _base(spark, d)[1].select("query_id", "uid")
-    return audit.lift(word, retrieval.expand_by_graph(word, edges(spark, d)))
+    hits, near = retrieval.hybrid_steps(*_parts(spark, d, 10))
+    return audit.lift(hits.select("query_id", "uid"), near)
 
 
-@query("a12_retrieval_quality", f"WITH {_FUSED}, t AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, uid) <= 10), q AS (SELECT query_id, bool_or(contains(uid, 's_1')) AS passed FROM t GROUP BY 1) SELECT query_id AS case_id, passed FROM q")
+@query("a12_retrieval_quality", f"WITH {_fusion_sql(10)}, t AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, uid) <= 10), q AS (SELECT query_id, bool_or(contains(uid, 'doc_1')) AS passed FROM t GROUP BY 1) SELECT query_id AS case_id, passed FROM q")
 def a12(spark, d):
-    hits = _fused(spark, d, 10).groupBy("query_id").agg(F.collect_list("uid").alias("hit_uids"), F.array_join(F.collect_list("uid"), " ").alias("context"))
-    return audit.quality(hits.select(F.col("query_id").alias("case_id"), F.array(F.lit("s_1")).alias("expected_uids"), F.array(F.lit("s_")).alias("expected_strings"), "hit_uids", "context"))
+    hits = retrieval.hybrid(*_parts(spark, d, 10)).groupBy("query_id").agg(F.collect_list("uid").alias("hit_uids"), F.array_join(F.collect_list("uid"), " ").alias("context"))
+    return audit.quality(hits.select(F.col("query_id").alias("case_id"), F.array(F.lit("doc_1")).alias("expected_uids"), F.array(F.lit("doc_")).alias("expected_strings"), "hit_uids", "context"))
 
 
 # --- context -----------------------------------------------------------------------------------------------------------
 
-_HEAD = f"""{_SEARCH}, top AS (SELECT query_id, uid, similarity FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, law_match DESC, uid) <= 5),
+_HEAD = f"""{_SEARCH}, top AS (SELECT query_id, uid, similarity FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, article_match DESC, law_match DESC, uid) <= 5),
 head AS (SELECT t.query_id, t.uid, d.text, row_number() OVER (PARTITION BY t.query_id ORDER BY t.similarity DESC, t.uid) AS i, t.similarity, d.lang, d.source FROM top t JOIN documents d ON t.uid = 'doc_' || d.doc_id),
 marked AS (SELECT *, '[' || i || '] | ' || CASE WHEN lang = 'en' THEN 'LEY: English law' ELSE 'TIPO: ' || upper(source[1]) || source[2:] END || ' | SECCIÓN: ' || source || ' | ARCHIVO: ' || uid || '.md | RELEVANCIA: ' || printf('%.2f', similarity) AS header FROM head)"""
 
@@ -363,9 +421,6 @@ def _cases(spark, d):
     return orders.select(F.col("o_orderkey").alias("case_id"), F.concat(F.lit("t_"), F.lower("c_mktsegment")).alias("tree_id"), facts.alias("facts"))
 
 
-_WALK = """w AS (SELECT o_orderkey AS case_id, o_orderpriority AS p, o_orderstatus AS s, CASE WHEN o_orderpriority = '1-URGENT' THEN 'fast' WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'state' END ELSE 'urgent' END AS node_id FROM orders)"""
-
-
 @query("d1_node_table", """SELECT 't_' || lower(seg) AS tree_id, u.node_id, u.is_root, u.branches FROM (SELECT DISTINCT c_mktsegment AS seg FROM customer), (VALUES ('start', true, 0), ('urgent', false, 2), ('state', false, 2), ('fast', false, 0), ('done', false, 0)) u(node_id, is_root, branches)""")
 def d1(spark, d):
     return trees.node_table(_trees(spark, d)).select("tree_id", "node_id", "is_root", F.size("branches").alias("branches"))
@@ -474,8 +529,23 @@ def v1(spark, d):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder of the shared one; a machine's own folder only in local sessions that name none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone at exit; the folder is scratch space
+        pass
 
 
 @query("s12_replace_law", "SELECT doc_id, lang AS law_tag, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS version FROM documents")
@@ -541,11 +611,23 @@ def st2(spark, d):
     return spark.read.parquet(path).groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("st3_pending_cases")
+_REPLY = "CASE WHEN event_type = 'click' THEN (floor(value)::BIGINT % 4)::VARCHAR ELSE event_type END"
+
+
+@query("st3_pending_cases", f"""WITH e AS (SELECT *, event_type IN ('purchase', 'error') AS closes FROM events),
+g AS (SELECT *, sum(closes::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - closes::INT AS part FROM e),
+b AS (SELECT *, coalesce(max((event_type = 'signup')::INT) OVER (PARTITION BY user_id, part ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS asked FROM g),
+f AS (SELECT DISTINCT user_id, part, CASE WHEN asked AND {_REPLY} = '1' THEN 'priority 1-urgent' WHEN asked AND {_REPLY} = '2' THEN 'priority 2-high or 3-medium' ELSE {_REPLY} END AS fact FROM b WHERE event_type IN ('click', 'view')),
+j AS (SELECT user_id, part, string_agg(fact, ',' ORDER BY fact) AS facts FROM f GROUP BY ALL)
+SELECT b.user_id AS chat_id, ts AS closed_at, CASE WHEN event_type = 'purchase' THEN 'result' ELSE 'topic' END AS closed_by, coalesce(facts, '') AS facts FROM b LEFT JOIN j USING (user_id, part) WHERE closes""")
 def st3(spark, d):
+    """A sign-up brings the question of the trees' second node; clicks answer with a number, views with a text."""
     path = _scratch(spark, "pending")
     events = streams.as_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
-    kind = F.when(F.col("event_type") == "purchase", "result").when(F.col("event_type") == "error", "topic").otherwise("answer")
-    rows = events.select(F.col("user_id").alias("chat_id"), "ts", kind.alias("kind"), F.col("event_type").alias("fact"))
+    kind = F.when(F.col("event_type") == "purchase", "result").when(F.col("event_type") == "error", "topic").when(F.col("event_type") == "signup", "pending").otherwise("answer")
+    fact = F.when(F.col("event_type") == "click", (F.floor("value") % 4).cast("string")).otherwise(F.col("event_type"))
+    asked = trees.node_table(_trees(spark, d)).filter("node_id = 'urgent'").select(F.col("branches.condition").alias("c")).first()["c"]  # one node
+    branches = F.when(F.col("event_type") == "signup", F.array(*map(F.lit, asked)))
+    rows = events.select(F.col("user_id").alias("chat_id"), "ts", kind.alias("kind"), fact.alias("fact"), branches.alias("branches"))
     streams.pending_cases(rows, path, f"{path}-log")
     return spark.read.parquet(path)

@@ -185,7 +185,7 @@ def t17(spark, d):
 
 @query("t18_law_chunks")
 def t18(spark, d):
-    return segment.law_chunks(_laws(spark, d)).select("doc_id", "chunk_uid", "chunk_index", "total_chunks", "content", "content_hash")
+    return segment.law_chunks(_laws(spark, d)).select("doc_id", "chunk_uid", "hierarchy_path", "section_level_name", "chunk_index", "total_chunks", "content", "content_hash")
 
 
 @query("t19_whole_law", "SELECT doc_id, 'ley_law' || doc_id || '_full' AS chunk_uid, substr(text, 1, 10000) AS content, substr(sha256(text), 1, 32) AS content_hash FROM documents WHERE NOT regexp_matches(text, '(ART[IÍ]CULO|Art[ií]culo) +[0-9]')")

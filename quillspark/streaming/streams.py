@@ -41,22 +41,34 @@ def append_log(rows: DataFrame, path: str, log: str, limit: int = 2000) -> None:
 
 
 class PendingCases(StatefulProcessor):
-    """Facts of an open case per chat; a result or a new topic closes it. State has no expiry."""
+    """Facts of an open case per chat; a result or a new topic closes it. State has no expiry.
+
+    A row of kind ``pending`` brings the branches of the question that waits for an answer. An answer that is a number
+    from 1 to their number makes that branch's condition a fact; any other answer is a fact itself.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.facts = handle.getMapState("facts", "fact string", "times long")
+        self.branches = handle.getMapState("branches", "place int", "condition string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
         out = []
-        for batch in rows:
-            for row in batch.sort_values("ts").itertuples():
-                if row.kind in ("result", "topic"):
-                    known = sorted(k[0] for k in self.facts.keys()) if self.facts.exists() else []  # noqa: SIM118
-                    out.append((key[0], row.ts, row.kind, ",".join(known)))
-                    self.facts.clear()
-                else:
-                    old = self.facts.getValue((row.fact,)) if self.facts.containsKey((row.fact,)) else (0,)
-                    self.facts.updateValue((row.fact,), (int(old[0]) + 1,))
+        for row in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples():
+            if row.kind in ("result", "topic"):
+                known = sorted(k[0] for k in self.facts.keys()) if self.facts.exists() else []  # noqa: SIM118
+                out.append((key[0], row.ts, row.kind, ",".join(known)))
+                self.facts.clear()
+                self.branches.clear()
+            elif row.kind == "pending":
+                self.branches.clear()
+                for place, condition in enumerate(row.branches if row.branches is not None else (), 1):
+                    self.branches.updateValue((place,), (condition,))
+            else:
+                fact = str(row.fact)
+                if fact.isdigit() and len(fact) < 10 and self.branches.containsKey((int(fact),)):
+                    fact = self.branches.getValue((int(fact),))[0]
+                old = self.facts.getValue((fact,)) if self.facts.containsKey((fact,)) else (0,)
+                self.facts.updateValue((fact,), (int(old[0]) + 1,))
         yield pd.DataFrame(out, columns=["chat_id", "closed_at", "closed_by", "facts"])
 
     def close(self) -> None:
@@ -64,7 +76,10 @@ class PendingCases(StatefulProcessor):
 
 
 def pending_cases(rows: DataFrame, path: str, log: str) -> None:
-    """Closed cases of rows (chat_id, ts, kind, fact) with the facts gathered since the last one."""
+    """Closed cases of rows (chat_id, ts, kind, fact, branches array<string>) with the facts gathered since the last one.
+
+    Within a batch the rows of a chat are taken in order of ts.
+    """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     closed = rows.groupBy("chat_id").transformWithStateInPandas(PendingCases(), "chat_id long, closed_at timestamp, closed_by string, facts string", "Append", "None")
     closed.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
