@@ -224,7 +224,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Decisions are joined back by id. Where an id is repeated and only some of its rows stay, those rows alone are told
     apart by the digest of their text, one row for each digest.
     """
-    id_, all_, sha = fresh(docs, "_id", "_all", "_sha")
+    id_, all_, sha, digest = fresh(docs, "_id", "_all", "_sha", "_digest")
     groups = exact_groups(docs, id_col, text_col, table_bytes)
     by_id = groups.groupBy(F.col(id_col).alias(id_)).agg(F.min("kept").alias(all_), F.max("kept").alias("any"))
     dropped = by_id.filter(~F.col(all_)).select(id_)
@@ -232,6 +232,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = F.col(id_col).eqNullSafe(F.col(id_))
     whole = docs.join(dropped, same, "left_anti")
     part = docs.join(mixed, same, "left_semi").withColumn(sha, F.sha2(F.coalesce(ascii_lower(F.col(text_col).cast("string")), F.lit("")).cast("binary"), 256))
-    stay = groups.filter("kept").select(F.col(id_col).alias(id_), F.col("text_sha256").alias("_digest"))
-    part = part.join(stay, same & (F.col(sha) == F.col("_digest")), "left_semi").dropDuplicates([id_col, sha])
+    stay = groups.filter("kept").select(F.col(id_col).alias(id_), F.col("text_sha256").alias(digest))
+    part = part.join(stay, same & (F.col(sha) == F.col(digest)), "left_semi").dropDuplicates([id_col, sha])
     return whole.unionByName(part.drop(sha))

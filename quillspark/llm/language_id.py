@@ -21,6 +21,9 @@ WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 #: where there are so many languages that they would pass SAMPLE together.
 PER_LANGUAGE, SAMPLE = 500, 100_000
 EPOCHS, BATCH, RATE = 6, 128, 0.004
+#: In training, windows of one text in an epoch, drawn from all its places, and of all texts together. Texts to be judged
+#: are read whole.
+TEXT_WINDOWS, EPOCH_WINDOWS = 24, 12_000
 UNKNOWN = "und"
 
 
@@ -109,17 +112,17 @@ def cut_windows(text: bytes) -> np.ndarray:
 
 
 def fit(texts: list[bytes], langs: list[str], seed: int = 7) -> ByteCnn:
-    """Adam over windows of the labelled texts; of each text up to 24 windows an epoch, from all its places."""
+    """Adam over windows of the labelled texts; of each text up to TEXT_WINDOWS an epoch, from all its places."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     model = ByteCnn.fresh(names, rng)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in model.parameters()]
     cut, step = [cut_windows(t) for t in texts], 0
     for _ in range(EPOCHS):
-        parts = [(c if len(c) <= 24 else c[rng.choice(len(c), 24, replace=False)], names.index(lang)) for c, lang in zip(cut, langs)]
+        parts = [(c if len(c) <= TEXT_WINDOWS else c[rng.choice(len(c), TEXT_WINDOWS, replace=False)], names.index(lang)) for c, lang in zip(cut, langs)]
         windows = np.concatenate([c for c, _ in parts])
         labels = np.concatenate([np.full(len(c), k) for c, k in parts])
-        order = rng.permutation(len(windows))[:12_000]
+        order = rng.permutation(len(windows))[:EPOCH_WINDOWS]
         for i in range(0, len(order), BATCH):
             at, step = order[i : i + BATCH], step + 1
             for p, g, (m, v) in zip(model.parameters(), model.gradients(windows[at], labels[at]), moments):

@@ -20,7 +20,9 @@ WINDOW, STRIDE, WORD_CHARS = 48, 36, 48
 WORD_BUCKETS, TRIGRAM_BUCKETS, FEATURES, HIDDEN, ATTENTION = 8192, 16384, 16, 8, 8
 #: The network is fitted on a sample of labelled rows: about so many of each label, chosen by a hash of the id.
 PER_LABEL = 1000
-STEPS, BATCH, RATE, WORST = 480, 128, 0.006, 3
+STEPS, BATCH, RATE = 480, 128, 0.006
+#: In training, the windows that stand for a text in an epoch; texts to be judged are scored in all their windows.
+WORST = 3
 #: Words whose inputs a Python worker keeps.
 CACHE = 200_000
 
@@ -273,14 +275,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, id_col: s
     label are no examples. A text with several labels is an example of each.
     """
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
-    rows = docs.filter(trains & F.col(text_col).isNotNull())
+    rows = docs.filter(trains & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("_id")), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("_label") == 1, min(1.0, per_label / counts[1])).otherwise(min(1.0, per_label / counts[0]))
     chosen = F.broadcast(known.filter(draw < share))  # about 2 x per_label pairs of id and label
-    sample = rows.join(chosen, rows[id_col] == chosen["_id"]).select("_id", F.col(text_col).alias("text"), F.col("_label").cast("int").alias("label")).toPandas()
+    sample = rows.join(chosen, "_id").select("_id", "text", F.col("_label").cast("int").alias("label")).toPandas()
     sample = sample.sort_values(["_id", "label", "text"], kind="stable")
     if sample["label"].nunique() < 2:
         return None
