@@ -3,7 +3,6 @@
 import hashlib
 import re
 import tempfile
-import zlib
 
 import numpy as np
 import pytest
@@ -148,10 +147,13 @@ def test_packing(spark):
         spots.sort()
         assert [o for o, _ in spots] == list(np.cumsum([0] + [n for _, n in spots[:-1]])) and sum(n for _, n in spots) <= 64
     assert sum(sum(n for _, n in s) < 64 for s in at.values()) <= 1
-    for d, t, _ in ODD:
-        ids = [*whole.whole.encode(t or "", add_special_tokens=False).ids, 1]
-        got = [x for _, p in sorted(pieces[(d, len(ids))]) for x in p]
-        assert got[: len(ids)] == ids or d == 7
+    for row in set(ODD):
+        ids, times = [*whole.whole.encode(row[1] or "", add_special_tokens=False).ids, 1], ODD.count(row)
+        cover = np.zeros(len(ids), int)
+        for start, part in pieces[(row[0], len(ids))]:
+            assert ids[start : start + len(part)] == part
+            cover[start : start + len(part)] += 1
+        assert (cover == times).all()
 
 
 def test_mixing(spark):
@@ -161,14 +163,6 @@ def test_mixing(spark):
     assert mix_sources(frame(spark).limit(0)).count() == 0
 
 
-def test_language_and_toxicity(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    lang = Q.op3_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null")
-    assert lang.filter("lang_pred = lang").count() >= 0.85 * lang.count()
-    scored = Q.op2_toxicity(spark, SF).collect()
-    assert len(scored) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scored)
-
-
 def test_vectors_of_two_lengths(spark):
     """Vectors link within their own length, also in the smaller part of a table."""
     rng = np.random.default_rng(6)
@@ -192,57 +186,6 @@ def test_many_languages(spark):
     assert model.languages == [f"l{k:03}" for k in range(230)]
 
 
-def test_lm_counts(spark):
-    got = {r.doc_id: r for r in Q.op7_lm_score(spark, SF).collect()}
-    docs = {r.doc_id: WORD.findall(r.text.translate({c: c + 32 for c in range(65, 91)})) + [None] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    known = [w for d, ws in docs.items() if zlib.crc32(str(d).encode()) % 5 != 1 for w in ws]
-    vocabulary = set(known)
-    assert all(got[d].n_tokens == len(ws) and got[d].train_tokens == len(known) and got[d].n_known == sum(w in vocabulary for w in ws) and got[d].score < 0 for d, ws in docs.items())
-
-
-def test_lm_contexts_do_not_mix(spark, monkeypatch):
-    """Counts of every context and tree node equal those of plain dictionaries, over several blocks."""
-    from quillspark.llm import lm_score as lm
-
-    monkeypatch.setattr(lm, "BLOCK_BYTES", 40_000)
-    rng = np.random.default_rng(4)
-    data = [(k, bytes(rng.integers(97, 117, 20_000, np.uint8)), k % 4 != 0) for k in range(12)]
-    rows = spark.createDataFrame(data, "id long, text binary, trains boolean").withColumn("sub", F.col("id")).repartition(2)
-    coder = lm.Coder.fit(np.bincount(np.frombuffer(b"".join(t for _, t, _ in data), np.uint8), minlength=257))
-    want = {}
-    for _, t, trains in data:
-        s = [lm.PAD] * lm.PADS + list(t) + [lm.END]
-        for i in range(lm.PADS, len(s)) if trains else ():
-            for k, order in enumerate(lm.ORDERS[:4]):
-                for j in range(coder.length[s[i]]):
-                    at = want.setdefault((k, *s[i - order : i], coder.nodes[s[i], j]), [0, 0])
-                    at[coder.bits[s[i], j]] += 1
-    found = 0
-    for row in lm.blocks_with_counts(rows).toArrow().to_batches(max_chunksize=1):
-        counts = lm._counts(coder, row)
-        for text in row.column("texts")[0].as_py():
-            bits, s = lm.Bits(coder, [text]), [lm.PAD] * lm.PADS + list(text) + [lm.END]
-            for k, order in enumerate(lm.ORDERS[:4]):
-                zeros, ones, _, begin = counts.paths(bits.contexts[k], bits.symbol)
-                for i in range(0, len(bits.bit), 50):
-                    at, place = begin[bits.which[i]] + bits.step[i], lm.PADS + bits.which[i]
-                    assert [zeros[at], ones[at]] == want.get((k, *s[place - order : place], bits.node[i]), [0, 0])
-            found += 1
-    assert found == len(data)
-
-
-def test_lm_learns_from_every_bit(spark):
-    from quillspark.llm import lm_score as lm
-
-    texts = [b"some words stand here", b"", b"and more of them there", b"held out"]
-    rows = spark.createDataFrame([(k, k, t, k < 3) for k, t in enumerate(texts)], "id long, sub long, text binary, trains boolean").coalesce(1)
-    coder = lm.Coder.fit(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=257))
-    (block,) = lm.blocks_with_counts(rows).toArrow().to_batches()
-    model = type("Model", (), {"value": coder})
-    learned = lm._learn(model)((0,), __import__("pyarrow").Table.from_batches([block]))
-    assert learned.column("n")[0].as_py() == sum(coder.length[s] for t in texts[:3] for s in [*t, lm.END])
-
-
 def test_digest_of_kept_text(spark):
     df = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert hashlib.sha256(bytes(repeated_spans(df).first().kept)).hexdigest() == hashlib.sha256(b"abc").hexdigest()
