@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +87,26 @@ def lift(base: DataFrame, expanded: DataFrame) -> DataFrame:
     added = expanded.select("query_id", "uid").distinct().join(base.select("query_id", "uid").distinct(), ["query_id", "uid"], "left_anti").groupBy("query_id").agg(F.count(F.lit(1)).alias("added"))
     hits = base.groupBy("query_id").agg(F.count_distinct("uid").alias("base_hits"))
     return hits.join(added, "query_id", "full").select("query_id", F.coalesce("base_hits", F.lit(0)).alias("base_hits"), F.coalesce("added", F.lit(0)).alias("added"))
+
+
+def total(rows: DataFrame, name: str = "rows") -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias(name))
+
+
+def per_value(rows: DataFrame, column: str, name: str = "rows", only: Sequence[str] = ()) -> DataFrame:
+    """Rows of each value of a column, or of the values asked for."""
+    rows = rows.filter(F.col(column).isin(*only)) if only else rows
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias(name))
+
+
+def union_totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """(kind, rows_in): rows of several tables, each under its name."""
+    kinds = [t.select(F.lit(name).alias("kind")) for name, t in tables.items()]
+    return per_value(reduce(DataFrame.unionByName, kinds), "kind", "rows_in")
+
+
+def length_lists(chunks: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """(list, chunk_uid, chars): the shortest and the longest chunks."""
+    c = chunks.select("chunk_uid", F.length("content").cast("long").alias("chars"))
+    low = c.orderBy("chars", "chunk_uid").limit(shortest).select(F.lit("shortest").alias("list"), "chunk_uid", "chars")
+    return low.union(c.orderBy(F.desc("chars"), "chunk_uid").limit(longest).select(F.lit("longest"), "chunk_uid", "chars"))

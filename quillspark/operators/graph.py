@@ -94,3 +94,9 @@ def fetch(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     keys = chunks.select("chunk_uid", F.explode(prefixes("chunk_uid")).alias("uid"))
     found = keys.join(wanted.select("uid").distinct(), "uid").groupBy("uid")
     return found.agg(F.min(F.struct((F.col("chunk_uid") != F.col("uid")).alias("inexact"), "chunk_uid")).alias("_best")).select("uid", "_best.chunk_uid")
+
+
+def labels(edges: DataFrame, names: DataFrame, missing: str = "(not found)") -> DataFrame:
+    """(uid, label) of every node that an edge starts from; names: (uid, label)."""
+    nodes = edges.select(F.col("source_chunk_uid").alias("uid")).distinct()
+    return nodes.join(names, "uid", "left").select("uid", F.coalesce("label", F.lit(missing)).alias("label"))

@@ -73,3 +73,25 @@ def upload_outcomes(files: DataFrame, ledger: DataFrame) -> DataFrame:
     keyed = files.withColumn("digest", F.substring(F.sha2("content", 256), 1, 16))
     known = ledger.select("target", "digest").distinct().withColumn("_known", F.lit(1))
     return keyed.join(known, ["target", "digest"], "left").groupBy("target").agg(F.count_if(F.col("_known").isNull()).alias("uploaded"), F.count_if(F.col("_known").isNotNull()).alias("skipped"))
+
+
+def nonempty(column: str) -> Column:
+    """Neither null nor empty."""
+    return F.col(column).isNotNull() & (F.col(column) != "")
+
+
+def any_keyword(column: str, words: Sequence[str]) -> Column:
+    """Holds one of the words, without regard to case."""
+    return F.exists(F.array(*map(F.lit, words)), lambda k: F.contains(F.lower(column), F.lower(k)))
+
+
+def long_enough(rows: DataFrame, column: str, least: int, batch_limit: int) -> DataFrame:
+    """Rows whose text has ``least`` characters (``chars``), and how many of all rows stay below ``batch_limit``."""
+    measured = rows.withColumn("chars", F.length(column).cast("long"))
+    short = measured.agg(F.count_if(F.col("chars") < batch_limit).alias("below_batch_limit")).withColumn("_k", F.lit(1))  # one row
+    return measured.filter(F.col("chars") >= least).withColumn("_k", F.lit(1)).join(F.broadcast(short), "_k").drop("_k")
+
+
+def latest_queries(log: DataFrame, n: int = 50) -> DataFrame:
+    """The last ``n`` queries with a text."""
+    return log.filter(nonempty("query_text")).orderBy(F.desc("created_at"), F.desc("id")).limit(n)

@@ -105,7 +105,7 @@ def s11(spark, d):
 @query("s13_delete_insert", f"""WITH {CHUNKS} SELECT chunk_uid, content_hash FROM chunks WHERE NOT is_derogada
 UNION ALL SELECT chunk_uid || '_new', sha256(content || ' ') FROM chunks WHERE is_derogada""")
 def s13(spark, d):
-    c = chunks(spark, d)
+    c = chunks(spark, d, flags=True)
     gone = c.filter("is_derogada")
     new = gone.select(F.concat("chunk_uid", F.lit("_new")).alias("chunk_uid"), F.sha2(F.concat("content", F.lit(" ")), 256).alias("content_hash"))
     return store.without(c.select("chunk_uid", "content_hash"), gone).unionByName(new)
@@ -170,7 +170,7 @@ def p2(spark, d):
 
 @query("p3_validity", f"WITH {CHUNKS} SELECT chunk_uid FROM chunks WHERE NOT is_derogada")
 def p3(spark, d):
-    return store.visible(chunks(spark, d), all_tenants=True).select("chunk_uid")
+    return store.visible(chunks(spark, d, flags=True), all_tenants=True).select("chunk_uid")
 
 
 @query("p4_tenant_visibility", f"WITH {CHUNKS} SELECT chunk_uid, organization_id FROM chunks WHERE organization_id IS NULL OR organization_id = '2'")
@@ -180,7 +180,7 @@ def p4(spark, d):
 
 @query("p5_multi_value", f"WITH {CHUNKS} SELECT chunk_uid FROM chunks WHERE source_type IN ('src0', 'src3') AND law_tag IN ('en', 'es') AND NOT is_derogada")
 def p5(spark, d):
-    return store.visible(chunks(spark, d), ["src0", "src3"], ["en", "es"], all_tenants=True).select("chunk_uid")
+    return store.visible(chunks(spark, d, flags=True), ["src0", "src3"], ["en", "es"], all_tenants=True).select("chunk_uid")
 
 
 @query("p6_exact_else_prefix", f"""WITH {LAW_CHUNKS}, w AS (SELECT DISTINCT 'ley_' || law_tag || '_art_' || num AS uid FROM law_chunks UNION SELECT DISTINCT chunk_uid FROM law_chunks WHERE chunk_index = 2)
@@ -194,7 +194,7 @@ def p6(spark, d):
 
 @query("p7_nonempty", "SELECT conv_id, turn FROM conversations WHERE text IS NOT NULL AND text <> ''")
 def p7(spark, d):
-    return table(spark, d, "conversations").filter(F.col("text").isNotNull() & (F.col("text") != "")).select("conv_id", "turn")
+    return table(spark, d, "conversations").filter(store.nonempty("text")).select("conv_id", "turn")
 
 
 @query("p8_either_endpoint", f"""WITH {EDGES} SELECT source_chunk_uid AS node, target_chunk_uid AS neighbour, relation_type, confidence FROM edges WHERE relation_type IN ('A', 'R')
@@ -205,8 +205,7 @@ def p8(spark, d):
 
 @query("p9_any_keyword", "SELECT item_id FROM benchmark WHERE contains(lower(text), 'tion') OR contains(lower(text), 'idiot') OR contains(lower(text), 'handes')")
 def p9(spark, d):
-    words = F.array(*map(F.lit, ["tion", "idiot", "handes"]))
-    return table(spark, d, "benchmark").filter(F.exists(words, lambda k: F.contains(F.lower("text"), k))).select("item_id")
+    return table(spark, d, "benchmark").filter(store.any_keyword("text", ["tion", "idiot", "handes"])).select("item_id")
 
 
 @query("p11_content_type_sources", """SELECT event_id, CASE event_type WHEN 'view' THEN 'ley,circular' WHEN 'click' THEN 'jurisprudencia,ley' ELSE 'ley' END AS sources FROM events""")
@@ -219,9 +218,7 @@ def p11(spark, d):
 
 @query("p12_min_length", """SELECT doc_id, length(text) AS chars, (SELECT count_if(length(text) < 500) FROM documents) AS below_batch_limit FROM documents WHERE length(text) >= 100""")
 def p12(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("chars"))
-    short = docs.agg(F.count_if(F.col("chars") < 500).alias("below_batch_limit"))  # one row
-    return docs.filter("chars >= 100").withColumn("_k", F.lit(1)).join(F.broadcast(short.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    return store.long_enough(table(spark, d, "documents"), "text", 100, 500).select("doc_id", "chars", "below_batch_limit")
 
 
 # --- joins ---------------------------------------------------------------------------------------------------------
@@ -308,24 +305,24 @@ def j10(spark, d):
 @query("j15_labels_or_missing", """WITH u AS (SELECT DISTINCT l_partkey FROM lineitem) SELECT 'p_' || u.l_partkey AS uid, coalesce(p.p_name, '(not found)') AS label FROM u LEFT JOIN (SELECT * FROM part WHERE p_size > 10) p ON p.p_partkey = u.l_partkey""")
 def j15(spark, d):
     names = table(spark, d, "part").filter("p_size > 10").select(F.concat(F.lit("p_"), "p_partkey").alias("uid"), "p_name")
-    return edges(spark, d).select(F.col("source_chunk_uid").alias("uid")).distinct().join(names, "uid", "left").select("uid", F.coalesce("p_name", F.lit("(not found)")).alias("label"))
+    return graph.labels(edges(spark, d), names.withColumnRenamed("p_name", "label"))
 
 
 # --- aggregations --------------------------------------------------------------------------------------------------
 
 @query("a1_total", "SELECT count(*) AS chunks FROM documents")
 def a1(spark, d):
-    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("chunks"))
+    return audit.total(table(spark, d, "documents"), "chunks")
 
 
 @query("a2_per_source", "SELECT source AS source_type, count(*) AS chunks FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3', 'none') GROUP BY 1")
 def a2(spark, d):
-    return table(spark, d, "documents").filter(F.col("source").isin("src0", "src1", "src2", "src3", "none")).groupBy(F.col("source").alias("source_type")).agg(F.count(F.lit(1)).alias("chunks"))
+    return audit.per_value(table(spark, d, "documents").withColumnRenamed("source", "source_type"), "source_type", "chunks", ["src0", "src1", "src2", "src3", "none"])
 
 
 @query("a3_relation_counts", f"WITH {EDGES} SELECT relation_type, count(*) AS edges FROM edges GROUP BY 1 ORDER BY edges DESC, relation_type")
 def a3(spark, d):
-    return edges(spark, d).groupBy("relation_type").agg(F.count(F.lit(1)).alias("edges")).orderBy(F.desc("edges"), "relation_type")
+    return audit.per_value(edges(spark, d), "relation_type", "edges").orderBy(F.desc("edges"), "relation_type")
 
 
 _HITS = "hits AS (SELECT DISTINCT n_nationkey AS query_id, 's_' || s_suppkey AS uid FROM nation JOIN supplier ON s_nationkey = n_nationkey)"
@@ -417,9 +414,7 @@ def o4(spark, d):
 @query("o5_audit_lists", f"""WITH {CHUNKS}, s AS (SELECT 'shortest' AS list, chunk_uid, length(content) AS chars FROM chunks ORDER BY length(content), chunk_uid LIMIT 20), l AS (SELECT 'longest' AS list, chunk_uid, length(content) AS chars FROM chunks ORDER BY length(content) DESC, chunk_uid LIMIT 15)
 SELECT * FROM s UNION ALL SELECT * FROM l""")
 def o5(spark, d):
-    c = chunks(spark, d).select("chunk_uid", F.length("content").cast("long").alias("chars"))
-    shortest = c.orderBy("chars", "chunk_uid").limit(20).select(F.lit("shortest").alias("list"), "chunk_uid", "chars")
-    return shortest.union(c.orderBy(F.desc("chars"), "chunk_uid").limit(15).select(F.lit("longest"), "chunk_uid", "chars"))
+    return audit.length_lists(chunks(spark, d), 20, 15)
 
 
 @query("o6_natural_order", """SELECT article, law_tag, row_number() OVER (PARTITION BY law_tag ORDER BY num, letter, sub) AS place FROM (
@@ -433,13 +428,12 @@ def o6(spark, d):
 
 @query("o7_latest_queries", "SELECT event_id AS id, user_id AS chat_id, props AS query_text FROM events WHERE props <> '' ORDER BY ts DESC, event_id DESC LIMIT 50")
 def o7(spark, d):
-    return query_log(spark, d).filter("query_text <> ''").orderBy(F.desc("created_at"), F.desc("id")).limit(50).select("id", "chat_id", "query_text")
+    return store.latest_queries(query_log(spark, d), 50).select("id", "chat_id", "query_text")
 
 
 @query("u1_union_totals", "SELECT kind, count(*) AS rows_in FROM (SELECT 'documents' AS kind FROM documents UNION ALL SELECT 'pages' FROM pages UNION ALL SELECT 'conversations' FROM conversations) GROUP BY 1")
 def u1(spark, d):
-    streams = [table(spark, d, t).select(F.lit(t).alias("kind")) for t in ("documents", "pages", "conversations")]
-    return streams[0].unionByName(streams[1]).unionByName(streams[2]).groupBy("kind").agg(F.count(F.lit(1)).alias("rows_in"))
+    return audit.union_totals({t: table(spark, d, t) for t in ("documents", "pages", "conversations")})
 
 
 @query("u2_set_difference", "SELECT DISTINCT l_orderkey AS num FROM lineitem EXCEPT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")

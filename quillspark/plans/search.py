@@ -193,7 +193,7 @@ _SOURCES = "base AS (SELECT query_id, uid, similarity FROM vs WHERE list_contain
 
 def _with_vectors(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return chunks(spark, d).join(vectors, "doc_id").select(F.col("chunk_uid").alias("uid"), "embedding", "source_type", "is_derogada", "organization_id")
+    return chunks(spark, d, flags=True).join(vectors, "doc_id").select(F.col("chunk_uid").alias("uid"), "embedding", "source_type", "is_derogada", "organization_id")
 
 
 #: In force, and public, since no organisation asks.
@@ -387,9 +387,9 @@ def _verified(spark, d):
 _BANNED = [("vivienda habitual.*exenta", "no such exemption"), ("plazo mínimo", "no such term")]
 
 
-@query("t39_banned_concepts", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?is)the .* idiot') THEN 'a' ELSE '' END AS messages FROM conversations")
+@query("t39_banned_concepts", "SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?is)the .* idiot') THEN 'a' END, CASE WHEN regexp_matches(text, '(?i)tion\\b') THEN 'b' END], lambda x: x IS NOT NULL), ';') AS messages FROM conversations")
 def t39(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(guardrail.banned(F.col("text"), [("(?is)the .* idiot", "a"), ("(?i)plazo mínimo", "b")]), ";").alias("messages"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(guardrail.banned(F.col("text"), [("(?is)the .* idiot", "a"), (r"(?i)tion\b", "b")]), ";").alias("messages"))
 
 
 @query("t40_annotated_answer", """SELECT l_orderkey, l_linenumber, 'Según el Artículo ' || l_suppkey || ' de la ley de la renta y el Art. ' || (l_partkey + 5000000) || ' del DL-825, vivienda habitual exenta.' || chr(10) || chr(10) || '[ALERTA] no such exemption' || chr(10) || chr(10) || '[WARN] ''Art. ' || (l_partkey + 5000000) || ' del DL-825'', ''DL-825''' AS answer FROM lineitem""")

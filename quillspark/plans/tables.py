@@ -10,16 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks: language for the law, source for the kind, toxic for derogated, every fourth one public."""
+def chunks(spark: SparkSession, sf_dir: str, flags: bool = False) -> DataFrame:
+    """Documents as chunks: language for the law, source for the kind, every fourth one public; with ``flags``, toxic ones
+    are derogated."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    flags = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     org = F.when(F.col("doc_id") % 4 != 0, (F.col("doc_id") % 4).cast("string"))
-    return docs.join(flags, "doc_id", "left").select(
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("chunk_uid"), "doc_id", F.col("text").alias("content"),
+    columns = [
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("chunk_uid"), F.col("doc_id"), F.col("text").alias("content"),
         F.col("lang").alias("law_tag"), F.col("source").alias("source_type"), F.sha2("text", 256).alias("content_hash"),
-        (F.coalesce("toxic", F.lit(0)) == 1).alias("is_derogada"), org.alias("organization_id"),
-    )
+    ]
+    if flags:
+        docs = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+        columns.append((F.coalesce("toxic", F.lit(0)) == 1).alias("is_derogada"))
+    return docs.select(*columns, org.alias("organization_id"))
 
 
 CHUNKS = """chunks AS (

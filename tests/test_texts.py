@@ -34,3 +34,32 @@ def test_relations(spark):
     got = spark.createDataFrame([(text,), ("{broken",), (None,)], "t string").select(T.relations(F.col("t")).alias("r")).collect()
     assert [len(r.r) for r in got] == [1, 0, 0]
     assert (got[0].r[0].type, got[0].r[0].confidence) == ("relacionado_con", 0.8)
+
+
+def test_close_starts(spark):
+    """A start fewer than ten characters after the one before belongs to it, as in a line of references."""
+    text = "A1.- x A2.- y and more text than that. A3.- short A4.- once more, far enough from others. A5.- end"
+    got = spark.createDataFrame([(text,)], "text string").select(segment.merge_close(segment.pieces(F.col("text"), r"A([0-9])\.-")).alias("p")).first().p
+    assert got == ["A1.- x A2.- y and more text than that. ", "A3.- short ", "A4.- once more, far enough from others. ", "A5.- end"] or "".join(got) == text
+    assert got[0].startswith("A1.- x A2.-")
+
+
+def test_children_of_articles(spark):
+    cases = {
+        "Artículo 1.- intro\n 1° uno\n a) alfa\n b) beta\n 2° dos": ["n1_a", "n1_b", "n2"],
+        "Artículo 1.- intro\n a) alfa\n b) beta\n c) gama": ["a", "b", "c"],
+        "Artículo 1.- intro\n 1° only one\n a) and one letter": [""],
+        "Artículo 1.- plain text, 2° inside a line and a) as well": [""],
+        "Artículo 1.- intro\n 1° uno\n 2° dos\n a) one letter only\n 3° tres": ["n1", "n2", "n3"],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "k long, text string").select("k", F.transform(segment.children(F.col("text"), segment.LAW), lambda c: c["path"]).alias("paths"))
+    assert [r.paths for r in df.orderBy("k").collect()] == list(cases.values())
+
+
+def test_banned_concepts(spark):
+    from quillspark.operators import guardrail
+
+    patterns = [("(?i)vivienda habitual.*exenta", "one"), ("(?i)plazo mínimo", "two")]
+    rows = ["La VIVIENDA habitual está exenta", "hay un Plazo Mínimo y la vivienda habitual exenta", "nada de eso", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "k long, text string").select("k", guardrail.banned(F.col("text"), patterns).alias("m"))
+    assert [r.m for r in df.orderBy("k").collect()] == [["one"], ["one", "two"], [], []]
