@@ -227,6 +227,11 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """New links beside those of each node to the root of its component so far."""
+    return links if found is None else links.select("a", "b").union(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` and ``kept`` (the id is its component's least).
 
@@ -258,14 +263,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = stored(texts.select("digest", "text").mapInArrow(_meant, "digest binary, text binary"), "near-texts")
 
     # Rounds: in each bucket whose members are still apart, the most central one that hasn't led yet is compared with all.
-    links, apart = None, members.withColumn("comp", F.col("digest"))
+    found, apart = None, members.withColumn("comp", F.col("digest"))
     for _ in range(ROUNDS):
         leads = apart.groupBy("key").agg(F.max(F.struct("central", "digest", "comp")).alias("lead"))
         led = apart.join(leads, "key")
         stars = led.filter(F.col("comp") != F.col("lead.comp")).select(F.col("digest").alias("a"), F.col("lead.digest").alias("b")).distinct()
         new = stored(_links(stars, texts, percent), "near-links")
-        links = new if links is None else links.union(new)
-        found = components(links)
+        found = components(_joined(found, new))
         rest = led.filter(F.col("digest") != F.col("lead.digest")).drop("lead", "comp").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("root", "digest")).drop("root")
         open_ = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
         apart = stored(rest.join(open_, "key"), "near-open")
@@ -283,7 +287,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = small.union(_across(stored(prefixes, "near-prefixes"), percent)).distinct()
     more = stored(_links(pairs, texts, percent), "near-links")
     if not more.isEmpty():
-        found = components(links.union(more))
+        found = components(_joined(found, more))
 
     rows = signed.select("id", "n", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = rows.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least"))
