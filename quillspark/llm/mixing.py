@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, fresh
+from .shared import WORD, fresh, stored
 
 #: A document is taken so many times at most.
 MAX_REPEATS = 3
@@ -60,13 +60,14 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, size: Column
     measured = word_count(F.col(text_col)) if size is None else size.cast("long")
     own = [c for c in docs.columns if c.lower() not in results]
     src, order, bucket, run, finish, begin, id_ = fresh(docs, "_src", "_order", "_bucket", "_run", "_finish", "_begin", "_id")
-    n_rows = docs.count()
-    digits = LEAST_DIGITS
-    while 16**digits * BUCKET_ROWS < n_rows:
-        digits += 1
     key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  never null, so that joins are plain equi-joins
     rows = docs.select(*own, measured.alias("size"), key(F.col(source_col)).alias(src), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias(id_))
-    rows = rows.withColumn(order, F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_)))).withColumn(bucket, F.substring(order, 1, digits))
+    # Sizes and places are worked out once; every later step reads them from this table.
+    rows = stored(rows.withColumn(order, F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_)))), "mix-rows")
+    digits, n_rows = LEAST_DIGITS, rows.count()
+    while 16**digits * BUCKET_ROWS < n_rows:
+        digits += 1
+    rows = rows.withColumn(bucket, F.substring(order, 1, digits))
 
     # Sources x buckets and sources: small tables, combined before they shuffle.
     sums = rows.groupBy(F.col(src).alias("src"), F.col(bucket).alias("bucket")).agg(F.sum("size").alias("n"))

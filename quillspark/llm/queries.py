@@ -13,7 +13,7 @@ from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_groups
 from .language_id import identify_language, train_language_id
 from .lm_score import score_texts
-from .mixing import mix_sources
+from .mixing import mix_sources, word_count
 from .near_dedup import near_groups
 from .packing import pack
 from .substring_dedup import repeated_spans
@@ -85,7 +85,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    mix = mix_sources(docs, size=F.col("words"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
