@@ -53,6 +53,23 @@ class DiskQueue:
                 got.append((pos, lcp))
                 n += len(pos)
             yield np.concatenate([p for p, _ in got]), np.concatenate([l for _, l in got])
+        self._close()
+
+    def take_back(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All suffixes from the last array that was put to the first; those on disk are read one array at a time."""
+        end = 9 * sum(self.on_disk)
+        while self.on_disk:
+            size = self.on_disk.pop()
+            end -= 9 * size
+            self.file.seek(end)
+            yield np.frombuffer(self.file.read(8 * size), np.int64), np.frombuffer(self.file.read(size), np.uint8)
+        while self.parts:  # what is in memory was put before anything went to disk
+            pos, lcp = self.parts.pop()
+            self.budget[0] += pos.nbytes + lcp.nbytes
+            yield pos, lcp
+        self._close()
+
+    def _close(self) -> None:
         if self.file is not None:
             self.file.close()
             os.remove(self.file.name)
@@ -75,7 +92,29 @@ class InducedSorter:
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of pairs of suffixes, up to depth."""
-        out = np.zeros(len(a), np.uint8)
+        out = np.zeros(len(a), np.int64)
+        live = np.arange(len(a))
+        # Eight symbols at a time while both suffixes have as many.
+        wide = np.ndarray((max(self.n - 7, 0),), "<u8", self.text, strides=(1,)) if self.n > 7 else np.zeros(0, "<u8")
+        for d in range(0, self.depth, 8):
+            x, y = a[live] + d, b[live] + d
+            near = (x >= len(wide)) | (y >= len(wide))
+            if near.any():
+                out[live[near]] = d + self._common_at_end(x[near], y[near])
+                live, x, y = live[~near], x[~near], y[~near]
+            differs = wide[x] ^ wide[y]
+            apart = differs != 0
+            low = differs[apart] & (~differs[apart] + np.uint64(1))  # the lowest bit in which they differ
+            out[live[apart]] = d + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
+            live = live[~apart]
+            if not len(live):
+                break
+            out[live] = d + 8
+        return np.minimum(out, self.depth).astype(np.uint8)
+
+    def _common_at_end(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As common, symbol by symbol."""
+        out = np.zeros(len(a), np.int64)
         live = np.arange(len(a))
         for d in range(self.depth):
             x, y = a[live] + d, b[live] + d
@@ -155,9 +194,8 @@ class InducedSorter:
             yield p, l
 
     def _backwards(self, queue: DiskQueue) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        parts = list(queue.take())
         follows = 0  # common prefix of the first suffix of the part above with the last of this part
-        for p, l in reversed(parts):
+        for p, l in queue.take_back():
             back = np.concatenate([[follows], l[:0:-1]]).astype(np.uint8)
             yield p[::-1], back
             follows = l[0]

@@ -56,7 +56,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more; what was written from them stands by itself."""
+    for table in tables:
+        _remove(table.sparkSession, table._stored_at)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

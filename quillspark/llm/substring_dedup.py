@@ -7,7 +7,6 @@ their hash; there an externally sorted suffix array with common-prefix values fi
 
 from __future__ import annotations
 
-import hashlib
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -15,30 +14,35 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  for binary_length
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .induced_sort import InducedSorter
-from .shared import stored
+from .shared import release, stored
 
 LENGTH, ANCHOR = 100, 24
 #: Bytes of a shard aimed at, and bytes that its queues keep in memory; more of either goes through files.
 SHARD_BYTES, QUEUE_BYTES = 6 << 20, 64 << 20
-#: Windows whose anchors are picked at once; a position in a piece fits the 24 bits beside its hash.
-PIECE = 4 << 20
+#: Windows whose anchors are picked at once, so that arrays stay in the processor's cache; a position in a piece fits the 24
+#: bits beside its hash.
+PIECE = 1 << 18
 #: Stretches a task remembers to drop its own copies before they are shuffled; the number changes no result.
 REMEMBERED = 150_000
+#: Bits of a run's number of strings, beside its begin; no anchor stands for more than ``length - ANCHOR + 1`` strings.
+RUN_BITS = 10
 #: Stands between the stretches of a shard; UTF-8 has no such byte.
 GAP = 255
 
 _U = np.uint64
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, width: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position, hash) of the anchors of all strings of ``length`` bytes."""
+def anchors(texts: list[bytes], length: int = LENGTH, width: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, begin, number, hash): runs of strings of ``length`` bytes, by their first begin and how many follow
+    each other, that have one anchor, and its hash. Every string is in one run."""
     none = np.zeros(0, np.int64)
     if sum(map(len, texts)) < length:
-        return none, none, none
+        return none, none, none, none
     flat = np.frombuffer(b"".join(texts), np.uint8)
     n = len(flat)
     ends = np.cumsum([len(t) for t in texts])
@@ -46,21 +50,18 @@ def anchors(texts: list[bytes], length: int = LENGTH, width: int = ANCHOR) -> tu
     whole = np.ones(n - length + 1, bool)  # windows inside one text
     for e in ends[:-1]:
         whole[max(0, e - length + 1) : e] = False
-    places, hashes = [none], [none]
+    found = [(none, none, none)]
     for s in range(0, len(whole), PIECE):  # the windows of a piece reach length - 1 bytes into the next
-        at, h = _picked(flat[s : s + PIECE + length - 1], whole[s : s + PIECE], length, width)
-        places.append(at + s)
-        hashes.append(h)
-    at, h = np.concatenate(places), np.concatenate(hashes)
-    new = np.ones(len(at), bool)
-    new[1:] = np.diff(at) != 0
-    at = at[new]
-    owner = np.searchsorted(ends, at, "right")
-    return owner, at - starts[owner], h[new]
-
-
-def _picked(flat: np.ndarray, whole: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the anchor of each window of ``flat`` that ``whole`` admits; under 2^24 bytes."""
+        begin, number, h = _picked(flat[s : s + PIECE + length - 1], whole[s : s + PIECE], length, width)
+        found.append((begin + s, number, h))
+    begin, number, h = (np.concatenate([f[k] for f in found]) for k in range(3))
+    owner = np.searchsorted(ends, begin, "right")
+    return owner, begin - starts[owner], number, h
+
+
+def _picked(flat: np.ndarray, whole: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, number, hash) of the runs of windows of ``flat`` that ``whole`` admits and that have one anchor; under 2^24
+    bytes."""
     n = len(flat)
     letters = np.random.default_rng(3).integers(1, 1 << 63, 256, np.uint64)
     h, size, total, done = letters[flat], 1, None, 0
@@ -83,9 +84,12 @@ def _picked(flat: np.ndarray, whole: np.ndarray, length: int, width: int) -> tup
         low = np.minimum(low[: len(low) - span], low[span:])
         span *= 2
     low = np.minimum(low[: n - length + 1], low[window - span : window - span + n - length + 1])
-    at = low[whole] & _U((1 << 24) - 1)
-    at = at[np.concatenate([[True], np.diff(at) != 0])].astype(np.int64) if len(at) else np.zeros(0, np.int64)
-    return at, total[at].view(np.int64)
+    window = np.flatnonzero(whole)
+    at = low[window] & _U((1 << 24) - 1)
+    if not len(at):
+        return window, window, window
+    head = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(window) != 1)]))
+    return window[head], np.diff(head, append=len(at)), total[at[head]].view(np.int64)
 
 
 def _parts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -104,9 +108,9 @@ def _find(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
-                owner, pos, hashes = anchors([t or b"" for t in part.column("text").to_pylist()], length)
+                owner, begin, number, hashes = anchors([t or b"" for t in part.column("text").to_pylist()], length)
                 at = pa.array(owner)
-                yield pa.record_batch([pa.array(hashes, pa.int64()), part.column("id").take(at), part.column("sub").take(at), pa.array(pos, pa.int32())], names=["hash", "id", "sub", "pos"])
+                yield pa.record_batch([pa.array(hashes, pa.int64()), part.column("id").take(at), part.column("sub").take(at), pa.array(begin << RUN_BITS | number)], names=["hash", "id", "sub", "run"])
 
     return run
 
@@ -115,49 +119,51 @@ _STRETCH = pa.schema([("hash", pa.int64()), ("id", pa.int64()), ("sub", pa.int64
 STRETCH = "hash long, id long, sub long, begin int, end int, content binary"
 
 
-def _cut(length: int, width: int) -> Callable:
-    """The stretch around each repeated anchor that holds all strings of ``length`` bytes with it.
+def _cut(length: int) -> Callable:
+    """The stretch of text that holds the strings of each repeated anchor.
 
     Of equal stretches in one partition only the earliest goes on; the others are repeated altogether and are given out
     as removed (without content).
     """
-    reach = length - width
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[tuple[int, bytes], tuple] = {}
         removed: list[tuple] = []
 
         def flush(every: bool) -> pa.RecordBatch:
-            rows = [(None, p[1], p[2], p[3], p[4], None) for p in removed]
+            rows = [(None, *p[1:], None) for p in removed]
             removed.clear()
             if every:
-                rows += [(k[0], p[1], p[2], p[3], p[4], k[1]) for k, p in first.items()]
+                rows += [(k[0], *p[1:], k[1]) for k, p in first.items()]
                 first.clear()
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _STRETCH)], schema=_STRETCH)
 
         for batch in batches:
-            for id_, sub, text, marks in zip(*(batch.column(n).to_pylist() for n in ("id", "sub", "text", "marks"))):
-                for mark in marks:
-                    begin, end = max(0, mark["pos"] - reach), min(len(text), mark["pos"] + length)
-                    if end - begin < length:
+            ids, subs, texts, marks = (batch.column(n) for n in ("id", "sub", "text", "marks"))
+            ends = marks.offsets.to_numpy() - marks.offsets[0].as_py()
+            runs, hashes = (marks.flatten().field(n).to_numpy() for n in ("run", "hash"))
+            begins = runs >> RUN_BITS
+            stops = (begins + (runs & ((1 << RUN_BITS) - 1)) + (length - 1)).tolist()
+            begins, hashes = begins.tolist(), hashes.tolist()
+            for id_, sub, text, a, b in zip(ids.to_pylist(), subs.to_pylist(), texts.to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                none = id_ is None
+                for h, begin, end in zip(hashes[a:b], begins[a:b], stops[a:b]):
+                    key, place = (h, text[begin:end]), (none, id_, sub, begin, end)
+                    old = first.setdefault(key, place)
+                    if old is place:
                         continue
-                    key, place = (mark["hash"], text[begin:end]), (id_ is None, id_, sub, begin, end)
-                    old = first.get(key)
-                    if old is None:
-                        first[key] = place
-                    elif place[:4] < old[:4]:
+                    if place[1:4] < old[1:4] if not (none or old[0]) else (none, sub, begin) < (old[0], old[2], old[3]):
                         removed.append(old)
                         first[key] = place
-                    elif place[:4] > old[:4]:
+                    elif place != old:
                         removed.append(place)
-            if len(first) > REMEMBERED or len(removed) > 50_000:
-                yield flush(len(first) > REMEMBERED)
+                if len(first) > REMEMBERED or len(removed) > 50_000:
+                    yield flush(len(first) > REMEMBERED)
         yield flush(True)
 
     return run
 
 
-def _shard(length: int) -> Callable:
+def _shard(length: int, queue_bytes: int = QUEUE_BYTES) -> Callable:
     """Places of a shard's repeated strings but the earliest, as spans."""
     schema = pa.schema([("id", pa.int64()), ("sub", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
@@ -168,7 +174,7 @@ def _shard(length: int) -> Callable:
                 for batch in batches:
                     for h, id_, sub, begin, end, content in zip(*(c.to_pylist() for c in batch.columns)):
                         # Equal stretches of different partitions: the earliest stands for all, as in _cut.
-                        key, place = (h, hashlib.blake2b(content, digest_size=16).digest()), (id_ is None, id_, sub, begin, end)
+                        key, place = (h, xxhash.xxh3_128_digest(content)), (id_ is None, id_, sub, begin, end)
                         old = first.get(key)
                         if old is None:
                             file.write(content)
@@ -210,7 +216,7 @@ def _shard(length: int) -> Callable:
             fresh = np.concatenate([[False], (np.diff(ids[order]) != 0) | (np.diff(subs[order]) != 0) | (np.diff(known[order]) != 0)])
             doc = np.empty(len(order), np.int64)
             doc[order] = np.cumsum(fresh)
-            sorter = InducedSorter(np.memmap(text, np.uint8, "r"), length, folder, QUEUE_BYTES)
+            sorter = InducedSorter(np.memmap(text, np.uint8, "r").view(np.ndarray), length, folder, queue_bytes)
             found = [_later(p, l, starts, size, begin, doc, length) for p, l in _groups(sorter.order(), length)]
             places = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
             if not len(places):
@@ -281,7 +287,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes``, ``spans`` (begin, end of what is repeated), ``kept`` (the rest).
 
     A byte is repeated if it lies in a string of ``length`` bytes that also starts earlier, in a smaller id or earlier in
@@ -293,17 +299,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("sub", F.xxhash64("text"))
-    marks = rows.mapInArrow(_find(length), "hash long, id long, sub long, pos int")
-    often = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hash")
-    owned = marks.join(often, "hash").groupBy("id", "sub").agg(F.collect_list(F.struct("pos", "hash")).alias("marks"))
+    # Each step is written, so that what it shuffled is gone before the next one begins.
+    marks = stored(rows.mapInArrow(_find(length), "hash long, id long, sub long, run long"), "marks")
+    often = stored(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hash"), "marks-often")
+    owned = stored(marks.join(often, "hash").groupBy("id", "sub").agg(F.collect_list(F.struct("run", "hash")).alias("marks")), "marks-owned")
     near = rows.alias("r").join(owned.alias("o"), (F.col("r.id").eqNullSafe(F.col("o.id"))) & (F.col("r.sub") == F.col("o.sub")))
     near = near.select("r.id", "r.sub", "r.text", "o.marks")
-    stretches = stored(near.mapInArrow(_cut(length, ANCHOR), STRETCH), "stretches")
+    stretches = stored(near.mapInArrow(_cut(length), STRETCH), "stretches")
+    release(marks, often, owned)
     sent = stretches.filter(F.col("content").isNotNull())
     total = sent.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // shard_bytes))
-    found = sent.repartition(int(shards), "hash").mapInArrow(_shard(length), "id long, sub long, begin int, end int")
+    found = sent.repartition(int(shards), "hash").mapInArrow(_shard(length, queue_bytes), "id long, sub long, begin int, end int")
     spans = stretches.filter(F.col("content").isNull()).select("id", "sub", "begin", "end").union(found)
-    spans = spans.groupBy("id", "sub").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = stored(spans.groupBy("id", "sub").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    release(stretches)
     out = rows.alias("r").join(spans.alias("s"), F.col("r.id").eqNullSafe(F.col("s.id")) & (F.col("r.sub") == F.col("s.sub")), "left").select("r.id", "r.text", "s.spans")
     return out.mapInArrow(_keep, "id long, n_bytes long, spans array<struct<begin:int,end:int>>, kept binary").withColumnRenamed("id", id_col)
