@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .near_dedup import words_of
-from .shared import stored, text_pieces
+from .shared import release, stored, text_pieces
 
 END, PAD, PADS = 256, 257, 3
 #: Letter contexts: preceding bytes of a word, and the bits of their table's slots. A context of three bytes has a
@@ -37,11 +37,11 @@ PREDICTORS, GATES, LEVELS, LIMIT = 4, 16, 33, 8.0
 RATE, STEP = 0.3, 1 << 12
 #: Words of a chunk of the letter model, which keeps together those that share their first bytes; words worked on at once;
 #: the number of first bytes. Words a partition holds.
-CHUNK_WORDS, SLICE_WORDS, TOGETHER = 15_000, 20_000, PADS
+CHUNK_WORDS, SLICE_WORDS, TOGETHER = 15_000, 20_000, 4
 PARTITION_WORDS = 300_000
 #: Bytes of text hashed at once and of a block; rows of words and of tokens aimed at in a hash range.
-PART_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
-RANGE_WORDS, RANGE_TOKENS = 1 << 20, 1 << 21
+PART_BYTES, BLOCK_BYTES = 1 << 18, 4 << 20
+RANGE_WORDS, RANGE_TOKENS = 1 << 20, 1 << 20
 #: How often the predicted word has followed, and other words: steps of the table of word predictions; and of the run of
 #: predictions that held.
 FOLLOWED, OTHERS, RUNS = (2, 3, 5, 9, 17, 65), (1, 2, 4, 9, 33), (1, 2, 4, 8)
@@ -121,7 +121,7 @@ class Bits:
             self.slots.append(slot.astype(np.int64) + begin)
             begin += 1 << bits
         # A hash of all letters of the word so far, by running sums. Where it has fewer than TOGETHER letters, words that
-        # share them may be in other chunks; there the three bytes before are the whole beginning and stand for it.
+        # share them may be in other chunks; there the last three symbols, paddings included, stand for the beginning.
         first = np.cumsum([0] + [len(w) + PADS + 1 for w in words[:-1]])
         place = np.arange(len(s)) - first[owner]
         powers = np.cumprod(np.full(256, 0x100000001B3, np.uint64), dtype=np.uint64)
@@ -590,7 +590,9 @@ def train_letters(words: DataFrame) -> tuple[Mixer, DataFrame]:
         refined = np.clip(np.log((seen[1] + 20 * p) / (seen[0] + 20 * (1 - p))), -LIMIT, LIMIT)
         model = Mixer(coder, model.slices, (weights / n).astype(np.float32), refined.astype(np.float32))
     last = spark.sparkContext.broadcast(model)
-    return model, stored(sorted_.mapInArrow(_spell(last), "key long, n long, bits float"), "lm-spelled")
+    spelled = stored(sorted_.mapInArrow(_spell(last), "key long, n long, bits float"), "lm-spelled")
+    release(sorted_)
+    return model, spelled
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------
@@ -677,15 +679,17 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     total, distinct = int(total) + ends, int(distinct) + (1 if ends else 0)
     weight = total + 0.5 * (distinct + 1)
     _, spelled = train_letters(words)
+    release(words)
 
     word_bits, context_bits = _bits_for(every, RANGE_WORDS), _bits_for(tokens, RANGE_TOKENS)
     asked = blocks.select("block", "vocabulary").mapInArrow(_ask_words(word_bits), ASK)
     priced = spelled.withColumn("part", F.shiftrightunsigned("key", 64 - word_bits))
     answers = stored(asked.groupBy("part").cogroup(priced.groupBy("part")).applyInArrow(_answer_words, ANSWER), "lm-answers")
     asked = blocks.select("block", "vocabulary", "places", "sizes", "trains").mapInArrow(_ask_contexts(context_bits), ASK)
-    answers = answers.union(stored(asked.groupBy("part").applyInArrow(_answer_contexts, ANSWER), "lm-answers"))
+    told = stored(asked.groupBy("part").applyInArrow(_answer_contexts, ANSWER), "lm-answers")
     whole = blocks.select("block", "ids", "trains", "sizes", "vocabulary", "places")
-    texts = stored(whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(weight), TEXT), "lm-texts")
+    texts = stored(whole.groupBy("block").cogroup(answers.union(told).groupBy("block")).applyInArrow(_score(weight), TEXT), "lm-texts")
+    release(blocks, spelled, answers, told)
 
     # Word predictions: how often each cell held in training texts gives what it costs everywhere.
     met = texts.filter("trains").select(F.explode(F.arrays_zip("cells", "times")).alias("m")).groupBy("m.cells").agg(F.sum("m.times").alias("n")).collect()  # at most 2 x CELLS rows

@@ -75,11 +75,13 @@ def letter_bits(mixer, counts):
         for i in range(lm.PADS, len(s)):
             for j in range(coder.length[s[i]]):
                 node = int(coder.nodes[s[i], j])
-                yield [*((k, *s[i - k : i], node) for k in (1, 2, 3)), ("all", *s[:i], node)], node, int(coder.bits[s[i], j])
+                last = [(k, *s[i - k : i], node) for k in (1, 2, 3)]
+                begun = ("all", *s[:i], node) if i - lm.PADS >= lm.TOGETHER else last[-1]
+                yield [*last, begun], node, int(coder.bits[s[i], j])
 
     for word, n in counts.items():
         for keys, _, bit in path(word):
-            for key in keys:
+            for key in dict.fromkeys(keys):
                 seen.setdefault(key, [0, 0])[bit] += n
     out = {}
     for word in counts:
@@ -143,3 +145,13 @@ def test_scores_bit_by_bit(spark, monkeypatch):
         want.append((d[0], -bits * math.log10(2)))
     assert any(h for _, h, _ in cells) and [d for d, _ in got] == [d for d, _ in sorted(want)]
     assert [s for _, s in got] == pytest.approx([s for _, s in sorted(want)], rel=1e-3)
+
+
+def test_null_empty_long_and_repeated_rows(spark):
+    """Each row is scored; null and empty texts have their end only; a text longer than a piece counts all its words."""
+    long = " ".join(f"word{k % 999}" for k in range(200_000))
+    data = [(1, "one two"), (1, "one two"), (None, "one two"), (2, None), (3, ""), (4, " \t\n"), (5, long)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("block", F.lit("clash"))
+    got = lm.score_texts(docs, F.coalesce(F.col("doc_id") != 3, F.lit(False))).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in got) == [(0, 3, 3), (1, 3, 3), (1, 3, 3), (2, 1, 1), (3, 1, 1), (4, 1, 1), (5, 200_001, 200_001)]
+    assert len({r.score for r in got if r.n_tokens == 1}) == 1 and all(np.isfinite(r.score) and r.score < 0 for r in got)
