@@ -7,8 +7,6 @@ legal_refs); cases are rows (case_id, tree_id, facts map<string,string>).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,36 +63,25 @@ def next_by_facts(branches: Column, facts: Column) -> Column:
     return F.get(F.filter(branches, taken), F.lit(0))["next_node"]
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """An expression that uses ``value`` several times but works it out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def walk(cases: DataFrame, nodes: DataFrame, steps: int | None = None) -> DataFrame:
     """(case columns, node_id, node_type, path): each case from the root to a result, an unresolved decision, a dead end
     or a node it has seen. Case rows never shuffle: each step is a look-up in the tree's nodes, which come along as one
     broadcast map a tree. No path is longer than the largest tree has nodes, so without ``steps`` that many are taken at
-    most; a case that has stopped takes no more."""
+    most."""
     if steps is None:
         steps = nodes.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 1
     step = F.struct("type", "branches", "next_node")
     maps = nodes.groupBy("tree_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", step.alias("s")))).alias("_nodes"), F.max(F.when(F.col("is_root"), F.col("node_id"))).alias("_root"))
     rows = cases.join(F.broadcast(maps), "tree_id")
-    stop = lambda path: F.struct(path.alias("path"), F.lit(False).alias("goes"))
 
     def move(state: Column, _: Column) -> Column:
-        def follow(node: Column) -> Column:
-            target = F.when(node["type"] == "info", node["next_node"]).when(node["type"] == "decision", next_by_facts(node["branches"], F.col("facts")))
-            return _bound(target, reach)
-
-        def reach(target: Column) -> Column:
-            ok = F.map_contains_key(F.col("_nodes"), F.coalesce(target, F.lit(""))) & ~F.array_contains(state["path"], F.coalesce(target, F.lit("")))
-            return F.when(target.isNotNull() & ok, F.struct(F.array_append(state["path"], target).alias("path"), F.lit(True).alias("goes"))).otherwise(stop(state["path"]))
-
-        return F.when(state["goes"], _bound(F.try_element_at(F.col("_nodes"), F.element_at(state["path"], -1)), follow)).otherwise(state)
+        here = F.element_at(state, -1)
+        node = F.try_element_at(F.col("_nodes"), here)
+        target = F.when(node["type"] == "info", node["next_node"]).when(node["type"] == "decision", next_by_facts(node["branches"], F.col("facts")))
+        ok = target.isNotNull() & F.map_contains_key(F.col("_nodes"), F.coalesce(target, F.lit(""))) & ~F.array_contains(state, target)
+        return F.when(F.coalesce(ok, F.lit(False)), F.array_append(state, target)).otherwise(state)
 
-    start = F.struct(F.array("_root").alias("path"), F.lit(True).alias("goes"))
-    rows = rows.withColumn("path", F.aggregate(F.sequence(F.lit(1), F.lit(int(steps))), start, move, lambda state: state["path"]))
+    rows = rows.withColumn("path", F.aggregate(F.sequence(F.lit(1), F.lit(int(steps))), F.array("_root"), move))
     at = F.element_at("path", -1)
     return rows.withColumn("node_id", at).withColumn("node_type", F.try_element_at(F.col("_nodes"), at)["type"]).drop("_nodes", "_root")
 
