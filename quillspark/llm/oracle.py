@@ -70,4 +70,33 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g ON d.text = g.text
 """
 
-ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op9_mixing": OP9, "op10_exact_dedup": OP10}
+#: The checksum of a number's decimal digits is worked out by bits: DuckDB has no function for it.
+OP13 = r"""
+WITH bits AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)
+), told AS (
+  SELECT conv_id, turn, length(coalesce(text, ''))::BIGINT AS size, left(sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS id
+  FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+  SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id, size) AS ids, list(size ORDER BY turn NULLS FIRST, id, size) AS sizes FROM told GROUP BY conv_id
+), h AS (
+  SELECT t.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 6 AS h FROM t, bits
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.ids[:h.h], []), h.ids[h.h + 1:]) AS ids, list_concat(coalesce(b.sizes[:h.h], []), h.sizes[h.h + 1:]) AS sizes
+  FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 100
+), p AS (
+  SELECT conv_id, d, ids[:d] AS k, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, d = len(ids) AS ends FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM r)
+), n AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, any_value(size) AS size, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM p GROUP BY d, k
+), kids AS (
+  SELECT d - 1 AS d, k[:d - 1] AS k, count(*)::BIGINT AS n_children FROM n WHERE d > 0 GROUP BY ALL
+), m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, k)
+), s AS (
+  SELECT a AS d, k[:a] AS k, count_if(n_children = 0)::BIGINT AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM m) GROUP BY ALL
+)
+SELECT m.conv_id, m.d::BIGINT AS depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.d = m.d AND s.k = m.k LEFT JOIN m up ON up.d = m.d - 1 AND up.k = m.k[:m.d - 1]
+"""
+
+ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op9_mixing": OP9, "op10_exact_dedup": OP10, "op13_prefix_trie": OP13}

@@ -16,10 +16,12 @@ from .lm_score import score_texts
 from .mixing import mix_sources, word_count
 from .near_dedup import near_groups
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .quality_rules import judge_quality
 from .substring_dedup import repeated_spans
 from .toxicity import score_toxicity, train_toxicity
 from .url_filter import url_filter
+from .whitening import whiten
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -99,6 +101,14 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
@@ -111,4 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
