@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
-from pyspark.mllib.linalg.distributed import BlockMatrix
-from pyspark.sql import DataFrame
+from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, stored
+from .shared import stored
 
 #: An entry c becomes floor(SCALE * c) + SHIFT.
 SCALE, SHIFT = 1024, 100_000
@@ -30,22 +29,22 @@ def _scaled(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.select("vec_id", F.transform("c", lambda e: F.floor(SCALE * e) + SHIFT).alias("x"))
 
 
-def _blocks(d: int, size: int):  # noqa: ANN202
-    """Rows to blocks (part, place, ids, x) of ``size`` rows, x as int64 row by row; a task's last block has fewer."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place, ids, xs = TaskContext.get().partitionId(), 0, pa.array([], pa.int64()), np.empty((0, d), np.int64)
-        for last in (False, True):
-            for batch in [None] if last else batches:
-                if batch is not None:
-                    ids = pa.concat_arrays([ids, batch.column("vec_id")])
-                    xs = np.concatenate([xs, batch.column("x").flatten().to_numpy().reshape(-1, d)])
-                while len(ids) >= size or last and len(ids):
-                    n = min(size, len(ids))
-                    values = [pa.array([part]), pa.array([place]), pa.ListArray.from_arrays([0, n], ids[:n]), pa.array([xs[:n].tobytes()], pa.binary())]
-                    yield pa.record_batch(values, names=["part", "place", "ids", "x"])
-                    place, ids, xs = place + 1, ids[n:], xs[n:]
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows, written once, with ``row``: places without gaps, as a block matrix needs them."""
+    held = stored(rows.withColumn("at", F.monotonically_increasing_id()), "vectors")
+    part = F.shiftright("at", 33)
+    starts, begin = {}, 0  # one entry a task that wrote rows
+    for p, count in sorted(tuple(r) for r in held.groupBy(part.alias("p")).count().collect()):
+        starts[p] = begin
+        begin += count
+    offsets = rows.sparkSession.createDataFrame(list(starts.items()), "part long, begin long")
+    return held.withColumn("part", part).join(offsets, "part").select("vec_id", "x", (F.col("begin") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("row"))
+
 
-    return cut
+def _blocks(rows: DataFrame, values: Column, n: int, width: int) -> BlockMatrix:
+    """A block matrix of arrays of doubles by row, made inside the JVM."""
+    vectors = MLUtils.convertVectorColumnsFromML(rows.select(F.col("row").alias("index"), array_to_vector(values).alias("vector")), "vector")
+    return IndexedRowMatrix(vectors, n, width).toBlockMatrix(max(16, BLOCK_BYTES // (8 * width)), width)
 
 
 def _product(left: BlockMatrix, right: BlockMatrix, splits: int = 1) -> BlockMatrix:
@@ -54,6 +53,10 @@ def _product(left: BlockMatrix, right: BlockMatrix, splits: int = 1) -> BlockMat
     return BlockMatrix(made, left.rowsPerBlock, right.colsPerBlock)
 
 
+def _scatter(matrix: BlockMatrix, splits: int) -> np.ndarray:
+    return _product(matrix.transpose(), matrix, splits).toLocalMatrix().toArray()
+
+
 def components(covariance: np.ndarray, most: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, unit eigenvectors as columns) by falling eigenvalue; those that are 0 to rounding are left out.
 
@@ -81,51 +84,29 @@ def whiten(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     if lengths is None:
         return spark.createDataFrame([], _OUT)
     d = lengths["d"]
-    rows = rows.filter(F.size("x") == d)
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(F.col("x")[j]) for j in range(d))).alias("s")).first()
-    n, s, size = sums["n"], np.array(sums["s"], np.int64), max(16, BLOCK_BYTES // (8 * d))
-    blocks = stored(rows.mapInArrow(_blocks(d, size), "part long, place long, ids array<long>, x binary"), "vectors")
-    starts, rows_of_blocks = {}, 0  # one entry a task that wrote blocks
-    for part, count in sorted(tuple(r) for r in blocks.groupBy("part").count().collect()):
-        starts[part] = rows_of_blocks
-        rows_of_blocks += count
-
-    def centred(row) -> tuple[tuple[int, int], DenseMatrix]:  # noqa: ANN001
-        x = np.frombuffer(row["x"], np.int64).reshape(-1, d)
-        block = np.zeros((size, d))  # rows that a block lacks stay 0 and add nothing
-        block[: len(x)] = (n * x - s) / n
-        return (starts[row["part"]] + row["place"], 0), DenseMatrix(size, d, block.ravel(order="F"))
-
-    matrix = BlockMatrix(blocks.select("part", "place", "x").rdd.map(centred), size, d, rows_of_blocks * size, d)
-    splits = max(1, min(rows_of_blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    covariance = _product(matrix.transpose(), matrix, splits).toLocalMatrix().toArray() / n
+    rows = _numbered(rows.filter(F.size("x") == d))
+    each = [F.struct(F.sum(F.col("x")[j]).alias("sum"), F.min(F.col("x")[j]).alias("least"), F.max(F.col("x")[j]).alias("most")) for j in range(d)]
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*each).alias("x")).first()
+    n, sums = facts["n"], [x["sum"] for x in facts["x"]]
+    far = F.zip_with("x", F.array(*map(F.lit, sums)), lambda x, s: n * x - s)
+    bound = sum(max(n * x["most"] - x["sum"], x["sum"] - n * x["least"]) ** 2 for x in facts["x"])
+    kind = "long" if bound < 1 << 63 else "decimal(38,0)"  # sums of squares; a cast of what is larger than a long raises
+    square = lambda f: (f.cast(kind) * f.cast(kind)).cast(kind)
+    deviation = F.aggregate(far, F.lit(0).cast(kind), lambda total, f: (total + square(f)).cast(kind))
+    deviation = F.when(deviation > (1 << 63) - 1, F.raise_error(F.lit("a deviation is beyond 64 bits")).cast("long")).otherwise(deviation.cast("long"))
+    matrix = _blocks(rows, F.transform(far, lambda f: f / F.lit(float(n))), n, d)
+    splits = max(1, min(-(-n // matrix.rowsPerBlock), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    covariance = _scatter(matrix, splits) / n
     values, axes = components(covariance, most)
     k = len(values)
     if not k:
         return spark.createDataFrame([], _OUT)
     turn = DenseMatrix(d, k, (axes / np.sqrt(values)).ravel(order="F"))
     projected = _product(matrix, BlockMatrix(spark.sparkContext.parallelize([((0, 0), turn)], 1), d, k, d, k))
-    as_row = lambda b: (int(b[0][0]), bytearray(b[1].toArray().tobytes()))
-    projections = stored(spark.createDataFrame(projected.blocks.map(as_row), "block long, y binary", verifySchema=False), "projections")
-    again = BlockMatrix(projections.rdd.map(lambda r: ((r["block"], 0), DenseMatrix(size, k, np.frombuffer(r["y"]).reshape(size, k).ravel(order="F")))), size, k, rows_of_blocks * size, k)
-    error = float(np.abs(_product(again.transpose(), again, splits).toLocalMatrix().toArray() / n - np.eye(k)).max())
-    explained = values / np.trace(covariance)
-
-    def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids = batch.column("ids")[i].values
-                x = np.frombuffer(batch.column("x")[i].as_py(), np.int64).reshape(-1, d)
-                y = np.frombuffer(batch.column("y")[i].as_py()).reshape(size, k)[: len(ids)]
-                far = n * x - s
-                if float(np.abs(far).max()) ** 2 * d < 2.0**62:
-                    deviation = pa.array((far * far).sum(axis=1))
-                else:  # exact whatever the size; what is too large for the column raises
-                    deviation = pa.array([sum((n * int(a) - int(b)) ** 2 for a, b in zip(row, s)) for row in x], pa.int64())
-                for c in range(k):
-                    m = len(ids)
-                    values_ = [ids, pa.array(np.full(m, c + 1, np.int32)), pa.array(np.full(m, n)), deviation, pa.array(np.ascontiguousarray(y[:, c])), pa.array(np.full(m, explained[c])), pa.array(np.full(m, error))]
-                    yield pa.record_batch(values_, names=[x.split()[0] for x in _OUT.split(", ")])
-
-    numbered = blocks.withColumn("block", F.create_map(*(F.lit(v) for pair in starts.items() for v in pair))[F.col("part")] + F.col("place"))
-    return numbered.join(projections, "block").select("ids", "x", "y").mapInArrow(expanded, _OUT)
+    indexed = callMLlibFunc("getIndexedRows", projected.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    places = MLUtils.convertVectorColumnsToML(indexed.withColumnsRenamed(dict(zip(indexed.columns, ("row", "y")))), "y")
+    whitened = stored(places.select("row", vector_to_array("y").alias("y")), "whitened")
+    error = float(np.abs(_scatter(_blocks(whitened, F.col("y"), n, k), splits) / n - np.eye(k)).max())
+    explained = F.array(*(F.lit(float(v)) for v in values / np.trace(covariance)))
+    found = rows.select("row", "vec_id", deviation.alias("deviation")).join(whitened, "row").select("vec_id", "deviation", F.posexplode("y").alias("place", "whitened"))
+    return found.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", explained[F.col("place")].alias("explained"), F.lit(error).alias("identity_error"))
