@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Accented letters and their base letters; fixed values.
 ACCENTED, BASE = "áéíóúüñàèìòùâêîôûäëïöç", "aeiouunaeiouaeiouaeioc"
@@ -168,8 +170,15 @@ def strip_refs(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(plain, r"[ ]{2,}", " "), r" ([.,;:])", "$1"))
 
 
+@F.pandas_udf(StringType())
+def decomposed(names: pd.Series) -> pd.Series:
+    """Compatibility forms taken apart, combining marks dropped; for names, not for texts."""
+    return names.map(lambda s: "".join(ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch)), na_action="ignore")
+
+
 def slug(c: Column, default: str = "documento") -> Column:
-    plain = F.regexp_replace(F.regexp_replace(normalise(c), "[^0-9a-z]+", "_"), "^_+|_+$", "")
+    """A file name: letters A-Z, digits, ``-`` and ``_`` stay as they are, all else becomes one ``_``."""
+    plain = F.regexp_replace(F.regexp_replace(decomposed(c), "[^a-zA-Z0-9_-]+", "_"), "^_+|_+$", "")
     return F.when(F.coalesce(plain, F.lit("")) == "", default).otherwise(plain)
 
 

@@ -81,23 +81,6 @@ def fit_lists(chunks: DataFrame, lists: int, sample: int = 20_000, seed: int = 5
     return chunks.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list int, center array<double>")
 
 
-def _nearest(rows: DataFrame, centers: DataFrame, key: str, n: int) -> DataFrame:
-    """Each row's n lists of smallest distance; centers, one row a list, are broadcast."""
-    lists = centers.agg(F.collect_list(F.struct("list", "center")).alias("_c"))
-    scored = rows.withColumn("_v", vectors.doubles("embedding")).withColumn("_k", F.lit(1)).join(F.broadcast(lists.withColumn("_k", F.lit(1))), "_k")
-    ranked = F.slice(F.array_sort(F.transform("_c", lambda c: F.struct((vectors.dot(c["center"], c["center"]) - 2 * vectors.dot(c["center"], F.col("_v")) / vectors.norm(F.col("_v"))).alias("d"), c["list"].alias("list")))), 1, n)
-    return scored.select(*rows.columns, F.explode(F.transform(ranked, lambda r: r["list"])).alias("list"))
-
-
-def match_lists(queries: DataFrame, chunks: DataFrame, centers: DataFrame, k: int = 10, probes: int = 4) -> DataFrame:
-    """Approximate vector search: chunks of a query's ``probes`` nearest lists, found by an equi-join on the list."""
-    c = _nearest(chunks.select("uid", "embedding"), centers, "uid", 1).select("list", "uid", F.col("embedding").alias("_e"))
-    q = _nearest(queries.select("query_id", "embedding"), centers, "query_id", probes)
-    a, b = vectors.doubles("embedding"), vectors.doubles("_e")
-    cosine = vectors.dot(a, b) / (vectors.norm(a) * vectors.norm(b))
-    return top(q.join(c, "list").select("query_id", "uid", F.round(cosine, 6).alias("similarity")), k).withColumn("origin", F.lit("lists"))
-
-
 def best_per_uid(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "uid").agg(F.max("similarity").alias("similarity"))
 
@@ -355,10 +338,15 @@ def notes_for(queries: DataFrame, notes: DataFrame, text: str = "text") -> DataF
 def build_context(queries: DataFrame, headed: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     """(query_id, context): notes, then one block a hit in order; a fixed text if a query has no hits.
 
+    Where the hits have a map ``metadata``, a block ends in a line of its date, instance and document, as far as there.
     A query holds as many blocks as the search's k, so collecting them is bounded.
     """
     content = F.regexp_replace(F.regexp_replace("content", r"^[ \t\n\r]+|[ \t\n\r]+$", ""), r"\n{3,}", "\n\n")
     block = F.concat(F.col("header"), F.lit("\n" + "-" * 60 + "\n"), content, F.lit("\n"))
+    if "metadata" in headed.columns:
+        told = lambda key, label: F.when((F.coalesce(F.col("metadata")[key], F.lit("")) != "") & ((F.col("metadata")[key] != "N/A") | F.lit(key != "pdf_url")), F.concat(F.lit(f"{label}: "), F.col("metadata")[key]))
+        line = F.concat_ws(" | ", told("fecha", "Fecha"), told("instancia", "Instancia"), told("pdf_url", "PDF"))
+        block = F.concat(block, F.when(line != "", F.concat(F.lit("  → "), line, F.lit("\n"))).otherwise(""))
     blocks = headed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", block.alias("b")))).alias("_b"))
     rows = queries.select("query_id").join(blocks, "query_id", "left")
     lead = F.lit("")

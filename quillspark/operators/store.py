@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+from .versioned import first_of
+
 
 def visible(chunks: DataFrame, source_types: Sequence[str] | None = None, law_tags: Sequence[str] | None = None, include_derogated: bool = False, organization: str | None = None, all_tenants: bool = False) -> DataFrame:
     """Optional value filters, validity and tenant visibility. Without an organisation only public rows are seen."""
@@ -38,19 +41,27 @@ def mark_duplicates(df: DataFrame, uid: str, *order: Column) -> DataFrame:
     return df.withColumn(uid, F.when(n > 1, F.concat(F.col(uid), F.lit("_dup"), n.cast("string"))).otherwise(F.col(uid)))
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str = "chunk_uid") -> DataFrame:
-    """A new snapshot: incoming rows replace stored ones of the same key. Columns as in ``stored``."""
-    return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming.select(*stored.columns))
+def upsert(stored: DataFrame, incoming: DataFrame, key: str = "chunk_uid", order: Sequence[Column | str] = (), dimension: tuple[str, int] | None = None) -> DataFrame:
+    """A new snapshot: incoming rows replace stored ones of the same key. Columns as in ``stored``.
+
+    Of several incoming rows of a key the first by ``order`` is taken; with ``dimension``, a column of vectors and their
+    length, rows of another length are refused before that.
+    """
+    if dimension:
+        incoming = incoming.filter(vectors.has_dimension(*dimension))
+    new = first_of(incoming, key, *order)
+    return stored.join(new.select(key), key, "left_anti").unionByName(new.select(*stored.columns))
 
 
 def without(stored: DataFrame, uids: DataFrame, key: str = "chunk_uid") -> DataFrame:
     return stored.join(uids.select(key).distinct(), key, "left_anti")
 
 
-def append_edges(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming edges that are new by (source, target, type), one of each: the one of highest confidence."""
+def append_edges(stored: DataFrame, incoming: DataFrame, *order: Column | str) -> DataFrame:
+    """Incoming edges that are new by (source, target, type), one of each: the first by ``order``; without an order, which
+    rows of a table don't have by themselves, the one of highest confidence."""
     triple = ["source_chunk_uid", "target_chunk_uid", "relation_type"]
-    fresh = incoming.groupBy(*triple).agg(F.max("confidence").alias("confidence"))
+    fresh = incoming.groupBy(*triple).agg((F.min_by("confidence", F.struct(*order, -F.col("confidence"))) if order else F.max("confidence")).alias("confidence"))
     return fresh.join(stored.select(*triple).distinct(), triple, "left_anti")
 
 

@@ -82,33 +82,26 @@ def s9(spark, d):
 
 
 @query("s10_chunk_upsert", f"""WITH {CHUNKS}, stored AS (SELECT chunk_uid, law_tag, content_hash, 1 AS version FROM chunks WHERE source_type <> 'src1'),
-incoming AS (SELECT chunk_uid, law_tag, sha256(content || '!') AS content_hash, 2 AS version FROM chunks WHERE law_tag = 'de' OR source_type = 'src1')
+incoming AS (SELECT chunk_uid, law_tag, sha256(content || '!') AS content_hash, 2 AS version FROM chunks WHERE (law_tag = 'de' OR source_type = 'src1') AND doc_id % 7 <> 0)
 SELECT * FROM incoming UNION ALL SELECT * FROM stored WHERE chunk_uid NOT IN (SELECT chunk_uid FROM incoming)""")
 def s10(spark, d):
+    """Every incoming uid comes twice, the later one last; every seventh has vectors of a wrong length."""
     c = chunks(spark, d)
     stored = c.filter("source_type <> 'src1'").select("chunk_uid", "law_tag", "content_hash", F.lit(1).alias("version"))
-    incoming = c.filter("law_tag = 'de' or source_type = 'src1'").select("chunk_uid", "law_tag", F.sha2(F.concat("content", F.lit("!")), 256).alias("content_hash"), F.lit(2).alias("version"))
-    return store.upsert(stored, store.new_rows(incoming, stored))
+    incoming = c.filter("law_tag = 'de' or source_type = 'src1'").select("chunk_uid", "law_tag", F.sha2(F.concat("content", F.lit("!")), 256).alias("content_hash"), F.lit(2).alias("version"), F.array_repeat(F.lit(1.0), F.when(F.col("doc_id") % 7 == 0, 3).otherwise(4)).alias("embedding"))
+    again = incoming.withColumns({"version": F.lit(3), "content_hash": F.reverse("content_hash")})
+    return store.upsert(stored, store.new_rows(incoming.unionByName(again), stored), order=["version"], dimension=("embedding", 4))
 
 
-@query("s11_edge_append", f"""WITH {EDGES} SELECT 's_' || l_suppkey AS source_chunk_uid, 'p_' || l_partkey AS target_chunk_uid, l_linestatus AS relation_type, max(l_tax) AS confidence FROM lineitem GROUP BY ALL
-UNION ALL SELECT 'p_' || l_partkey, 's_' || l_suppkey, 'N2', max(l_tax) FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL""")
+@query("s11_edge_append", f"""WITH {EDGES} SELECT 's_' || l_suppkey AS source_chunk_uid, 'p_' || l_partkey AS target_chunk_uid, l_linestatus AS relation_type, arg_min(l_tax, (l_orderkey, l_linenumber, -l_tax)) AS confidence FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'p_' || l_partkey, 's_' || l_suppkey, 'N2', arg_min(l_tax, (l_orderkey, l_linenumber, -l_tax)) FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL""")
 def s11(spark, d):
     lines = table(spark, d, "lineitem")
     p, s = F.concat(F.lit("p_"), "l_partkey"), F.concat(F.lit("s_"), "l_suppkey")
-    back = lines.select(s.alias("source_chunk_uid"), p.alias("target_chunk_uid"), F.col("l_linestatus").alias("relation_type"), F.col("l_tax").alias("confidence"))
-    again = lines.select(p.alias("source_chunk_uid"), s.alias("target_chunk_uid"), F.col("l_returnflag").alias("relation_type"), F.col("l_tax").alias("confidence"))
+    back = lines.select(s.alias("source_chunk_uid"), p.alias("target_chunk_uid"), F.col("l_linestatus").alias("relation_type"), F.col("l_tax").alias("confidence"), "l_orderkey", "l_linenumber")
+    again = lines.select(p.alias("source_chunk_uid"), s.alias("target_chunk_uid"), F.col("l_returnflag").alias("relation_type"), F.col("l_tax").alias("confidence"), "l_orderkey", "l_linenumber")
     renamed = again.filter("relation_type = 'N'").withColumn("relation_type", F.lit("N2"))
-    return store.append_edges(edges(spark, d), back.unionByName(again).unionByName(renamed))
-
-
-@query("s13_delete_insert", f"""WITH {CHUNKS} SELECT chunk_uid, content_hash FROM chunks WHERE NOT is_derogada
-UNION ALL SELECT chunk_uid || '_new', sha256(content || ' ') FROM chunks WHERE is_derogada""")
-def s13(spark, d):
-    c = chunks(spark, d, flags=True)
-    gone = c.filter("is_derogada")
-    new = gone.select(F.concat("chunk_uid", F.lit("_new")).alias("chunk_uid"), F.sha2(F.concat("content", F.lit(" ")), 256).alias("content_hash"))
-    return store.without(c.select("chunk_uid", "content_hash"), gone).unionByName(new)
+    return store.append_edges(edges(spark, d), back.unionByName(again).unionByName(renamed), "l_orderkey", "l_linenumber")
 
 
 @query("s14_query_log", "SELECT event_id, user_id AS chat_id, 'chat' AS query_type, substr(repeat(props || ' ', 300), 1, 2000) AS query_text FROM events")

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, guardrail, retrieval, trees
+from ..operators import audit, guardrail, retrieval, trees, vector_index
+from ..operators.versioned import VersionedTable
 from ..streaming import streams
-from .tables import EDGES, chunks, edges, table
+from .tables import CHUNKS, EDGES, chunks, edges, table
+from .texts import _STRIP, markdown_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,8 +69,12 @@ def o1(spark, d):
 
 @query("r2_inverted_lists")
 def r2(spark, d):
-    c = _answering(spark, d)
-    return retrieval.match_lists(_asking(spark, d), c, retrieval.fit_lists(c, retrieval.list_count(c.count())), probes=10).select("query_id", "uid", "similarity")
+    """Four fifths of the vectors are indexed, the rest is added to the stored lists, then the index is searched."""
+    path, c = _scratch(spark, "index"), _answering(spark, d)
+    later = F.pmod(F.crc32("uid"), F.lit(5)) == 0
+    vector_index.build_index(c.filter(~later), path)
+    vector_index.add_vectors(c, path)
+    return vector_index.search_index(_asking(spark, d), path).select("query_id", "uid", "similarity")
 
 
 # --- keyword search: all benchmark texts ask, all documents answer ---------------------------------------------------
@@ -334,11 +340,20 @@ def t32(spark, d):
     return _notes(spark, d).select("query_id", F.array_join("notes", "|").alias("notes"))
 
 
-@query("t31_context", rf"""WITH {_HEAD}, {_NOTES}, b AS (SELECT query_id, string_agg(header || chr(10) || repeat('-', 60) || chr(10) || regexp_replace(regexp_replace(text, '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') || chr(10), chr(10) ORDER BY i) AS b FROM marked GROUP BY 1)
+_LINE = """concat_ws(' | ', CASE WHEN doc % 3 = 0 THEN 'Fecha: 2024-01-' || lpad((doc % 28 + 1)::VARCHAR, 2, '0') END, CASE WHEN lang = 'de' THEN 'Instancia: ' || source END, CASE WHEN doc % 4 <> 0 AND source <> 'src1' THEN 'PDF: https://x/' || source END)"""
+
+
+@query("t31_context", rf"""WITH {_HEAD}, {_NOTES}, lined AS (SELECT *, {_LINE} AS line FROM (SELECT *, substr(uid, 5)::BIGINT AS doc FROM marked)),
+b AS (SELECT query_id, string_agg(header || chr(10) || repeat('-', 60) || chr(10) || regexp_replace(regexp_replace(text, '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') || chr(10) || CASE WHEN line <> '' THEN '  → ' || line || chr(10) ELSE '' END, chr(10) ORDER BY i) AS b FROM lined GROUP BY 1)
 SELECT n.query_id, CASE WHEN b IS NULL THEN 'No relevant sources were found.' ELSE CASE WHEN len(notes) > 0 THEN '• ' || array_to_string(notes, chr(10) || '• ') || chr(10) || chr(10) ELSE '' END || b END AS context FROM notes n LEFT JOIN b USING (query_id)""")
 def t31(spark, d):
+    """Dates, instances and documents of hits come from their number, language and source."""
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    return retrieval.build_context(queries, _headed(spark, d), _notes(spark, d))
+    doc = F.substring("uid", 5, 20).cast("long")
+    day = F.when(doc % 3 == 0, F.concat(F.lit("2024-01-"), F.lpad((doc % 28 + 1).cast("string"), 2, "0")))
+    pdf = F.when(doc % 4 == 0, "").when(F.col("source_type") == "src1", "N/A").otherwise(F.concat(F.lit("https://x/"), "source_type"))
+    meta = F.create_map(F.lit("fecha"), day, F.lit("instancia"), F.when(F.col("law_tag") == "de", F.col("source_type")), F.lit("pdf_url"), pdf)
+    return retrieval.build_context(queries, _headed(spark, d).withColumn("metadata", meta), _notes(spark, d))
 
 
 @query("t48_attachments", f"WITH {_HEAD} SELECT DISTINCT query_id, 'https://x/' || source AS url FROM head WHERE i <= 3 AND source <> 'src1'")
@@ -548,8 +563,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-@query("s12_replace_law", "SELECT doc_id, lang AS law_tag, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS version FROM documents")
+@query("s12_replace_law", "SELECT doc_id, lang AS law_tag, CASE WHEN lang = 'de' AND doc_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM documents WHERE lang <> 'de' OR doc_id % 2 = 0")
 def s12(spark, d):
+    """One law is replaced by fewer chunks, in one commit; the others' files stay as they are."""
+    laws = VersionedTable(spark, _scratch(spark, "laws"), "doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("law_tag"))
+    laws.upsert(rows.withColumn("version", F.lit(1)))
+    laws.replace("law_tag", rows.filter("law_tag = 'de' and doc_id % 2 = 0").withColumn("version", F.lit(2)))
+    return laws.read()
+
+
+@query("s12_replace_partitions", "SELECT doc_id, lang AS law_tag, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS version FROM documents")
+def s12_partitions(spark, d):
     from ..sources.sinks import replace_partitions
 
     path = _scratch(spark, "laws")
@@ -559,6 +584,36 @@ def s12(spark, d):
     return spark.read.parquet(path).select("doc_id", "law_tag", "version")
 
 
+@query("s10_versioned_upsert", f"""WITH {CHUNKS}, stored AS (SELECT chunk_uid, content_hash, 1 AS version FROM chunks WHERE source_type <> 'src1'),
+hashes AS (SELECT DISTINCT content_hash FROM stored),
+incoming AS (SELECT chunk_uid, CASE WHEN law_tag = 'de' THEN sha256(content || '!') ELSE content_hash END AS content_hash, 2 AS version FROM chunks),
+fresh AS (SELECT * FROM incoming WHERE content_hash NOT IN (SELECT content_hash FROM hashes)),
+now AS (SELECT * FROM fresh UNION ALL SELECT * FROM stored WHERE chunk_uid NOT IN (SELECT chunk_uid FROM fresh))
+SELECT chunk_uid, content_hash, version FROM now WHERE chunk_uid NOT IN (SELECT chunk_uid FROM chunks WHERE doc_id % 11 = 0)""")
+def s10_versioned(spark, d):
+    """Commits of a store: chunks, an upsert of what is unseen with each uid twice, deletions, a broken commit, compaction."""
+    c = chunks(spark, d)
+    stored = VersionedTable(spark, _scratch(spark, "store"))
+    stored.upsert(c.filter("source_type <> 'src1'").select("chunk_uid", "content_hash", F.lit(1).alias("version")))
+    incoming = c.select("chunk_uid", F.when(F.col("law_tag") == "de", F.sha2(F.concat("content", F.lit("!")), 256)).otherwise(F.col("content_hash")).alias("content_hash"), F.lit(2).alias("version"))
+    stored.upsert(incoming.unionByName(incoming.withColumn("version", F.lit(3))), "version", unseen="content_hash")
+    stored.delete(c.filter("doc_id % 11 = 0").select("chunk_uid"))
+    stored.compact(range(stored.buckets // 2))
+    stored._write(incoming.withColumn("_gone", F.lit(True)))  # data of a commit that broke off before its manifest
+    return stored.read()
+
+
+@query("s13_delete_insert", f"""WITH {CHUNKS} SELECT chunk_uid, content_hash FROM chunks WHERE NOT is_derogada
+UNION ALL SELECT chunk_uid || '_new', sha256(content || ' ') FROM chunks WHERE is_derogada""")
+def s13(spark, d):
+    c = chunks(spark, d, flags=True)
+    stored = VersionedTable(spark, _scratch(spark, "store"))
+    stored.upsert(c.select("chunk_uid", "content_hash"))
+    gone = c.filter("is_derogada")
+    stored.delete(gone, gone.select(F.concat("chunk_uid", F.lit("_new")).alias("chunk_uid"), F.sha2(F.concat("content", F.lit(" ")), 256).alias("content_hash")))
+    return stored.read()
+
+
 def _written_records(spark, d, name: str) -> str:
     """Documents written as text files, one folder each, to be read back by the markdown readers."""
     path = _scratch(spark, "records")
@@ -594,13 +649,17 @@ def s5(spark, d):
     return good.select("tree_id", F.size("nodes").alias("n_nodes"))
 
 
-@query("st1_incremental_ingest", "SELECT sha256(text) AS content_hash, count(*) AS copies FROM documents GROUP BY 1")
+@query("st1_incremental_ingest", f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR source IS NULL THEN '' ELSE 'Resumen:' || chr(10) || source || chr(10) || chr(10) END || 'Contenido:' || chr(10) || {_STRIP("replace(text, '## ', '')")} AS content FROM documents WHERE {_STRIP('text')} NOT IN ('', '.'))
+SELECT sha256(content) AS content_hash, any_value(CASE WHEN contains(lower(content), 'idiot') OR contains(lower(content), 'lowei') THEN 'a' WHEN contains(lower(content), 'license') THEN 'b' ELSE 'ley' END) AS law_tag, any_value(length(content))::BIGINT AS chars, count_if(doc_id % 2 = 0) > 0 AS in_first FROM r GROUP BY 1""")
 def st1(spark, d):
-    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash"), "text")
-    path = _scratch(spark, "store")
-    streams.ingest(spark, streams.as_stream(spark, f"{d}/documents.parquet", table(spark, d, "documents").schema).select(F.sha2("text", 256).alias("content_hash"), "text"), path, f"{path}-log")
-    stored = spark.read.parquet(path).select("content_hash").distinct()
-    return docs.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies")).join(stored, "content_hash", "left_semi")
+    """Markdown files, one a document: half of them, then all, those of the first half again. All rows come from the store."""
+    files, log = _scratch(spark, "files"), _scratch(spark, "log")
+    store = VersionedTable(spark, _scratch(spark, "store"))
+    records = markdown_of(spark, d)
+    for n, part in enumerate((records.filter("doc_id % 2 = 0"), records)):
+        part.select("record").write.option("maxRecordsPerFile", 1).text(f"{files}/{n}")
+        streams.ingest_files(spark, files, "part-*.txt", store, log, prefix="ruling_", laws=[("a", ["idiot", "lowei"]), ("b", ["license"])])
+    return store.read().select("content_hash", "law_tag", F.length("content").cast("long").alias("chars"), (F.col("batch") == 0).alias("in_first"))
 
 
 @query("st2_query_log_stream", "SELECT user_id AS chat_id, count(*) AS n FROM events GROUP BY 1")

@@ -25,8 +25,8 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-def docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+def docs(spark, d, *more):
+    return table(spark, d, "documents").select("doc_id", "text", *more)
 
 
 _ACC = f"'{T.ACCENTED}', '{T.BASE}'"
@@ -92,7 +92,7 @@ def t8(spark, d):
 _RECORD = "'## Metadata' || chr(10) || '- id: d' || doc_id || chr(10) || '- lang:' || coalesce(lang, '') || chr(10) || '- estado: ' || CASE WHEN doc_id % 3 = 0 THEN 'derogada' ELSE 'vigente' END || chr(10) || chr(10) || '## Resumen' || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '.' ELSE coalesce(source, '') END || chr(10) || chr(10) || '## Contenido' || chr(10) || replace(text, '## ', '') || chr(10) || chr(10) || '## Fuente' || chr(10) || 'x'"
 
 
-def _records(spark, d):
+def markdown_of(spark, d):
     """Markdown records composed from documents."""
     meta = F.concat(F.lit("## Metadata\n- id: d"), "doc_id", F.lit("\n- lang:"), F.coalesce("lang", F.lit("")), F.lit("\n- estado: "), F.when(F.col("doc_id") % 3 == 0, "derogada").otherwise("vigente"))
     body = F.concat(F.lit("\n\n## Resumen\n"), F.when(F.col("doc_id") % 5 == 0, ".").otherwise(F.coalesce("source", F.lit(""))), F.lit("\n\n## Contenido\n"), F.replace("text", F.lit("## "), F.lit("")), F.lit("\n\n## Fuente\nx"))
@@ -101,13 +101,13 @@ def _records(spark, d):
 
 @query("t9_metadata_map", "SELECT doc_id, 'd' || doc_id AS id, coalesce(lang, '') AS lang, CASE WHEN doc_id % 3 = 0 THEN 'derogada' ELSE 'vigente' END AS estado, 3 AS keys FROM documents")
 def t9(spark, d):
-    m = _records(spark, d).select("doc_id", T.metadata_map(F.col("record")).alias("m"))
+    m = markdown_of(spark, d).select("doc_id", T.metadata_map(F.col("record")).alias("m"))
     return m.select("doc_id", F.col("m")["id"].alias("id"), F.col("m")["lang"].alias("lang"), F.col("m")["estado"].alias("estado"), F.size("m").alias("keys"))
 
 
 @query("t10_sections", f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR source IS NULL THEN '' ELSE 'Resumen:' || chr(10) || source || chr(10) || chr(10) END || 'Contenido:' || chr(10) || {_STRIP("replace(text, '## ', '')")} AS body FROM documents WHERE {_STRIP('text')} NOT IN ('', '.')""")
 def t10(spark, d):
-    return _records(spark, d).select("doc_id", T.record_text(F.col("record")).alias("body")).filter("body is not null")
+    return markdown_of(spark, d).select("doc_id", T.record_text(F.col("record")).alias("body")).filter("body is not null")
 
 
 @query("t11_law_from_code", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'lir' WHEN 2 THEN 'codigo_tributario' WHEN 3 THEN 'iva' ELSE 'codigo_tributario' END AS law_tag FROM orders")
@@ -128,7 +128,7 @@ def t13(spark, d):
 
 @query("t14_record", "SELECT doc_id, 'ruling_d' || doc_id AS chunk_uid, coalesce(lang, '') || '/d' || doc_id AS hierarchy_path, doc_id % 3 = 0 AS is_derogada FROM documents")
 def t14(spark, d):
-    m = _records(spark, d).select("doc_id", T.metadata_map(F.col("record")).alias("m"))
+    m = markdown_of(spark, d).select("doc_id", T.metadata_map(F.col("record")).alias("m"))
     ident = F.coalesce(F.col("m")["id"], F.lit("unknown"))
     return m.select("doc_id", F.concat(F.lit("ruling_"), ident).alias("chunk_uid"), F.concat_ws("/", F.col("m")["lang"], ident).alias("hierarchy_path"), F.lower(F.col("m")["estado"]).isin("derogada", "revocada").alias("is_derogada"))
 
@@ -290,9 +290,11 @@ def t45(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.strip_refs(F.concat("text", F.lit(" [1, 2] . end [3]"))).alias("plain"))
 
 
-@query("t46_slug", f"SELECT item_id, CASE WHEN s = '' THEN 'documento' ELSE s END AS slug FROM (SELECT item_id, regexp_replace(regexp_replace(translate(lower(substr(text, 1, 60)), {_ACC}), '[^0-9a-z]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM benchmark)")
+@query("t46_slug", r"""SELECT doc_id, CASE WHEN s = '' THEN 'documento' ELSE s END AS slug FROM
+(SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lang || ' -' || upper(source) || '- ' || text), '[^a-zA-Z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM documents)""")
 def t46(spark, d):
-    return table(spark, d, "benchmark").select("item_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+    name = F.concat("lang", F.lit(" -"), F.upper("source"), F.lit("- "), "text")
+    return docs(spark, d, "lang", "source").select("doc_id", T.slug(name).alias("slug"))
 
 
 @query("t47_live_lines", "SELECT page_id, 'Resultados en vivo:' || chr(10) || '- page ' || page_id || ' (' || url || '): ' || substr(html, 1, 500) AS lines FROM pages")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 RULING = "id string, codigo string, fecha string, tipoPronunciamiento struct<nombre:string>, instancia struct<nombre:string>, texto string, resumen string, urlDocumento string, articuloId string"
 NODE = "struct<id:string,type:string,question:string,help:string,legal_ref:string,summary:string,details:string,warnings:array<string>,next_steps:array<string>,branches:array<struct<condition:string,next_node:string>>,next_node:string,legal_refs:array<string>>"
 TREE = f"tree_id string, title string, law string, article string, description string, tags array<string>, root {NODE}, nodes map<string,{NODE}>"
@@ -26,6 +28,26 @@ def read_circulars(spark: SparkSession, path: str) -> DataFrame:
     return read_markdown(spark, path, "sii_circular_*.md")
 
 
+def markdown_records(files: DataFrame, prefix: str, number: str, laws: Sequence[tuple[str, Sequence[str]]] = (), default_law: str = "ley") -> DataFrame:
+    """Files (path, content) as chunk rows; those without a filled section are dropped.
+
+    The uid is ``prefix`` and the record's id, else what the pattern ``number`` finds in the file's name, else the name's
+    stem. The law is named by the code in the metadata or, failing that, by the first of ``laws`` with a word of its in the
+    content.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = files.select(F.col("path").alias("source_path"), name.alias("filename"), T.metadata_map(F.col("content")).alias("metadata"), T.record_text(F.col("content")).alias("content")).filter("content is not null")
+    filled = lambda c: F.when(c != "", c)
+    ident = F.coalesce(filled(F.col("metadata")["jurisprudencia_id"]), filled(F.col("metadata")["id"]), filled(F.regexp_extract("filename", number, 1)), F.regexp_replace("filename", r"\.[^.]*$", ""))
+    law = F.coalesce(filled(F.col("metadata")["law_tag"]), T.first_match(F.col("content"), laws, default_law))
+    article = filled(F.col("metadata")["articulo_nombre"])
+    rows = rows.withColumns({"chunk_uid": F.concat(F.lit(prefix), ident), "law_tag": law, "content_hash": F.sha2("content", 256)})
+    return rows.select(
+        "chunk_uid", "source_path", "filename", "law_tag", F.concat_ws("/art_", "law_tag", article).alias("hierarchy_path"), "content", "content_hash",
+        F.coalesce(F.lower(F.col("metadata")["estado"]).isin("derogada", "revocada"), F.lit(False)).alias("is_derogada"), "metadata",
+    )
+
+
 def read_trees(spark: SparkSession, path: str, drafts: bool = False) -> tuple[DataFrame, DataFrame]:
     """Decision trees below ``path``: (good ones, rejected ones with path). Drafts, in folders named _drafts, by option."""
     raw = spark.read.schema(f"{TREE}, _corrupt_record string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..operators.versioned import VersionedTable
+from ..sources.readers import markdown_records
+
 
 def as_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """New Parquet files of a table's folder as a stream; the table may also be one file."""
@@ -17,22 +20,27 @@ def as_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{folder}/{name}*")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def _rocksdb(spark: SparkSession) -> None:
+    """State on the executors' disks, checkpointed, in place of their heaps."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
+def ingest_files(spark: SparkSession, path: str, pattern: str, store: VersionedTable, log: str, prefix: str, number: str = r"_([0-9]+)\.[a-z]+$", laws: Sequence[tuple[str, Sequence[str]]] = (), default_law: str = "ley") -> None:
+    """New markdown files below ``path`` become rows of the store, if their content was not seen before.
+
+    Whole files are the stream's rows; records are made of them as ``markdown_records`` does. Hashes of contents seen are
+    keyed state, so a batch reads neither the store nor older files. Each batch is one commit, with its number in the
+    column ``batch``; a batch that is run again after a failure commits nothing twice. Of equal contents in one batch any
+    file is taken.
+    """
+    _rocksdb(spark)
+    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
+    records = markdown_records(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")), prefix, number, laws, default_law)
 
-def ingest(spark: SparkSession, rows: DataFrame, store: str, log: str) -> None:
-    """Append rows whose content_hash is not stored. Each batch writes to its own folder, so a repeated batch replaces
-    what it wrote before."""
-    def batch(df: DataFrame, n: int) -> None:
-        fresh = df.dropDuplicates(["content_hash"])
-        if _exists(spark, store):
-            before = spark.read.parquet(store).filter(F.col("batch") != n).select("content_hash").distinct()
-            fresh = fresh.join(before, "content_hash", "left_anti")
-        fresh.withColumn("batch", F.lit(n)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store)
+    def commit(rows: DataFrame, n: int) -> None:
+        store.upsert(rows.withColumn("batch", F.lit(n).cast("long")), "source_path", batch=(log, n))
 
-    rows.writeStream.foreachBatch(batch).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    records.dropDuplicates(["content_hash"]).writeStream.foreachBatch(commit).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
 
 
 def append_log(rows: DataFrame, path: str, log: str, limit: int = 2000) -> None:
@@ -80,6 +88,6 @@ def pending_cases(rows: DataFrame, path: str, log: str) -> None:
 
     Within a batch the rows of a chat are taken in order of ts.
     """
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _rocksdb(rows.sparkSession)
     closed = rows.groupBy("chat_id").transformWithStateInPandas(PendingCases(), "chat_id long, closed_at timestamp, closed_by string, facts string", "Append", "None")
     closed.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
