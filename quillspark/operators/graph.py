@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 TRIPLE = ["source_chunk_uid", "target_chunk_uid", "relation_type"]
 
 
@@ -26,19 +28,38 @@ def capped_neighbours(edges: DataFrame, cap: int, types: Sequence[str] | None =
     return near.withColumn("_n", rank).filter(F.col("_n") <= cap).drop("_n")
 
 
+def adjacency(edges: DataFrame, cap: int, types: Sequence[str] | None = None) -> DataFrame:
+    """(uid, near): a row a node with its at most ``cap`` neighbours."""
+    near = capped_neighbours(edges, cap, types)  # is dealt by node already
+    return near.groupBy(F.col("node").alias("uid")).agg(F.collect_set("neighbour").alias("near"))
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 1, cap: int = 5, types: Sequence[str] | None = None) -> DataFrame:
     """(seed, uid, level) within ``depth`` steps of each seed (column uid), breadth first, without the seed itself.
 
-    The loop runs ``depth`` times whatever the data; each level only looks at nodes that are new for its seed.
+    The loop runs ``depth`` times whatever the data. Beyond one step the packed neighbours and each level are written, so a
+    level reads tables only: a step costs its frontier, and plans grow with the depth by one table, not by all before.
     """
-    near = capped_neighbours(edges, cap, types).select(F.col("node").alias("uid"), "neighbour")
-    reached = seeds.select(F.col("uid").alias("seed"), "uid").distinct().withColumn("level", F.lit(0))
-    frontier = reached
+    reached = seeds.select(F.col("uid").alias("seed"), "uid").distinct()
+    near = adjacency(edges, cap, types)
+    if depth <= 1:
+        found = reached.join(near, "uid").select("seed", F.explode("near").alias("uid")).filter("uid <> seed").distinct()
+        return found.withColumn("level", F.lit(1))
+    near, levels = written(near, "near"), []
+    frontier, visited = reached, [written(reached, "level")]
     for level in range(1, depth + 1):
-        step = frontier.join(near, "uid").select("seed", F.col("neighbour").alias("uid")).distinct()
-        frontier = step.join(reached.select("seed", "uid"), ["seed", "uid"], "left_anti").withColumn("level", F.lit(level))
-        reached = reached.unionByName(frontier)
-    return reached.filter("level > 0")
+        step = frontier.join(near, "uid").select("seed", F.explode("near").alias("uid")).distinct()
+        seen = visited[0]
+        for before in visited[1:]:
+            seen = seen.unionByName(before)
+        step = step.join(seen, ["seed", "uid"], "left_anti")
+        frontier = written(step, "level") if level < depth else step
+        visited.append(frontier)
+        levels.append(frontier.withColumn("level", F.lit(level)))
+    found = levels[0]
+    for more in levels[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def votes(edges: DataFrame, hits: DataFrame, cap: int = 5, top: int = 5) -> DataFrame:

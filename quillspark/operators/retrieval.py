@@ -16,10 +16,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import vectors
+from ..sources.scratch import written
 from . import graph
 
 #: Rows of the query side that a nested-loop join may broadcast; larger sets of queries are searched in parts.
 QUERY_ROWS = 10_000
+#: Keywords of one automaton; larger vocabularies are counted in parts.
+WORDS = 100_000
 #: Similarities that the steps of the hybrid search assign, and the threshold below which a live lookup is asked for.
 FORCED, GRAPH, PARENT, THRESHOLD = 0.95, 0.82, 0.75, 0.72
 
@@ -123,17 +126,24 @@ def _occurrences(automaton: ahocorasick.Automaton, text: str) -> dict[int, list[
 def keyword_counts(chunks: DataFrame, keywords: DataFrame, text: str = "content", header: str | None = None) -> DataFrame:
     """(uid, keyword, n, first, in_header) of every keyword that occurs in a chunk, as a substring, lower-cased.
 
-    n counts non-overlapping occurrences, first is the offset of the first. All keywords of all queries, each once, run
-    over a text in a single pass of an automaton, so cost follows the text, not text x keywords. The vocabulary goes to
-    every task: it is the queries' and is collected once.
+    n counts non-overlapping occurrences, first is the offset of the first. Keywords run over a text together, each once, in
+    an automaton, so cost follows the text, not text x keywords. They go to the tasks in parts of WORDS at most, one pass
+    over the texts a part.
     """
-    vocabulary = sorted(r[0] for r in keywords.select("keyword").distinct().collect() if r[0])
-    schema = "uid string, keyword string, n long, first long, in_header boolean"
-    if not vocabulary:
-        return chunks.sparkSession.createDataFrame([], schema)
-
+    words = keywords.filter("keyword <> ''").select("keyword").distinct()
+    parts = -(-words.count() // WORDS)
+    schema, found = "uid string, keyword string, n long, first long, in_header boolean", None
+    for i in range(parts):
+        part = words if parts == 1 else words.filter(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == i)
+        plan = chunks.sparkSession.sparkContext.broadcast(sorted(r[0] for r in part.collect()))  # about WORDS
+        counts = chunks.select("uid", text, F.col(header) if header else F.lit("").alias("_h")).mapInArrow(_count(plan), schema)
+        found = counts if found is None else found.unionByName(counts)
+    return chunks.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def _count(plan) -> Callable:  # noqa: ANN001  a broadcast
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
+        vocabulary, automaton = plan.value, ahocorasick.Automaton()
         for k, word in enumerate(vocabulary):
             automaton.add_word(word, (k, len(word)))
         automaton.make_automaton()
@@ -146,7 +156,7 @@ def keyword_counts(chunks: DataFrame, keywords: DataFrame, text: str = "content"
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()))], names=["uid", "keyword", "n", "first", "in_header"])
 
-    return chunks.select("uid", text, F.col(header) if header else F.lit("").alias("_h")).mapInArrow(run, schema)
+    return run
 
 
 class _Best:
@@ -176,17 +186,11 @@ def keyword_search(chunks: DataFrame, keywords: DataFrame, k: int = 10, articles
     """
     found = None
     for part in _parts(keywords.filter("keyword <> ''")):
-        ids = part.select("query_id").distinct()
-        asked = part.groupBy("query_id").agg(F.collect_set("keyword").alias("keywords"))
-        for name, side, column in (("articles", articles, "article"), ("laws", laws, "law_tag")):
-            sets = ids.withColumn(name, F.array().cast("array<string>")) if side is None else side.join(ids, "query_id", "left_semi").groupBy("query_id").agg(F.collect_set(column).alias(name))
-            asked = asked.join(sets, "query_id", "left")
-        rows = asked.orderBy("query_id").collect()  # QUERY_ROWS at most
+        rows = asked_rows(part, articles, laws)
         if not rows:
             continue
-        query_type = dict(keywords.dtypes)["query_id"]
-        plan = chunks.sparkSession.sparkContext.broadcast([(r["query_id"], sorted(r["keywords"]), sorted(r["articles"] or []), set(r["laws"] or [])) for r in rows])
-        schema = f"query_id {query_type}, uid string, similarity double, article_match boolean, law_match boolean"
+        plan = chunks.sparkSession.sparkContext.broadcast(rows)
+        schema = hit_schema(dict(keywords.dtypes)["query_id"])
         hits = chunks.select("uid", "law_tag", text, F.col(header) if header else F.lit("").alias("_h")).mapInArrow(_rank(plan, k, to_arrow_schema(StructType.fromDDL(schema))), schema)
         ranked = top(hits, k, F.desc("similarity"), F.desc("article_match"), F.desc("law_match"), F.col("uid"))
         found = ranked if found is None else found.unionByName(ranked)
@@ -195,48 +199,95 @@ def keyword_search(chunks: DataFrame, keywords: DataFrame, k: int = 10, articles
     return found.select("query_id", "uid", "similarity", F.lit("keyword").alias("origin"))
 
 
+class Scorer:
+    """Scores of texts for a list of queries (id, keywords, cited articles, laws); keywords of all queries, and articles of
+    all queries, each go through a text once, in an automaton."""
+
+    def __init__(self, queries: list[tuple]) -> None:
+        self.words = sorted({w for _, words, _, _ in queries for w in words})
+        place, asking, self.total = {w: i for i, w in enumerate(self.words)}, [[] for _ in self.words], len(queries)
+        self.by_law: dict[str, list[int]] = {}
+        citing: dict[str, list[int]] = {}
+        for q, (_, words, articles, laws) in enumerate(queries):
+            for w in words:
+                asking[place[w]].append(q)
+            for law in laws:
+                self.by_law.setdefault(law, []).append(q)
+            for article in articles:
+                citing.setdefault(article.lower(), []).append(q)
+        self.askers, self.always = [np.array(a) for a in asking], citing.pop("", [])
+        self.automaton = ahocorasick.Automaton()
+        for w, i in place.items():
+            self.automaton.add_word(w, (i, len(w)))
+        self.automaton.make_automaton()
+        self.articles = ahocorasick.Automaton()
+        for article, who in citing.items():
+            self.articles.add_word(article, who)
+        if citing:
+            self.articles.make_automaton()
+
+    def cited(self, uid: str, low: str) -> np.ndarray:
+        """Which queries cite an article that the uid or the header names."""
+        out = np.zeros(self.total, bool)
+        out[self.always] = True
+        if len(self.articles):
+            for where in (uid.lower(), low):
+                for _, who in self.articles.iter(where):
+                    out[who] = True
+        return out
+
+    def score(self, uid: str, law: str | None, body: str | None, head: str | None) -> tuple[np.ndarray, ...] | None:
+        """(queries, similarity, article match, law match) of the queries of which a keyword occurs; None if none does."""
+        seen = _occurrences(self.automaton, (body or "").lower())
+        if not seen:
+            return None
+        low = (head or "").lower()
+        which = [self.askers[i] for i in seen]
+        lengths = [len(w) for w in which]
+        q = np.concatenate(which)
+        times, first, in_head = (np.repeat(np.array(x), lengths) for x in ([s[0] for s in seen.values()], [s[1] for s in seen.values()], [self.words[i] in low for i in seen]))
+        ids, at = np.unique(q, return_inverse=True)
+        begin = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(begin, at, first)
+        size = len(body)
+        score = 0.30 + 0.10 * (np.bincount(at, times) * 1000 / max(size, 1)) + 0.08 * np.bincount(at, in_head)
+        score += np.where(begin < 200, 0.06, np.where(begin < 500, 0.03, 0.0)) + (-0.14 if size < 300 else -0.07 if size < 500 else 0.0)
+        article, wanted = self.cited(uid, low)[ids], np.zeros(self.total, bool)
+        wanted[self.by_law.get(law, [])] = True
+        score += 0.20 * article + 0.04 * wanted[ids]
+        return ids, np.floor(np.minimum(0.58, score) * 1e6 + 0.5) / 1e6, article, wanted[ids]
+
+
+def asked_rows(part: DataFrame, articles: DataFrame | None, laws: DataFrame | None) -> list[tuple]:
+    """(query_id, keywords, articles, laws) of the queries of one part, in order of query_id."""
+    ids = part.select("query_id").distinct()
+    asked = part.groupBy("query_id").agg(F.collect_set("keyword").alias("keywords"))
+    for name, side, column in (("articles", articles, "article"), ("laws", laws, "law_tag")):
+        sets = ids.withColumn(name, F.array().cast("array<string>")) if side is None else side.join(ids, "query_id", "left_semi").groupBy("query_id").agg(F.collect_set(column).alias(name))
+        asked = asked.join(sets, "query_id", "left")
+    rows = asked.orderBy("query_id").collect()  # QUERY_ROWS at most
+    return [(r["query_id"], sorted(r["keywords"]), sorted(r["articles"] or []), set(r["laws"] or [])) for r in rows]
+
+
+def hit_schema(query_type: str) -> str:
+    return f"query_id {query_type}, uid string, similarity double, article_match boolean, law_match boolean"
+
+
+def best_batch(best: _Best, queries: list[tuple], k: int, schema: pa.Schema) -> pa.RecordBatch:
+    out = [(queries[q][0], uid, -s, not a, not l) for q, held in enumerate(best.held) for s, a, l, uid in sorted(held)[:k]]
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
+
+
 def _rank(plan, k: int, schema: pa.Schema) -> Callable:  # noqa: ANN001  a broadcast
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = plan.value
-        vocabulary = {w: i for i, w in enumerate(sorted({w for _, words, _, _ in queries for w in words}))}
-        asking: list[list[int]] = [[] for _ in vocabulary]
-        by_law: dict[str, list[int]] = {}
-        citing = [(q, a.lower()) for q, (_, _, articles, _) in enumerate(queries) for a in articles]
-        automaton = ahocorasick.Automaton()
-        for q, (_, words, _, laws) in enumerate(queries):
-            for w in words:
-                asking[vocabulary[w]].append(q)
-            for law in laws:
-                by_law.setdefault(law, []).append(q)
-        for w, i in vocabulary.items():
-            automaton.add_word(w, (i, len(w)))
-        automaton.make_automaton()
-        askers, best = [np.array(a) for a in asking], _Best(len(queries), k)
-        words = list(vocabulary)
+        scorer, best = Scorer(queries), _Best(len(queries), k)
         for batch in batches:
             for uid, law, body, head in zip(*(c.to_pylist() for c in batch.columns)):
-                seen = _occurrences(automaton, (body or "").lower())
-                if not seen:
-                    continue
-                low = (head or "").lower()
-                which = [askers[i] for i in seen]
-                lengths = [len(w) for w in which]
-                q = np.concatenate(which)
-                times, first, in_head = (np.repeat(np.array(x), lengths) for x in ([s[0] for s in seen.values()], [s[1] for s in seen.values()], [words[i] in low for i in seen]))
-                ids, at = np.unique(q, return_inverse=True)
-                begin = np.full(len(ids), np.iinfo(np.int64).max)
-                np.minimum.at(begin, at, first)
-                size, match = len(body), np.zeros(len(queries), bool)
-                score = 0.30 + 0.10 * (np.bincount(at, times) * 1000 / max(size, 1)) + 0.08 * np.bincount(at, in_head)
-                score += np.where(begin < 200, 0.06, np.where(begin < 500, 0.03, 0.0)) + (-0.14 if size < 300 else -0.07 if size < 500 else 0.0)
-                match[[q for q, a in citing if a in uid.lower() or a in low]] = True
-                article = match[ids]
-                match[:] = False
-                match[by_law.get(law, [])] = True
-                score += 0.20 * article + 0.04 * match[ids]
-                best.add(uid, ids, np.floor(np.minimum(0.58, score) * 1e6 + 0.5) / 1e6, article, match[ids])
-        out = [(queries[q][0], uid, -s, not a, not l) for q, held in enumerate(best.held) for s, a, l, uid in sorted(held)[:k]]
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
+                scored = scorer.score(uid, law, body, head)
+                if scored is not None:
+                    best.add(uid, *scored)
+        yield best_batch(best, queries, k, schema)
 
     return run
 
@@ -283,7 +334,7 @@ def hybrid_steps(vector: DataFrame, keyword: DataFrame | None = None, forced: Da
     # The earliest step gives a hit its similarity; what a rule forces is raised to the rule's.
     found = first.groupBy("query_id", "uid").agg(F.min_by(F.struct("similarity", "origin"), "step").alias("_f"), F.max(F.when(F.col("step") == 3, F.col("similarity"))).alias("_s"))
     hits = found.select("query_id", "uid", F.greatest("_f.similarity", "_s").alias("similarity"), "_f.origin")
-    hits = hits.persist()  # a few rows a query, read by each later step; made anew if lost
+    hits = written(hits, "hits")  # a few rows a query, read by each later step
     if chunks is not None and "parent_chunk_uid" in chunks.columns:
         hits = hits.unionByName(parent_hits(hits, chunks))
     if edges is None:

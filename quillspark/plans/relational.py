@@ -234,6 +234,14 @@ def j3(spark, d):
     return graph.neighbourhood(edges(spark, d), seeds, depth=2)
 
 
+@query("j3_three_steps", f"""WITH RECURSIVE {_NEAR}, w(seed, uid, level) AS (SELECT DISTINCT 's_' || s_suppkey, 's_' || s_suppkey, 0 FROM supplier
+UNION SELECT w.seed, n.neighbour, w.level + 1 FROM w JOIN near n ON n.node = w.uid WHERE w.level < 3)
+SELECT seed, uid, min(level) AS level FROM w GROUP BY ALL HAVING min(level) > 0""")
+def j3_three(spark, d):
+    seeds = table(spark, d, "supplier").select(F.concat(F.lit("s_"), "s_suppkey").alias("uid"))
+    return graph.neighbourhood(edges(spark, d), seeds, depth=3)
+
+
 @query("j4_fetch_by_uid", f"""WITH {LAW_CHUNKS} SELECT 'ley_' || law_tag || '_art_' || num AS uid, min(chunk_uid) AS chunk_uid FROM law_chunks GROUP BY 1""")
 def j4(spark, d):
     c = law_chunks(spark, d)

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, guardrail, retrieval, trees, vector_index
+from ..operators import audit, guardrail, keyword_index, retrieval, trees, vector_index
 from ..operators.versioned import VersionedTable
+from ..sources.scratch import scratch
 from ..streaming import streams
 from .tables import CHUNKS, EDGES, chunks, edges, table
 from .texts import _STRIP, markdown_of
@@ -70,7 +68,7 @@ def o1(spark, d):
 @query("r2_inverted_lists")
 def r2(spark, d):
     """Four fifths of the vectors are indexed, the rest is added to the stored lists, then the index is searched."""
-    path, c = _scratch(spark, "index"), _answering(spark, d)
+    path, c = scratch(spark, "index"), _answering(spark, d)
     later = F.pmod(F.crc32("uid"), F.lit(5)) == 0
     vector_index.build_index(c.filter(~later), path)
     vector_index.add_vectors(c, path)
@@ -141,6 +139,18 @@ def r3(spark, d):
     return _keyword_hits(spark, d, 10).select("query_id", "uid", "similarity")
 
 
+_SEARCH_PLAIN = _SEARCH.replace("contains(uid, '_' || query_id) OR contains(head, '_' || query_id)", "false")
+
+
+@query("r3_indexed_search", f"WITH {_SEARCH_PLAIN} SELECT query_id, uid, similarity FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, article_match DESC, law_match DESC, uid) <= 10")
+def r3_indexed(spark, d):
+    """The index is written, then searched by queries that cite no article."""
+    path, queries = scratch(spark, "keywords"), _items(spark, d)
+    keyword_index.build_keyword_index(_texts(spark, d), path, header="header")
+    laws = queries.select("query_id", F.lit("en").alias("law_tag"))
+    return keyword_index.indexed_search(spark, path, _keywords(spark, d), 10, laws=laws).select("query_id", "uid", "similarity")
+
+
 @query("o2_keyword_top_k", f"WITH {_SEARCH} SELECT query_id, uid FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, article_match DESC, law_match DESC, uid) <= 25")
 def o2(spark, d):
     return _keyword_hits(spark, d, 25).select("query_id", "uid")
@@ -543,30 +553,10 @@ def v1(spark, d):
     return table(spark, d, "documents").select("doc_id", embed_column(T.truncate(F.col("text")), 64).alias("embedding"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder of the shared one; a machine's own folder only in local sessions that name none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone at exit; the folder is scratch space
-        pass
-
-
 @query("s12_replace_law", "SELECT doc_id, lang AS law_tag, CASE WHEN lang = 'de' AND doc_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM documents WHERE lang <> 'de' OR doc_id % 2 = 0")
 def s12(spark, d):
     """One law is replaced by fewer chunks, in one commit; the others' files stay as they are."""
-    laws = VersionedTable(spark, _scratch(spark, "laws"), "doc_id")
+    laws = VersionedTable(spark, scratch(spark, "laws"), "doc_id")
     rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("law_tag"))
     laws.upsert(rows.withColumn("version", F.lit(1)))
     laws.replace("law_tag", rows.filter("law_tag = 'de' and doc_id % 2 = 0").withColumn("version", F.lit(2)))
@@ -577,7 +567,7 @@ def s12(spark, d):
 def s12_partitions(spark, d):
     from ..sources.sinks import replace_partitions
 
-    path = _scratch(spark, "laws")
+    path = scratch(spark, "laws")
     rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("law_tag"))
     rows.withColumn("version", F.lit(1)).write.partitionBy("law_tag").parquet(path)
     replace_partitions(rows.filter("law_tag = 'de'").withColumn("version", F.lit(2)), path, "law_tag")
@@ -593,7 +583,7 @@ SELECT chunk_uid, content_hash, version FROM now WHERE chunk_uid NOT IN (SELECT
 def s10_versioned(spark, d):
     """Commits of a store: chunks, an upsert of what is unseen with each uid twice, deletions, a broken commit, compaction."""
     c = chunks(spark, d)
-    stored = VersionedTable(spark, _scratch(spark, "store"))
+    stored = VersionedTable(spark, scratch(spark, "store"))
     stored.upsert(c.filter("source_type <> 'src1'").select("chunk_uid", "content_hash", F.lit(1).alias("version")))
     incoming = c.select("chunk_uid", F.when(F.col("law_tag") == "de", F.sha2(F.concat("content", F.lit("!")), 256)).otherwise(F.col("content_hash")).alias("content_hash"), F.lit(2).alias("version"))
     stored.upsert(incoming.unionByName(incoming.withColumn("version", F.lit(3))), "version", unseen="content_hash")
@@ -607,7 +597,7 @@ def s10_versioned(spark, d):
 UNION ALL SELECT chunk_uid || '_new', sha256(content || ' ') FROM chunks WHERE is_derogada""")
 def s13(spark, d):
     c = chunks(spark, d, flags=True)
-    stored = VersionedTable(spark, _scratch(spark, "store"))
+    stored = VersionedTable(spark, scratch(spark, "store"))
     stored.upsert(c.select("chunk_uid", "content_hash"))
     gone = c.filter("is_derogada")
     stored.delete(gone, gone.select(F.concat("chunk_uid", F.lit("_new")).alias("chunk_uid"), F.sha2(F.concat("content", F.lit(" ")), 256).alias("content_hash")))
@@ -616,7 +606,7 @@ def s13(spark, d):
 
 def _written_records(spark, d, name: str) -> str:
     """Documents written as text files, one folder each, to be read back by the markdown readers."""
-    path = _scratch(spark, "records")
+    path = scratch(spark, "records")
     table(spark, d, "documents").select("text").write.option("lineSep", "\u0001").text(path)
     return path
 
@@ -643,7 +633,7 @@ def s2(spark, d):
 def s5(spark, d):
     from ..sources.readers import read_trees
 
-    path = _scratch(spark, "trees")
+    path = scratch(spark, "trees")
     _trees(spark, d).repartition(5).write.option("ignoreNullFields", True).json(path)
     good, _ = read_trees(spark, path)
     return good.select("tree_id", F.size("nodes").alias("n_nodes"))
@@ -653,8 +643,8 @@ def s5(spark, d):
 SELECT sha256(content) AS content_hash, any_value(CASE WHEN contains(lower(content), 'idiot') OR contains(lower(content), 'lowei') THEN 'a' WHEN contains(lower(content), 'license') THEN 'b' ELSE 'ley' END) AS law_tag, any_value(length(content))::BIGINT AS chars, count_if(doc_id % 2 = 0) > 0 AS in_first FROM r GROUP BY 1""")
 def st1(spark, d):
     """Markdown files, one a document: half of them, then all, those of the first half again. All rows come from the store."""
-    files, log = _scratch(spark, "files"), _scratch(spark, "log")
-    store = VersionedTable(spark, _scratch(spark, "store"))
+    files, log = scratch(spark, "files"), scratch(spark, "log")
+    store = VersionedTable(spark, scratch(spark, "store"))
     records = markdown_of(spark, d)
     for n, part in enumerate((records.filter("doc_id % 2 = 0"), records)):
         part.select("record").write.option("maxRecordsPerFile", 1).text(f"{files}/{n}")
@@ -664,7 +654,7 @@ def st1(spark, d):
 
 @query("st2_query_log_stream", "SELECT user_id AS chat_id, count(*) AS n FROM events GROUP BY 1")
 def st2(spark, d):
-    path = _scratch(spark, "log")
+    path = scratch(spark, "log")
     events = streams.as_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
     streams.append_log(events.select(F.col("user_id").alias("chat_id"), F.col("props").alias("query_text")), path, f"{path}-log")
     return spark.read.parquet(path).groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"))
@@ -681,7 +671,7 @@ j AS (SELECT user_id, part, string_agg(fact, ',' ORDER BY fact) AS facts FROM f
 SELECT b.user_id AS chat_id, ts AS closed_at, CASE WHEN event_type = 'purchase' THEN 'result' ELSE 'topic' END AS closed_by, coalesce(facts, '') AS facts FROM b LEFT JOIN j USING (user_id, part) WHERE closes""")
 def st3(spark, d):
     """A sign-up brings the question of the trees' second node; clicks answer with a number, views with a text."""
-    path = _scratch(spark, "pending")
+    path = scratch(spark, "pending")
     events = streams.as_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
     kind = F.when(F.col("event_type") == "purchase", "result").when(F.col("event_type") == "error", "topic").when(F.col("event_type") == "signup", "pending").otherwise("answer")
     fact = F.when(F.col("event_type") == "click", (F.floor("value") % 4).cast("string")).otherwise(F.col("event_type"))

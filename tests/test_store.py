@@ -7,6 +7,7 @@ from quillspark.functions import text as T
 from quillspark.operators import retrieval, store, vector_index
 from quillspark.operators.versioned import Conflict, VersionedTable
 from quillspark.plans import search
+from quillspark.sources.scratch import scratch
 from quillspark.streaming import streams
 from tests.conftest import SF
 
@@ -21,7 +22,7 @@ def state(table, version=None):
 
 @pytest.fixture
 def table(spark):
-    return VersionedTable(spark, search._scratch(spark, "store"), "uid", buckets=4)
+    return VersionedTable(spark, scratch(spark, "store"), "uid", buckets=4)
 
 
 def test_commits_merge_and_compaction_changes_nothing(spark, table):
@@ -89,7 +90,7 @@ def test_refusals(spark, table):
     with pytest.raises(ValueError, match="columns"):
         table.upsert(spark.createDataFrame([("a", 1)], "uid string, n int"))
     with pytest.raises(ValueError, match="no table"):
-        VersionedTable(spark, search._scratch(spark, "none")).read()
+        VersionedTable(spark, scratch(spark, "none")).read()
     assert state(table) == [("a", "x", 1)]
 
 
@@ -155,7 +156,7 @@ def test_context_ends_in_date_instance_and_document(spark):
 def test_stored_lists_find_nine_in_ten_and_read_few(spark):
     """On all vectors of sf0.1: recall, what is read, and a second search and an addition without a fit."""
     big = SF.replace("0.001", "0.1")
-    path, c, asking = search._scratch(spark, "index"), search._answering(spark, big), search._asking(spark, big)
+    path, c, asking = scratch(spark, "index"), search._answering(spark, big), search._asking(spark, big)
     later = F.pmod(F.crc32("uid"), F.lit(5)) == 0
     vector_index.build_index(c.filter(~later), path)
     vector_index.add_vectors(c, path)
@@ -171,7 +172,7 @@ def test_stored_lists_find_nine_in_ten_and_read_few(spark):
 
 
 def test_index_edges(spark):
-    path = search._scratch(spark, "index")
+    path = scratch(spark, "index")
     c = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("a", [1.0, 0.0, 0.0]), ("b", [0.0, 1.0, 0.0]), ("c", None), ("d", [0.0, 0.0, 0.0]), ("e", [1.0, 2.0]), ("f", [0.9, 0.1, 0.0])], "uid string, embedding array<float>")
     vector_index.build_index(c, path, lists=2)
     q = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0]), (3, None)], "query_id long, embedding array<float>")
