@@ -8,11 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import in_order
+
 
 def gaps(numbers: DataFrame, wider_than: int = 5, first: int = 5) -> DataFrame:
     """Per law the first gaps between consecutive article numbers: (law_tag, num, next_num, missing)."""
-    by = Window.partitionBy("law_tag").orderBy("num")
-    rows = numbers.select("law_tag", "num").distinct().withColumn("next_num", F.lead("num").over(by))
+    rows = in_order(numbers.select("law_tag", "num").distinct(), ["law_tag"], ["num"], {"next_num": "num"})
+    by = Window.partitionBy("law_tag").orderBy("num")  # Spark keeps the first few of each task before it deals them
     rows = rows.filter(F.col("next_num") - F.col("num") > wider_than).withColumn("_n", F.row_number().over(by))
     return rows.filter(F.col("_n") <= first).select("law_tag", "num", "next_num", (F.col("next_num") - F.col("num") - 1).alias("missing"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .ordered import in_order
 
 TRIPLE = ["source_chunk_uid", "target_chunk_uid", "relation_type"]
 
@@ -81,9 +82,9 @@ def broken(edges: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def precedence(chunks: DataFrame) -> DataFrame:
     """Last chunk of each article -> first chunk of the next one of its law, as precede_a edges."""
-    ends = chunks.groupBy("law_tag", "num").agg(F.max_by("chunk_uid", F.struct("chunk_index", "chunk_uid")).alias("source_chunk_uid"), F.min_by("chunk_uid", F.struct("chunk_index", "chunk_uid")).alias("_first"))
-    after = F.lead("_first").over(Window.partitionBy("law_tag").orderBy("num"))
-    return ends.withColumn("target_chunk_uid", after).filter(F.col("target_chunk_uid").isNotNull()).select("source_chunk_uid", "target_chunk_uid", F.lit("precede_a").alias("relation_type"))
+    ends = chunks.groupBy("law_tag", "num").agg(F.max_by("chunk_uid", F.struct("chunk_index", "chunk_uid")).alias("source_chunk_uid"), F.min_by("chunk_uid", F.struct("chunk_index", "chunk_uid")).alias("first_chunk_uid"))
+    found = in_order(ends, ["law_tag"], ["num"], {"target_chunk_uid": "first_chunk_uid"})
+    return found.filter(F.col("target_chunk_uid").isNotNull()).select("source_chunk_uid", "target_chunk_uid", F.lit("precede_a").alias("relation_type"))
 
 
 def citations_to_edges(cited: DataFrame, chunks: DataFrame) -> DataFrame:

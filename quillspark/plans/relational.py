@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, graph, store
@@ -422,9 +422,10 @@ def o5(spark, d):
 SELECT 'l' || l_suppkey AS law_tag, l_orderkey || '_' || lower(l_returnflag) || '_' || l_linenumber AS article, l_orderkey AS num, lower(l_returnflag) AS letter, l_linenumber AS sub FROM lineitem)""")
 def o6(spark, d):
     from ..functions.text import natural_key
+    from ..operators.ordered import in_order
 
     lines = table(spark, d, "lineitem").select(F.concat(F.lit("l"), "l_suppkey").alias("law_tag"), F.concat_ws("_", "l_orderkey", F.lower("l_returnflag"), "l_linenumber").alias("article"))
-    return lines.withColumn("place", F.row_number().over(Window.partitionBy("law_tag").orderBy(natural_key(F.col("article"))))).select("article", "law_tag", F.col("place").cast("long").alias("place"))
+    return in_order(lines, ["law_tag"], [natural_key(F.col("article"))], place="place").select("article", "law_tag", "place")
 
 
 @query("o7_latest_queries", "SELECT event_id AS id, user_id AS chat_id, props AS query_text FROM events WHERE props <> '' ORDER BY ts DESC, event_id DESC LIMIT 50")
