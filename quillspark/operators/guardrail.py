@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
+from ..functions.spread import spread
 from ..functions.text import normalise_article
+from .pattern_set import PatternSet
+
+#: What a context covers: numbers of its marks, law and number of its uids, numbers that it mentions.
+COVERS = [r"(?i)ART[ÍI]CULO:[ ]*(?:Art\. )?([0-9][0-9a-z]*)", r"ley_([a-z_]+?)_art_([0-9][0-9a-z_]*)", r"[Aa]rt[íi]culo +([0-9][0-9°a-z]*)"]
 
 
 def available_articles(context: Column) -> Column:
     """What a context covers: numbers of its marks and mentions, and law:article of its uids."""
-    marks = F.transform(F.regexp_extract_all(context, F.lit(r"(?i)ART[ÍI]CULO:[ ]*(?:Art\. )?([0-9][0-9a-z]*)"), 1), normalise_article)
-    laws = F.regexp_extract_all(context, F.lit(r"ley_([a-z_]+?)_art_([0-9][0-9a-z_]*)"), 1)
-    arts = F.regexp_extract_all(context, F.lit(r"ley_([a-z_]+?)_art_([0-9][0-9a-z_]*)"), 2)
+    marks = F.transform(F.regexp_extract_all(context, F.lit(COVERS[0]), 1), normalise_article)
+    laws, arts = (F.regexp_extract_all(context, F.lit(COVERS[1]), group) for group in (1, 2))
     uids = F.zip_with(laws, arts, lambda a, b: F.concat(a, F.lit(":"), F.translate(b, "_", " ")))
-    said = F.transform(F.regexp_extract_all(context, F.lit(r"[Aa]rt[íi]culo +([0-9][0-9°a-z]*)"), 1), normalise_article)
+    said = F.transform(F.regexp_extract_all(context, F.lit(COVERS[2]), 1), normalise_article)
     return F.array_distinct(F.concat(marks, uids, said))
 
 
@@ -84,3 +91,69 @@ def annotate(answer: Column, alerts: Column, unverified: Column, shown: int = 3)
     quoted = F.array_join(F.transform(F.slice(unverified, 1, shown), lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", ")
     warn = F.when(F.size(unverified) > 0, F.concat(F.lit("\n\n[WARN] "), quoted, more)).otherwise("")
     return F.concat(answer, alert, warn)
+
+
+# --- whole batches -----------------------------------------------------------------------------------------------------
+
+def _number(text: str) -> str:
+    return text.strip(" \t\n\r\f\x0b").rstrip("°º.-").lower()
+
+
+class Checker:
+    """``available_articles``, ``cited`` and ``in_context`` for texts one by one, patterns being sets."""
+
+    def __init__(self, patterns: Sequence[str], law_names: Sequence[tuple[str, str]] = ()) -> None:
+        self.answers, self.contexts, self.law_names = PatternSet(patterns), PatternSet(COVERS), law_names
+
+    def available(self, context: str) -> set[str]:
+        return {f"{m[1]}:{m[2].replace('_', ' ')}" if i == 1 else _number(m[1]) for i, m in self.contexts.matches(context)}
+
+    def cited(self, answer: str) -> list[tuple[str, str | None]]:
+        found: dict[str, str | None] = {}
+        for _, m in self.answers.matches(answer):
+            if m[0] not in found:
+                found[m[0]] = _number(m[1]) if m.re.groups and m[1] is not None else None
+        return list(found.items())
+
+    def law(self, citation: str) -> str | None:
+        low = citation.lower()
+        return next((tag for name, tag in self.law_names if name in low), None)
+
+    @staticmethod
+    def covers(have: set[str], num: str | None, law: str | None) -> bool:
+        if num is not None:
+            return num in have or law is not None and f"{law}:{num}" in have
+        return law is not None and any(a.startswith(f"{law}:") for a in have)
+
+
+def verify(answers: DataFrame, patterns: Sequence[str], law_names: Sequence[tuple[str, str]], answer: str = "answer", context: str | None = "context", keep: Sequence[str] | None = None) -> DataFrame:
+    """(columns to keep, citation, num, place, law_tag, found): ``citations`` and ``verified`` in one pass over the rows.
+
+    Without a context nothing is found. keep: columns of ``answers`` that are given back, all but the texts by default.
+    """
+    texts = [answer] if context is None else [answer, context]
+    keep = [c for c in answers.columns if c not in texts] if keep is None else list(keep)
+    schema = StructType([*(answers.schema[c] for c in keep), StructField("citation", StringType()), StructField("num", StringType()), StructField("place", IntegerType()), StructField("law_tag", StringType()), StructField("found", BooleanType())])
+    rows = answers.select(*keep, *(F.col(c).alias(f"_t{i}") for i, c in enumerate(texts)))
+    return spread(rows).mapInArrow(_verify(list(patterns), list(law_names), len(keep), to_arrow_schema(schema)), schema)
+
+
+def _verify(patterns: list[str], law_names: list[tuple[str, str]], kept: int, schema: pa.Schema) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        checker = Checker(patterns, law_names)
+        for batch in batches:
+            answers = batch.column(kept).to_pylist()
+            contexts = batch.column(kept + 1).to_pylist() if batch.num_columns > kept + 1 else [None] * len(answers)
+            at, out = [], []
+            for i, (answer, context) in enumerate(zip(answers, contexts)):
+                found = checker.cited(answer) if answer else []
+                have = checker.available(context) if found and context else set()
+                for place, (citation, num) in enumerate(found):
+                    law = checker.law(citation)
+                    at.append(i)
+                    out.append((citation, num, place, law, checker.covers(have, num, law)))
+            columns = [batch.column(j).take(pa.array(at, pa.int64())) for j in range(kept)]
+            made = zip(*out) if out else [[]] * 5
+            yield pa.record_batch([*columns, *(pa.array(c, schema.field(kept + j).type) for j, c in enumerate(made))], schema=schema)
+
+    return run

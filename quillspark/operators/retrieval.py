@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import vectors
+from ..functions.spread import spread
 from ..sources.scratch import written
 from . import graph
 
@@ -136,7 +137,7 @@ def keyword_counts(chunks: DataFrame, keywords: DataFrame, text: str = "content"
     for i in range(parts):
         part = words if parts == 1 else words.filter(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == i)
         plan = chunks.sparkSession.sparkContext.broadcast(sorted(r[0] for r in part.collect()))  # about WORDS
-        counts = chunks.select("uid", text, F.col(header) if header else F.lit("").alias("_h")).mapInArrow(_count(plan), schema)
+        counts = spread(chunks.select("uid", text, F.col(header) if header else F.lit("").alias("_h"))).mapInArrow(_count(plan), schema)
         found = counts if found is None else found.unionByName(counts)
     return chunks.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -191,7 +192,7 @@ def keyword_search(chunks: DataFrame, keywords: DataFrame, k: int = 10, articles
             continue
         plan = chunks.sparkSession.sparkContext.broadcast(rows)
         schema = hit_schema(dict(keywords.dtypes)["query_id"])
-        hits = chunks.select("uid", "law_tag", text, F.col(header) if header else F.lit("").alias("_h")).mapInArrow(_rank(plan, k, to_arrow_schema(StructType.fromDDL(schema))), schema)
+        hits = spread(chunks.select("uid", "law_tag", text, F.col(header) if header else F.lit("").alias("_h"))).mapInArrow(_rank(plan, k, to_arrow_schema(StructType.fromDDL(schema))), schema)
         ranked = top(hits, k, F.desc("similarity"), F.desc("article_match"), F.desc("law_match"), F.col("uid"))
         found = ranked if found is None else found.unionByName(ranked)
     if found is None:

@@ -5,14 +5,19 @@ Texts are cut by look-ahead patterns that leave the marker at the start of its p
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions.text import chunk_sentences, strip
+from ..functions.spread import spread
+from ..functions.text import strip
 
 
 @dataclass(frozen=True)
@@ -101,13 +106,99 @@ def children(text: Column, pattern: Pattern) -> Column:
     return F.filter(out, lambda x: x["text"] != "")
 
 
+class Cutter:
+    """Articles, numerals, letters and chunks of a text, each in one scan for its marks; spans are offsets in the text."""
+
+    def __init__(self, pattern: Pattern, limit: int = 3500, least: int = 10) -> None:
+        mark = lambda p: p and re.compile(p, re.ASCII)
+        self.article, self.numeral, self.letter, self.transitory = (mark(p) for p in (pattern.article, pattern.numeral, pattern.letter, pattern.transitory))
+        self.limit, self.least = limit, least
+
+    @staticmethod
+    def _tiles(found: list[re.Match], end: int) -> list[tuple[re.Match, int]]:
+        """Each mark with where the next begins."""
+        return list(zip(found, [*(m.start() for m in found[1:]), end]))
+
+    def articles(self, text: str) -> list[tuple[str, int, int]]:
+        """(ident, begin, end), the main body's, then the transitory ones."""
+        late = self.transitory.search(text) if self.transitory else None
+        split, out = late.start() if late else len(text), []
+        for begin, end, prefix in ((0, split, ""), (split, len(text), "trans_")):
+            kept: list[re.Match] = []
+            for m in self.article.finditer(text, begin, end):
+                if not kept or m.start() - kept[-1].start() >= self.least:
+                    kept.append(m)
+            out += [(prefix + re.sub("[°º]", "", m[1]), m.start(), stop) for m, stop in self._tiles(kept, end)]
+        return out
+
+    def leaves(self, text: str) -> list[tuple[str, str]]:
+        """(path, text) as ``children`` has them."""
+        numerals = list(self.numeral.finditer(text)) if self.numeral else []
+        parts: list[tuple[str, str]] = []
+        if len(numerals) >= 2:
+            for m, end in self._tiles(numerals, len(text)):
+                parts += self._letters(text, m.start(), end, f"n{m[1]}_") or [(f"n{m[1]}", text[m.start() : end])]
+        else:
+            parts = self._letters(text, 0, len(text), "") or [("", text)]
+        stripped = ((path, part.strip(_BLANK)) for path, part in parts)
+        return [(path, part) for path, part in stripped if part]
+
+    def _letters(self, text: str, begin: int, end: int, lead: str) -> list[tuple[str, str]]:
+        found = list(self.letter.finditer(text, begin, end)) if self.letter else []
+        return [(lead + m[1], text[m.start() : stop]) for m, stop in self._tiles(found, end)] if len(found) >= 2 else []
+
+    def chunks(self, text: str) -> list[str]:
+        """Sentences packed up to the limit, as ``chunk_sentences`` has them."""
+        if len(text) <= self.limit:
+            return [text]
+        done, open_ = [], ""
+        for sentence in _SENTENCE.split(text):
+            if open_ and len(open_) + len(sentence) + 1 > self.limit:
+                done.append(open_)
+                open_ = sentence
+            else:
+                open_ = f"{open_} {sentence}" if open_ else sentence
+        return [*done, open_] if open_ else done
+
+
+_BLANK = " \t\n\r\f\x0b"
+_SENTENCE = re.compile(r"(?<=[.!?])[ \t\n\r]+(?=[A-ZÁÉÍÓÚÜÑ])")
+
+
+def _cut(docs: DataFrame, text: str, columns: list[tuple[str, str]], rows_of: Callable[[str], list[tuple]]) -> DataFrame:
+    """A row for each row that ``rows_of`` makes of a text, with the document's other columns."""
+    other = [c for c in docs.columns if c != text]
+    schema = StructType([*(docs.schema[c] for c in other), *(StructField(name, _KINDS[kind]) for name, kind in columns)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):  # so that what a batch of long texts gives stays small
+                part = batch.slice(a, 256)
+                at, out = [], []
+                for i, value in enumerate(part.column(len(other)).to_pylist()):
+                    made = rows_of(value) if value is not None else []
+                    at += [i] * len(made)
+                    out += made
+                kept = [part.column(j).take(pa.array(at, pa.int64())) for j in range(len(other))]
+                values = zip(*out) if out else [[]] * len(columns)
+                yield pa.record_batch([*kept, *(pa.array(c, arrow.field(len(other) + j).type) for j, c in enumerate(values))], schema=arrow)
+
+    return spread(docs.select(*other, text)).mapInArrow(run, schema)
+
+
+_KINDS = {"int": IntegerType(), "string": StringType()}
+
+
 def articles(docs: DataFrame, pattern: Pattern = LAW, text: str = "text") -> DataFrame:
     """One row per article (place, ident, article): the main body's, then the transitory ones, named trans_."""
-    main, late = split_transitory(F.col(text), pattern.transitory)
-    name = lambda prefix: lambda p: F.struct(F.concat(F.lit(prefix), F.regexp_replace(F.regexp_extract(p, f"^(?:{pattern.article})", 1), "[°º]", "")).alias("ident"), strip(p).alias("article"))
-    both = F.concat(F.transform(merge_close(pieces(main, pattern.article)), name("")), F.transform(merge_close(pieces(late, pattern.article)), name("trans_")))
-    rows = docs.select(*(c for c in docs.columns if c != text), F.posexplode(both).alias("place", "_a"))
-    return rows.select("*", "_a.ident", "_a.article").drop("_a").filter("article <> ''")
+    cutter = Cutter(pattern)
+
+    def rows_of(value: str) -> list[tuple]:
+        found = ((i, ident, value[a:b].strip(_BLANK)) for i, (ident, a, b) in enumerate(cutter.articles(value)))
+        return [x for x in found if x[2]]
+
+    return _cut(docs, text, [("place", "int"), ("ident", "string"), ("article", "string")], rows_of)
 
 
 def one_article(docs: DataFrame, number: str, pattern: Pattern = LAW, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -119,22 +210,33 @@ def one_article(docs: DataFrame, number: str, pattern: Pattern = LAW, text: str
 def law_chunks(docs: DataFrame, pattern: Pattern = LAW, text: str = "text", law: str = "law_tag", limit: int = 3500) -> DataFrame:
     """Chunks of laws: leaves of the hierarchy, packed; uids ley_{law}_art_{n}[_n{m}][_{letter}][_{i}], repeated ones
     marked _dup2 ... in order. A law without articles is one chunk ley_{law}_full of 10000 characters, hashed in full."""
-    other = [c for c in docs.columns if c not in (text,)]
-    leaves = articles(docs, pattern, text).select(*other, "place", "ident", F.posexplode(children(F.col("article"), pattern)).alias("leaf_no", "_l"))
-    leaves = leaves.withColumn("_p", chunk_sentences(F.col("_l.text"), limit))
-    parts = leaves.select(*other, "place", "ident", "leaf_no", F.col("_l.path").alias("path"), F.posexplode("_p").alias("chunk_index", "content"), F.size("_p").alias("total_chunks"))
+    cutter = Cutter(pattern, limit)
+
+    def rows_of(value: str) -> list[tuple]:
+        if not cutter.article.search(value):
+            return [(0, 0, None, "", 0, 1, value)]
+        out = []
+        for place, (ident, a, b) in enumerate(cutter.articles(value)):
+            article = value[a:b].strip(_BLANK)
+            for leaf, (path, part) in enumerate(cutter.leaves(article) if article else []):
+                parts = cutter.chunks(part)
+                out += [(place, leaf, ident, path, i, len(parts), chunk) for i, chunk in enumerate(parts)]
+        return out
+
+    other = [c for c in docs.columns if c != text]
+    parts = _cut(docs, text, [("place", "int"), ("leaf_no", "int"), ("ident", "string"), ("path", "string"), ("chunk_index", "int"), ("total_chunks", "int"), ("content", "string")], rows_of)
     # The chain of levels: the article, then the numeral and the letter of the path.
     number, letter = F.regexp_extract("path", "^n([^_]+)", 1), F.regexp_extract("path", "^(?:n[^_]+_)?([^n_][^_]*)$", 1)
     levels = [("articulo", F.col("ident")), ("numeral", F.when(number != "", number)), ("letra", F.when(letter != "", letter))]
     hierarchy = F.concat_ws("/", *(F.concat(F.lit(f"{kind}_"), name) for kind, name in levels))
     section = F.concat_ws(" ", *(F.concat(F.lit(f"{kind.upper()} "), name) for kind, name in levels), F.upper(law))
+    whole = F.col("ident").isNull()  # a law without articles
     base = F.concat_ws("_", F.lit("ley"), law, F.lit("art"), F.lower("ident"), F.when(F.col("path") != "", F.col("path")))
-    uid = F.when(F.col("chunk_index") > 0, F.concat_ws("_", base, F.col("chunk_index"))).otherwise(base)
-    chunks = parts.select(*other, "place", "leaf_no", uid.alias("chunk_uid"), hierarchy.alias("hierarchy_path"), section.alias("section_level_name"), "chunk_index", "total_chunks", "content", F.left(F.sha2("content", 256), F.lit(32)).alias("content_hash"))
-    none = docs.filter(F.size(pieces(F.col(text), pattern.article)) == 0)
-    full = none.select(*other, F.lit(0).alias("place"), F.lit(0).alias("leaf_no"), F.concat_ws("_", F.lit("ley"), law, F.lit("full")).alias("chunk_uid"), F.lit("").alias("hierarchy_path"), F.upper(law).alias("section_level_name"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.left(text, F.lit(10_000)).alias("content"), F.left(F.sha2(text, 256), F.lit(32)).alias("content_hash"))
+    uid = F.when(whole, F.concat_ws("_", F.lit("ley"), law, F.lit("full"))).when(F.col("chunk_index") > 0, F.concat_ws("_", base, F.col("chunk_index"))).otherwise(base)
+    content = F.when(whole, F.left("content", F.lit(10_000))).otherwise(F.col("content"))
+    chunks = parts.select(*other, "place", "leaf_no", uid.alias("chunk_uid"), F.when(whole, "").otherwise(hierarchy).alias("hierarchy_path"), F.when(whole, F.upper(law)).otherwise(section).alias("section_level_name"), "chunk_index", "total_chunks", content.alias("content"), F.left(F.sha2("content", 256), F.lit(32)).alias("content_hash"))
     n = F.row_number().over(Window.partitionBy("chunk_uid").orderBy(*other, "place", "leaf_no", "chunk_index"))
-    return chunks.unionByName(full).withColumn("chunk_uid", F.when(n > 1, F.concat_ws("_dup", "chunk_uid", n)).otherwise(F.col("chunk_uid")))
+    return chunks.withColumn("chunk_uid", F.when(n > 1, F.concat_ws("_dup", "chunk_uid", n)).otherwise(F.col("chunk_uid")))
 
 
 def lettered_sections(text: Column, stop: str = r"\n *(?:BIS|TER|QU[AÁ]TER|ART[IÍ]CULO)") -> Column:

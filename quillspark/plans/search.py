@@ -396,17 +396,12 @@ _CITED = """c AS (SELECT l_orderkey, l_linenumber, unnest([{'citation': 'Artícu
 
 @query("t37_citations", f"WITH {_CITED} SELECT l_orderkey, l_linenumber, c.citation, c.num FROM c")
 def t37(spark, d):
-    return guardrail.citations(_answers(spark, d), _PATTERNS).select("l_orderkey", "l_linenumber", "citation", "num")
+    return guardrail.verify(_answers(spark, d), _PATTERNS, _NAMES, context=None).select("l_orderkey", "l_linenumber", "citation", "num")
 
 
 @query("t38_verification", f"WITH {_CITED} SELECT l_orderkey, l_linenumber, c.citation, c.found FROM c")
 def t38(spark, d):
-    return _verified(spark, d).select("l_orderkey", "l_linenumber", "citation", "found")
-
-
-def _verified(spark, d):
-    answers = _answers(spark, d).withColumn("available", guardrail.available_articles(F.col("context")))
-    return guardrail.verified(guardrail.citations(answers, _PATTERNS), _NAMES, available="available")
+    return guardrail.verify(_answers(spark, d), _PATTERNS, _NAMES).select("l_orderkey", "l_linenumber", "citation", "found")
 
 
 _BANNED = [("vivienda habitual.*exenta", "no such exemption"), ("plazo mínimo", "no such term")]
