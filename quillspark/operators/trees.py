@@ -1,7 +1,6 @@
 """Decision trees evaluated over tables of cases.
 
-Trees are small documents that people write, so node tables are broadcast; cases are many. Nodes are rows (tree_id,
-node_id, is_root, type, question, help, legal_ref, summary, details, warnings, next_steps, branches, next_node,
+A tree is a document, held by a task as one map; cases are many. Nodes are rows (tree_id, node_id, is_root, type, question, help, legal_ref, summary, details, warnings, next_steps, branches, next_node,
 legal_refs); cases are rows (case_id, tree_id, facts map<string,string>).
 """
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
+from . import retrieval
 
 
 def node_table(trees: DataFrame) -> DataFrame:
@@ -35,9 +35,12 @@ def search_index(trees: DataFrame) -> DataFrame:
 
 
 def tree_scores(queries: DataFrame, index: DataFrame, text: str = "text") -> DataFrame:
-    """(query_id, tree_id, score): how many of a tree's keys occur in the normalised query."""
-    hits = queries.select("query_id", normalise(F.col(text)).alias("q")).join(F.broadcast(index), F.contains(F.col("q"), F.col("key")))
-    return hits.groupBy("query_id", "tree_id").agg(F.count(F.lit(1)).alias("score"))
+    """(query_id, tree_id, score): how many of a tree's keys occur in the normalised query. All keys go through a query once."""
+    kind = dict(queries.dtypes)["query_id"]
+    told = queries.select(F.col("query_id").cast("string").alias("uid"), normalise(F.col(text)).alias("content"))
+    found = retrieval.keyword_counts(told, index.select(F.col("key").alias("keyword"))).select("uid", F.col("keyword").alias("key"))
+    hits = found.join(index, "key").select(F.col("uid").cast(kind).alias("query_id"), "tree_id", "key")
+    return hits.groupBy("query_id", "tree_id").agg(F.count_distinct("key").alias("score"))
 
 
 def ranked_trees(scores: DataFrame) -> DataFrame:
@@ -63,16 +66,35 @@ def next_by_facts(branches: Column, facts: Column) -> Column:
     return F.get(F.filter(branches, taken), F.lit(0))["next_node"]
 
 
+def signatures(cases: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Cases of known trees with ``_sig``, what of their facts can decide a branch of their tree, and ``_matter``, its map."""
+    conditions_ = nodes.groupBy("tree_id").agg(F.array_distinct(F.flatten(F.collect_list("branches.condition"))).alias("_conditions"))
+    decides = lambda k, v: (F.coalesce(v, F.lit("")) != "") & ((F.lower(v) == "true") & F.array_contains("_conditions", k) | F.exists("_conditions", lambda c: F.contains(F.lower(c), F.lower(v))))
+    known = cases.join(conditions_, "tree_id").withColumn("_matter", F.map_filter("facts", decides)).drop("_conditions")
+    return known.withColumn("_sig", F.coalesce(F.to_json(F.array_sort(F.map_entries("_matter"))), F.lit("")))
+
+
 def walk(cases: DataFrame, nodes: DataFrame, steps: int | None = None) -> DataFrame:
     """(case columns, node_id, node_type, path): each case from the root to a result, an unresolved decision, a dead end
-    or a node it has seen. Case rows never shuffle: each step is a look-up in the tree's nodes, which come along as one
-    broadcast map a tree. No path is longer than the largest tree has nodes, so without ``steps`` that many are taken at
-    most."""
+    or a node it has seen.
+
+    Cases of one tree that agree in the facts that matter to it take one way: each of these signatures is walked once and
+    joined back, so the steps' cost follows the signatures, not the cases. No path is longer than the largest tree has
+    nodes, so without ``steps`` that many are taken at most.
+    """
     if steps is None:
         steps = nodes.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 1
+    keyed = signatures(cases, nodes)
+    apart = keyed.groupBy("tree_id", "_sig").agg(F.any_value("_matter").alias("facts"))
+    walked = _walk(apart, nodes, steps).select("tree_id", "_sig", "path", "node_id", "node_type")
+    return keyed.drop("_matter").join(walked, ["tree_id", "_sig"]).select(*cases.columns, "path", "node_id", "node_type")
+
+
+def _walk(cases: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
+    """Each step is a look-up in the tree's nodes, which come along as one map a tree."""
     step = F.struct("type", "branches", "next_node")
     maps = nodes.groupBy("tree_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", step.alias("s")))).alias("_nodes"), F.max(F.when(F.col("is_root"), F.col("node_id"))).alias("_root"))
-    rows = cases.join(F.broadcast(maps), "tree_id")
+    rows = cases.join(maps, "tree_id")
 
     def move(state: Column, _: Column) -> Column:
         here = F.element_at(state, -1)
@@ -83,7 +105,7 @@ def walk(cases: DataFrame, nodes: DataFrame, steps: int | None = None) -> DataFr
 
     rows = rows.withColumn("path", F.aggregate(F.sequence(F.lit(1), F.lit(int(steps))), F.array("_root"), move))
     at = F.element_at("path", -1)
-    return rows.withColumn("node_id", at).withColumn("node_type", F.try_element_at(F.col("_nodes"), at)["type"]).drop("_nodes", "_root")
+    return rows.withColumn("node_id", at).withColumn("node_type", F.try_element_at(F.col("_nodes"), at)["type"])
 
 
 def resume(walked: DataFrame, more: DataFrame, nodes: DataFrame) -> DataFrame:

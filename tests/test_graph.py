@@ -40,3 +40,21 @@ def test_plans_stay_linear(spark):
     sizes = [graph.neighbourhood(df, seeds, depth)._jdf.queryExecution().optimizedPlan().toString().count("\n") for depth in (2, 3, 4, 5)]
     steps = [b - a for a, b in zip(sizes, sizes[1:])]
     assert max(steps) <= min(steps) + 2 and max(steps) <= 8
+
+
+def test_walks_by_signature(spark):
+    """Each case takes the way that plain Python finds; cases that agree in what matters share one signature."""
+    from quillspark.operators import trees
+
+    branch = lambda *b: [{"condition": c, "next_node": n} for c, n in b]
+    nodes = spark.createDataFrame(
+        [("t", "r", True, "decision", branch(("Big Order", "a"), ("paid", "b")), None), ("t", "a", False, "info", [], "r"), ("t", "b", False, "decision", branch(("late or lost", "c")), None), ("t", "c", False, "result", [], None), ("u", "r", True, "info", [], "gone")],
+        "tree_id string, node_id string, is_root boolean, type string, branches array<struct<condition:string,next_node:string>>, next_node string")
+    facts = [{"size": "big"}, {"size": "big", "noise": "17"}, {"paid": "true"}, {"paid": "TRUE", "how": "LATE", "x": ""}, {"paid": "false"}, {}, None, {"how": None}]
+    cases = [(i, t, f) for i, (t, f) in enumerate((t, f) for t in ("t", "u", "none") for f in facts)]
+    df = spark.createDataFrame(cases, "case_id int, tree_id string, facts map<string,string>")
+    got = {r["case_id"]: (r["path"], r["node_type"]) for r in trees.walk(df, nodes).collect()}
+    ways = [["r", "a"], ["r", "a"], ["r", "b"], ["r", "b", "c"], ["r"], ["r"], ["r"], ["r"]]
+    kinds = ["info", "info", "decision", "result", "decision", "decision", "decision", "decision"]
+    assert got == {**{i: (w, k) for i, (w, k) in enumerate(zip(ways, kinds))}, **{8 + i: (["r"], "info") for i in range(8)}}
+    assert trees.signatures(df, nodes).filter("tree_id = 't'").select("_sig").distinct().count() == 5
