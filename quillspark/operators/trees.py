@@ -1,7 +1,7 @@
 """Decision trees evaluated over tables of cases.
 
-A tree is a document, held by a task as one map; cases are many. Nodes are rows (tree_id, node_id, is_root, type, question, help, legal_ref, summary, details, warnings, next_steps, branches, next_node,
-legal_refs); cases are rows (case_id, tree_id, facts map<string,string>).
+A tree is a document, held by a task as one map; cases are many. Nodes are rows (tree_id, node_id, is_root, type,
+question, help, legal_ref, summary, details, warnings, next_steps, branches, next_node, legal_refs); cases are rows (case_id, tree_id, facts map<string,string>).
 """
 
 from __future__ import annotations

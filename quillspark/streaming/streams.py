@@ -49,7 +49,7 @@ def append_log(rows: DataFrame, path: str, log: str, limit: int = 2000) -> None:
 
 
 class PendingCases(StatefulProcessor):
-    """Facts of an open case per chat; a result or a new topic closes it. State has no expiry.
+    """Facts of an open case per chat; a result or a new topic closes it.
 
     A row of kind ``pending`` brings the branches of the question that waits for an answer. An answer that is a number
     from 1 to their number makes that branch's condition a fact; any other answer is a fact itself.
@@ -60,11 +60,14 @@ class PendingCases(StatefulProcessor):
         self.branches = handle.getMapState("branches", "place int", "condition string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
+        yield self.apply(key, pd.concat(list(rows)).sort_values("ts", kind="stable"))
+
+    def apply(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Take rows in order into the state; gives the cases that they close."""
         out = []
-        for row in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples():
+        for row in rows.itertuples():
             if row.kind in ("result", "topic"):
-                known = sorted(k[0] for k in self.facts.keys()) if self.facts.exists() else []  # noqa: SIM118
-                out.append((key[0], row.ts, row.kind, ",".join(known)))
+                out.append((key[0], row.ts, row.kind, self.known()))
                 self.facts.clear()
                 self.branches.clear()
             elif row.kind == "pending":
@@ -77,17 +80,79 @@ class PendingCases(StatefulProcessor):
                     fact = self.branches.getValue((int(fact),))[0]
                 old = self.facts.getValue((fact,)) if self.facts.containsKey((fact,)) else (0,)
                 self.facts.updateValue((fact,), (int(old[0]) + 1,))
-        yield pd.DataFrame(out, columns=["chat_id", "closed_at", "closed_by", "facts"])
+        return pd.DataFrame(out, columns=["chat_id", "closed_at", "closed_by", "facts"])
+
+    def known(self) -> str:
+        return ",".join(sorted(k[0] for k in self.facts.keys())) if self.facts.exists() else ""  # noqa: SIM118
 
     def close(self) -> None:
         pass
 
 
-def pending_cases(rows: DataFrame, path: str, log: str) -> None:
+class TimedCases(PendingCases):
+    """The same in order of event time, with expiry.
+
+    Rows wait until the watermark has passed them, so those that come late, in a later batch too, take their place; then
+    their timer takes them in. A case without a row for ``expiry_ms`` is closed as ``expired`` and forgotten.
+    """
+
+    def __init__(self, expiry_ms: int | None) -> None:
+        self.expiry_ms = expiry_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts timestamp, kind string, fact string, branches array<string>")
+        self.last = handle.getValueState("last", "ms long")
+
+    @staticmethod
+    def _ms(ts: pd.Timestamp) -> int:
+        return -(-pd.Timestamp(ts).value // 1_000_000)  # rounded up: the row is due when this has passed
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
+        came = pd.concat(list(rows))
+        listed = lambda b: None if b is None else list(b)
+        self.waiting.appendList([(r.ts.to_pydatetime(), r.kind, r.fact, listed(r.branches)) for r in came.itertuples()])
+        for ms in {self._ms(ts) for ts in came["ts"]}:
+            self.handle.registerTimer(ms)
+        yield pd.DataFrame([], columns=["chat_id", "closed_at", "closed_by", "facts"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803  Spark passes these by name
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["ts", "kind", "fact", "branches"])
+        due = held["ts"].map(self._ms) <= now if len(held) else pd.Series([], dtype=bool)
+        if due.any():
+            out = self.apply(key, held[due].sort_values("ts", kind="stable"))
+            rest = held[~due]
+            self.waiting.clear()
+            if len(rest):
+                self.waiting.put([(r.ts, r.kind, r.fact, r.branches) for r in rest.itertuples()])
+            if self.expiry_ms is not None:
+                latest = max(map(self._ms, held[due]["ts"]))
+                self.last.update((latest,))
+                self.handle.registerTimer(latest + self.expiry_ms)
+            yield out
+        elif self.expiry_ms is not None and self.last.exists() and now >= self.last.get()[0] + self.expiry_ms and (self.facts.exists() or self.branches.exists()):
+            out = [(key[0], pd.Timestamp(now, unit="ms"), "expired", self.known())]
+            self.facts.clear()
+            self.branches.clear()
+            self.last.clear()
+            yield pd.DataFrame(out, columns=["chat_id", "closed_at", "closed_by", "facts"])
+        else:
+            yield pd.DataFrame([], columns=["chat_id", "closed_at", "closed_by", "facts"])
+
+
+def pending_cases(rows: DataFrame, path: str, log: str, lateness: str | None = None, expiry_ms: int | None = None) -> None:
     """Closed cases of rows (chat_id, ts, kind, fact, branches array<string>) with the facts gathered since the last one.
 
-    Within a batch the rows of a chat are taken in order of ts.
+    Without ``lateness`` a batch's rows are taken when they come, those of a chat in order of ts, and state stays until a
+    case closes. With it (as ``10 minutes``) rows are taken in order of event time over all batches, once the watermark has
+    passed them; rows older than the watermark are dropped, and ``expiry_ms`` closes cases that rest for so long.
     """
     _rocksdb(rows.sparkSession)
-    closed = rows.groupBy("chat_id").transformWithStateInPandas(PendingCases(), "chat_id long, closed_at timestamp, closed_by string, facts string", "Append", "None")
+    out = "chat_id long, closed_at timestamp, closed_by string, facts string"
+    if lateness is None:
+        closed = rows.groupBy("chat_id").transformWithStateInPandas(PendingCases(), out, "Append", "None")
+    else:
+        closed = rows.withWatermark("ts", lateness).groupBy("chat_id").transformWithStateInPandas(TimedCases(expiry_ms), out, "Append", "EventTime")
     closed.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
