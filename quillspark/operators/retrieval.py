@@ -103,10 +103,10 @@ def query_keywords(queries: DataFrame, text: str, stopwords: DataFrame, synonyms
     """(query_id, keyword): lower-case words that are no stopwords and longer than 3 or a synonym's term, and what the
     synonym table (term, expansion) adds."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([0-9a-z_áéíóúüñàèìòùâêîôûäëïöçß]+)"), 1))).alias("keyword"))
-    words = words.join(F.broadcast(stopwords.select(F.col("word").alias("keyword")).distinct()), "keyword", "left_anti")
+    words = words.join(stopwords.select(F.col("word").alias("keyword")).distinct(), "keyword", "left_anti")
     if synonyms is None:
         return words.filter(F.length("keyword") > 3)
-    words = words.join(F.broadcast(synonyms.withColumnRenamed("term", "keyword")), "keyword", "left").filter((F.length("keyword") > 3) | F.col("expansion").isNotNull())
+    words = words.join(synonyms.withColumnRenamed("term", "keyword"), "keyword", "left").filter((F.length("keyword") > 3) | F.col("expansion").isNotNull())
     return words.select("query_id", F.explode(F.array_distinct(F.concat(F.array("keyword"), F.coalesce("expansion", F.array().cast("array<string>"))))).alias("keyword")).distinct()
 
 
@@ -295,15 +295,28 @@ def _rank(plan, k: int, schema: pa.Schema) -> Callable:  # noqa: ANN001  a broad
 
 # --- rules, parents, graph, fusion -----------------------------------------------------------------------------------
 
+def _met(queries: DataFrame, words: DataFrame, text: str) -> DataFrame:
+    """(query_id as string, keyword): the words that a query's lower-cased text holds."""
+    told = queries.select(F.col("query_id").cast("string").alias("uid"), F.col(text).alias("content"))
+    return keyword_counts(told, words).select(F.col("uid").alias("query_id"), "keyword").distinct()
+
+
 def forced_hits(queries: DataFrame, rules: DataFrame, chunks: DataFrame, text: str = "text") -> DataFrame:
     """Hits that rules (rule_id, all_of array<array<string>>, none_of array<string>, uids) force: each group of all_of
     must have a word in the query, none of none_of may occur. uids are fetched exactly, else by ``uid_`` prefix.
 
-    Rules are a small table that the user writes; it is broadcast.
+    Words of all rules go through a query once; what they meet is joined by equality, whatever the number of rules.
     """
-    lower = F.lower(F.col(text))
-    fits = F.forall("all_of", lambda group: F.exists(group, lambda w: F.contains(lower, w))) & ~F.exists("none_of", lambda w: F.contains(lower, w))
-    fired = queries.join(F.broadcast(rules), fits).select("query_id", F.explode("uids").alias("uid"))
+    kind, rules = dict(queries.dtypes)["query_id"], rules.filter(~F.exists("none_of", lambda w: w == ""))
+    groups = F.filter("all_of", lambda g: ~F.array_contains(g, ""))  # an empty word is in every text
+    wanted = rules.select("rule_id", F.size(groups).alias("n"), F.posexplode(groups).alias("group", "words")).select("rule_id", "n", "group", F.explode("words").alias("keyword"))
+    barred = rules.select("rule_id", F.explode("none_of").alias("keyword"))
+    met = _met(queries, wanted.select("keyword").union(barred.select("keyword")), text)
+    fired = met.join(wanted, "keyword").groupBy("query_id", "rule_id").agg(F.count_distinct("group").alias("g"), F.any_value("n").alias("n")).filter("g = n").select("query_id", "rule_id")
+    free = rules.filter(F.size(groups) == 0).select("rule_id")
+    fired = fired.union(queries.select(F.col("query_id").cast("string"), F.lit(1).alias("_k")).join(free.withColumn("_k", F.lit(1)), "_k").select("query_id", "rule_id"))  # all queries, by the rule's meaning
+    fired = fired.join(met.join(barred, "keyword").select("query_id", "rule_id"), ["query_id", "rule_id"], "left_anti")
+    fired = fired.join(rules.select("rule_id", "uids"), "rule_id").select(F.col("query_id").cast(kind).alias("query_id"), F.explode("uids").alias("uid"))
     found = graph.fetch(fired.select("uid"), chunks.select(F.col("uid").alias("chunk_uid")))
     return fired.join(found, "uid").select("query_id", F.col("chunk_uid").alias("uid"), F.lit(FORCED).alias("similarity"), F.lit("rule").alias("origin")).distinct()
 
@@ -371,7 +384,7 @@ NO_HITS = "No relevant sources were found."
 
 def context_headers(hits: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
     """Hits in order with their mark: [i] | LEY or TIPO | ARTICULO or SECCION | ARCHIVO | RELEVANCIA."""
-    rows = hits.join(chunks, "uid").join(F.broadcast(titles), "law_tag", "left")
+    rows = hits.join(chunks, "uid").join(titles, "law_tag", "left")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "uid"))
     article = F.translate(F.regexp_extract("uid", r"_art_(.+)$", 1), "_-", "  ")
     kind = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("LEY: "), "title")).when(F.coalesce("source_type", F.lit("")) != "", F.concat(F.lit("TIPO: "), F.initcap(F.translate("source_type", "_", " "))))
@@ -382,9 +395,12 @@ def context_headers(hits: DataFrame, chunks: DataFrame, titles: DataFrame) -> Da
 
 
 def notes_for(queries: DataFrame, notes: DataFrame, text: str = "text") -> DataFrame:
-    """(query_id, notes): texts of the notes (note_id, any_of, note) with a trigger in the query, in order; a small table."""
-    found = queries.join(F.broadcast(notes), F.exists("any_of", lambda w: F.contains(F.lower(text), w)))
-    return found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("note_id", "note"))).alias("_n")).select("query_id", F.transform("_n", lambda n: n["note"]).alias("notes"))
+    """(query_id, notes): texts of the notes (note_id, any_of, note) with a trigger in the query, in order. Triggers of all
+    notes go through a query once."""
+    kind, triggers = dict(queries.dtypes)["query_id"], notes.select("note_id", "note", F.explode("any_of").alias("keyword"))
+    found = _met(queries, triggers.select("keyword"), text).join(triggers, "keyword").select("query_id", "note_id", "note").distinct()
+    out = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("note_id", "note"))).alias("_n"))
+    return out.select(F.col("query_id").cast(kind).alias("query_id"), F.transform("_n", lambda n: n["note"]).alias("notes"))
 
 
 def build_context(queries: DataFrame, headed: DataFrame, notes: DataFrame | None = None) -> DataFrame:

@@ -478,7 +478,7 @@ def d4(spark, d):
 @query("d5_branch_choice", "SELECT o_orderkey AS case_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'fast' WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN 'state' END AS target FROM orders")
 def d5(spark, d):
     urgent = trees.node_table(_trees(spark, d)).filter("node_id = 'urgent'").select("tree_id", "branches")
-    return _cases(spark, d).join(F.broadcast(urgent), "tree_id").select("case_id", trees.next_by_facts(F.col("branches"), F.col("facts")).alias("target"))
+    return _cases(spark, d).join(urgent, "tree_id").select("case_id", trees.next_by_facts(F.col("branches"), F.col("facts")).alias("target"))
 
 
 @query("j14_case_branches", f"WITH {_WALK} SELECT node_id, count(*) AS cases FROM w GROUP BY 1")
@@ -508,7 +508,7 @@ def d8(spark, d):
     t = _trees(spark, d)
     nodes = trees.node_table(t)
     done = trees.walk(_cases(spark, d), nodes).filter("node_type = 'result'").drop("node_type")
-    rows = done.join(F.broadcast(nodes), ["tree_id", "node_id"]).join(F.broadcast(t.select("tree_id", "title", "law", "article")), "tree_id")
+    rows = done.join(nodes, ["tree_id", "node_id"]).join(t.select("tree_id", "title", "law", "article"), "tree_id")
     return rows.select("case_id", trees.answer_text().alias("answer"))
 
 
@@ -516,7 +516,7 @@ def d8(spark, d):
 def d9(spark, d):
     nodes = trees.node_table(_trees(spark, d))
     stalled = trees.walk(_cases(spark, d), nodes).filter("node_type = 'decision'").select("case_id", "tree_id", "node_id")
-    return stalled.join(F.broadcast(nodes), ["tree_id", "node_id"]).select("case_id", trees.pending_text().alias("question"))
+    return stalled.join(nodes, ["tree_id", "node_id"]).select("case_id", trees.pending_text().alias("question"))
 
 
 @query("d10_tree_edges", """SELECT 't_' || lower(seg) AS tree_id, u.source, u.target, u.label FROM (SELECT DISTINCT c_mktsegment AS seg FROM customer), (VALUES ('start', 'urgent', ''), ('urgent', 'fast', 'priority 1-urgent'), ('urgent', 'state', 'priority 2-high or 3-med'), ('state', 'done', 'finished'), ('state', 'missing', 'open')) u(source, target, label)""")

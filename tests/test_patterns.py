@@ -61,3 +61,19 @@ def test_laws_with_and_without_articles(spark):
     got = {r["chunk_uid"]: r for r in segment.law_chunks(docs).collect()}
     assert set(got) == {"ley_lir_art_1_n1", "ley_lir_art_1_n2", "ley_iva_full", "ley_iva_full_dup2"}
     assert len(got["ley_iva_full"]["content"]) == 10_000 and got["ley_iva_full"]["hierarchy_path"] == ""
+
+
+def test_rules_fire_as_read(spark):
+    from quillspark.operators import retrieval
+
+    rules = [(1, [["the", "a"], ["tion"]], ["zz"], ["u1"]), (2, [], [], ["u2"]), (3, [[""], ["of"]], None or [], ["u1", "u3"]), (4, [["of"]], [""], ["u2"]), (5, [[], ["of"]], [], ["u3"])]
+    queries = [(1, "The nation of"), (2, "zz a tion"), (3, "of"), (4, None), (5, "")]
+    fires = lambda t, all_of, none_of: all(any(w in t for w in g) for g in all_of) and not any(w in t for w in none_of)
+    expected = {(q, u) for q, t in queries for _, all_of, none_of, uids in rules if fires((t or "").lower(), all_of, none_of) for u in uids}
+    df = spark.createDataFrame(rules, "rule_id int, all_of array<array<string>>, none_of array<string>, uids array<string>")
+    chunks = spark.createDataFrame([("u1",), ("u2",), ("u3",)], "uid string")
+    got = {(r["query_id"], r["uid"]) for r in retrieval.forced_hits(spark.createDataFrame(queries, "query_id long, text string"), df, chunks).collect()}
+    assert got == expected
+    notes = spark.createDataFrame([(1, ["nation", "zz"], "n1"), (2, ["of"], "n2"), (3, ["missing"], "n3")], "note_id int, any_of array<string>, note string")
+    told = {r["query_id"]: r["notes"] for r in retrieval.notes_for(spark.createDataFrame(queries, "query_id long, text string"), notes).collect()}
+    assert told == {1: ["n1", "n2"], 2: ["n1"], 3: ["n2"]}

@@ -40,7 +40,7 @@ def test_close_starts(spark):
     """A start fewer than ten characters after the one before belongs to it, as in a line of references."""
     text = "A1.- x A2.- y and more text than that. A3.- short A4.- once more, far enough from others. A5.- end"
     got = spark.createDataFrame([(text,)], "text string").select(segment.merge_close(segment.pieces(F.col("text"), r"A([0-9])\.-")).alias("p")).first().p
-    assert got == ["A1.- x A2.- y and more text than that. ", "A3.- short ", "A4.- once more, far enough from others. ", "A5.- end"] or "".join(got) == text
+    assert got == ["A1.- x A2.- y and more text than that. ", "A3.- short ", "A4.- once more, far enough from others. ", "A5.- end"]
     assert got[0].startswith("A1.- x A2.-")
 
 
