@@ -299,10 +299,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("sub", F.xxhash64("text"))
-    # Each step is written, so that what it shuffled is gone before the next one begins.
+    # Each step is written, so that what it shuffled is gone before the next one begins. Marks and spans are sets: rows that
+    # share id and text have the same ones, and each of these rows gets them all.
     marks = stored(rows.mapInArrow(_find(length), "hash long, id long, sub long, run long"), "marks")
     often = stored(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hash"), "marks-often")
-    owned = stored(marks.join(often, "hash").groupBy("id", "sub").agg(F.collect_list(F.struct("run", "hash")).alias("marks")), "marks-owned")
+    owned = stored(marks.join(often, "hash").groupBy("id", "sub").agg(F.collect_set(F.struct("run", "hash")).alias("marks")), "marks-owned")
     near = rows.alias("r").join(owned.alias("o"), (F.col("r.id").eqNullSafe(F.col("o.id"))) & (F.col("r.sub") == F.col("o.sub")))
     near = near.select("r.id", "r.sub", "r.text", "o.marks")
     stretches = stored(near.mapInArrow(_cut(length), STRETCH), "stretches")
@@ -312,7 +313,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // shard_bytes))
     found = sent.repartition(int(shards), "hash").mapInArrow(_shard(length, queue_bytes), "id long, sub long, begin int, end int")
     spans = stretches.filter(F.col("content").isNull()).select("id", "sub", "begin", "end").union(found)
-    spans = stored(spans.groupBy("id", "sub").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    spans = stored(spans.groupBy("id", "sub").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
     release(stretches)
     out = rows.alias("r").join(spans.alias("s"), F.col("r.id").eqNullSafe(F.col("s.id")) & (F.col("r.sub") == F.col("s.sub")), "left").select("r.id", "r.text", "s.spans")
     return out.mapInArrow(_keep, "id long, n_bytes long, spans array<struct<begin:int,end:int>>, kept binary").withColumnRenamed("id", id_col)

@@ -1,5 +1,6 @@
 """Operators over several partitions, blocks and shards against brute force; clashing names and empty tables."""
 
+import hashlib
 import re
 import zlib
 
@@ -8,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm import embedding_dedup, language_id, toxicity
+from quillspark.llm import embedding_dedup, language_id, shared, substring_dedup, toxicity
 from quillspark.llm import queries as Q
 from quillspark.llm.embedding_dedup import embedding_groups
 from quillspark.llm.exact_dedup import exact_dedup
@@ -57,8 +58,8 @@ def test_pieces_of_odd_texts():
         assert whole.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
-def covered(data):
-    """What stays of each text (id, text) when repeated strings of 100 bytes go, by plain sets."""
+def covered(data, runs=None):
+    """What stays of each text (id, text) when repeated strings of 100 bytes go, by plain sets; ``runs``: removed runs of each."""
     seen, want = set(), {}
     for d, t in data:
         b = (t or "").encode()
@@ -68,6 +69,8 @@ def covered(data):
                 cover[i : i + 100] = b"\1" * 100
             seen.add(b[i : i + 100])
         want[d] = bytes(x for x, c in zip(b, cover) if not c)
+        if runs is not None:
+            runs[d] = len(re.findall(b"\1+", bytes(cover)))
     return want
 
 
@@ -87,6 +90,35 @@ def test_substrings_of_repeated_rows(spark):
     assert got == [(1, "x" + part), (1, "x" + part), (2, ""), (9, "y")]
 
 
+def test_substrings_of_rows_alike_are_marked_once(spark, monkeypatch):
+    """Hundreds of rows with one id and text bring the marks and spans of one row, not those of all to each of them."""
+    most = {}
+
+    def noted(df, name):
+        out = shared.stored(df, name)
+        if name in ("marks-owned", "spans"):
+            most.setdefault(name, []).append(out.select(F.max(F.size(out.columns[-1]))).first()[0])
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stored", noted)
+    part = "".join(np.random.default_rng(6).choice(list("abcde "), 1500))
+    for copies in (2, 300):
+        data = [(0, part[:700], "s")] + [(1, part, "s")] * copies
+        got = repeated_spans(frame(spark, data).repartition(4)).collect()
+        assert sorted((r.doc_id, bytes(r.kept).decode()) for r in got) == [(0, part[:700])] + [(1, part[700:])] * copies
+    assert len(set(most["marks-owned"])) == len(set(most["spans"])) == 1
+
+
+def test_substring_query_against_sets(spark):
+    """Counts, spans and digests of all documents."""
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    runs = {}
+    want = covered(docs, runs)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in Q.op8_substring_dedup(spark, SF).collect()}
+    size = {d: len((t or "").encode()) for d, t in docs}
+    assert got == {d: (size[d], size[d] - len(k), runs[d], hashlib.sha256(k).hexdigest()) for d, k in want.items()}
+
+
 def test_vectors_over_many_blocks(spark, monkeypatch):
     """Groups of some hundred near vectors meet in several blocks and batches of a list; none of their links is lost."""
     monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
