@@ -14,15 +14,15 @@ from . import retrieval
 
 
 def node_table(trees: DataFrame) -> DataFrame:
-    """Root and nodes as rows, missing texts and lists empty."""
+    """Root and nodes as rows, missing texts and lists empty; a node without a type decides, a root without an id is ``root``."""
     fields = ["type", "question", "help", "legal_ref", "summary", "details", "next_node"]
     lists = ["warnings", "next_steps", "legal_refs"]
     root = trees.select("tree_id", F.lit(True).alias("is_root"), F.col("root").alias("n"))
     rest = trees.select("tree_id", F.explode(F.map_entries("nodes")).alias("e")).select("tree_id", F.lit(False).alias("is_root"), F.struct(F.col("e.key").alias("id"), *(F.col(f"e.value.{f}").alias(f) for f in [*fields[:6], *lists[:2], "branches", "next_node", "legal_refs"])).alias("n"))
-    root = root.select("tree_id", "is_root", F.struct("n.id", *(F.col(f"n.{f}").alias(f) for f in [*fields[:6], *lists[:2], "branches", "next_node", "legal_refs"])).alias("n"))
+    root = root.select("tree_id", "is_root", F.struct(F.coalesce("n.id", F.lit("root")).alias("id"), *(F.col(f"n.{f}").alias(f) for f in [*fields[:6], *lists[:2], "branches", "next_node", "legal_refs"])).alias("n"))
     rows = root.unionByName(rest)
     return rows.select(
-        "tree_id", F.col("n.id").alias("node_id"), "is_root", *(F.coalesce(F.col(f"n.{f}"), F.lit("")).alias(f) for f in fields),
+        "tree_id", F.col("n.id").alias("node_id"), "is_root", *(F.coalesce(F.col(f"n.{f}"), F.lit("decision" if f == "type" else "")).alias(f) for f in fields),
         *(F.coalesce(F.col(f"n.{f}"), F.array().cast("array<string>")).alias(f) for f in lists),
         F.coalesce(F.col("n.branches"), F.array().cast("array<struct<condition:string,next_node:string>>")).alias("branches"),
     )
@@ -79,11 +79,12 @@ def walk(cases: DataFrame, nodes: DataFrame, steps: int | None = None) -> DataFr
     or a node it has seen.
 
     Cases of one tree that agree in the facts that matter to it take one way: each of these signatures is walked once and
-    joined back, so the steps' cost follows the signatures, not the cases. No path is longer than the largest tree has
-    nodes, so without ``steps`` that many are taken at most.
+    joined back, so the steps' cost follows the signatures, not the cases. Each step leaves a node that leads on, and none
+    is left twice, so without ``steps`` as many are taken as one tree has such nodes at most.
     """
     if steps is None:
-        steps = nodes.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 1
+        leading = nodes.filter((F.size("branches") > 0) | (F.col("next_node") != ""))
+        steps = leading.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 1
     keyed = signatures(cases, nodes)
     apart = keyed.groupBy("tree_id", "_sig").agg(F.any_value("_matter").alias("facts"))
     walked = _walk(apart, nodes, steps).select("tree_id", "_sig", "path", "node_id", "node_type")

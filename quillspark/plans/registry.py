@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, search, texts
+from . import part_trees, relational, search, texts
 
-MODULES = [relational, texts, search]
+MODULES = [relational, texts, search, part_trees]
 
 
 def queries() -> dict:

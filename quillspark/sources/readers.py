@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .files import parted, read_files
 
 RULING = "id string, codigo string, fecha string, tipoPronunciamiento struct<nombre:string>, instancia struct<nombre:string>, texto string, resumen string, urlDocumento string, articuloId string"
 NODE = "struct<id:string,type:string,question:string,help:string,legal_ref:string,summary:string,details:string,warnings:array<string>,next_steps:array<string>,branches:array<struct<condition:string,next_node:string>>,next_node:string,legal_refs:array<string>>"
 TREE = f"tree_id string, title string, law string, article string, description string, tags array<string>, root {NODE}, nodes map<string,{NODE}>"
+TREE_KEYS = "tree_id,title,law,article,description,root"
 
 
 def read_markdown(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -58,6 +60,20 @@ def read_trees(spark: SparkSession, path: str, drafts: bool = False) -> tuple[Da
     return raw.filter(whole).drop("_corrupt_record"), raw.filter(~whole).select("path", "tree_id")
 
 
+def read_tree_files(spark: SparkSession, path: str, drafts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Decision trees below ``path``, one a file: (trees, rejected files with content and reason).
+
+    A file is rejected if it is no JSON object, lacks one of ``TREE_KEYS`` or has a root that is no object. Of files with
+    one tree_id the last in the order of their paths, folder by folder, counts. Drafts, in folders named _drafts, by option.
+    """
+    files = read_files(spark, path, "*.json", format="json", required=TREE_KEYS, skip="" if drafts else "_drafts")
+    parsed = files.withColumn("t", F.when(F.col("reason").isNull(), F.from_json("content", TREE)))
+    odd = F.when(F.col("t.tree_id").isNull() | F.col("t.root").isNull(), "not a tree")
+    good, rejected = parted(parsed.withColumn("reason", F.coalesce("reason", odd)))
+    last = good.groupBy(F.col("t.tree_id").alias("_id")).agg(F.max_by("t", F.split("path", "/")).alias("t"))
+    return last.select("t.*"), rejected.drop("t")
+
+
 def pages_to_text(pages: DataFrame, path: str, number: str, text: str) -> DataFrame:
     """(path, pages_text, pages): pages in order, empty ones skipped, a newline after each."""
     full = pages.filter(F.col(text).isNotNull() & (F.col(text) != ""))
