@@ -6,6 +6,8 @@ question, help, legal_ref, summary, details, warnings, next_steps, branches, nex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,12 +99,16 @@ def _walk(cases: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
     maps = nodes.groupBy("tree_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", step.alias("s")))).alias("_nodes"), F.max(F.when(F.col("is_root"), F.col("node_id"))).alias("_root"))
     rows = cases.join(maps, "tree_id")
 
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:  # a value that is used often is worked out once
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def onward(node: Column) -> Column:
+        return F.when(node["type"] == "info", node["next_node"]).when(node["type"] == "decision", next_by_facts(node["branches"], F.col("facts")))
+
     def move(state: Column, _: Column) -> Column:
-        here = F.element_at(state, -1)
-        node = F.try_element_at(F.col("_nodes"), here)
-        target = F.when(node["type"] == "info", node["next_node"]).when(node["type"] == "decision", next_by_facts(node["branches"], F.col("facts")))
-        ok = target.isNotNull() & F.map_contains_key(F.col("_nodes"), F.coalesce(target, F.lit(""))) & ~F.array_contains(state, target)
-        return F.when(F.coalesce(ok, F.lit(False)), F.array_append(state, target)).otherwise(state)
+        target = bound(F.try_element_at(F.col("_nodes"), F.element_at(state, -1)), onward)
+        ok = lambda t: t.isNotNull() & F.map_contains_key(F.col("_nodes"), F.coalesce(t, F.lit(""))) & ~F.array_contains(state, t)
+        return bound(target, lambda t: F.when(F.coalesce(ok(t), F.lit(False)), F.array_append(state, t)).otherwise(state))
 
     rows = rows.withColumn("path", F.aggregate(F.sequence(F.lit(1), F.lit(int(steps))), F.array("_root"), move))
     at = F.element_at("path", -1)

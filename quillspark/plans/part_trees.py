@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.spread import spread
 from ..operators import trees
 from ..sources.files import read_files
 from ..sources.readers import TREE, read_tree_files
@@ -109,15 +110,18 @@ def s5_parts(spark, d):
     place = F.col("p_partkey") % 50
     rows = _documents(spark, d, law="if(p_partkey % 50 <> 1, 'parts', null)")
     cut = F.when(place == 0, F.concat(F.lit('{"tree_id": "'), "tree_id", F.lit('"'))).when(place == 2, F.concat(F.lit('["'), "tree_id", F.lit('"]'))).otherwise(F.col("json"))
-    rows.select(cut.alias("value")).write.format("text").option("maxRecordsPerFile", 1).save(f"{path}/txt")
+    rows.select(cut.alias("value")).repartition(spark.sparkContext.defaultParallelism).write.format("text").option("maxRecordsPerFile", 1).save(f"{path}/txt")
     files = read_files(spark, path, "part-*.txt", format="json", required="tree_id,title,law,article,description,root")
     tree = F.from_json("content", TREE)
     return files.select(F.regexp_extract("content", "part_[0-9]+", 0).alias("tree_id"), F.when(F.col("reason").isNull(), F.size(tree["nodes"])).cast("long").alias("n_nodes"), "reason")
 
 
-@query("s1_file_source", r"SELECT sha256(coalesce(text, '') || chr(10)) AS content_hash, strlen(coalesce(text, '')) + 1 AS size, CASE WHEN NOT regexp_matches(coalesce(text, ''), '\S') THEN 'empty' END AS reason FROM documents")
+@query("s1_file_source", "SELECT sha256(coalesce(text, '')) AS content_hash, length(coalesce(text, ''))::BIGINT AS chars FROM documents")
 def s1_files(spark, d):
-    """A file a document, read back in groups; empty ones are named as such."""
+    """Documents in files of 50, read back in groups of files."""
     path = scratch(spark, "rulings")
-    table(spark, d, "documents").select("text").write.option("maxRecordsPerFile", 1).text(path)
-    return read_files(spark, path, "part-*.txt").select(F.sha2("content", 256).alias("content_hash"), "size", "reason")
+    texts = spread(table(spark, d, "documents").select("text"))
+    texts.write.option("lineSep", "\u0001").option("maxRecordsPerFile", 50).text(path)
+    pieces = F.split("content", "\u0001")  # one more than there are texts
+    rows = read_files(spark, path, "part-*.txt").select(F.explode(F.slice(pieces, 1, F.size(pieces) - 1)).alias("t"))
+    return rows.select(F.sha2("t", 256).alias("content_hash"), F.length("t").cast("long").alias("chars"))
