@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.spread import spread
 from ..operators import audit, guardrail, keyword_index, retrieval, trees, vector_index
 from ..operators.versioned import VersionedTable
 from ..sources.scratch import scratch
@@ -380,7 +381,7 @@ _NAMES = [("renta", "lir"), ("dl-824", "lir"), ("dl-825", "iva")]
 
 def _answers(spark, d):
     """Answers about order lines, with the line's own article in the context."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))  # before there are texts to shuffle
     context = F.concat(F.lit("[1] | ARTÍCULO: Art. "), F.col("l_partkey"), F.lit(" | ley_lir_art_"), F.col("l_suppkey"), F.lit(" text Artículo 77 more"))
     answer = F.concat(F.lit("Según el Artículo "), F.col("l_suppkey"), F.lit(" de la ley de la renta y el Art. "), F.col("l_partkey") + 5_000_000, F.lit(" del DL-825, vivienda habitual exenta."))
     return lines.select("l_orderkey", "l_linenumber", context.alias("context"), answer.alias("answer"))
@@ -396,12 +397,12 @@ _CITED = """c AS (SELECT l_orderkey, l_linenumber, unnest([{'citation': 'Artícu
 
 @query("t37_citations", f"WITH {_CITED} SELECT l_orderkey, l_linenumber, c.citation, c.num FROM c")
 def t37(spark, d):
-    return guardrail.verify(_answers(spark, d), _PATTERNS, _NAMES, context=None).select("l_orderkey", "l_linenumber", "citation", "num")
+    return guardrail.verify(_answers(spark, d), _PATTERNS, _NAMES, context=None, dealt=True).select("l_orderkey", "l_linenumber", "citation", "num")
 
 
 @query("t38_verification", f"WITH {_CITED} SELECT l_orderkey, l_linenumber, c.citation, c.found FROM c")
 def t38(spark, d):
-    return guardrail.verify(_answers(spark, d), _PATTERNS, _NAMES).select("l_orderkey", "l_linenumber", "citation", "found")
+    return guardrail.verify(_answers(spark, d), _PATTERNS, _NAMES, dealt=True).select("l_orderkey", "l_linenumber", "citation", "found")
 
 
 _BANNED = [("vivienda habitual.*exenta", "no such exemption"), ("plazo mínimo", "no such term")]
@@ -414,9 +415,8 @@ def t39(spark, d):
 
 @query("t40_annotated_answer", """SELECT l_orderkey, l_linenumber, 'Según el Artículo ' || l_suppkey || ' de la ley de la renta y el Art. ' || (l_partkey + 5000000) || ' del DL-825, vivienda habitual exenta.' || chr(10) || chr(10) || '[ALERTA] no such exemption' || chr(10) || chr(10) || '[WARN] ''Art. ' || (l_partkey + 5000000) || ' del DL-825'', ''DL-825''' AS answer FROM lineitem""")
 def t40(spark, d):
-    rows = _answers(spark, d).withColumn("available", guardrail.available_articles(F.col("context")))
-    open_ = guardrail.unverified(F.col("answer"), F.col("available"), _PATTERNS, _NAMES)
-    return rows.select("l_orderkey", "l_linenumber", guardrail.annotate(F.col("answer"), guardrail.banned(F.col("answer"), _BANNED), open_).alias("answer"))
+    rows = guardrail.open_citations(_answers(spark, d), _PATTERNS, _NAMES, dealt=True)
+    return rows.select("l_orderkey", "l_linenumber", guardrail.annotate(F.col("answer"), guardrail.banned(F.col("answer"), _BANNED), F.col("unverified")).alias("answer"))
 
 
 # --- decision trees: one small tree per customer segment, every order a case -----------------------------------------
