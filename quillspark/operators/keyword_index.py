@@ -74,12 +74,11 @@ def build_keyword_index(chunks: DataFrame, path: str, text: str = "content", hea
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, []
         give = lambda: pa.record_batch([pa.array([v], f.type) for v, f in zip(_block(number, held), schema)], schema=schema)
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(row)
-                if len(held) == BLOCK:
-                    yield give()
-                    number, held = number + 1, []
+        for row in retrieval.singly(batches):
+            held.append(row)
+            if len(held) == BLOCK:
+                yield give()
+                number, held = number + 1, []
         if held:
             yield give()
 
@@ -145,7 +144,7 @@ def _first_blocks(sent):  # noqa: ANN001, ANN202
         bounds, best = _Bounds(queries), [[] for _ in queries]
         least = np.full(len(queries), -np.inf)
         for batch in batches:
-            for block, first, laws, *data in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, first, laws, *data in retrieval.singly([batch], 1):
                 score, article, law = bounds.of(laws, *data)
                 for q in np.flatnonzero((score >= least) & (score >= 0)).tolist():
                     item = (score[q], article[q], law[q], _Backward(first), block)
@@ -185,7 +184,7 @@ def _open_blocks(sent):  # noqa: ANN001, ANN202
         score_k = np.array([x[0] for x in kth])
         for batch in batches:
             out = []
-            for block, first, laws, *data in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, first, laws, *data in retrieval.singly([batch], 1):
                 score, article, law = bounds.of(laws, *data)
                 for q in np.flatnonzero((score >= score_k) & (score >= 0)).tolist():
                     s, a, l, uid = kth[q]
@@ -204,7 +203,7 @@ def _scored(sent, k: int, schema: pa.Schema):  # noqa: ANN001, ANN202
         queries = sent.value
         scorer, best = retrieval.Scorer(queries), retrieval._Best(len(queries), k)
         for batch in batches:
-            for who, uids, laws, contents, headers in zip(*(c.to_pylist() for c in batch.columns)):
+            for who, uids, laws, contents, headers in retrieval.singly([batch], 1):  # a row is a block of texts
                 asks = np.zeros(len(queries), bool)
                 asks[who] = True
                 for row in zip(uids, laws, contents, headers):

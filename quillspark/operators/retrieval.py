@@ -49,23 +49,120 @@ def match_chunks(queries: DataFrame, chunks: DataFrame, k: int | None = 10, by:
     highest cosine, rounded to 6 digits.
 
     by: columns of both sides that must be equal, as a law or a source; where: a condition on the chunks that is applied
-    before the search, as validity or visibility. Vectors are scaled to unit length once, so a comparison is one sum of
-    products; the query side is broadcast in parts of QUERY_ROWS at most.
+    before the search, as validity or visibility. The query side goes to the tasks in parts of QUERY_ROWS at most. A task
+    compares blocks of vectors by matrix products and gives out at most k rows a query, so what is shuffled doesn't grow
+    with the pairs.
     """
-    unit = lambda df: df.withColumn("_v", vectors.doubles("embedding")).withColumn("_l", vectors.norm(F.col("_v"))).filter("_l > 0").withColumn("_v", F.transform("_v", lambda x: x / F.col("_l")))
-    q = unit(queries).select("query_id", F.col("_v").alias("_q"), *(F.col(c).alias(f"_by_{c}") for c in by))
-    c = unit(chunks if where is None else chunks.filter(where)).select("uid", "_v", *by)
-    fits = F.size("_q") == F.size("_v")
-    for name in by:
-        fits &= F.col(name) == F.col(f"_by_{name}")
-    found = None
-    for part in _parts(q):
-        hits = c.join(F.broadcast(part), fits).select("query_id", "uid", F.round(vectors.dot(F.col("_q"), F.col("_v")), 6).alias("similarity"))
-        best = top(hits, clamp_k(k))
+    keys = F.array(*(F.col(c).cast("string") for c in by)) if by else F.array().cast("array<string>")
+    vector = F.col("embedding").cast("array<double>")
+    asked = queries.select("query_id", keys.alias("_by"), vector.alias("_v")).filter("_v is not null")
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, uid {dict(chunks.dtypes)['uid']}, similarity double"
+    rows = (chunks if where is None else chunks.filter(where)).select("uid", keys.alias("_by"), vector.alias("_v")).filter("_v is not null")
+    found, k = None, clamp_k(k)
+    for part in _parts(asked):
+        plan = chunks.sparkSession.sparkContext.broadcast(_Asked(part.collect()))  # QUERY_ROWS at most
+        best = top(spread(rows).mapInArrow(_nearest(plan, k, to_arrow_schema(StructType.fromDDL(schema))), schema), k)
         found = best if found is None else found.unionByName(best)
     return found.withColumn("origin", F.lit("vector"))
 
 
+class _Asked:
+    """Queries by what has to be equal (the columns asked for, the vectors' length): their places and unit vectors."""
+
+    def __init__(self, rows: list) -> None:
+        self.ids, groups = [r[0] for r in rows], {}
+        for place, (_, key, v) in enumerate(rows):
+            if None not in key and None not in v:
+                groups.setdefault((*key, len(v)), []).append(place)
+        self.groups = {}
+        for key, places in groups.items():
+            unit, good = units(np.array([rows[i][2] for i in places], np.float64).reshape(len(places), key[-1]))
+            self.groups[key] = (np.array(places)[good], unit)
+
+
+def units(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a matrix at unit length, and which rows these are; those of length 0 are left out."""
+    with np.errstate(all="ignore"):
+        length = np.sqrt(np.einsum("ij,ij->i", m, m))
+        good = ~(length <= 0)
+        return m[good] / length[good, None], good
+
+
+#: Pairs that a task compares at once and, at most, holds before it cuts them to the best.
+PAIRS = 1_000_000
+
+
+class _Closest:
+    """The first k hits of each query among the chunks of a task: by similarity, then uid."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.least, self.uids, self.pending = k, np.full(queries, -np.inf), [], 0
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, places: np.ndarray, asked: np.ndarray, uids: list, given: np.ndarray) -> None:
+        step = max(1, PAIRS // max(len(places), 1))
+        for a in range(0, len(given), step):
+            with np.errstate(all="ignore"):
+                s = asked @ given[a : a + step].T
+                q, c = np.nonzero(~(s < (self.least[places] - 2e-6)[:, None]))  # what is not a number counts as most, as in SQL
+                s = s[q, c]
+                s = np.copysign(np.floor(np.abs(s) * 1e6 + 0.5) / 1e6, s)
+            names, c = np.unique(c, return_inverse=True)
+            self.held.append((places[q], c + len(self.uids), s))
+            self.uids += [uids[a + i] for i in names.tolist()]
+            self.pending += len(q)
+            if self.pending >= PAIRS:
+                self.cut()
+
+    def cut(self) -> None:
+        q, c, s = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        order = sorted(range(len(self.uids)), key=lambda i: (self.uids[i] is not None, self.uids[i] or ""))
+        rank = np.empty(len(order), int)
+        rank[order] = np.arange(len(order))
+        worth = np.where(np.isnan(s), np.inf, s)
+        by = np.lexsort((rank[c], -worth, q))
+        q, c, s, worth = q[by], c[by], s[by], worth[by]
+        begin = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
+        place = np.arange(len(q)) - np.repeat(begin, np.diff(np.r_[begin, len(q)]))
+        self.least[q[place == self.k - 1]] = worth[place == self.k - 1]
+        keep = place < self.k
+        names, at = np.unique(c[keep], return_inverse=True)
+        self.uids, self.held, self.pending = [self.uids[i] for i in names.tolist()], [(q[keep], at, s[keep])], 0
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        self.cut()
+        q, c, s = self.held[0]
+        for a in range(0, len(q), 100_000):
+            yield q[a : a + 100_000], c[a : a + 100_000], s[a : a + 100_000]
+
+
+def _nearest(plan, k: int, schema: pa.Schema) -> Callable:  # noqa: ANN001  a broadcast
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = plan.value
+        best = _Closest(len(asked.ids), k)
+        for batch in batches:
+            uids, keys, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            values, ends = flat.to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            whole = np.ones(len(uids), bool)
+            if flat.null_count:
+                holes = np.r_[0, np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))]
+                whole = holes[ends] == holes[ends - sizes]
+            groups: dict[tuple, list[int]] = {}
+            for i, (key, size) in enumerate(zip(keys, sizes.tolist())):
+                if whole[i] and (*key, size) in asked.groups:
+                    groups.setdefault((*key, size), []).append(i)
+            for key, mine in groups.items():
+                at = (ends - sizes)[mine][:, None] + np.arange(key[-1])
+                given, good = units(values[at].astype(np.float64))
+                best.add(*asked.groups[key], [uids[i] for i, g in zip(mine, good.tolist()) if g], given)
+        for q, c, s in best.rows():
+            columns = [asked.ids[i] for i in q.tolist()], [best.uids[i] for i in c.tolist()], s
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
 def list_count(vectors: int, most: int = 100) -> int:
     """How many lists an index of so many vectors has: as their square root grows, up to ``most``."""
     return max(1, min(most, round(vectors**0.5)))
@@ -110,6 +207,17 @@ def query_keywords(queries: DataFrame, text: str, stopwords: DataFrame, synonyms
     return words.select("query_id", F.explode(F.array_distinct(F.concat(F.array("keyword"), F.coalesce("expansion", F.array().cast("array<string>"))))).alias("keyword")).distinct()
 
 
+#: Rows whose texts a task holds as Python strings at once, and rows it gives to Spark at once.
+TEXT_ROWS, OUT_ROWS = 64, 20_000
+
+
+def singly(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[tuple]:
+    """The rows of batches, turned into Python values a few at a time, so that long texts don't lie in memory twice."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield from zip(*(c.to_pylist() for c in batch.slice(a, rows).columns))
+
+
 def _occurrences(automaton: ahocorasick.Automaton, text: str) -> dict[int, list[int]]:
     """For each word that occurs: how often without overlaps, where first, and the end of the last."""
     last: dict[int, list[int]] = {}
@@ -148,14 +256,17 @@ def _count(plan) -> Callable:  # noqa: ANN001  a broadcast
         for k, word in enumerate(vocabulary):
             automaton.add_word(word, (k, len(word)))
         automaton.make_automaton()
-        for batch in batches:
-            out: list[tuple] = []
-            for uid, body, head in zip(*(c.to_pylist() for c in batch.columns)):
-                last = _occurrences(automaton, (body or "").lower())
-                top_ = (head or "").lower()
-                out += [(uid, vocabulary[k], n, begin, vocabulary[k] in top_) for k, (n, begin, _) in last.items()]
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()))], names=["uid", "keyword", "n", "first", "in_header"])
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        give = lambda out: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["uid", "keyword", "n", "first", "in_header"])
+        out: list[tuple] = []
+        for uid, body, head in singly(batches):
+            last = _occurrences(automaton, (body or "").lower())
+            top_ = (head or "").lower()
+            out += [(uid, vocabulary[k], n, begin, vocabulary[k] in top_) for k, (n, begin, _) in last.items()]
+            if len(out) >= OUT_ROWS:
+                yield give(out)
+                out = []
+        yield give(out)
 
     return run
 
@@ -283,11 +394,10 @@ def _rank(plan, k: int, schema: pa.Schema) -> Callable:  # noqa: ANN001  a broad
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = plan.value
         scorer, best = Scorer(queries), _Best(len(queries), k)
-        for batch in batches:
-            for uid, law, body, head in zip(*(c.to_pylist() for c in batch.columns)):
-                scored = scorer.score(uid, law, body, head)
-                if scored is not None:
-                    best.add(uid, *scored)
+        for uid, law, body, head in singly(batches):
+            scored = scorer.score(uid, law, body, head)
+            if scored is not None:
+                best.add(uid, *scored)
         yield best_batch(best, queries, k, schema)
 
     return run
