@@ -22,9 +22,13 @@ def symmetric(edges: DataFrame, types: Sequence[str] | None = None) -> DataFrame
     return there.unionByName(back)
 
 
-def capped_neighbours(edges: DataFrame, cap: int, types: Sequence[str] | None = None) -> DataFrame:
-    """At most ``cap`` neighbours of a node, each once, by confidence, then uid."""
-    near = symmetric(edges, types).groupBy("node", "neighbour").agg(F.max("confidence").alias("confidence"))
+def capped_neighbours(edges: DataFrame, cap: int, types: Sequence[str] | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """At most ``cap`` neighbours of a node, each once, by confidence, then uid. nodes: those (node) whose neighbours are
+    wanted; edges of others are left out before anything is shuffled."""
+    near = symmetric(edges, types)
+    if nodes is not None:
+        near = near.join(nodes.select("node").distinct(), "node", "left_semi")
+    near = near.groupBy("node", "neighbour").agg(F.max("confidence").alias("confidence"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("confidence"), "neighbour"))
     return near.withColumn("_n", rank).filter(F.col("_n") <= cap).drop("_n")
 
@@ -65,7 +69,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 1, cap: int =
 
 def votes(edges: DataFrame, hits: DataFrame, cap: int = 5, top: int = 5) -> DataFrame:
     """(query_id, uid, votes): neighbours of a query's hits by how many hits they touch; hits themselves are left out."""
-    near = capped_neighbours(edges, cap).select(F.col("node").alias("uid"), "neighbour")
+    near = capped_neighbours(edges, cap, nodes=hits.select(F.col("uid").alias("node"))).select(F.col("node").alias("uid"), "neighbour")
     found = hits.join(near, "uid").groupBy("query_id", F.col("neighbour").alias("uid")).agg(F.count_distinct("uid").alias("votes"))
     found = found.join(hits.select("query_id", "uid"), ["query_id", "uid"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("votes"), "uid"))

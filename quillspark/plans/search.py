@@ -183,9 +183,11 @@ def _all_chunks(spark, d):
 
 
 def _cites(spark, d):
-    """The graph of parts and suppliers, with documents in their places."""
-    node = lambda c: F.regexp_replace(c, "^[ps]_", "doc_").alias(c)
-    return edges(spark, d).select(node("source_chunk_uid"), node("target_chunk_uid"), "relation_type", "confidence")
+    """The graph of parts and suppliers, with documents in their places; an edge a line, so that nothing is added up before
+    the nodes that matter are picked."""
+    lines = table(spark, d, "lineitem")
+    node = lambda c: F.concat(F.lit("doc_"), c)
+    return lines.select(node("l_partkey").alias("source_chunk_uid"), node("l_suppkey").alias("target_chunk_uid"), F.col("l_returnflag").alias("relation_type"), F.col("l_discount").alias("confidence"))
 
 
 @query("j12_rule_forced", f"WITH {_ITEMS}, {_RULED} SELECT query_id, uid, similarity FROM forced")
