@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spread import spread
 from ..operators import trees
-from ..sources.files import read_files
+from ..sources.files import read_files, write_files
 from ..sources.readers import TREE, read_tree_files
 from ..sources.scratch import scratch
 from .search import QUERIES as _ALL
@@ -110,7 +110,7 @@ def s5_parts(spark, d):
     place = F.col("p_partkey") % 50
     rows = _documents(spark, d, law="if(p_partkey % 50 <> 1, 'parts', null)")
     cut = F.when(place == 0, F.concat(F.lit('{"tree_id": "'), "tree_id", F.lit('"'))).when(place == 2, F.concat(F.lit('["'), "tree_id", F.lit('"]'))).otherwise(F.col("json"))
-    rows.select(cut.alias("value")).repartition(spark.sparkContext.defaultParallelism).write.format("text").option("maxRecordsPerFile", 1).save(f"{path}/txt")
+    write_files(rows.select(cut.alias("value")).repartition(spark.sparkContext.defaultParallelism), f"{path}/txt")
     files = read_files(spark, path, "part-*.txt", format="json", required="tree_id,title,law,article,description,root")
     tree = F.from_json("content", TREE)
     return files.select(F.regexp_extract("content", "part_[0-9]+", 0).alias("tree_id"), F.when(F.col("reason").isNull(), F.size(tree["nodes"])).cast("long").alias("n_nodes"), "reason")

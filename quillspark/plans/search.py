@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions.spread import spread
 from ..operators import audit, guardrail, keyword_index, retrieval, trees, vector_index
 from ..operators.versioned import VersionedTable
+from ..sources.files import write_files
 from ..sources.scratch import scratch
 from ..streaming import streams
 from .tables import CHUNKS, EDGES, chunks, edges, table
@@ -644,7 +645,7 @@ def st1(spark, d):
     store = VersionedTable(spark, scratch(spark, "store"))
     records = markdown_of(spark, d)
     for n, part in enumerate((records.filter("doc_id % 2 = 0"), records)):
-        part.select("record").write.option("maxRecordsPerFile", 1).text(f"{files}/{n}")
+        write_files(spread(part.select("record")), f"{files}/{n}")
         streams.ingest_files(spark, files, "part-*.txt", store, log, prefix="ruling_", laws=[("a", ["idiot", "lowei"]), ("b", ["license"])])
     return store.read().select("content_hash", "law_tag", F.length("content").cast("long").alias("chars"), (F.col("batch") == 0).alias("in_first"))
 

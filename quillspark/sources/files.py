@@ -1,8 +1,10 @@
-"""Whole files as a registered data source: many small files in few tasks, and a reason beside each file that is no good."""
+"""Whole files as a registered data source: many small files in few tasks, and a reason beside each file that is no good; and
+as a sink, a file a row."""
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
@@ -10,7 +12,7 @@ from fnmatch import fnmatchcase
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 NAME = "record_files"
@@ -20,13 +22,16 @@ ARROW = pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.s
 PARTITION_BYTES, PARTITION_FILES = 128 << 20, 10_000
 #: Bytes of content given to Spark at once; and what no row can hold.
 BATCH_BYTES, ROW_BYTES = 8 << 20, (1 << 31) - 64
+#: Files that the sink puts into one folder.
+FOLDER_FILES = 1_000
 
 
 @dataclass
 class FileGroup(InputPartition):
-    """Files of one task: of each folder the names from a first to a last one."""
+    """Files of one task: of each folder the names from a first to a last one, and all names where tasks share the folder,
+    so that it isn't listed again by each of them."""
 
-    folders: list[tuple[str, str, str]]
+    folders: list[tuple[str, str, str, tuple[str, ...] | None]]
 
 
 class RecordFiles(DataSource):
@@ -53,6 +58,9 @@ class RecordFiles(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return RecordReader(dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return RecordWriter(dict(self.options), schema.fieldNames(), overwrite)
+
 
 class RecordReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
@@ -65,28 +73,30 @@ class RecordReader(DataSourceReader):
         self.bytes, self.files = int(options.get("partitionbytes", PARTITION_BYTES)), int(options.get("partitionfiles", PARTITION_FILES))
 
     def partitions(self) -> list[FileGroup]:
-        """Files dealt in listing order. What is kept of a folder is the borders of its groups, not its names."""
+        """Files dealt in listing order. What is kept of a folder is the borders of its group; its names if groups share it."""
         system, root = opened(self.path)
         groups: list[FileGroup] = []
         mine, size, count = [], 0, 0
         for folder, files in self._folders(system, root):
             first = 0
+            named = lambda a, b, whole: (folder, files[a].base_name, files[b].base_name, None if whole else tuple(f.base_name for f in files[a : b + 1]))  # noqa: B023, E731
             for i, f in enumerate(files):
                 if count and (size + (f.size or 0) > self.bytes or count >= self.files):
                     if i > first:
-                        mine.append((folder, files[first].base_name, files[i - 1].base_name))
+                        mine.append(named(first, i - 1, False))
                     groups.append(FileGroup(mine))
                     mine, size, count, first = [], 0, 0, i
                 size, count = size + (f.size or 0), count + 1
             if len(files) > first:
-                mine.append((folder, files[first].base_name, files[-1].base_name))
+                mine.append(named(first, len(files) - 1, first == 0))
         return [*groups, FileGroup(mine)] if mine or not groups else groups
 
     def read(self, partition: FileGroup) -> Iterator[pa.RecordBatch]:
         system, root = opened(self.path)
         rows, size = [], 0
-        for folder, first, last in partition.folders:
-            for f in self._matching(listing(system, folder)):
+        for folder, first, last, names in partition.folders:
+            known = listing(system, folder) if names is None else system.get_file_info([f"{folder.rstrip('/')}/{n}" for n in names])
+            for f in self._matching(known):
                 if first <= f.base_name <= last:
                     rows.append((f"{self.path.rstrip('/')}/{f.path[len(root):].lstrip('/')}", *self._judged(system, f)))
                     size += rows[-1][1] or 0
@@ -139,6 +149,51 @@ class RecordReader(DataSourceReader):
         return f"missing: {', '.join(missing)}" if missing else None
 
 
+class RecordWriter(DataSourceArrowWriter):
+    """A file for each row of a table of one text column, null as an empty file; ``prefix`` and ``suffix`` of the names by
+    option. Files lie in folders of FOLDER_FILES. What a task wrote gets its place when all tasks are done; overwriting is
+    refused."""
+
+    def __init__(self, options: dict[str, str], columns: list[str], overwrite: bool) -> None:
+        if len(columns) != 1 or overwrite:
+            raise ValueError(f"one column is appended, not {columns}{' in place of others' if overwrite else ''}")
+        self.path, self.prefix, self.suffix = options["path"], options.get("prefix", "part-"), options.get("suffix", ".txt")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, root = opened(self.path)
+        name, n = uuid.uuid4().hex, 0
+        folder = f"{root}/_{name}"
+        for rows in iterator:
+            for a in range(0, rows.num_rows, 256):
+                for text in rows.column(0).slice(a, 256).to_pylist():
+                    if n % FOLDER_FILES == 0:
+                        system.create_dir(f"{folder}/{n // FOLDER_FILES:06d}", recursive=True)
+                    with system.open_output_stream(f"{folder}/{n // FOLDER_FILES:06d}/{self.prefix}{name}-{n:09d}{self.suffix}") as file:
+                        file.write((text or "").encode())
+                    n += 1
+        return Written(name, n)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, root = opened(self.path)
+        for m in messages:
+            if m is not None and m.files:
+                system.move(f"{root}/_{m.name}", f"{root}/{m.name}")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, root = opened(self.path)
+        for m in messages:
+            if m is not None and m.files:
+                system.delete_dir(f"{root}/_{m.name}")
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """A task's folder and how many files are in it."""
+
+    name: str
+    files: int
+
+
 def has(record: object, keys: list[str]) -> bool:
     """Whether an object has a key that isn't null, and inside that the next one."""
     for k in keys:
@@ -171,6 +226,12 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*", **options: ob
     return spark.read.format(NAME).options(pattern=pattern, **options).load(path)
 
 
+def write_files(rows: DataFrame, path: str, **options: object) -> None:
+    """A file below ``path`` for each row of a table of one text column, by the sink above."""
+    rows.sparkSession.dataSource.register(RecordFiles)
+    rows.write.format(NAME).mode("append").options(**options).save(path)
+
+
 def parted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good files, rejected ones with their reason). Both read the files; store ``files`` first where that costs."""
     return files.filter("reason is null").drop("reason"), files.filter("reason is not null")

@@ -5,7 +5,8 @@ import json
 import pytest
 
 from quillspark.operators import trees
-from quillspark.sources.files import RecordReader, parted, read_files
+from quillspark.sources import files as files_module
+from quillspark.sources.files import RecordReader, parted, read_files, write_files
 from quillspark.sources.readers import markdown_records, read_tree_files
 
 TREE = {"tree_id": "a", "title": "A", "law": "l", "article": "1", "description": "", "root": {"branches": [{"condition": "c", "next_node": "x"}]}, "nodes": {"x": {"type": "result"}}}
@@ -64,3 +65,20 @@ def test_tree_files(spark, tmp_path):
     assert {(r.node_id, r.is_root, r.type) for r in nodes.collect()} == {("root", True, "decision"), ("x", False, "result")}
     cases = spark.sql("select 1 as case_id, 'a' as tree_id, map('c', 'true') as facts")
     assert trees.walk(cases, nodes).first().path == ["root", "x"]
+
+
+def test_rows_become_files(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f"text {i} ñ" if i else None,) for i in range(2500)], "value string").repartition(2)
+    write_files(rows, f"file://{tmp_path}/out")
+    got = read_files(spark, f"{tmp_path}/out", "part-*.txt", partitionFiles=700)
+    assert sorted(r.content for r in got.collect()) == sorted(["", *(f"text {i} ñ" for i in range(1, 2500))])
+    assert max(len(list(f.iterdir())) for f in (tmp_path / "out").glob("*/*")) <= 1000  # no folder holds them all
+    with pytest.raises(Exception, match="one column"):
+        write_files(rows.withColumn("more", rows["value"]), f"{tmp_path}/out")
+
+
+def test_a_shared_folder_is_listed_once(tmp_path, monkeypatch):
+    path = put(tmp_path, {f"f{i:03d}.txt": "x" for i in range(100)})
+    groups = RecordReader({"path": path, "partitionFiles": "10"}).partitions()
+    monkeypatch.setattr(files_module, "listing", lambda *_: pytest.fail("listed again by a task"))
+    assert sum(b.num_rows for g in groups for b in RecordReader({"path": path}).read(g)) == 100
