@@ -6,10 +6,13 @@ question, help, legal_ref, summary, details, warnings, next_steps, branches, nex
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import normalise
 from . import retrieval
@@ -19,10 +22,15 @@ def node_table(trees: DataFrame) -> DataFrame:
     """Root and nodes as rows, missing texts and lists empty; a node without a type decides, a root without an id is ``root``."""
     fields = ["type", "question", "help", "legal_ref", "summary", "details", "next_node"]
     lists = ["warnings", "next_steps", "legal_refs"]
-    root = trees.select("tree_id", F.lit(True).alias("is_root"), F.col("root").alias("n"))
-    rest = trees.select("tree_id", F.explode(F.map_entries("nodes")).alias("e")).select("tree_id", F.lit(False).alias("is_root"), F.struct(F.col("e.key").alias("id"), *(F.col(f"e.value.{f}").alias(f) for f in [*fields[:6], *lists[:2], "branches", "next_node", "legal_refs"])).alias("n"))
-    root = root.select("tree_id", "is_root", F.struct(F.coalesce("n.id", F.lit("root")).alias("id"), *(F.col(f"n.{f}").alias(f) for f in [*fields[:6], *lists[:2], "branches", "next_node", "legal_refs"])).alias("n"))
-    rows = root.unionByName(rest)
+    parts = [*fields[:6], *lists[:2], "branches", "next_node", "legal_refs"]
+    made = lambda n, ident, is_root: F.struct(F.lit(is_root).alias("is_root"), F.struct(ident.alias("id"), *(n[f].alias(f) for f in parts)).alias("n"))
+
+    def of(tree: Column) -> Column:
+        root = F.array(made(tree["root"], F.coalesce(tree["root"]["id"], F.lit("root")), True))
+        return F.concat(root, F.transform(F.coalesce(F.map_entries(tree["nodes"]), F.array()), lambda e: made(e["value"], e["key"], False)))
+
+    # One list a tree, made of a bound value, so that its document is read once and not once a field.
+    rows = trees.select("tree_id", F.explode(F.flatten(F.transform(F.array(F.struct("root", "nodes")), of))).alias("_n")).select("tree_id", "_n.is_root", "_n.n")
     return rows.select(
         "tree_id", F.col("n.id").alias("node_id"), "is_root", *(F.coalesce(F.col(f"n.{f}"), F.lit("decision" if f == "type" else "")).alias(f) for f in fields),
         *(F.coalesce(F.col(f"n.{f}"), F.array().cast("array<string>")).alias(f) for f in lists),
@@ -78,41 +86,91 @@ def signatures(cases: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def walk(cases: DataFrame, nodes: DataFrame, steps: int | None = None) -> DataFrame:
     """(case columns, node_id, node_type, path): each case from the root to a result, an unresolved decision, a dead end
-    or a node it has seen.
+    or a node it has seen, or ``steps`` steps far.
 
-    Cases of one tree that agree in the facts that matter to it take one way: each of these signatures is walked once and
-    joined back, so the steps' cost follows the signatures, not the cases. Each step leaves a node that leads on, and none
-    is left twice, so without ``steps`` as many are taken as one tree has such nodes at most.
+    Trees and cases meet in one shuffle by tree: a task reads a tree, then its cases one after another; cases of equal facts
+    go once. Few trees are copied, so that their cases take all cores; the cases of one of many trees are one task's.
     """
-    if steps is None:
-        leading = nodes.filter((F.size("branches") > 0) | (F.col("next_node") != ""))
-        steps = leading.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 1
-    keyed = signatures(cases, nodes)
-    apart = keyed.groupBy("tree_id", "_sig").agg(F.any_value("_matter").alias("facts"))
-    walked = _walk(apart, nodes, steps).select("tree_id", "_sig", "path", "node_id", "node_type")
-    return keyed.drop("_matter").join(walked, ["tree_id", "_sig"]).select(*cases.columns, "path", "node_id", "node_type")
-
-
-def _walk(cases: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
-    """Each step is a look-up in the tree's nodes, which come along as one map a tree."""
-    step = F.struct("type", "branches", "next_node")
-    maps = nodes.groupBy("tree_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", step.alias("s")))).alias("_nodes"), F.max(F.when(F.col("is_root"), F.col("node_id"))).alias("_root"))
-    rows = cases.join(maps, "tree_id")
-
-    def bound(value: Column, use: Callable[[Column], Column]) -> Column:  # a value that is used often is worked out once
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
-    def onward(node: Column) -> Column:
-        return F.when(node["type"] == "info", node["next_node"]).when(node["type"] == "decision", next_by_facts(node["branches"], F.col("facts")))
-
-    def move(state: Column, _: Column) -> Column:
-        target = bound(F.try_element_at(F.col("_nodes"), F.element_at(state, -1)), onward)
-        ok = lambda t: t.isNotNull() & F.map_contains_key(F.col("_nodes"), F.coalesce(t, F.lit(""))) & ~F.array_contains(state, t)
-        return bound(target, lambda t: F.when(F.coalesce(ok(t), F.lit(False)), F.array_append(state, t)).otherwise(state))
-
-    rows = rows.withColumn("path", F.aggregate(F.sequence(F.lit(1), F.lit(int(steps))), F.array("_root"), move))
-    at = F.element_at("path", -1)
-    return rows.withColumn("node_id", at).withColumn("node_type", F.try_element_at(F.col("_nodes"), at)["type"])
+    spark = cases.sparkSession
+    step = F.struct("node_id", "is_root", "type", "branches", "next_node")
+    packed = nodes.groupBy("tree_id").agg(F.collect_list(step).alias("_nodes")).filter("tree_id is not null")
+    few = 4 * spark.sparkContext.defaultParallelism
+    count = nodes.select("tree_id").distinct().limit(few).count()
+    copies = -(-few // max(count, 1))
+    case = F.struct(*cases.columns)
+    shape = cases.select(case.alias("_case")).schema["_case"].dataType
+    told = cases.filter("tree_id is not null").select("tree_id", F.pmod(F.xxhash64(*(c for c, t in cases.dtypes if not t.startswith(("map", "array<map")))), F.lit(copies)).cast("int").alias("_copy"), F.lit(None).cast(packed.schema["_nodes"].dataType).alias("_nodes"), case.alias("_case"))
+    trees = packed.select("tree_id", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_copy"), "_nodes", F.lit(None).cast(shape).alias("_case"))
+    rows = trees.unionByName(told).repartition("tree_id", "_copy").sortWithinPartitions("tree_id", "_copy", F.col("_nodes").isNull())
+    schema = StructType([*(StructField(f.name, f.dataType) for f in shape), StructField("path", ArrayType(StringType())), StructField("node_id", StringType()), StructField("node_type", StringType())])
+    ways = rows.select("tree_id", "_nodes", F.col("_case").isNull().alias("_tree"), F.col("_case.facts").alias("_facts"), *(F.col(f"_case.{c}").alias(f"_{i}") for i, c in enumerate(cases.columns)))
+    walked = ways.mapInArrow(_walk(len(cases.columns), to_arrow_schema(schema), steps), schema)
+    return walked.select(*cases.columns, "path", "node_id", "node_type")
+
+
+class Way:
+    """One tree: nodes by id, and the ways of the facts that went through it."""
+
+    def __init__(self, nodes: list[dict], steps: int | None) -> None:
+        self.nodes, self.steps, self.ways = {}, steps, {}
+        self.root = max((n["node_id"] for n in nodes if n["is_root"] and n["node_id"] is not None), default=None)
+        for n in nodes:
+            if n["node_id"] in self.nodes:
+                raise ValueError(f"a tree has two nodes {n['node_id']}")
+            branches = [(b["condition"], b["condition"].lower(), b["next_node"]) for b in n["branches"] if b and b["condition"] is not None] if n["type"] == "decision" else []
+            self.nodes[n["node_id"]] = (n["type"], branches, n["next_node"])
+
+    def target(self, node: str | None, facts: dict[str, str | None], values: list[str]) -> str | None:
+        kind, branches, onward = self.nodes.get(node, (None, (), None))
+        if kind == "info":
+            return onward
+        for condition, low, after in branches:
+            told = facts.get(condition)
+            if told is not None and told.lower() == "true":
+                return after
+            for v in values:
+                if v in low:
+                    return after
+        return None
+
+    def of(self, facts: tuple) -> tuple[list[str | None], str | None, str | None]:
+        """(path, its end, the end's type)"""
+        way = self.ways.get(facts)
+        if way is None:
+            known, values, path = dict(facts), [v.lower() for _, v in facts if v], [self.root]
+            while self.steps is None or len(path) <= self.steps:
+                t = self.target(path[-1], known, values)
+                if t is None or t not in self.nodes or t in path:
+                    break
+                path.append(t)
+            way = path, path[-1], self.nodes.get(path[-1], (None,))[0]
+            if len(self.ways) < WAYS:
+                self.ways[facts] = way
+        return way
+
+
+#: Ways of one tree that a task remembers; rows that it turns into Python values at once.
+WAYS, PIECE = 10_000, 1_000
+
+
+def _walk(columns: int, schema: pa.Schema, steps: int | None) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        way, of = None, None
+        for batch in batches:
+            for a in range(0, batch.num_rows, PIECE):
+                part = batch.slice(a, PIECE)
+                at, ways = [], []
+                for i, (tree, nodes, is_tree, facts) in enumerate(zip(*(part.column(j).to_pylist() for j in range(4)))):
+                    if is_tree:
+                        way, of = Way(nodes, steps), tree
+                    elif of is not None and tree == of:  # cases of no known tree are left out
+                        at.append(i)
+                        ways.append(way.of(tuple(facts or ())))
+                made = zip(*ways) if ways else [[]] * 3
+                rows = pa.array(at, pa.int64())
+                yield pa.record_batch([*(part.column(4 + j).take(rows).cast(schema.field(j).type) for j in range(columns)), *(pa.array(c, schema.field(columns + j).type) for j, c in enumerate(made))], schema=schema)
+
+    return run
 
 
 def resume(walked: DataFrame, more: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -140,17 +198,27 @@ def pending_text() -> Column:
     return F.concat_ws("\n", "question", F.when(F.col("help") != "", F.col("help")), F.when(F.col("legal_ref") != "", F.col("legal_ref")), options)
 
 
+def _onward(label: int) -> Column:
+    """(target, label) of a node's edges: of its branches with a target, else of the next node."""
+    plain = F.array(F.struct(F.col("next_node").alias("target"), F.lit("").alias("label")))
+    branches = F.transform("branches", lambda b: F.struct(b["next_node"].alias("target"), F.left(b["condition"], F.lit(label)).alias("label")))
+    led = F.filter(branches, lambda e: F.coalesce(e["target"], F.lit("")) != "")
+    return F.when(F.size("branches") > 0, led).when(F.col("next_node") != "", plain).otherwise(F.filter(plain, lambda e: F.lit(False)))
+
+
 def tree_edges(nodes: DataFrame, label: int = 24) -> DataFrame:
     """(tree_id, source, target, label): branches with a target, else the next node."""
-    branches = nodes.select("tree_id", F.col("node_id").alias("source"), F.explode("branches").alias("b")).select("tree_id", "source", F.col("b.next_node").alias("target"), F.left("b.condition", F.lit(label)).alias("label"))
-    plain = nodes.filter((F.size("branches") == 0) & (F.col("next_node") != "")).select("tree_id", F.col("node_id").alias("source"), F.col("next_node").alias("target"), F.lit("").alias("label"))
-    return branches.filter(F.coalesce("target", F.lit("")) != "").unionByName(plain)
+    return nodes.select("tree_id", F.col("node_id").alias("source"), F.explode(_onward(label)).alias("_e")).select("tree_id", "source", "_e.target", "_e.label")
 
 
-def dangling(nodes: DataFrame) -> DataFrame:
-    """Edges to nodes that their tree lacks."""
-    known = nodes.select("tree_id", F.col("node_id").alias("target")).distinct()
-    return tree_edges(nodes).join(known, ["tree_id", "target"], "left_anti")
+def dangling(nodes: DataFrame, label: int = 24) -> DataFrame:
+    """Edges to nodes that their tree lacks. Nodes and the ends of edges meet in one shuffle, so the trees are read once."""
+    edge = lambda target, source, text: F.struct(target.alias("target"), source.alias("source"), text.alias("label"))
+    none = F.lit(None).cast("string")
+    ends = F.concat(F.array(edge(F.col("node_id"), none, none)), F.transform(_onward(label), lambda e: edge(e["target"], F.col("node_id"), e["label"])))
+    rows = nodes.select("tree_id", F.explode(ends).alias("_e")).select("tree_id", "_e.*")
+    met = rows.groupBy("tree_id", "target").agg(F.max(F.col("source").isNull()).alias("_known"), F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "label"))).alias("_edges"))
+    return met.filter(~F.col("_known")).select("tree_id", "target", F.explode("_edges").alias("_e")).select("tree_id", "target", "_e.source", "_e.label")
 
 
 def conditions(nodes: DataFrame, first: int = 30) -> DataFrame:

@@ -51,7 +51,8 @@ def _documents(spark, d, law="'parts'"):
         F.col("tree_id"), F.col("p_name").alias("title"), F.expr(law).alias("law"), F.col("p_partkey").cast("string").alias("article"), F.lit("who sold it").alias("description"),
         F.array(F.lower("p_brand"), F.lower("p_type")).alias("tags"), node(F.lit("start"), "info", next_node="who").alias("root"), F.map_from_entries(F.concat(F.array(who), ends)).alias("nodes"),
     )
-    rows = table(spark, d, "part").join(sold, F.col("l_partkey") == F.col("p_partkey")).withColumn("tree_id", F.concat(F.lit("part_"), F.col("p_partkey").cast("string")))
+    rows = spread(table(spark, d, "part").join(sold, F.col("l_partkey") == F.col("p_partkey")))  # documents cost much more than these rows weigh
+    rows = rows.withColumn("tree_id", F.concat(F.lit("part_"), F.col("p_partkey").cast("string")))
     return rows.select("p_partkey", "tree_id", F.to_json(tree).alias("json"))
 
 
