@@ -52,38 +52,43 @@ class PendingCases(StatefulProcessor):
     """Facts of an open case per chat; a result or a new topic closes it.
 
     A row of kind ``pending`` brings the branches of the question that waits for an answer. An answer that is a number
-    from 1 to their number makes that branch's condition a fact; any other answer is a fact itself.
+    from 1 to their number makes that branch's condition a fact; any other answer is a fact itself, null is none.
+    The open case is one value, read and written once for all rows of a chat in a batch: each call of the state store is a
+    message to the executor's JVM and back.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.facts = handle.getMapState("facts", "fact string", "times long")
-        self.branches = handle.getMapState("branches", "place int", "condition string")
+        self.case = handle.getValueState("case", "facts array<string>, branches array<string>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
-        yield self.apply(key, pd.concat(list(rows)).sort_values("ts", kind="stable"))
+        yield self.apply(key, pd.concat(list(rows)))
 
     def apply(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Take rows in order into the state; gives the cases that they close."""
-        out = []
-        for row in rows.itertuples():
-            if row.kind in ("result", "topic"):
-                out.append((key[0], row.ts, row.kind, self.known()))
-                self.facts.clear()
-                self.branches.clear()
-            elif row.kind == "pending":
-                self.branches.clear()
-                for place, condition in enumerate(row.branches if row.branches is not None else (), 1):
-                    self.branches.updateValue((place,), (condition,))
-            else:
-                fact = str(row.fact)
-                if fact.isdigit() and len(fact) < 10 and self.branches.containsKey((int(fact),)):
-                    fact = self.branches.getValue((int(fact),))[0]
-                old = self.facts.getValue((fact,)) if self.facts.containsKey((fact,)) else (0,)
-                self.facts.updateValue((fact,), (int(old[0]) + 1,))
+        """Take rows in order of ts into the state; gives the cases that they close."""
+        out, (facts, branches) = [], self.held()
+        taken = sorted(zip(*(rows[c].tolist() for c in ("ts", "kind", "fact", "branches"))), key=lambda row: row[0])
+        for ts, kind, fact, asked in taken:
+            if kind in ("result", "topic"):
+                out.append((key[0], ts, kind, ",".join(sorted(facts))))
+                facts, branches = set(), []
+            elif kind == "pending":
+                branches = [] if asked is None else list(asked)
+            elif isinstance(fact, str):
+                chosen = int(fact) if fact.isdecimal() and len(fact) < 10 else 0
+                facts.add(branches[chosen - 1] if 0 < chosen <= len(branches) else fact)
+        self.hold(facts, branches)
         return pd.DataFrame(out, columns=["chat_id", "closed_at", "closed_by", "facts"])
 
-    def known(self) -> str:
-        return ",".join(sorted(k[0] for k in self.facts.keys())) if self.facts.exists() else ""  # noqa: SIM118
+    def held(self) -> tuple[set[str], list[str]]:
+        """Facts and branches of the open case."""
+        facts, branches = self.case.get() or ((), ())
+        return set(facts), list(branches)
+
+    def hold(self, facts: set[str], branches: list[str]) -> None:
+        if facts or branches:
+            self.case.update((sorted(facts), branches))
+        else:
+            self.case.clear()
 
     def close(self) -> None:
         pass
@@ -122,7 +127,7 @@ class TimedCases(PendingCases):
         held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["ts", "kind", "fact", "branches"])
         due = held["ts"].map(self._ms) <= now if len(held) else pd.Series([], dtype=bool)
         if due.any():
-            out = self.apply(key, held[due].sort_values("ts", kind="stable"))
+            out = self.apply(key, held[due])
             rest = held[~due]
             self.waiting.clear()
             if len(rest):
@@ -132,10 +137,9 @@ class TimedCases(PendingCases):
                 self.last.update((latest,))
                 self.handle.registerTimer(latest + self.expiry_ms)
             yield out
-        elif self.expiry_ms is not None and self.last.exists() and now >= self.last.get()[0] + self.expiry_ms and (self.facts.exists() or self.branches.exists()):
-            out = [(key[0], pd.Timestamp(now, unit="ms"), "expired", self.known())]
-            self.facts.clear()
-            self.branches.clear()
+        elif self.expiry_ms is not None and self.last.exists() and now >= self.last.get()[0] + self.expiry_ms and self.case.exists():
+            out = [(key[0], pd.Timestamp(now, unit="ms"), "expired", ",".join(sorted(self.held()[0])))]
+            self.case.clear()
             self.last.clear()
             yield pd.DataFrame(out, columns=["chat_id", "closed_at", "closed_by", "facts"])
         else:
