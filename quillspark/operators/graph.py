@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spread import dealt
 from ..sources.scratch import written
 from .ordered import in_order
 
@@ -99,11 +100,14 @@ def citations_to_edges(cited: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def merged(*tables: DataFrame) -> DataFrame:
-    """Edges of several origins, one of each triple."""
+    """Edges of several origins, one of each triple.
+
+    The tables are counted, so that the number of tasks grows with the edges.
+    """
     out = tables[0].select(*TRIPLE)
     for t in tables[1:]:
         out = out.unionByName(t.select(*TRIPLE))
-    return out.distinct()
+    return dealt(out, sum(t.count() for t in tables), *TRIPLE).distinct()
 
 
 def prefixes(uid: str) -> Column:

@@ -443,10 +443,14 @@ def u2(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("num")).distinct().exceptAll(table(spark, d, "orders").filter("o_orderstatus = 'O'").select("o_orderkey").distinct())
 
 
+def _line_edges(spark, d):
+    """An edge a line, repeated ones too."""
+    return table(spark, d, "lineitem").select(F.concat(F.lit("p_"), "l_partkey").alias("source_chunk_uid"), F.concat(F.lit("s_"), "l_suppkey").alias("target_chunk_uid"), F.col("l_returnflag").alias("relation_type"))
+
+
 @query("u3_distinct_edges", f"WITH {EDGES} SELECT source_chunk_uid, target_chunk_uid, relation_type FROM edges")
 def u3(spark, d):
-    lines = table(spark, d, "lineitem").select(F.concat(F.lit("p_"), "l_partkey").alias("source_chunk_uid"), F.concat(F.lit("s_"), "l_suppkey").alias("target_chunk_uid"), F.col("l_returnflag").alias("relation_type"))
-    return graph.merged(lines)
+    return graph.merged(_line_edges(spark, d))
 
 
 @query("u4_merged_edges", f"""WITH {EDGES}, {LAW_CHUNKS}, e AS (SELECT law_tag, num, arg_max(chunk_uid, chunk_index) AS last, arg_min(chunk_uid, chunk_index) AS first FROM law_chunks GROUP BY ALL),
@@ -454,7 +458,7 @@ n AS (SELECT last AS source_chunk_uid, lead(first) OVER (PARTITION BY law_tag OR
 SELECT source_chunk_uid, target_chunk_uid, relation_type FROM edges UNION SELECT * FROM n WHERE target_chunk_uid IS NOT NULL UNION SELECT 'r_' || n_regionkey, 'n_' || n_nationkey, 'regula' FROM nation""")
 def u4(spark, d):
     seeds = table(spark, d, "nation").select(F.concat(F.lit("r_"), "n_regionkey").alias("source_chunk_uid"), F.concat(F.lit("n_"), "n_nationkey").alias("target_chunk_uid"), F.lit("regula").alias("relation_type"))
-    return graph.merged(seeds, edges(spark, d), w4(spark, d))
+    return graph.merged(seeds, _line_edges(spark, d), w4(spark, d))
 
 
 @query("t33_chunk_flags", f"""WITH {CHUNKS} SELECT chunk_uid, length(content) - length(replace(content, chr(65533), '')) AS bad_chars, regexp_matches({_STRIPPED}, '^[a-záéíóúñ]') AS starts_mid_word, regexp_matches({_STRIPPED}, '[a-záéíóúñ]$') AS ends_mid_word,

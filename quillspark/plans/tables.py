@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spread import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,7 +49,9 @@ def law_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    rows = lines.join(orders, "l_orderkey").join(customers, "o_custkey")
+    n = lines.count()  # from the files' footers
+    orders = dealt(dealt(orders, n, "o_custkey").join(customers, "o_custkey"), n, "l_orderkey")  # before they meet the lines, which are more
+    rows = dealt(lines, n, "l_orderkey").join(orders, "l_orderkey")
     law = F.concat(F.lit("law"), F.col("c_nationkey"))
     uid = F.concat_ws("_", F.lit("ley"), law, F.lit("art"), F.col("l_orderkey"), F.col("l_linenumber"))
     return rows.select(uid.alias("chunk_uid"), law.alias("law_tag"), F.col("l_orderkey").alias("num"), F.col("l_linenumber").alias("chunk_index"))
