@@ -206,11 +206,9 @@ def _scored(sent, k: int, schema: pa.Schema):  # noqa: ANN001, ANN202
             for who, uids, laws, contents, headers in retrieval.singly([batch], 1):  # a row is a block of texts
                 asks = np.zeros(len(queries), bool)
                 asks[who] = True
-                for row in zip(uids, laws, contents, headers):
-                    scored = scorer.score(*row)
-                    if scored is not None:
-                        keep = asks[scored[0]]
-                        best.add(row[0], *(x[keep] for x in scored))
+                scored = scorer.scores(list(zip(uids, laws, contents, headers)))
+                keep = asks[scored[1]]
+                best.add(uids, *(x[keep] for x in scored))
         yield retrieval.best_batch(best, queries, k, schema)
 
     return run

@@ -6,6 +6,7 @@ Hits are rows (query_id, uid, similarity, origin). Every ranking ends in the uid
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import batched, chain
 
 import ahocorasick
 import numpy as np
@@ -218,18 +219,35 @@ def singly(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator
             yield from zip(*(c.to_pylist() for c in batch.slice(a, rows).columns))
 
 
-def _occurrences(automaton: ahocorasick.Automaton, text: str) -> dict[int, list[int]]:
-    """For each word that occurs: how often without overlaps, where first, and the end of the last."""
-    last: dict[int, list[int]] = {}
-    for end, (k, size) in automaton.iter(text):
-        begin = end - size + 1
-        seen = last.get(k)
-        if seen is None:
-            last[k] = [1, begin, end]
-        elif begin > seen[2]:
-            seen[0] += 1
-            seen[2] = end
-    return last
+class Words:
+    """Words that run over a text together, in an automaton."""
+
+    def __init__(self, words: Sequence[str]) -> None:
+        self.automaton, self.sizes = ahocorasick.Automaton(), np.array([len(w) for w in words], int)
+        for k, word in enumerate(words):
+            self.automaton.add_word(word, k)
+        if words:
+            self.automaton.make_automaton()
+        # Only a word that begins as it ends can overlap itself.
+        self.overlaps = np.array([any(w.endswith(w[:i]) for i in range(1, len(w))) for w in words], bool)
+
+    def occurrences(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words that occur: place of the text, of the word, how often without overlaps, where first."""
+        met = [np.fromiter(chain.from_iterable(self.automaton.iter(t)) if len(self.sizes) else (), int) for t in texts]
+        ends, key = (np.concatenate([m[i::2] for m in met]) if met else np.empty(0, int) for i in (0, 1))
+        key += np.repeat(np.arange(len(met)), [len(m) // 2 for m in met]) * len(self.sizes)
+        by = np.argsort(key, kind="stable")  # by text and word, then by end
+        ends, key = ends[by], key[by]
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, int)
+        n = np.diff(begin, append=len(key))
+        row, k = np.divmod(key[begin], max(len(self.sizes), 1))
+        for i in np.flatnonzero(self.overlaps[k] & (n > 1)).tolist():
+            size, last, times = int(self.sizes[k[i]]), -1, 0
+            for end in ends[begin[i] : begin[i] + n[i]].tolist():
+                if end - size >= last:
+                    last, times = end, times + 1
+            n[i] = times
+        return row, k, n, ends[begin] - self.sizes[k] + 1
 
 
 def keyword_counts(chunks: DataFrame, keywords: DataFrame, text: str = "content", header: str | None = None) -> DataFrame:
@@ -252,17 +270,15 @@ def keyword_counts(chunks: DataFrame, keywords: DataFrame, text: str = "content"
 
 def _count(plan) -> Callable:  # noqa: ANN001  a broadcast
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, automaton = plan.value, ahocorasick.Automaton()
-        for k, word in enumerate(vocabulary):
-            automaton.add_word(word, (k, len(word)))
-        automaton.make_automaton()
+        vocabulary = plan.value
+        words = Words(vocabulary)
         kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
         give = lambda out: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["uid", "keyword", "n", "first", "in_header"])
         out: list[tuple] = []
         for uid, body, head in singly(batches):
-            last = _occurrences(automaton, (body or "").lower())
             top_ = (head or "").lower()
-            out += [(uid, vocabulary[k], n, begin, vocabulary[k] in top_) for k, (n, begin, _) in last.items()]
+            seen = zip(*(x.tolist() for x in words.occurrences([(body or "").lower()])[1:]))
+            out += [(uid, vocabulary[k], n, begin, vocabulary[k] in top_) for k, n, begin in seen]
             if len(out) >= OUT_ROWS:
                 yield give(out)
                 out = []
@@ -275,17 +291,24 @@ class _Best:
     """The first k hits of each query among the chunks of a task."""
 
     def __init__(self, queries: int, k: int) -> None:
-        self.k, self.held, self.least = k, [[] for _ in range(queries)], np.full(queries, -np.inf)
-
-    def add(self, uid: str, queries: np.ndarray, scores: np.ndarray, articles: np.ndarray, laws: np.ndarray) -> None:
-        good = scores >= self.least[queries]
-        for q, s, a, l in zip(queries[good].tolist(), scores[good].tolist(), articles[good].tolist(), laws[good].tolist()):
+        self.k, self.held = k, [[] for _ in range(queries)]
+        self.least, self.last = np.full(queries, -1), np.full(queries, "", object)  # worth and uid of the k-th
+
+    def add(self, uids: Sequence[str], rows: np.ndarray, queries: np.ndarray, scores: np.ndarray, articles: np.ndarray, laws: np.ndarray) -> None:
+        """Hits of the uids whose places ``rows`` gives."""
+        worth = np.rint(scores * 1e6).astype(int) * 4 + articles * 2 + laws  # scores have six digits
+        least = self.least[queries]
+        good = worth > least
+        if (same := worth == least).any():
+            good[same] = self.last[queries[same]] > np.array(uids, object)[rows[same]]
+        for r, q, s, a, l in zip(*(x[good].tolist() for x in (rows, queries, scores, articles, laws))):
             held = self.held[q]
-            held.append((-s, not a, not l, uid))
+            held.append((-s, not a, not l, uids[r]))
             if len(held) >= 4 * self.k + 16:
                 held.sort()
                 del held[self.k :]
-                self.least[q] = -held[-1][0]
+                s, a, l, self.last[q] = held[-1]
+                self.least[q] = round(-s * 1e6) * 4 + (not a) * 2 + (not l)
 
 
 def keyword_search(chunks: DataFrame, keywords: DataFrame, k: int = 10, articles: DataFrame | None = None, laws: DataFrame | None = None, text: str = "content", header: str | None = None) -> DataFrame:
@@ -327,14 +350,14 @@ class Scorer:
                 self.by_law.setdefault(law, []).append(q)
             for article in articles:
                 citing.setdefault(article.lower(), []).append(q)
-        self.askers, self.always = [np.array(a) for a in asking], citing.pop("", [])
-        self.automaton = ahocorasick.Automaton()
-        for w, i in place.items():
-            self.automaton.add_word(w, (i, len(w)))
-        self.automaton.make_automaton()
+        self.laws = {law: np.array(who) for law, who in self.by_law.items()}
+        # Who asks for a word: a stretch of one array a word.
+        self.askers, self.counts = np.array([q for a in asking for q in a], int), np.array([len(a) for a in asking], int)
+        self.starts, self.always = np.cumsum(self.counts) - self.counts, citing.pop("", [])
+        self.together = Words(self.words)
         self.articles = ahocorasick.Automaton()
         for article, who in citing.items():
-            self.articles.add_word(article, who)
+            self.articles.add_word(article, np.array(who))
         if citing:
             self.articles.make_automaton()
 
@@ -350,24 +373,35 @@ class Scorer:
 
     def score(self, uid: str, law: str | None, body: str | None, head: str | None) -> tuple[np.ndarray, ...] | None:
         """(queries, similarity, article match, law match) of the queries of which a keyword occurs; None if none does."""
-        seen = _occurrences(self.automaton, (body or "").lower())
-        if not seen:
-            return None
-        low = (head or "").lower()
-        which = [self.askers[i] for i in seen]
-        lengths = [len(w) for w in which]
-        q = np.concatenate(which)
-        times, first, in_head = (np.repeat(np.array(x), lengths) for x in ([s[0] for s in seen.values()], [s[1] for s in seen.values()], [self.words[i] in low for i in seen]))
-        ids, at = np.unique(q, return_inverse=True)
-        begin = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(begin, at, first)
-        size = len(body)
-        score = 0.30 + 0.10 * (np.bincount(at, times) * 1000 / max(size, 1)) + 0.08 * np.bincount(at, in_head)
-        score += np.where(begin < 200, 0.06, np.where(begin < 500, 0.03, 0.0)) + (-0.14 if size < 300 else -0.07 if size < 500 else 0.0)
-        article, wanted = self.cited(uid, low)[ids], np.zeros(self.total, bool)
-        wanted[self.by_law.get(law, [])] = True
-        score += 0.20 * article + 0.04 * wanted[ids]
-        return ids, np.floor(np.minimum(0.58, score) * 1e6 + 0.5) / 1e6, article, wanted[ids]
+        _, *found = self.scores([(uid, law, body, head)])
+        return tuple(found) if len(found[0]) else None
+
+    def scores(self, texts: Sequence[tuple]) -> tuple[np.ndarray, ...]:
+        """(place, queries, similarity, article match, law match) of texts (uid, law, body, head), a few at a time."""
+        row, k, n, first = self.together.occurrences([(body or "").lower() for _, _, body, _ in texts])
+        by = np.argsort(-first, kind="stable")  # of a query's words the first in the text is written last
+        row, k, n, first = row[by], k[by], n[by], first[by]
+        lengths, low = self.counts[k], [(head or "").lower() for *_, head in texts]
+        q = self.askers[np.repeat(self.starts[k] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        q += np.repeat(row, lengths) * self.total
+        begin = np.full(len(texts) * self.total, -1)
+        begin[q] = np.repeat(first, lengths)
+        cells = np.flatnonzero(begin >= 0)
+        begin, times = begin[cells], np.bincount(q, np.repeat(n, lengths), len(texts) * self.total)[cells]
+        heads = np.array([i * len(self.words) + w for i, h in enumerate(low) for w in {w for _, w in self.together.automaton.iter(h)}], int) if self.words else np.empty(0, int)
+        in_head = np.isin(row * len(self.words) + k, heads)
+        row, ids = np.divmod(cells, max(self.total, 1))
+        size = np.array([len(body or "") for _, _, body, _ in texts], int)[row]
+        score = 0.30 + 0.10 * (times * 1000 / np.maximum(size, 1)) + 0.08 * np.bincount(q, np.repeat(in_head, lengths), len(texts) * self.total)[cells]
+        score += np.where(begin < 200, 0.06, np.where(begin < 500, 0.03, 0.0)) + np.where(size < 300, -0.14, np.where(size < 500, -0.07, 0.0))
+        articles, laws = np.zeros((len(texts), self.total), bool), np.zeros((len(texts), self.total), bool)
+        for i, (uid, law, _, _) in enumerate(texts):
+            articles[i] = self.cited(uid, low[i])
+            if law in self.laws:
+                laws[i, self.laws[law]] = True
+        articles, laws = articles[row, ids], laws[row, ids]
+        score += 0.20 * articles + 0.04 * laws
+        return row, ids, np.floor(np.minimum(0.58, score) * 1e6 + 0.5) / 1e6, articles, laws
 
 
 def asked_rows(part: DataFrame, articles: DataFrame | None, laws: DataFrame | None) -> list[tuple]:
@@ -394,10 +428,8 @@ def _rank(plan, k: int, schema: pa.Schema) -> Callable:  # noqa: ANN001  a broad
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = plan.value
         scorer, best = Scorer(queries), _Best(len(queries), k)
-        for uid, law, body, head in singly(batches):
-            scored = scorer.score(uid, law, body, head)
-            if scored is not None:
-                best.add(uid, *scored)
+        for texts in batched(singly(batches), TEXT_ROWS):
+            best.add([uid for uid, *_ in texts], *scorer.scores(texts))
         yield best_batch(best, queries, k, schema)
 
     return run
