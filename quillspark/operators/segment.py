@@ -9,7 +9,6 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -256,11 +255,17 @@ def sections_by_line(docs: DataFrame, key: str, text: str, titles: Sequence[str]
     return grouped.select(key, "section", F.when(F.col("section") > 0, F.left(F.col("_l")[0]["line"], F.lit(1))).alias("letter"), strip(body).alias("text"))
 
 
+#: Texts that a task holds as Python strings at once.
+PASSAGE_ROWS = 256
+
+
 def anchored(anchor: str, start: str, end: str, least: int = 1000, notes: tuple[str, str] = ("NOTA", "Ley"), back: int = 200):  # noqa: ANN201
     """A function for the passage around an anchor: from the last start phrase before it to the first end marker at least
-    ``least`` characters on that no footnote (both note words in the ``back`` characters before) holds."""
-    @F.pandas_udf("string")
-    def passage(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    ``least`` characters on that no footnote (both note words in the ``back`` characters before) holds.
+
+    Texts are Python strings PASSAGE_ROWS at a time and go out as such; the batch stays packed."""
+    @F.arrow_udf("string")
+    def passage(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def find(text: str | None) -> str | None:
             at = text.find(anchor) if text else -1
             if at < 0:
@@ -272,7 +277,8 @@ def anchored(anchor: str, start: str, end: str, least: int = 1000, notes: tuple[
             return text[begin : stop if stop >= 0 else len(text)].strip()
 
         for texts in parts:
-            yield texts.map(find)
+            for a in range(0, len(texts), PASSAGE_ROWS):
+                yield pa.array([find(t) for t in texts.slice(a, PASSAGE_ROWS).to_pylist()], pa.string())
 
     return passage
 
