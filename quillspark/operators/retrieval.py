@@ -90,7 +90,7 @@ def units(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Pairs that a task compares at once and, at most, holds before it cuts them to the best.
-PAIRS = 1_000_000
+PAIRS = 250_000
 
 
 class _Closest:
