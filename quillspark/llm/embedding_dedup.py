@@ -1,5 +1,5 @@
-"""Embedding near-duplicates by product quantisation: inverted lists with residual codes, table look-up distances over
-sufficient probes, and exact cosine on what they leave."""
+"""Embedding near-duplicates by product quantisation: inverted lists with residual codes, a bound from leading dimensions and
+table look-up distances over sufficient probes, and exact cosine on what they leave."""
 
 from __future__ import annotations
 
@@ -10,19 +10,24 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import release, stored
 
 #: Links have at least this cosine.
 COSINE = 0.95
 #: The index is fitted on about so many vectors, chosen by a hash; all vectors are indexed.
 SAMPLE = 20_000
 MAX_LISTS, SUBSPACES, CODES, ROUNDS = 4096, 8, 256, 8
-#: Vectors of a list, and queries to it, that meet in one task.
-BLOCK = 1024
+#: Vectors of a block, of 64 numbers each; longer ones make smaller blocks. Two blocks meet in one task.
+BLOCK = 65_536
+#: Tables below ``SMALL`` blocks are cut into so many, of at least ``LEAST`` vectors.
+SMALL, LEAST = 4, 2048
+#: Directions of the bound that goes before the look-ups; queries and vectors of a list that meet at once.
+LEAD, TILE = 23, 2048
 #: Slack of single-precision distances; it only adds candidates.
 SLACK = 1e-3
 
@@ -55,6 +60,7 @@ class PqIndex:
     centers: np.ndarray  # lists x dimension
     books: list[np.ndarray]  # for each subspace, codes x its dimensions
     cuts: list[tuple[int, int]]
+    axes: np.ndarray  # dimension x directions in which the sample varies most
 
     @staticmethod
     def fit(x: np.ndarray, lists: int, seed: int = 4) -> PqIndex:
@@ -63,7 +69,8 @@ class PqIndex:
         rest = x - centers[_nearest(x, centers)[0]]
         ends = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
         cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
-        return PqIndex(centers, [_kmeans(rest[:, a:b], min(CODES, len(x)), rng) for a, b in cuts], cuts)
+        axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :LEAD]
+        return PqIndex(centers, [_kmeans(rest[:, a:b], min(CODES, len(x)), rng) for a, b in cuts], cuts, axes)
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         best, d = _nearest(x, self.centers)
@@ -76,14 +83,21 @@ class PqIndex:
         miss = sum(((rest[:, a:b] - book[codes[:, m]]) ** 2).sum(1) for m, ((a, b), book) in enumerate(zip(self.cuts, self.books)))
         return codes.astype(np.uint8), np.sqrt(miss)
 
-    def probes(self, d: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray]:
-        """Lists that can hold a vector within ``radius``: those to whose side of the bisecting plane it reaches."""
+    def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
+        """Whether each list (row) can hold a vector within ``radius`` of each of ``x``: whether that reaches the list's side
+        of the bisecting plane."""
         c2 = (self.centers * self.centers).sum(1)
-        between = np.sqrt(np.maximum(c2[:, None] + c2[None] - 2 * self.centers @ self.centers.T, 0))
-        over = d - d[np.arange(len(d)), own][:, None]
-        hit = over <= 2 * between[own] * radius + 1e-9
-        hit[np.arange(len(d)), own] = True
-        return [np.flatnonzero(h) for h in hit]
+        between = np.sqrt(np.maximum(c2[:, None] + c2[None] - 2 * self.centers @ self.centers.T, 0)).astype(np.float32)
+        d = c2.astype(np.float32)[:, None] - 2 * (self.centers.astype(np.float32) @ x.T.astype(np.float32))
+        at = np.arange(len(x))
+        hit = d - d[own, at] <= between[:, own] * np.float32(2 * radius) + np.float32(SLACK)
+        hit[own, at] = True
+        return hit
+
+    def lead(self, x: np.ndarray) -> np.ndarray:
+        """Unit vectors in the leading directions, and the length of the rest: their products are never below the cosines."""
+        a = x @ self.axes
+        return np.column_stack([a, np.sqrt(np.maximum(1 - (a * a).sum(1), 0))]).astype(np.float32)
 
     def distances(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Of queries to decoded vectors of list ``at``, squared, each a sum of looked-up parts."""
@@ -97,39 +111,83 @@ class PqIndex:
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest of each vector that can link; null for the others."""
+    """Digest, length and bytes of each vector that can link; null for the others. Vectors that single precision holds are
+    kept in it."""
     for batch in batches:
-        digests, vectors = [], []
+        digests, vectors, widths = [], [], []
         for v in batch.column("v").to_pylist():
             x = None if v is None or None in v else np.array(v, np.float64)
             good = x is not None and np.isfinite(x).all() and x.any()
-            raw = (x + 0.0).astype("<f8").tobytes() if good else None
-            vectors.append(raw)
-            digests.append(hashlib.blake2b(raw, digest_size=16).digest() if good else None)
-        yield pa.record_batch([batch.column("id"), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], names=["id", "digest", "v"])
+            raw = (x + 0.0).astype("<f8") if good else None
+            vectors.append(_short(raw).tobytes() if good else None)
+            widths.append(len(raw) if good else None)
+            digests.append(hashlib.blake2b(raw.tobytes(), digest_size=16).digest() if good else None)
+        yield pa.record_batch([batch.column("id"), pa.array(digests, pa.binary()), pa.array(widths, pa.int32()), pa.array(vectors, pa.binary())], names=["id", "digest", "width", "v"])
 
 
-def _rows(raw: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _short(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        short = x.astype("<f4")
+    return short if (short == x).all() else x
 
 
-def _index(index: PqIndex, radius: float) -> Callable:
-    """List, codes, decoding error and probed lists of each class."""
+def _rows(raw: list[bytes], width: int) -> np.ndarray:
+    """Vectors of one row each, in single or double precision."""
+    return np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * width else "<f8") for r in raw]).astype(np.float64)
+
+
+#: A part of a block: what is told of its vectors, each column one after the other.
+PART = "block int, digests binary, n binary, lists binary, codes binary, miss binary, short boolean, v binary"
+
+
+def _index(index: PqIndex, blocks: int, width: int) -> Callable:
+    """List, codes and decoding error of each class, as parts of blocks. The digest, which is random, says which block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                x = unit(_rows(part.column("v").to_pylist()))
-                own, d = index.assign(x)
-                codes, miss = index.encode(x, own)
-                # A pair of lists is searched from one side only.
-                probes = [p[p >= k] for p, k in zip(index.probes(d, own, radius), own)]
-                yield pa.record_batch([part.column("digest"), part.column("v"), part.column("n"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(miss, pa.float32()), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))], names=["digest", "v", "n", "list", "codes", "miss", "probes"])
+            if not batch.num_rows:
+                continue
+            digests, n = batch.column("digest").to_pylist(), batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            raw = _rows(batch.column("v").to_pylist(), width)
+            told = []
+            for i in range(0, len(raw), 2048):
+                x = unit(raw[i : i + 2048])
+                own, _ = index.assign(x)
+                told.append((own.astype(np.int32), *index.encode(x, own)))
+            lists, codes, miss = (np.concatenate(c) for c in zip(*told))
+            at = np.array([int.from_bytes(d[:8], "little") % blocks for d in digests])
+            parts = []
+            for b in np.unique(at):
+                k = np.flatnonzero(at == b)
+                v = _short(raw[k])
+                parts.append((int(b), b"".join(digests[j] for j in k), n[k].tobytes(), lists[k].tobytes(), codes[k].tobytes(), miss[k].astype(np.float32).tobytes(), v.itemsize == 4, v.tobytes()))
+            types = [pa.int32(), *[pa.binary()] * 5, pa.bool_(), pa.binary()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*parts), types)], names=[c.split()[0] for c in PART.split(", ")])
 
     return run
 
 
+@dataclass
+class _Block:
+    """Classes of a block in order of their lists."""
+
+    digests: np.ndarray
+    n: np.ndarray
+    lists: np.ndarray
+    codes: np.ndarray
+    miss: np.ndarray
+    x: np.ndarray
+
+    @staticmethod
+    def of(parts: pa.Table, width: int) -> _Block:
+        flat = lambda name, kind: np.frombuffer(b"".join(parts.column(name).to_pylist()), kind)
+        lists = flat("lists", np.int32)
+        order = np.argsort(lists, kind="stable")
+        short = parts.column("short").to_pylist()
+        x = np.concatenate([np.frombuffer(v, "<f4" if s else "<f8").reshape(-1, width) for s, v in zip(short, parts.column("v").to_pylist())])[order]
+        return _Block(flat("digests", "V16")[order], flat("n", np.int64)[order], lists[order], flat("codes", np.uint8).reshape(len(lists), -1)[order], flat("miss", np.float32)[order], unit(x.astype(np.float64)))
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The least node number of each node's component under links (a, b)."""
     label = np.arange(n)
@@ -143,40 +201,86 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def _search(index: PqIndex, cosine: float, radius: float) -> Callable:
-    """Links between a block of one list and some queries to it: numbers of links, and enough links to connect all."""
+class _Found:
+    """Links of a task: their numbers by node, and a forest that connects what they connect. Links themselves don't stay."""
+
+    def __init__(self, nodes: int) -> None:
+        self.counts, self.label = np.zeros(nodes, np.int64), np.arange(nodes)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        np.add.at(self.counts, a, n_b)
+        np.add.at(self.counts, b, n_a)
+        self.links.append((a, b))
+        self.held += len(a)
+        if self.held > 1 << 20:
+            self.fold()
+
+    def fold(self) -> np.ndarray:
+        nodes = np.arange(len(self.label))
+        a, b = (np.concatenate(side) for side in zip((nodes, self.label), *self.links))
+        self.label, self.links, self.held = _forest(a, b, len(nodes)), [], 0
+        return self.label
+
+
+def _cosines(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the pairs (a, b) of rows of ``q`` and ``x``, by one product where most rows are paired."""
+    if len(q) * len(x) <= 16 * len(a):
+        return (q @ x.T)[a, b]
+    return np.concatenate([np.einsum("ij,ij->i", q[a[j : j + 16_384]], x[b[j : j + 16_384]]) for j in range(0, len(a), 16_384)])
+
+
+def _search(index: PqIndex, cosine: float, radius: float, width: int) -> Callable:
+    """Links between two blocks, or within one: numbers of links, and enough links to connect all."""
     schema = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("root", pa.binary())])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        at = key[0].as_py() if hasattr(key[0], "as_py") else int(key[0])
-        asked = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        q, x = table.filter(pa.array(asked)), table.filter(pa.array(~asked))
-        if not len(q) or not len(x):
+        asks = table.column("asks").combine_chunks()
+        asked, held = table.filter(asks), table.filter(pa.compute.invert(asks))
+        one = len({k.as_py() if hasattr(k, "as_py") else int(k) for k in key}) == 1
+        if not len(asked) or not (one or len(held)):
             return schema.empty_table()
-        qd, xd = q.column("digest").to_pylist(), x.column("digest").to_pylist()
-        qv, xv = unit(_rows(q.column("v").to_pylist())), unit(_rows(x.column("v").to_pylist()))
-        codes = np.frombuffer(b"".join(x.column("codes").to_pylist()), np.uint8).reshape(len(xd), -1)
-        reach = ((radius + SLACK + x.column("miss").to_numpy()) ** 2).astype(np.float32)
-        names = {d: k for k, d in enumerate(dict.fromkeys([*qd, *xd]))}
-        qn, xn = np.array([names[d] for d in qd]), np.array([names[d] for d in xd])
-        left, right = [], []
-        for i in range(0, len(qd), 128):
-            near = np.argwhere(index.distances(qv[i : i + 128], at, codes) <= reach[None] + SLACK)
-            for j in range(0, len(near), 65_536):
-                a, b = near[j : j + 65_536, 0] + i, near[j : j + 65_536, 1]
-                good = (np.einsum("ij,ij->i", qv[a], xv[b]) >= cosine) & (qn[a] != xn[b])
-                left.append(a[good])
-                right.append(b[good])
-        a, b = np.concatenate(left), np.concatenate(right)
-        counts = np.zeros(len(names), np.int64)
-        np.add.at(counts, qn[a], x.column("n").to_numpy()[b])
-        # Queries of other lists aren't asked for from this side, so they count here for the block's vectors too.
-        other = (q.column("list").to_numpy() != at)[a]
-        np.add.at(counts, xn[b[other]], q.column("n").to_numpy()[a[other]])
-        label = _forest(qn[a], xn[b], len(names))
-        linked = np.unique(np.concatenate([qn[a], xn[b]]))
-        every = list(names)
-        return pa.table([pa.array([every[k] for k in linked], pa.binary()), pa.array(counts[linked], pa.int64()), pa.array([every[label[k]] for k in linked], pa.binary())], schema=schema)
+        q = _Block.of(asked, width)
+        x = q if one else _Block.of(held, width)
+        first = 0 if one else len(q.n)  # node of x's first vector
+        reach = ((radius + SLACK + x.miss) ** 2).astype(np.float32)
+        lead_q, lead_x = index.lead(q.x), np.ascontiguousarray(index.lead(x.x).T)
+        lists = np.unique(x.lists)
+        ends = np.searchsorted(x.lists, lists, "right")
+        found, room = _Found(first + len(x.n)), np.empty(TILE * TILE, np.float32)
+        step = max(TILE, (1 << 23) // len(index.centers))
+        for i in range(0, len(q.n), step):
+            hit = index.probes(q.x[i : i + step], q.lists[i : i + step], radius)
+            for at, start, end in zip(lists, [0, *ends[:-1]], ends):
+                rows = np.flatnonzero(hit[at]) + i
+                if one:
+                    rows = rows[rows < end]  # each pair from one side only
+                for j in range(0, len(rows), TILE):
+                    part = rows[j : j + TILE]
+                    some = lead_q[part]
+                    for k in range(start, end, TILE):
+                        ahead = lead_x[:, k : min(end, k + TILE)]
+                        bound = np.matmul(some, ahead, out=room[: len(some) * ahead.shape[1]].reshape(len(some), -1))
+                        if bound.max() < cosine - SLACK:
+                            continue
+                        near = bound >= cosine - SLACK
+                        a, b = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                        near, a, b = near[np.ix_(a, b)], part[a], b + k
+                        for m in range(0, len(a), 128):
+                            near[m : m + 128] &= index.distances(q.x[a[m : m + 128]], at, x.codes[b]) <= reach[b] + SLACK
+                        if one:
+                            near &= a[:, None] < b
+                        left, right = np.nonzero(near)
+                        if not len(left):
+                            continue
+                        good = _cosines(q.x[a], x.x[b], left, right) >= cosine
+                        left, right = a[left[good]], b[right[good]]
+                        found.add(left, right + first, q.n[left], x.n[right])
+        label, linked = found.fold(), np.flatnonzero(found.counts)
+        every = q.digests if one else np.concatenate([q.digests, x.digests])
+        named = lambda nodes: pa.array([d.tobytes() for d in every[nodes]], pa.binary())
+        return pa.table([named(linked), pa.array(found.counts[linked]), named(label[linked])], schema=schema)
 
     return run
 
@@ -184,10 +288,11 @@ def _search(index: PqIndex, cosine: float, radius: float) -> Callable:
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """One row per row of ``vectors``: id, ``n_links`` (other rows of at least this cosine), ``component_id``, ``kept``.
 
-    Equal vectors form one class, which counts for its rows. Each class asks all lists that can hold a vector within
-    the distance that the cosine stands for; look-up distances, less the stored decoding error, bound the true ones
-    from below, so what the index prunes cannot be a link. Lists are searched in blocks of bounded size, which return
-    numbers of links and a spanning forest, never the links.
+    Equal vectors form one class, which counts for its rows. Classes are dealt at random to blocks of bounded size, and each
+    two blocks meet in one task, which holds nothing else. There each class asks all lists that can hold a vector within
+    the distance that the cosine stands for; products in the leading directions and look-up distances, less the stored
+    decoding error, bound the true ones, so what they prune cannot be a link. Tasks return numbers of links and a spanning
+    forest, never the links. A job ships each class at most twice, and what it shipped goes before the next job.
 
     Vectors link within their own length; each length has its own index.
 
@@ -195,12 +300,12 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows link with each other; an empty table gives an empty one.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    named = stored(rows.mapInArrow(_classes, "id long, digest binary, v binary"), "vectors")
-    classes = stored(named.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")), "vector-classes")
-    length = F.length("v")
-    totals = classes.groupBy(length.alias("bytes")).count().orderBy("bytes").collect()  # one row per length
+    seen = rows.mapInArrow(_classes, "id long, digest binary, width int, v binary")
+    named = stored(seen.select("id", "digest"), "vectors")
+    classes = stored(seen.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("width").alias("width"), F.min("v").alias("v")), "vector-classes")
+    totals = classes.groupBy("width").count().orderBy("width").collect()  # one row per length
     if totals:
-        links = reduce(DataFrame.union, [_linked(classes.filter(length == r["bytes"]), r["count"], cosine, sample) for r in totals])
+        links = reduce(DataFrame.union, [_linked(classes.filter(F.col("width") == r["width"]), r["width"], r["count"], cosine, sample) for r in totals])
         own = links.groupBy("digest").agg(F.sum("n").alias("others"))
         found = components(links.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     else:
@@ -214,24 +319,29 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _linked(classes: DataFrame, total: int, cosine: float, sample: int) -> DataFrame:
-    """(digest, n, root) from each block: links counted there, and a node that the digest is connected to."""
+def _linked(classes: DataFrame, width: int, total: int, cosine: float, sample: int) -> DataFrame:
+    """(digest, n, root) from each two blocks: links counted there, and a node that the digest is connected to."""
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     draw = F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) / float(1 << 30)
     drawn = classes.filter(draw < min(1.0, sample / total)).select("digest", "v").toPandas().sort_values("digest")
     if drawn.empty:
         drawn = classes.select("digest", "v").orderBy("digest").limit(1).toPandas()
-    index = PqIndex.fit(unit(_rows([bytes(v) for v in drawn["v"]])), int(np.clip(round(total**0.5 / 2), 1, MAX_LISTS)))
-    indexed = stored(classes.mapInArrow(_index(index, radius), "digest binary, v binary, n long, list int, codes binary, miss float, probes array<int>"), "vector-index")
-
-    # How many blocks each list has, and how many batches of queries: a row for each list.
-    sizes = indexed.groupBy(F.col("list").alias("at")).agg(F.count(F.lit(1)).alias("m"))
-    asks = indexed.select(F.explode("probes").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("k"))
-    shape = sizes.join(asks, "at", "full").select("at", F.ceil(F.coalesce("m", F.lit(0)) / BLOCK).cast("int").alias("blocks"), F.ceil(F.coalesce("k", F.lit(0)) / BLOCK).cast("int").alias("parts"))
-    shape = F.broadcast(shape)  # MAX_LISTS rows at most
-    spread = lambda n: F.pmod(F.xxhash64("digest", F.lit("block")), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    none = F.lit(None)
-    held = indexed.withColumn("at", F.col("list")).join(shape, "at").filter("parts > 0 and blocks > 0").select("at", spread(F.col("blocks")).alias("block"), each(F.col("parts")).alias("part"), F.lit(False).alias("asks"), "digest", "v", "n", "list", "codes", "miss")
-    asked = indexed.withColumn("at", F.explode("probes")).join(shape, "at").filter("parts > 0 and blocks > 0").select("at", each(F.col("blocks")).alias("block"), spread(F.col("parts")).alias("part"), F.lit(True).alias("asks"), "digest", "v", "n", "list", none.cast("binary").alias("codes"), none.cast("float").alias("miss"))
-    return stored(held.union(asked).groupBy("at", "block", "part").applyInArrow(_search(index, cosine, radius), "digest binary, n long, root binary"), "vector-links")
+    index = PqIndex.fit(unit(_rows([bytes(v) for v in drawn["v"]], width)), int(np.clip(round(total**0.5 / 2), 1, MAX_LISTS)))
+    blocks = max(-(-total // max(1, BLOCK * 64 // max(64, width))), min(SMALL, -(-total // LEAST)))
+    parts = stored(classes.select("digest", "v", "n").mapInArrow(_index(index, blocks, width), PART), "vector-index")
+    search = _search(index, cosine, radius, width)
+    links = [stored(met.groupBy("a", "b").applyInArrow(search, "digest binary, n long, root binary"), "vector-links") for met in _meetings(parts, blocks)]
+    release(parts)
+    return reduce(DataFrame.union, links)
+
+
+def _meetings(parts: DataFrame, blocks: int) -> Iterator[DataFrame]:
+    """Tables in which each block (a) meets the one that lies so many places after it (b), around the circle; every two blocks
+    meet once."""
+    for ahead in range(blocks // 2 + 1):
+        other = F.pmod(F.col("block") + ahead, F.lit(blocks)).cast("int")
+        before = F.pmod(F.col("block") - ahead, F.lit(blocks)).cast("int")
+        asked = parts.select(F.col("block").alias("a"), other.alias("b"), F.lit(True).alias("asks"), "*")
+        held = parts.select(before.alias("a"), F.col("block").alias("b"), F.lit(False).alias("asks"), "*")
+        both = asked.union(held) if ahead else asked
+        yield both.filter(F.col("a") < ahead) if ahead and 2 * ahead == blocks else both

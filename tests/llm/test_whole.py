@@ -1,7 +1,9 @@
 """Operators over several partitions, blocks and shards against brute force; clashing names and empty tables."""
 
 import hashlib
+import pathlib
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -222,3 +224,26 @@ def test_empty_tables(spark):
     assert pack(none).count() == 0 and pack(none.select("doc_id", "text")).count() == 0
     assert score_texts(none, F.lit(True)).count() == 0 and repeated_spans(none).count() == 0
     assert exact_dedup(none).count() == 0 and near_dedup(none).count() == 0
+
+
+def test_vectors_meet_in_few_copies(spark, monkeypatch, tmp_path):
+    """Nearly random vectors, which reach most lists, are not sent to each of them: all tasks together take a few times the input."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(6000, 64)).astype(np.float32)
+    x[100:130] = x[99] + 0.05 * rng.normal(size=(30, 64)).astype(np.float32)
+    search = embedding_dedup._search
+
+    def counted(*given):
+        run, folder = search(*given), str(tmp_path)
+
+        def taken(key, table):
+            (pathlib.Path(folder) / uuid.uuid4().hex).write_text(str(table.nbytes))
+            return run(key, table)
+
+        return taken
+
+    monkeypatch.setattr(embedding_dedup, "_search", counted)
+    df = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_groups(df).collect()}
+    assert got == {k: (30, 99) if 99 <= k < 130 else (0, k) for k in range(6000)}
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) < 4 * 6000 * 64 * 8
