@@ -11,8 +11,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..operators.versioned import VersionedTable
+from ..sources.files import known_to_arrow, stream_files
 from ..sources.readers import markdown_records
 
+#: Files and bytes that one task of a stream of files reads.
+FILES, BYTES = 2_000, 32 << 20
+
 
 def as_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """New Parquet files of a table's folder as a stream; the table may also be one file."""
@@ -28,14 +32,23 @@ def _rocksdb(spark: SparkSession) -> None:
 def ingest_files(spark: SparkSession, path: str, pattern: str, store: VersionedTable, log: str, prefix: str, number: str = r"_([0-9]+)\.[a-z]+$", laws: Sequence[tuple[str, Sequence[str]]] = (), default_law: str = "ley") -> None:
     """New markdown files below ``path`` become rows of the store, if their content was not seen before.
 
-    Whole files are the stream's rows; records are made of them as ``markdown_records`` does. Hashes of contents seen are
+    Whole files are the stream's rows; records are made of them as ``markdown_records`` does. Names of files seen are kept in
+    files beside the checkpoint, not on the driver (on file systems that Arrow doesn't know, Spark's own file stream keeps
+    them there). A file that goes before it is read ends the run, as does one too large for a row. Hashes of contents seen are
     keyed state, so a batch reads neither the store nor older files. Each batch is one commit, with its number in the
     column ``batch``; a batch that is run again after a failure commits nothing twice. Of equal contents in one batch any
     file is taken.
     """
     _rocksdb(spark)
-    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
-    records = markdown_records(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")), prefix, number, laws, default_law)
+    if known_to_arrow(path) and known_to_arrow(log):
+        path = path if ":" in path else f"file://{path}"
+        listed = stream_files(spark, path, pattern, f"{log.rstrip('/')}/listings", invalid="replace", partitionFiles=FILES, partitionBytes=BYTES)
+        lost = F.col("content").isNull() & F.col("reason").isNotNull()
+        files = listed.select("path", F.when(lost, F.raise_error(F.concat_ws(": ", "path", "reason"))).otherwise(F.col("content")).alias("content"))
+    else:
+        found = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
+        files = found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    records = markdown_records(files, prefix, number, laws, default_law)
 
     def commit(rows: DataFrame, n: int) -> None:
         store.upsert(rows.withColumn("batch", F.lit(n).cast("long")), "source_path", batch=(log, n))

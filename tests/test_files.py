@@ -5,9 +5,11 @@ import json
 import pytest
 
 from quillspark.operators import trees
+from quillspark.operators.versioned import VersionedTable
 from quillspark.sources import files as files_module
-from quillspark.sources.files import RecordReader, parted, read_files, write_files
+from quillspark.sources.files import RecordReader, RecordStream, parted, read_files, write_files
 from quillspark.sources.readers import markdown_records, read_tree_files
+from quillspark.streaming import streams
 
 TREE = {"tree_id": "a", "title": "A", "law": "l", "article": "1", "description": "", "root": {"branches": [{"condition": "c", "next_node": "x"}]}, "nodes": {"x": {"type": "result"}}}
 
@@ -82,3 +84,42 @@ def test_a_shared_folder_is_listed_once(tmp_path, monkeypatch):
     groups = RecordReader({"path": path, "partitionFiles": "10"}).partitions()
     monkeypatch.setattr(files_module, "listing", lambda *_: pytest.fail("listed again by a task"))
     assert sum(b.num_rows for g in groups for b in RecordReader({"path": path}).read(g)) == 100
+
+
+def test_stream_lists_each_file_once(tmp_path):
+    """Listings lie in files in order of the folders: new names, a line a task, and all names, a line a folder."""
+    files = tmp_path / "files"
+    add = lambda name, content="x": put(files, {name: content})
+    stream = lambda: RecordStream({"path": f"file://{files}", "pattern": "*.md", "listings": f"file://{tmp_path}/log/listings", "partitionFiles": "2", "invalid": "replace"})
+    read = lambda a, b: [[(r["path"].rpartition("files/")[2], r["content"]) for t in stream().read(p) for r in t.to_pylist()] for p in stream().partitions({"listing": a}, {"listing": b})]
+    assert stream().latestOffset() == stream().initialOffset() == {"listing": 0}
+    for name in ("2.md", "a/1.md", "a/b/1.md", "a-b/1.md", "_draft/1.md", "a/_1.md", "a/.1.md", "a/1.txt"):
+        add(name, name)
+    assert stream().latestOffset() == {"listing": 1} == stream().latestOffset()
+    first = read(0, 1)
+    assert [len(task) for task in first] == [2, 2] and sorted(sum(first, [])) == [(n, n) for n in ("2.md", "a-b/1.md", "a/1.md", "a/b/1.md")]
+    (files / "a/b/1.md").unlink()
+    (files / "a/b").rmdir()
+    add("a/1.md", "changed")
+    add("1.md", b"\xff")
+    add("a/a/1.md")
+    assert stream().latestOffset() == {"listing": 2}  # and the run breaks off before its batch
+    add("a/b/1.md", "again")
+    add("z/1.md")
+    assert stream().latestOffset() == {"listing": 3} == stream().latestOffset()
+    assert sorted(sum(read(1, 3), [])) == [("1.md", "�"), ("a/a/1.md", "x"), ("z/1.md", "x")]
+    (files / "z/1.md").unlink()
+    assert [t.column("reason")[0].as_py()[:10] for p in stream().partitions({"listing": 2}, {"listing": 3}) for t in stream().read(p)] == ["unreadable"]
+
+
+def test_ingest_keeps_no_names_in_the_log_of_the_driver(spark, tmp_path):
+    """Spark's own file stream keeps an entry a file, which the driver holds; and a task a few dozen files."""
+    for k in range(300):
+        (tmp_path / f"files/{k // 100}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"files/{k // 100}/n_{k}.md").write_text(f"## Contenido\ntext {k % 250}\n")
+    store = VersionedTable(spark, f"file://{tmp_path}/store")
+    streams.ingest_files(spark, f"{tmp_path}/files", "n_*.md", store, f"{tmp_path}/log", "p_")
+    rows = store.read().collect()
+    assert {r["content"] for r in rows} == {f"Contenido:\ntext {k}" for k in range(250)} and len(rows) == 250
+    assert all(r["source_path"] == f"file://{tmp_path}/files/{int(r['filename'][2:-3]) // 100}/{r['filename']}" for r in rows)
+    assert not any("n_1.md" in f.read_text() for part in ("sources", "offsets", "commits") for f in (tmp_path / "log" / part).rglob("*") if f.is_file() and f.suffix != ".crc")
